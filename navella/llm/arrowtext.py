@@ -92,14 +92,48 @@ def word_spans(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by prefix sums of a polynomial over mixed bytes."""
-    power, inverse = _power_tables(len(b) + 1)
+def prefix_sums(b: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over mixed bytes before each place, from which span_hashes takes its hashes."""
+    power, _ = _power_tables(len(b) + 1)
     c = np.zeros(len(b) + 1, _U)
     np.cumsum(_BYTE[b] * power[: len(b)], out=c[1:])
+    return c
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte span. sums: prefix_sums(b), where they serve several calls."""
+    c = prefix_sums(b) if sums is None else sums
+    _, inverse = _power_tables(len(b) + 1)
     return mix((c[ends] - c[starts]) * inverse[starts] + (ends - starts).astype(_U))
 
 
+class HashTable:
+    """Values by 64-bit hashed keys: a slot for most keys, the others in a sorted list."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(10, int(len(keys) * 6).bit_length())
+        self.mask = _U((1 << bits) - 1)
+        slot = (keys & self.mask).astype(np.int64)
+        self.slot = np.zeros(1 << bits, np.int32)
+        self.slot[slot] = np.arange(1, len(keys) + 1)  # the last of a slot stays
+        self.keys, self.values = np.append(_U(0), keys), np.append(0.0, values)
+        lost = np.flatnonzero(self.slot[slot] != np.arange(1, len(keys) + 1))
+        lost = lost[np.argsort(keys[lost])]
+        self.lost_keys, self.lost_values = keys[lost], values[lost]
+
+    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
+        i = self.slot[keys & self.mask]
+        out = self.values[i]
+        odd = np.flatnonzero((self.keys[i] != keys) | (i == 0))
+        found = np.full(len(odd), default)
+        if len(self.lost_keys):
+            k = keys[odd]
+            at = np.minimum(np.searchsorted(self.lost_keys, k), len(self.lost_keys) - 1)
+            found = np.where(self.lost_keys[at] == k, self.lost_values[at], default)
+        out[odd] = found
+        return out
+
+
 def word_hashes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the number of words before each document."""
     starts, ends, at = word_spans(b, off)

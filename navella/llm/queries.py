@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navella.llm import edit_counts, id_files, media, packing, word_trie
+from navella.llm import edit_counts, id_files, media, nearest, packing, quality, toxicity, url_filter, word_trie
 from navella.llm.tokens import text_column, vocabulary
 
 
@@ -26,6 +26,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), F.octet_length("text").cast("long").alias("bytes_after"), "encoded_bytes")
 
 
+def remainder(by: int):
+    """crc32 of doc_id as text, modulo by; null ids have none."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % by
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids and tells whether the text came back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,15 +51,42 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.read_media(spark, path))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Fitted on labelled documents of which the remainder by 3 isn't 1."""
+    return quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(3) != 1)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores the quality of every document."""
+    docs = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir))
+    return docs.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0, 2048)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled documents of which the remainder by 5 isn't 0."""
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(5) != 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores the toxicity of every document."""
+    docs = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir))
+    return docs.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every document's ids to id files and reads them back."""
     return id_files.read_id_files(id_files.write_id_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_sentencepiece, op5_media, op7_packing, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_sentencepiece, op5_media, op6_quality, op7_packing, op8_nearest, op9_toxicity, op10_id_files)}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navella.llm import edit_counts, id_files, media, nearest, packing, quality, toxicity, url_filter, word_trie
+from navella.llm import edit_counts, id_files, jaccard_join, media, nearest, packing, quality, toxicity, url_filter, word_trie
 from navella.llm.tokens import text_column, vocabulary
 
 
@@ -36,6 +36,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document."""
+    return jaccard_join.component_ids(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids and tells whether the text came back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,5 +93,5 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_id_files(id_files.write_id_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_sentencepiece, op5_media, op6_quality, op7_packing, op8_nearest, op9_toxicity, op10_id_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_jaccard_join, op4_sentencepiece, op5_media, op6_quality, op7_packing, op8_nearest, op9_toxicity, op10_id_files)}
 ORACLES: dict[str, str] = {}

@@ -148,7 +148,7 @@ def token_trees(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             offsets = pa.array(at, pa.int32())
             yield _with(batch, tree_bytes=pa.ListArray.from_arrays(offsets, flat[0]), tree_tokens=pa.ListArray.from_arrays(offsets, flat[1]), n_tokens=pa.array(total, pa.int64()))
 
-    rows = docs.withColumn("text", text_column(docs))
+    rows = docs.drop("tree_bytes", "tree_tokens", "n_tokens").withColumn("text", text_column(docs))
     return rows.mapInArrow(build, with_fields(rows.schema, "tree_bytes array<int>, tree_tokens array<int>, n_tokens long"))
 
 
@@ -173,6 +173,7 @@ def apply_edits(trees: DataFrame, vocabulary_path: str) -> DataFrame:
             kinds = {"text": pa.string(), "tree_bytes": pa.list_(pa.int32()), "tree_tokens": pa.list_(pa.int32()), "n_tokens": pa.int64(), "encoded_bytes": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(made[c], kinds[c]) if c in made else batch.column(c) for c in [*names, "encoded_bytes"]], names=[*names, "encoded_bytes"])
 
+    trees = trees.drop("encoded_bytes")
     return trees.mapInArrow(edit, with_fields(trees.schema, "encoded_bytes long"))
 
 

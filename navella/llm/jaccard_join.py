@@ -1,14 +1,15 @@
 """Exact join of word shingle sets by Jaccard similarity, with PartEnum signatures.
 
 Sets are taken by bands of sizes; two sets of similarity 0.8 or more lie in one band or in neighbouring ones and so share an
-instance, in which at most k elements differ. The instance parts the domain of shingles into more than k parts; a
-part of a set is a signature, so sets that differ in at most k elements share one. Empty parts are no signature as long as
-a set fills more than k parts, which already guarantees a common one; a set that doesn't emits its empty parts as well.
+instance, in which at most k elements differ. The instance deals the domain of shingles into more than k / 2 groups,
+so in some group at most one element differs, and each group into three parts: the three ways to leave one part out are
+the group's signatures, of which such sets share one. Signatures over nothing are left out as long as more than k / 2 of a
+set's groups have elements in two parts or more, which already guarantees one over something; else all are emitted.
 
 No pair of a bucket is missed and large buckets aren't paired off: equal sets are one class from the start; each bucket is
 first compared with its best-connected member alone; only members that are then still in different
-components are paired, and in large buckets only if they agree under a second, independent parting too (which similar
-sets do). Every candidate is verified on the whole sets.
+components are paired, if sketches of the sets don't rule it out, and in large buckets only if they agree under a second,
+independent parting too (which similar sets do). Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ GROUP_SIGNATURES = 1_000_000
 #: Signatures that a task gathers before it hands them on.
 BATCH_SIGNATURES = 1_500_000
 #: From so many members on a bucket is parted a second time.
-LARGE = 48
+LARGE = 2048
+#: 64-bit words of a sketch.
+SKETCH = 8
 _U = np.uint64
 _STEP = mix(np.arange(1, WORDS + 1, dtype=_U)) | _U(1)
 _SALT = mix(np.arange(101, 111, dtype=_U))
@@ -72,11 +75,12 @@ _TOPS = np.array(bands(1 << 40))
 
 
 def parting(instance: int) -> tuple[int, int]:
-    """(k, number of parts) of an instance, which joins the sets of a band with each other and with the band below.
-    For similarity 0.8 the sizes a and b allow (a + b) / 9 different elements. The parts beyond k are for those that
-    stay empty."""
+    """(k, number of groups) of an instance, which joins the sets of a band with each other and with the band below.
+    For similarity 0.8 the sizes a and b allow (a + b) / 9 different elements. The groups beyond k / 2 + 1 make up for
+    those with too few elements."""
     k = int(2 * _TOPS[instance] // 9)
-    return k, 1 if k == 0 else k + 2 + int(np.ceil(0.15 * k + 2 * np.sqrt(k)))
+    few = 0.07 * (k // 2 + 1)
+    return k, k // 2 + 1 + (int(np.ceil(few + 1.3 * np.sqrt(few))) if k > 1 else 0)
 
 
 def signatures(s: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -88,15 +92,19 @@ def signatures(s: np.ndarray, seed: int = 0) -> np.ndarray:
     band = int(np.searchsorted(_TOPS, len(s)))
     out = []
     for instance in (band, band + 1):
-        k, n = parting(instance)
-        part = ((e >> _U(32)) * _U(n)) >> _U(32)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        last = np.append(first[1:], len(e))
-        name = (_U(instance) << _U(44)) + part[first]
-        out.append(mix(mix(name) + (total[last] - total[first])))
-        if len(first) <= k:
-            empty = np.setdiff1d(np.arange(n, dtype=_U), part[first])
-            out.append(mix(mix((_U(instance) << _U(44)) + empty)))
+        k, groups = parting(instance)
+        name = _U(instance) << _U(44)
+        if k == 0:
+            out.append(mix(mix(np.array([name])) + total[-1]))
+            continue
+        n = 3 * groups
+        at = np.append(np.searchsorted((e >> _U(32)) * _U(n) >> _U(32), np.arange(n, dtype=_U)), len(e))
+        held = (at[1:] - at[:-1]).reshape(groups, 3)
+        sums = (total[at[1:]] - total[at[:-1]]).reshape(groups, 3)
+        rest = held.sum(1, keepdims=True) - held
+        keys = mix(name + np.arange(n, dtype=_U)).reshape(groups, 3) + (sums.sum(1, keepdims=True, dtype=_U) - sums)
+        rich = int(((held > 0).sum(1) >= 2).sum())
+        out.append(mix(keys[rest > 0] if rich > k // 2 else keys.ravel()))
     return np.concatenate(out)
 
 
@@ -106,6 +114,21 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
+def sketch_of(s: np.ndarray) -> list[int]:
+    """Whether the number of elements is odd in each of 64 * SKETCH cells, as signed words. One element more or less
+    changes one bit, so sets differ in at least as many elements as their sketches do in bits."""
+    odd = np.bincount((s >> _U(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) % 2
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
+def plausible(a: str, b: str):
+    """Condition that sizes and sketches (columns n and s0, s1, ... of the two aliases) allow similarity 0.8: the sets may
+    differ in (n + n) / 9 elements."""
+    bits = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SKETCH)), F.lit(0))
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (4 * x <= 5 * y) & (4 * y <= 5 * x) & (9 * bits <= x + y)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class): documents of one class have equal sets; the class of an empty set is null."""
 
@@ -133,7 +156,7 @@ def buckets(docs: DataFrame, groups: int) -> DataFrame:
             part = (((flat >> _U(40)) * _U(groups)) >> _U(24)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             part, flat, owner = part[order], flat[order], owner[order]
-            low = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # the group holds what the rest says
+            low = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # the group holds what the rest says
             at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
             rows = []
             for x, y in zip(at[:-1], at[1:], strict=True):
@@ -164,8 +187,8 @@ def buckets(docs: DataFrame, groups: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         sig, cls = [], []
         for low, at, names in zip(*(table.column(c).to_pylist() for c in ("low", "at", "classes")), strict=True):
-            wide = np.zeros((len(low) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(low) // 5, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
             sig.append(wide.view("<u8").ravel())
             cls.append(np.frombuffer(names, np.int64)[np.frombuffer(at, "<u2")])
         s, c = np.concatenate(sig), np.concatenate(cls)
@@ -196,18 +219,22 @@ def buckets(docs: DataFrame, groups: int) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, shingles) of the wanted classes, from one document of each."""
+    """(class, n, s0, s1, ..., shingles) of the wanted classes, from one document of each."""
+    words = [f"s{k}" for k in range(SKETCH)]
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, b, off in each_slice(batch.column("text")):
-                found = [s if len(s) and class_of(s) == c else None for s, c in zip(sets_of(b, off), batch.column("class").slice(i, j - i).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("class").slice(i, j - i), pa.array([None if s is None else s.tobytes() for s in found], pa.binary())], names=["class", "shingles"])
+                own = batch.column("class").slice(i, j - i).to_pylist()
+                found = [(c, len(s), *sketch_of(s), s.tobytes()) for s, c in zip(sets_of(b, off), own, strict=True) if len(s) and class_of(s) == c]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["class", "n", *words, "shingles"])
 
     one = named.filter("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("one_id"))
     one = one.join(wanted, "class", "left_semi")
     rows = docs.join(one, docs["doc_id"] == one["one_id"]).select("class", "text")
-    return rows.mapInArrow(shingles, "class long, shingles binary").filter("shingles is not null").dropDuplicates(["class"])
+    schema = "class long, n long, " + ", ".join(f"{w} long" for w in words) + ", shingles binary"
+    return rows.mapInArrow(shingles, schema).dropDuplicates(["class"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -221,10 +248,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
-    size = lambda c: F.octet_length(c) * 1.0
-    near = (5 * size("left") >= 4 * size("right")) & (5 * size("right") >= 4 * size("left"))
-    both = pairs.join(left, "a").join(right, "b").filter(near)
-    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,9 +283,11 @@ def across(entries: DataFrame, labels: DataFrame, sets: DataFrame, done: DataFra
     large = members.filter(F.col("n") >= LARGE).join(sets, "class").select("key", "class", "label", "shingles")
     parted = stored(large.mapInArrow(again, "key long, class long, label long"), "parted-buckets")
     both = small.unionByName(parted.join(mixed(parted), "key", "left_semi"))
-    left, right = both.toDF("key", "a", "x"), both.toDF("key", "b", "y")
-    pairs = left.join(right, "key").filter("a < b and x <> y").select("a", "b").distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    both = both.join(sets.drop("shingles"), "class")
+    left, right = both.alias("l"), both.alias("r")
+    apart = (F.col("l.class") < F.col("r.class")) & (F.col("l.label") != F.col("r.label"))
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & plausible("l", "r"))
+    return pairs.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,11 +297,13 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     named = stored(classes(docs), "classes")
     total = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    entries = stored(buckets(docs, max(1, round(0.7 * total / GROUP_SIGNATURES))), "buckets")
+    entries = stored(buckets(docs, max(1, round(total / GROUP_SIGNATURES))), "buckets")
     sets = stored(candidate_sets(docs, named, entries.select("class").distinct()), "sets")
     pairs = entries.filter("class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
     pairs = stored(pairs, "hub-pairs")
-    links = stored(verified(pairs, sets), "links")
+    small = sets.drop("shingles")
+    likely = pairs.join(small.alias("l"), F.col("a") == F.col("l.class")).join(small.alias("r"), (F.col("b") == F.col("r.class")) & plausible("l", "r"))
+    links = stored(verified(likely.select("a", "b"), sets), "links")
     labels = components(links)
     more = stored(verified(stored(across(entries, labels, sets, pairs), "cross-pairs"), sets), "links")
     if not more.isEmpty():

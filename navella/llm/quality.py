@@ -143,20 +143,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", rows:
     return train([(f.values.to_numpy(), c.values.to_numpy(), y.as_py()) for f, c, y in zip(*arrays, strict=True)], share)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) and predicted. Null texts count as empty; an empty text has
-    no feature, so its score is that of the bias."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))  # half a MB, whatever the corpus
+def score(docs: DataFrame, model) -> DataFrame:
+    """docs with score (0 to 1, higher: label 1 likelier) and predicted, in the place of any columns of these names.
+    model: what has scores(bytes, offsets). Null texts count as empty; an empty text has no feature and gets the score of the
+    model's bias."""
+    docs = docs.drop("score", "predicted")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, whatever the corpus
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
         for batch in batches:
-            parts = [own.scores(b, off) for _, _, b, off in each_slice(batch.column("_text"), SLICE)]
-            s = np.concatenate(parts) if parts else np.zeros(0)
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_text"]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            s = scores_of(batch.column("text"), shared.value)
+            columns = [*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.withColumn("_text", text_column(docs)).mapInArrow(judge, with_fields(docs.schema, "score double, predicted int"))
+    return docs.mapInArrow(judge, with_fields(docs.schema, "score double, predicted int"))
 
 
+def scores_of(texts: pa.Array, model) -> np.ndarray:
+    parts = [model.scores(b, off) for _, _, b, off in each_slice(texts, SLICE)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def kept(docs: DataFrame, model, predicted: int) -> DataFrame:
+    """The rows of docs of a predicted class, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array((scores_of(batch.column("text"), shared.value) >= 0.5) == bool(predicted)))
+
+    return docs.mapInArrow(sift, docs.schema)

@@ -197,7 +197,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=[*part.schema.names, "ids"])
 
-    rows = docs.withColumn("text", text_column(docs))
+    rows = docs.drop("ids").withColumn("text", text_column(docs))
     return rows.mapInArrow(encode, with_fields(rows.schema, "ids array<int>"))
 
 
@@ -215,6 +215,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [None if z else b"".join(flat[x:y])[1:].decode("utf-8", "replace") for x, y, z in zip(at[:-1], at[1:], null, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
+    encoded = encoded.drop("decoded")
     return encoded.mapInArrow(decode, with_fields(encoded.schema, "decoded string"))
 
 
@@ -231,6 +232,7 @@ def digests(encoded: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=[*batch.schema.names, "n_pieces", "ids_crc32"])
 
+    encoded = encoded.drop("n_pieces", "ids_crc32")
     return encoded.mapInArrow(digest, with_fields(encoded.schema, "n_pieces long, ids_crc32 long"))
 
 

@@ -129,16 +129,21 @@ def plausible(a: str, b: str):
     return (4 * x <= 5 * y) & (4 * y <= 5 * x) & (9 * bits <= x + y)
 
 
+WORDS_OF_SKETCH = [f"s{k}" for k in range(SKETCH)]
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class): documents of one class have equal sets; the class of an empty set is null."""
+    """(doc_id, n_shingles, class, s0, s1, ...): documents of one class have equal sets; the class and the sketch of an
+    empty set are null."""
+    nothing = (0, None, *[None] * SKETCH)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), class_of(s) if len(s) else None) for _, _, b, off in each_slice(batch.column("text")) for s in sets_of(b, off)]
-            n, c = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "n_shingles", "class"])
+            found = [(len(s), class_of(s), *sketch_of(s)) if len(s) else nothing for _, _, b, off in each_slice(batch.column("text")) for s in sets_of(b, off)]
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], names=["doc_id", "n_shingles", "class", *WORDS_OF_SKETCH])
 
-    return docs.mapInArrow(name, "doc_id long, n_shingles long, class long")
+    return docs.mapInArrow(name, "doc_id long, n_shingles long, class long, " + ", ".join(f"{w} long" for w in WORDS_OF_SKETCH))
 
 
 def buckets(docs: DataFrame, groups: int) -> DataFrame:
@@ -218,23 +223,21 @@ def buckets(docs: DataFrame, groups: int) -> DataFrame:
     return met.groupBy("key", "class").agg(F.min("hub").alias("hub"))
 
 
-def candidate_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, n, s0, s1, ..., shingles) of the wanted classes, from one document of each."""
-    words = [f"s{k}" for k in range(SKETCH)]
+def sets_for(pairs: DataFrame, docs: DataFrame, small: DataFrame) -> DataFrame:
+    """(class, shingles) of the classes in pairs, from one document of each. small: classes with one_id, that document."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of this task: rows that share an id come to one task
         for batch in batches:
             for i, j, b, off in each_slice(batch.column("text")):
                 own = batch.column("class").slice(i, j - i).to_pylist()
-                found = [(c, len(s), *sketch_of(s), s.tobytes()) for s, c in zip(sets_of(b, off), own, strict=True) if len(s) and class_of(s) == c]
+                found = [(c, s.tobytes()) for s, c in zip(sets_of(b, off), own, strict=True) if len(s) and c not in seen and class_of(s) == c and not seen.add(c)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["class", "n", *words, "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["class", "shingles"])
 
-    one = named.filter("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("one_id"))
-    one = one.join(wanted, "class", "left_semi")
-    rows = docs.join(one, docs["doc_id"] == one["one_id"]).select("class", "text")
-    schema = "class long, n long, " + ", ".join(f"{w} long" for w in words) + ", shingles binary"
-    return rows.mapInArrow(shingles, schema).dropDuplicates(["class"])
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    one = small.join(wanted, "class", "left_semi").select("class", "one_id")
+    return docs.join(one, docs["doc_id"] == one["one_id"]).select("class", "text").mapInArrow(shingles, "class long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,22 +255,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of links (a, b): label is the smallest node that can be reached. Labels go along links
-    and are then replaced by their own labels, so few rounds are needed."""
+    """(node, label) for the nodes of links (a, b): label is the smallest node that can be reached. Every node is merged
+    into its smallest neighbour, and links between merged nodes are what the next round works on, so they soon run out."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("src", "dst"), "edges")
-    labels = stored(edges.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("label")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("src"), "label"), "src").groupBy("dst").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["dst"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        own = labels.select(F.col("node").alias("of"), F.col("label").alias("jump"))
-        moved = stored(hooked.join(own, hooked["label"] == own["of"], "left").select("node", "old", F.least("label", "jump").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.filter("label < old").isEmpty():
-            return labels
+    labels = edges.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
+    while not edges.isEmpty():
+        into = stored(edges.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("of"), F.least("src", "low").alias("to")), "merged")
+        labels = stored(labels.join(into, labels["label"] == into["of"], "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        ends = edges.join(into.toDF("src", "x"), "src").join(into.toDF("dst", "y"), "dst")
+        edges = stored(ends.filter("x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct(), "edges")
+    return labels
 
 
-def across(entries: DataFrame, labels: DataFrame, sets: DataFrame, done: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a bucket's members that are in different components and not in done."""
+def across(entries: DataFrame, labels: DataFrame, small: DataFrame, docs: DataFrame, done: DataFrame) -> DataFrame:
+    """The plausible pairs (a, b) of a bucket's members that are in different components and not in done."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,16 +278,17 @@ def across(entries: DataFrame, labels: DataFrame, sets: DataFrame, done: DataFra
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("class").take(at), batch.column("label").take(at)], names=["key", "class", "label"])
 
     members = entries.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
-    mixed = lambda m: m.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key", "n")
+    mixed = lambda m: m.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key", "size")
     members = stored(members.join(mixed(members), "key"), "mixed-buckets")
-    small = members.filter(F.col("n") < LARGE).select("key", "class", "label")
-    large = members.filter(F.col("n") >= LARGE).join(sets, "class").select("key", "class", "label", "shingles")
-    parted = stored(large.mapInArrow(again, "key long, class long, label long"), "parted-buckets")
-    both = small.unionByName(parted.join(mixed(parted), "key", "left_semi"))
-    both = both.join(sets.drop("shingles"), "class")
-    left, right = both.alias("l"), both.alias("r")
+    both = members.filter(F.col("size") < LARGE).select("key", "class", "label")
+    large = members.filter(F.col("size") >= LARGE)
+    if not large.isEmpty():
+        sets = sets_for(large.select(F.col("class").alias("a"), F.col("class").alias("b")), docs, small)
+        parted = stored(large.join(sets, "class").select("key", "class", "label", "shingles").mapInArrow(again, "key long, class long, label long"), "parted-buckets")
+        both = both.unionByName(parted.join(mixed(parted), "key", "left_semi"))
+    both = both.join(small.drop("one_id"), "class")
     apart = (F.col("l.class") < F.col("r.class")) & (F.col("l.label") != F.col("r.label"))
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart & plausible("l", "r"))
+    pairs = both.alias("l").join(both.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & plausible("l", "r"))
     return pairs.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
 
 
@@ -297,21 +299,22 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     named = stored(classes(docs), "classes")
     total = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    one = [F.first(w).alias(w) for w in WORDS_OF_SKETCH]  # equal within a class
+    small = stored(named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("one_id"), F.first("n_shingles").alias("n"), *one), "small")
     entries = stored(buckets(docs, max(1, round(total / GROUP_SIGNATURES))), "buckets")
-    sets = stored(candidate_sets(docs, named, entries.select("class").distinct()), "sets")
     pairs = entries.filter("class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-    pairs = stored(pairs, "hub-pairs")
-    small = sets.drop("shingles")
     likely = pairs.join(small.alias("l"), F.col("a") == F.col("l.class")).join(small.alias("r"), (F.col("b") == F.col("r.class")) & plausible("l", "r"))
-    links = stored(verified(likely.select("a", "b"), sets), "links")
+    likely = stored(likely.select("a", "b"), "hub-pairs")
+    links = stored(verified(likely, stored(sets_for(likely, docs, small), "sets")), "links")
     labels = components(links)
-    more = stored(verified(stored(across(entries, labels, sets, pairs), "cross-pairs"), sets), "links")
+    rest = stored(across(entries, labels, small, docs, likely), "cross-pairs")
+    more = stored(verified(rest, stored(sets_for(rest, docs, small), "sets")), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    own = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"))
+    own = small.select("class", F.col("one_id").alias("least_id"))
     own = own.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = own.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return named, own.join(least, "label").select("class", "component_id")
+    return named.select("doc_id", "n_shingles", "class"), own.join(least, "label").select("class", "component_id")
 
 
 def component_ids(docs: DataFrame) -> DataFrame:

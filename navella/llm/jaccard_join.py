@@ -32,6 +32,8 @@ GROUP_SIGNATURES = 1_000_000
 BATCH_SIGNATURES = 1_500_000
 #: From so many members on a bucket is parted a second time.
 LARGE = 2048
+#: Classes (two numbers each) that go to every executor at most; beyond it texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 #: 64-bit words of a sketch.
 SKETCH = 8
 _U = np.uint64
@@ -236,7 +238,8 @@ def sets_for(pairs: DataFrame, docs: DataFrame, small: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["class", "shingles"])
 
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    one = small.join(wanted, "class", "left_semi").select("class", "one_id")
+    one = stored(small.join(wanted, "class", "left_semi").select("class", "one_id"), "wanted")
+    one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
     return docs.join(one, docs["doc_id"] == one["one_id"]).select("class", "text").mapInArrow(shingles, "class long, shingles binary")
 
 

@@ -31,7 +31,7 @@ LANES = 2048
 SPAN_STEPS = 64
 #: A block is closed with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
-_HEAD = struct.Struct("<QQIIII")  # documents, ids, lanes, words, spans, CRC-32 of the document table
+_HEAD = struct.Struct("<QQIIII")  # documents, ids, lanes, words, spans, CRC-32 of all that follows
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -121,17 +121,18 @@ def decode_span(n: int, at: int, states: np.ndarray, words: np.ndarray, table: T
 
 def write_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, table: Table) -> bytes:
     docs = doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes()
-    words, parts = encode_ids(ids, table)
-    spans = -(-len(ids) // (LANES * SPAN_STEPS))
-    return _HEAD.pack(len(doc_ids), len(ids), LANES, words, spans, zlib.crc32(docs)) + docs + b"".join(parts)
+    lanes = min(LANES, max(1, len(ids)))
+    words, parts = encode_ids(ids, table, lanes)
+    body = docs + b"".join(parts)
+    return _HEAD.pack(len(doc_ids), len(ids), lanes, words, -(-len(ids) // (lanes * SPAN_STEPS)), zlib.crc32(body)) + body
 
 
 def read_block(raw: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, lengths, token ids), each span checked against its checksum."""
     docs, n, lanes, n_words, spans, crc = _HEAD.unpack_from(raw)
     at = _HEAD.size
-    if zlib.crc32(raw[at : at + 16 * docs]) != crc:
-        raise ValueError("document table: wrong checksum")
+    if zlib.crc32(raw[at:]) != crc:
+        raise ValueError("block: wrong checksum")
     doc_ids, lengths = np.frombuffer(raw, "<i8", docs, at), np.frombuffer(raw, "<i8", docs, at + 8 * docs)
     at += 16 * docs
     size = 8 + 4 * lanes

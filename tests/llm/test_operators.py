@@ -1,0 +1,291 @@
+"""Every operator against a plain version, on odd cases: nulls, empty and long texts, repeated rows, clashing columns."""
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from navella.llm import edit_counts, id_files, jaccard_join, media, nearest, packing, quality, toxicity, url_filter, word_trie
+from navella.llm.tokens import TextEncoder, vocabulary
+
+BYTES, WORDS, PIECES = (vocabulary(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+
+
+def odd_texts() -> list:
+    rng = random.Random(1)
+    fixed = [None, "", " ", "  a  b\n\n c \t d", "it's 'll don't  . , x", "日本 語 text", "<|endoftext|> a", "\n\nx\n", "Σας ΣΑΣ", "a.b.c 12.5", "x\x0bz \x1c y", "a▁b ▁ c", "long word " * 4000, "same text here", "same text here"]
+    return fixed + ["".join(rng.choice("ab'st .,\n\t é　日1!-") for _ in range(rng.randint(0, 80))) for _ in range(150)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(None if i == 3 else i, t, "s", 5, 0.5) for i, t in enumerate(odd_texts())]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens long, score double").repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def crc(ids) -> int:
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def reference(path, texts):
+    return [e.ids for e in TextEncoder.of(path).tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_ids_are_the_librarys(path):
+    texts = odd_texts()
+    got = TextEncoder.of(path).encode_each(pa.array(texts))
+    assert [list(x) for x in got] == reference(path, texts)
+
+
+def test_id_files(spark, docs):
+    rows = {(r["doc_id"], r["n_tokens"], r["ids_crc32"]): r["start"] for r in id_files.read_id_files(id_files.write_id_files(docs, WORDS, 1)).collect()}
+    order = sorted(((-1 if i == 3 else i), t or "", i) for i, t in enumerate(odd_texts()))
+    ids, at = reference(WORDS, [t for _, t, _ in order]), 0
+    for (_, _, i), x in zip(order, ids, strict=True):
+        assert rows[(None if i == 3 else i, len(x) + 1, crc(x + [1]))] >= 0
+        if i not in (13, 14):
+            assert rows[(None if i == 3 else i, len(x) + 1, crc(x + [1]))] == at
+        at += len(x) + 1
+    assert id_files.read_id_files(id_files.write_id_files(empty(spark), WORDS, 1)).count() == 0
+
+
+def test_rans_round_trip_and_checksums():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 2048, 2049, 300_000):
+        ids = np.minimum(rng.zipf(1.3, n), 49_000).astype(np.uint16)
+        table = id_files.Table(id_files.frequencies(np.bincount(ids)))
+        raw = id_files.write_block(np.array([7]), np.array([n]), ids, table)
+        assert (id_files.read_block(raw, table)[2] == ids).all()
+        with pytest.raises(ValueError, match="checksum"):
+            id_files.read_block(raw[:-2] + bytes([raw[-2] ^ 1, raw[-1]]), table)
+
+
+def test_packing(spark, docs):
+    got = packing.pack(docs, BYTES, 0, 64).collect()
+    texts = odd_texts()
+    ids = reference(BYTES, texts)
+    bins, seen = defaultdict(list), defaultdict(int)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        i = 3 if r["doc_id"] is None else r["doc_id"]
+        assert r["ids_crc32"] == crc((ids[i] + [0])[r["start"] : r["start"] + r["length"]])
+        seen[i] += r["length"]
+    assert {i: len(x) + 1 for i, x in enumerate(ids)} == seen
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    total = sum(seen.values())
+    assert len(bins) <= 1.05 * total / 64 + 2
+    assert packing.pack(empty(spark), BYTES, 0).count() == 0
+
+
+def test_plan_is_near_the_bound_and_whole():
+    rng = np.random.default_rng(0)
+    counts = np.bincount(np.minimum(rng.geometric(0.004, 20_000), 2048), minlength=2049)
+    rows, n = packing.plan(counts, 2048)
+    assert (np.bincount(rows[:, 0], rows[:, 2], 2049) == counts).all()
+    assert n <= 1.01 * (counts * np.arange(2049)).sum() / 2048 + 1
+
+
+def test_edits(spark, docs):
+    edits = F.array(*(edit_counts.edit(F.lit(a), F.lit(b), F.lit(t)) for a, b, t in ((3, 5, "é x"), (0, 1, ""), (10**6, 10**6, " end."), (2, 2, "\n"))))
+    made = edit_counts.apply_edits(edit_counts.token_trees(docs.withColumn("edits", edits), BYTES), BYTES).collect()
+    assert len(made) == docs.count()
+    for r in made:
+        t = odd_texts()[3 if r["doc_id"] is None else r["doc_id"]] or ""
+        for a, b, new in ((3, 5, "é x"), (0, 1, ""), (10**6, 10**6, " end."), (2, 2, "\n")):
+            t = t[: min(a, len(t))] + new + t[max(min(a, len(t)), min(b, len(t))) :]
+        assert r["text"] == t
+        assert r["n_tokens"] == len(reference(BYTES, [t])[0]) == sum(r["tree_tokens"])
+    assert edit_counts.token_trees(empty(spark), BYTES).count() == 0
+
+
+def test_pieces(spark, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for r in word_trie.decode_pieces(word_trie.digests(word_trie.encode_pieces(docs, PIECES)), PIECES).collect():
+        text = odd_texts()[3 if r["doc_id"] is None else r["doc_id"]] or ""
+        assert r["ids"] == model.encode(text)
+        assert r["decoded"] == text.replace("▁", " ")
+        assert (r["n_pieces"], r["ids_crc32"]) == (len(r["ids"]), crc(r["ids"]))
+
+
+def test_media(spark, docs, tmp_path):
+    import hashlib
+
+    path = media.store_texts(docs, f"file://{tmp_path}/m")
+    for r in media.describe(media.read_media(spark, path)).collect():
+        raw = (odd_texts()[3 if r["doc_id"] is None else r["doc_id"]] or "").encode()
+        padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert media.read_media(spark, media.store_texts(empty(spark), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_damaged_member_is_retried():
+    class Source:
+        def __init__(self, raw):
+            self.raw, self.reads = raw, 0
+
+        def read_at(self, n, at):
+            self.reads += 1
+            return self.raw[at : at + n] if self.reads > 2 else self.raw[at : at + n - 1]
+
+    png = media.png_of(media.payload_of("abc"))
+    raw = media._MEMBER.pack(4, 3, len(png), zlib.crc32(png), False) + png
+    assert media.read_member(Source(raw), "a", 0) == (4, 3, png)
+
+
+def near_corpus() -> dict:
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    out, n = {}, 0
+    for size in (3, 6, 12, 30, 80, 200, 600):
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(size)]
+            for copy in range(5):
+                t = list(base)
+                for _ in range(rng.randint(0, max(1, size // 40)) if copy else 0):
+                    t[rng.randrange(size)] = rng.choice(words)
+                out[n] = " ".join(t).upper() if copy == 4 else " ".join(t)
+                n += 1
+    shared = " ".join(rng.choice(words) for _ in range(60))
+    for k in range(40):
+        out[n + k] = shared + " " + " ".join(rng.choice(words) for _ in range(rng.randint(5, 60)))
+    return out | {900: None, 901: "", 902: " \t", 903: "one", 904: "ONE"}
+
+
+def plain_components(texts: dict) -> dict:
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    label = {i: i for i in texts}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return {i: (len(sets[i]), label[i]) for i in texts}
+
+
+@pytest.mark.parametrize("large", [2048, 3])
+def test_components(spark, monkeypatch, large):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    texts = near_corpus()
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, label int").repartition(4)
+    want = plain_components(texts)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.component_ids(df).collect()} == want
+    kept = {r["doc_id"] for r in jaccard_join.first_of_each(df).collect()}
+    assert kept == {c for _, c in want.values()}
+
+
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(1)
+    for s in [*range(1, 60), 100, 400, 1500] * 3:
+        a = np.unique(rng.integers(0, 2**64, s, dtype=np.uint64))
+        x = int(rng.integers(0, s // 5 + 1))
+        y = max((k for k in range(s // 4 + 1) if 100 * (s - x) >= 80 * (s + k)), default=0)
+        b = np.unique(np.concatenate([rng.permutation(a)[x:], rng.integers(0, 2**64, y, dtype=np.uint64)]))
+        if jaccard_join.similar(a, b):
+            assert all(len(np.intersect1d(jaccard_join.signatures(a, k), jaccard_join.signatures(b, k))) for k in (0, 1))
+            assert 9 * sum(bin((p ^ q) & (1 << 64) - 1).count("1") for p, q in zip(jaccard_join.sketch_of(a), jaccard_join.sketch_of(b), strict=True)) <= len(a) + len(b)
+
+
+def test_empty_corpus_has_no_components(spark):
+    assert jaccard_join.component_ids(empty(spark)).count() == 0
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[100:140] = x[100]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(600, None, 1), (601, [0.0] * 8, 1), (602, [float("nan")] * 8, 1), (603, [1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    got = defaultdict(list)
+    for r in nearest.search(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 600, 20))
+    y, hit = x.astype(np.float64), 0
+    for q, found in got.items():
+        order = sorted((i for i in range(600) if i != q), key=lambda i: (-float(nearest.exact(y[q : q + 1], y[i : i + 1])[0]), i))[:20]
+        hit += len(set(order) & {i for i, _ in found})
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+    assert hit / (20 * len(got)) >= 0.9
+    assert nearest.search(df.limit(0), F.lit(True), 20).count() == 0
+
+
+def test_url_rules_and_links(spark):
+    page = lambda *to: "".join(f'<a href="{u}">x</a>' for u in to)
+    rows = [(0, "http://a.org/x", page("https://good.net/", "/own")), (1, "http://GOOD.net/p", page("//friend.info/")), (2, "http://friend.info", None), (3, "https://s.com/de/1", None), (4, "http://bad.net/", page("https://s.com/q?x")), (5, None, "x"), (6, "no scheme", None), (7, "http://b.example.org/es/1?u#f", None), (8, "http://aorg/x", None), (9, "http://a.org", None)]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("a.org", "/x", "org/", "allow")
+    assert got[1] == ("good.net", "/p", None, "allow")
+    assert got[2][3] == "allow"
+    assert got[3] == ("s.com", "/de/1", "com/de/", "block")
+    assert got[4] == ("bad.net", "/", None, "block")
+    assert got[5] == got[6] == ("", "", None, "allow")
+    assert got[7] == ("b.example.org", "/es/1", "example.org/es/", "block")
+    assert got[8][2] is None and got[9][1:3] == ("", None)
+
+
+def labelled(spark, bad: str, n: int = 240):
+    rng = random.Random(9)
+    syllables = ["an", "the", "re", "in", "on", "ti", "er", "st", "ou", "ed"]
+    rows = []
+    for i in range(n):
+        w = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(60)]
+        y = i % 4 == 0
+        if y:
+            w = w[:10] + [w[10]] * 50 if bad == "junk" else [x if rng.random() > 0.15 else rng.choice(("grumble", "zapfog")) for x in w]
+        rows.append((i, " ".join(w), int(not y) if bad == "junk" else int(y)))
+    rows += [(n, None, 0), (n + 1, "", 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, y int").withColumn("score", F.lit("own"))
+
+
+@pytest.mark.parametrize(("module", "bad"), [(quality, "junk"), (toxicity, "toxic")])
+def test_classifiers_on_held_out_rows(spark, module, bad):
+    df = labelled(spark, bad)
+    label = "quality" if bad == "junk" else "toxic"
+    labels = df.filter("text <> ''").select("doc_id", F.col("y").alias(label))
+    model = module.fit(df.drop("y"), labels, F.col("doc_id") % 3 != 1)
+    got = quality.score(df, model).collect()
+    assert len(got) == 242 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    held = [r for r in got if r["doc_id"] % 3 == 1 and r["doc_id"] < 240]
+    assert sum(r["predicted"] == r["y"] for r in held) / len(held) >= 0.95
+    assert quality.kept(df, model, 1).count() == sum(r["predicted"] for r in got)
+    assert quality.score(df.limit(0), model).count() == 0
+
+
+def test_classifiers_without_labels(spark):
+    df = labelled(spark, "junk", 8)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        assert {round(r["score"], 6) for r in quality.score(df, module.fit(df, none, F.lit(True))).collect()} == {0.5}
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.run(spark, sf_dir)
+    ids = {r["doc_id"] for r in kept.select("doc_id").distinct().collect()}
+    assert 0 < len(ids) < docs.count()
+    stage = docs
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        after = step(spark, stage, sf_dir)
+        assert after.columns == docs.columns and after.count() <= stage.count()
+        stage = after
+    assert ids == {r["doc_id"] for r in stage.collect()}

@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 
 from navella.llm.arrowtext import each_slice
 from navella.llm.shared import with_fields
-from navella.llm.tokens import SLICE, text_column
+from navella.llm.tokens import text_column
 
 SPACE = "▁"
 #: Words, and pairs of pieces, that a worker remembers at most; beyond it the memory starts anew.
-REMEMBERED_WORDS = 600_000
-REMEMBERED_PAIRS = 1_500_000
+REMEMBERED_WORDS = 200_000
+REMEMBERED_PAIRS = 500_000
+SLICE = 2 << 20
 
 
 class PieceModel:

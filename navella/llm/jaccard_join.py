@@ -7,8 +7,8 @@ the group's signatures, of which such sets share one. Signatures over nothing ar
 set's groups have elements in two parts or more, which already guarantees one over something; else all are emitted.
 
 No pair of a bucket is missed and large buckets aren't paired off: equal sets are one class from the start; each bucket is
-first compared with its best-connected member alone; only members that are then still in different
-components are paired, if sketches of the sets don't rule it out, and in large buckets only if they agree under a second,
+first compared with its best-connected member, of several such the most followed one; only members that are then still in
+different components are paired, if sketches of the sets don't rule it out, and in large buckets only if they agree under a second,
 independent parting too (which similar sets do). Every candidate is verified on the whole sets.
 """
 
@@ -123,6 +123,21 @@ def sketch_of(s: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
 
 
+def cells_of(s: np.ndarray) -> bytes:
+    """The same for a power of two cells, at least as many as elements: an eighth of a byte an element or so."""
+    n = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & _U(n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Elements that the sets of two such sketches differ in, at least; the longer one is folded to the other's length."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half]) ^ int.from_bytes(a[half:])).to_bytes(half)
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
 def plausible(a: str, b: str):
     """Condition that sizes and sketches (columns n and s0, s1, ... of the two aliases) allow similarity 0.8: the sets may
     differ in (n + n) / 9 elements."""
@@ -226,35 +241,48 @@ def buckets(docs: DataFrame, groups: int) -> DataFrame:
 
 
 def sets_for(pairs: DataFrame, docs: DataFrame, small: DataFrame) -> DataFrame:
-    """(class, shingles) of the classes in pairs, from one document of each. small: classes with one_id, that document."""
+    """(class, second, n, cells, shingles) of the classes in pairs, from one document of each. second: whether the class is
+    the b of some pair. small: classes with one_id, that document."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: rows that share an id come to one task
         for batch in batches:
             for i, j, b, off in each_slice(batch.column("text")):
-                own = batch.column("class").slice(i, j - i).to_pylist()
-                found = [(c, s.tobytes()) for s, c in zip(sets_of(b, off), own, strict=True) if len(s) and c not in seen and class_of(s) == c and not seen.add(c)]
+                own = (batch.column(c).slice(i, j - i).to_pylist() for c in ("class", "second"))
+                found = [(c, second, len(s), cells_of(s), s.tobytes()) for s, c, second in zip(sets_of(b, off), *own, strict=True) if len(s) and c not in seen and class_of(s) == c and not seen.add(c)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["class", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["class", "second", "n", "cells", "shingles"])
 
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    one = stored(small.join(wanted, "class", "left_semi").select("class", "one_id"), "wanted")
+    ends = pairs.select(F.col("a").alias("class"), F.lit(False).alias("second")).union(pairs.select("b", F.lit(True)))
+    wanted = ends.groupBy("class").agg(F.max("second").alias("second"))
+    one = stored(small.join(wanted, "class").select("class", "one_id", "second"), "wanted")
     one = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
-    return docs.join(one, docs["doc_id"] == one["one_id"]).select("class", "text").mapInArrow(shingles, "class long, shingles binary")
+    return docs.join(one, docs["doc_id"] == one["one_id"]).select("class", "second", "text").mapInArrow(shingles, "class long, second boolean, n long, cells binary, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
+    """The pairs (a, b) of classes whose sets are similar. Sets, which are long, go only to pairs that sketches by each
+    set's own size don't rule out."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_cells", "b_cells")), strict=True)
+            good = [9 * differing(x, y) <= n + m for n, m, x, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
+            left, right = batch.column("a_shingles"), batch.column("b_shingles")
             good = [similar(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    def beside(rows: DataFrame, *columns: str) -> DataFrame:
+        for end, side in (("a", sets), ("b", sets.filter("second"))):
+            rows = rows.join(side.select(F.col("class").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns)), end)
+        return rows
+
+    near = stored(beside(pairs, "n", "cells").mapInArrow(sift, "a long, b long"), "near-pairs")
+    return beside(near, "shingles").mapInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -270,6 +298,13 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends have different labels."""
+    of = [labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in ("a", "b")]
+    rows = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return rows.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
 def across(entries: DataFrame, labels: DataFrame, small: DataFrame, docs: DataFrame, done: DataFrame) -> DataFrame:
     """The plausible pairs (a, b) of a bucket's members that are in different components and not in done."""
 
@@ -290,8 +325,8 @@ def across(entries: DataFrame, labels: DataFrame, small: DataFrame, docs: DataFr
         parted = stored(large.join(sets, "class").select("key", "class", "label", "shingles").mapInArrow(again, "key long, class long, label long"), "parted-buckets")
         both = both.unionByName(parted.join(mixed(parted), "key", "left_semi"))
     both = both.join(small.drop("one_id"), "class")
-    apart = (F.col("l.class") < F.col("r.class")) & (F.col("l.label") != F.col("r.label"))
-    pairs = both.alias("l").join(both.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & plausible("l", "r"))
+    open_pair = (F.col("l.class") < F.col("r.class")) & (F.col("l.label") != F.col("r.label"))
+    pairs = both.alias("l").join(both.alias("r"), (F.col("l.key") == F.col("r.key")) & open_pair & plausible("l", "r"))
     return pairs.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
 
 
@@ -305,15 +340,24 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = [F.first(w).alias(w) for w in WORDS_OF_SKETCH]  # equal within a class
     small = stored(named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("one_id"), F.first("n_shingles").alias("n"), *one), "small")
     entries = stored(buckets(docs, max(1, round(total / GROUP_SIGNATURES))), "buckets")
-    pairs = entries.filter("class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    pairs = entries.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
     likely = pairs.join(small.alias("l"), F.col("a") == F.col("l.class")).join(small.alias("r"), (F.col("b") == F.col("r.class")) & plausible("l", "r"))
     likely = stored(likely.select("a", "b"), "hub-pairs")
-    links = stored(verified(likely, stored(sets_for(likely, docs, small), "sets")), "links")
+    # each class first meets its most followed hub alone; then other pairs only where that left components apart
+    followed = likely.join(likely.groupBy("b").agg(F.count("*").alias("followers")), "b")
+    best = stored(followed.groupBy("a").agg(F.max(F.struct("followers", "b")).alias("best")).select("a", "best.b"), "best-hubs")
+    links = stored(verified(best, stored(sets_for(best, docs, small), "sets")), "links")
     labels = components(links)
-    rest = stored(across(entries, labels, small, docs, likely), "cross-pairs")
-    more = stored(verified(rest, stored(sets_for(rest, docs, small), "sets")), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for more in (lambda: apart(likely, labels).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), lambda: across(entries, labels, small, docs, done)):
+        rest = stored(more(), "pairs")
+        if rest.isEmpty():
+            continue
+        found = stored(verified(rest, stored(sets_for(rest, docs, small), "sets")), "links")
+        done = done.unionByName(rest)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
     own = small.select("class", F.col("one_id").alias("least_id"))
     own = own.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = own.groupBy("label").agg(F.min("least_id").alias("component_id"))

@@ -282,6 +282,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return rows
 
     near = stored(beside(pairs, "n", "cells").mapInArrow(sift, "a long, b long"), "near-pairs")
+    met = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = sets.join(F.broadcast(met) if near.count() <= BROADCAST_ROWS else met, "class", "left_semi")
     return beside(near, "shingles").mapInArrow(compare, "a long, b long")
 
 

@@ -87,17 +87,20 @@ def parting(instance: int) -> tuple[int, int]:
 
 def signatures(s: np.ndarray, seed: int = 0) -> np.ndarray:
     """Signatures of a sorted set; seed 1 gives another, independent parting."""
-    if not len(s):
-        return s
+    return np.concatenate(list(by_instance(s, seed).values())) if len(s) else s
+
+
+def by_instance(s: np.ndarray, seed: int = 0) -> dict[int, np.ndarray]:
+    """The same by instance, of a set that isn't empty."""
     e = s if seed == 0 else np.sort(mix(s ^ _SALT[9]))
     total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(e ^ _SALT[7]))])
     band = int(np.searchsorted(_TOPS, len(s)))
-    out = []
+    out = {}
     for instance in (band, band + 1):
         k, groups = parting(instance)
         name = _U(instance) << _U(44)
         if k == 0:
-            out.append(mix(mix(np.array([name])) + total[-1]))
+            out[instance] = mix(mix(np.array([name])) + total[-1])
             continue
         n = 3 * groups
         at = np.append(np.searchsorted((e >> _U(32)) * _U(n) >> _U(32), np.arange(n, dtype=_U)), len(e))
@@ -106,8 +109,20 @@ def signatures(s: np.ndarray, seed: int = 0) -> np.ndarray:
         rest = held.sum(1, keepdims=True) - held
         keys = mix(name + np.arange(n, dtype=_U)).reshape(groups, 3) + (sums.sum(1, keepdims=True, dtype=_U) - sums)
         rich = int(((held > 0).sum(1) >= 2).sum())
-        out.append(mix(keys[rest > 0] if rich > k // 2 else keys.ravel()))
-    return np.concatenate(out)
+        out[instance] = mix(keys[rest > 0] if rich > k // 2 else keys.ravel())
+    return out
+
+
+def places(held: dict[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(where each instance's signatures begin, how wide they lie, number of groups), in groups of about GROUP_SIGNATURES.
+    held: number of shingles by band. A set's signatures are of two instances and so lie in few groups, to each of which
+    its class is sent once."""
+    size = np.zeros(max(held, default=0) + 2)
+    for band, n in held.items():
+        size[band : band + 2] += n / 2
+    groups = max(1, round(size.sum() / GROUP_SIGNATURES))
+    width = size * groups / max(size.sum(), 1.0)
+    return np.cumsum(width) - width, width, groups
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -163,31 +178,34 @@ def classes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(name, "doc_id long, n_shingles long, class long, " + ", ".join(f"{w} long" for w in WORDS_OF_SKETCH))
 
 
-def buckets(docs: DataFrame, groups: int) -> DataFrame:
-    """(key, class, hub, n): the members of each bucket of two or more classes, and the member best connected in its
-    group. Buckets of the same members are one; key names it."""
+def buckets(docs: DataFrame, held: dict[int, int]) -> DataFrame:
+    """(key, class, hub): the members of each bucket of two or more classes, and the member best connected in its
+    group. Buckets of the same members are one; key names it. held: number of shingles by band."""
+    begin, width, groups = places(held)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs: list[np.ndarray] = []
+        instances: list[np.ndarray] = []
         names: list[int] = []
         seen: set[int] = set()
 
         def handed() -> pa.RecordBatch:
-            flat, size = np.concatenate(sigs), [len(x) for x in sigs]
+            flat, size, of = np.concatenate(sigs), [len(x) for x in sigs], np.concatenate(instances)
             owner = np.repeat(np.arange(len(sigs), dtype=np.uint16), size)
-            part = (((flat >> _U(40)) * _U(groups)) >> _U(24)).astype(np.int32)
+            part = np.minimum((begin[of] + width[of] * ((flat >> _U(32)) / 2**32)).astype(np.int32), groups - 1)
             order = np.argsort(part, kind="stable")
             part, flat, owner = part[order], flat[order], owner[order]
             low = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # the group holds what the rest says
             at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
             rows = []
             for x, y in zip(at[:-1], at[1:], strict=True):
-                own, index = np.unique(owner[x:y], return_inverse=True)
-                rows.append((int(part[x]), low[x:y].tobytes(), index.astype("<u2").tobytes(), np.array(names, np.int64)[own].tobytes()))
+                own, n = np.unique(owner[x:y], return_counts=True)  # sorted, as the order by part is stable
+                rows.append((int(part[x]), low[x:y].tobytes(), n.astype("<u4").tobytes(), np.array(names, np.int64)[own].tobytes()))
             sigs.clear()
+            instances.clear()
             names.clear()
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "low", "at", "classes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "low", "counts", "classes"])
 
         total = 0
         for batch in batches:
@@ -197,7 +215,9 @@ def buckets(docs: DataFrame, groups: int) -> DataFrame:
                     if not len(s) or name in seen:
                         continue
                     seen.add(name)
-                    sigs.append(signatures(s))
+                    found = by_instance(s)
+                    sigs.append(np.concatenate(list(found.values())))
+                    instances.append(np.repeat(list(found), [len(x) for x in found.values()]).astype(np.uint8))
                     names.append(name)
                     total += len(sigs[-1])
                     if total >= BATCH_SIGNATURES or len(names) == 65_000:
@@ -208,11 +228,11 @@ def buckets(docs: DataFrame, groups: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         sig, cls = [], []
-        for low, at, names in zip(*(table.column(c).to_pylist() for c in ("low", "at", "classes")), strict=True):
+        for low, counts, names in zip(*(table.column(c).to_pylist() for c in ("low", "counts", "classes")), strict=True):
             wide = np.zeros((len(low) // 5, 8), np.uint8)
             wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
             sig.append(wide.view("<u8").ravel())
-            cls.append(np.frombuffer(names, np.int64)[np.frombuffer(at, "<u2")])
+            cls.append(np.repeat(np.frombuffer(names, np.int64), np.frombuffer(counts, "<u4")))
         s, c = np.concatenate(sig), np.concatenate(cls)
         order = np.lexsort((c, s))
         s, c = s[order], c[order]
@@ -235,7 +255,7 @@ def buckets(docs: DataFrame, groups: int) -> DataFrame:
         one = np.repeat(one, size)
         return pa.table({"key": np.repeat(key.astype(np.int64), size)[one], "class": c[one], "hub": hub[one]})
 
-    found = docs.select("text").mapInArrow(emit, "part int, low binary, at binary, classes binary")
+    found = docs.select("text").mapInArrow(emit, "part int, low binary, counts binary, classes binary")
     met = found.groupBy("part").applyInArrow(meet, "key long, class long, hub long")
     return met.groupBy("key", "class").agg(F.min("hub").alias("hub"))
 
@@ -338,10 +358,11 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     have no id has no component_id and links to nothing."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     named = stored(classes(docs), "classes")
-    total = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    band = F.size(F.filter(F.array(*map(F.lit, bands(1 << 40))), lambda top: top < F.col("n_shingles")))
+    held = dict(named.filter("n_shingles > 0").groupBy(band.alias("band")).agg(F.sum("n_shingles")).collect())  # a row a band, 130 at most
     one = [F.first(w).alias(w) for w in WORDS_OF_SKETCH]  # equal within a class
     small = stored(named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("one_id"), F.first("n_shingles").alias("n"), *one), "small")
-    entries = stored(buckets(docs, max(1, round(total / GROUP_SIGNATURES))), "buckets")
+    entries = stored(buckets(docs, held), "buckets")
     pairs = entries.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
     likely = pairs.join(small.alias("l"), F.col("a") == F.col("l.class")).join(small.alias("r"), (F.col("b") == F.col("r.class")) & plausible("l", "r"))
     likely = stored(likely.select("a", "b"), "hub-pairs")

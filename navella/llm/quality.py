@@ -27,7 +27,7 @@ RUNS = (3, 5)
 EPOCHS = 4
 RATE = 0.5
 #: Labelled rows of each class that the model is fitted on at most, those of the smallest hashes of doc_id.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 1500
 SLICE = 256 << 10
 
 

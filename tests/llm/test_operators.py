@@ -289,3 +289,30 @@ def test_pipeline(spark, sf_dir):
         assert after.columns == docs.columns and after.count() <= stage.count()
         stage = after
     assert ids == {r["doc_id"] for r in stage.collect()}
+
+
+def test_run_counts_take_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BATCH_STRETCHES", 500)
+    texts = ["A stone; a Stone", "one stone " * 9, None, "", "x" * 40_000 + " late grumble", "日本 stone"] + [f"word {k} of a text" for k in range(60)]
+    rows = [(t, k % 8) for k, t in enumerate(texts)]
+    want = defaultdict(set)
+    for t, code in rows:
+        low = re.sub(rb"[^a-z0-9\x80-\xff]", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        b = b" " * 14 + low
+        for e in range(14, len(b)):
+            want[int.from_bytes(b[e - 5 : e + 1], "big"), code].add(b[e - 13 : e + 1])
+    got = toxicity.run_counts(spark.createDataFrame(rows, "text string, code int").repartition(3), 5).collect()
+    assert {(r["run"], k): r[f"n{k}"] for r in got for k in range(8) if r[f"n{k}"]} == {k: len(v) for k, v in want.items()}
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(4)
+    syllables = ["an", "the", "re", "in", "on", "ti", "er", "st", "ou", "ed"]
+    rows = []
+    for i in range(120):
+        w = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(60 if i % 4 else 9000)]
+        rows.append((i, " ".join(w if i % 4 else [x if rng.random() > 0.15 else rng.choice(("grumble", "zapfog")) for x in w]), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert df.filter("toxic = 1").agg(F.min(F.length("text"))).first()[0] > 30_000
+    got = quality.score(df, toxicity.fit(df.drop("toxic"), df.drop("text"), F.col("doc_id") % 3 != 1)).filter("doc_id % 3 = 1").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) >= 0.95

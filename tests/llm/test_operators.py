@@ -316,3 +316,10 @@ def test_toxicity_learns_from_long_texts(spark):
     assert df.filter("toxic = 1").agg(F.min(F.length("text"))).first()[0] > 30_000
     got = quality.score(df, toxicity.fit(df.drop("toxic"), df.drop("text"), F.col("doc_id") % 3 != 1)).filter("doc_id % 3 = 1").collect()
     assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) >= 0.95
+
+
+def test_rare_runs_have_shares_of_their_own():
+    n = np.array([1.0, 1.0, 1.0, 2.0, 5.0])
+    share, rest = toxicity.shares(np.array([0, 0, 1, 1, 1]), n, 3.0, 1.0)
+    assert np.allclose(share, [0.4 / 2, 0.4 / 2, 0.4 / 8, 1.4 / 8, 4.4 / 8])
+    assert np.allclose(rest, [0.6, 0.6, 1.8 / 8, 1.8 / 8, 1.8 / 8])

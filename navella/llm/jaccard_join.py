@@ -34,6 +34,8 @@ BATCH_SIGNATURES = 1_500_000
 LARGE = 2048
 #: Classes (two numbers each) that go to every executor at most; beyond it texts are shuffled to them.
 BROADCAST_ROWS = 500_000
+#: Classes of one component whose sets one group of the last comparison holds, and members of one side of a salted bucket, about.
+BLOCK = 512
 #: 64-bit words of a sketch.
 SKETCH = 8
 _U = np.uint64
@@ -352,10 +354,56 @@ def across(entries: DataFrame, labels: DataFrame, small: DataFrame, docs: DataFr
     return pairs.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
 
 
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n_shingles, class) and component_id by class. docs: doc_id, text; other columns aren't looked
-    at. Null and empty texts have an empty set and the null class. Repeated rows are in one class; a class whose rows
-    have no id has no component_id and links to nothing."""
+def candidates(entries: DataFrame, labels: DataFrame, small: DataFrame) -> DataFrame:
+    """The plausible pairs (label, a, b) of classes that are in one component and share a signature. Where a component's
+    buckets hold more pairs than the component, it is taken as one bucket itself."""
+    members = entries.join(labels.withColumnRenamed("node", "class"), "class").select("key", "class", "label")
+    buckets = members.groupBy("key", "label").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("x")).filter("size > 1")
+    buckets = stored(buckets.groupBy("label", "size", "x").agg(F.min("key").alias("key")).drop("x"), "own-buckets")
+    work = buckets.groupBy("label").agg(F.sum(F.col("size") * (F.col("size") - 1)).alias("work"))
+    whole = labels.groupBy("label").agg(F.count("*").alias("size")).join(work, "label").filter(F.col("work") >= F.col("size") * (F.col("size") - 1)).select("label", "size")
+    whole = stored(whole, "whole-components")
+    parts = members.join(buckets.join(whole, "label", "left_anti"), ["key", "label"]).select(F.lit(False).alias("whole"), "key", "label", "class", "size")
+    parts = parts.unionByName(labels.withColumnRenamed("node", "class").join(whole, "label").select(F.lit(True).alias("whole"), F.col("label").alias("key"), "label", "class", "size"))
+    parts = stored(parts.join(small.drop("one_id"), "class").withColumn("salts", F.ceil(F.col("size") / BLOCK).cast("int")), "bucket-members")
+    left = parts.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int"))
+    right = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("whole", "key", "label", "salt")]
+    pairs = left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & (F.col("l.class") < F.col("r.class")) & plausible("l", "r"))
+    return pairs.select("l.label", F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
+
+
+def links(entries: DataFrame, labels: DataFrame, small: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of classes whose sets are similar. labels: the exact components, so no link leads out of one.
+    Sets are sent to blocks of pairs, not to each pair."""
+    pairs = stored(candidates(entries, labels, small), "candidates")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    bundles = max(1, labels.count() // BLOCK)
+    large = F.col("size") > BLOCK
+    bundle = F.when(large, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bundles)))
+    block = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0))
+    of = stored(labels.join(sizes, "label").select("node", large.alias("large"), bundle.alias("bundle"), block.cast("int").alias("block")), "blocks")
+    keys = ["large", "bundle", "x", "y"]
+    pairs = pairs.join(of.withColumnsRenamed({"node": "a", "block": "x"}), "a").join(of.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    pairs = stored(pairs.select(*keys, "a", "b"), "blocked-pairs")
+    sets = stored(sets_for(pairs, docs, small), "sets").select("class", "cells", "shingles")
+    ends = stored(pairs.select(*keys, F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
+
+    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+        own = {c: (cells, np.frombuffer(s, _U)) for c, cells, s in zip(*(held.column(c).to_pylist() for c in ("class", "cells", "shingles")), strict=True)}
+        found = []
+        for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True):
+            if a in own and b in own:
+                (p, s), (q, t) = own[a], own[b]
+                if 9 * differing(p, q) <= len(s) + len(t) and similar(s, t):
+                    found.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return pairs.groupBy(*keys).cogroup(ends.join(sets, "class").groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
+def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n_shingles, class, sketch), one row a class, buckets, and the label of each linked class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     named = stored(classes(docs), "classes")
     band = F.size(F.filter(F.array(*map(F.lit, bands(1 << 40))), lambda top: top < F.col("n_shingles")))
@@ -381,17 +429,45 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
+    return named, small, entries, labels
+
+
+def component_of(small: DataFrame, labels: DataFrame) -> DataFrame:
+    """component_id by class."""
     own = small.select("class", F.col("one_id").alias("least_id"))
     own = own.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = own.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return named.select("doc_id", "n_shingles", "class"), own.join(least, "label").select("class", "component_id")
+    return own.join(least, "label").select("class", "component_id")
+
+
+def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, n_shingles, class) and component_id by class. docs: doc_id, text; other columns aren't looked
+    at. Null and empty texts have an empty set and the null class. Repeated rows are in one class; a class whose rows
+    have no id has no component_id and links to nothing. Links within a component are not all looked for."""
+    named, small, _, labels = joined(docs)
+    return named.select("doc_id", "n_shingles", "class"), component_of(small, labels)
+
+
+def similar_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole join: documents and component_id by class, as of join, and every link (a, b), a < b, between different classes.
+    Documents of one class are linked to each other too."""
+    named, small, entries, labels = joined(docs)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    return named.select("doc_id", "n_shingles", "class"), component_of(small, labels), links(entries, labels, small, plain)
 
 
 def component_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of every row."""
-    named, found = join(docs)
-    rows = named.join(found.withColumnRenamed("class", "of"), named["class"] == F.col("of"), "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included) and n_links (the other
+    rows it is linked to, those of an equal set included) of every row."""
+    named, found, pairs = similar_pairs(docs)
+    rows = named.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
+    pairs = stored(pairs, "all-links")
+    ends = pairs.union(pairs.select("b", "a")).toDF("class", "other")
+    linked = ends.join(rows.toDF("other", "rows"), "other").groupBy("class").agg(F.sum("rows").alias("others"))
+    found = found.join(rows, "class").join(linked, "class", "left").select(F.col("class").alias("of"), "component_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows = named.join(found, named["class"] == F.col("of"), "left")
+    none = F.col("class").isNull()
+    return rows.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

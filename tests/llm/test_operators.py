@@ -323,3 +323,25 @@ def test_rare_runs_have_shares_of_their_own():
     share, rest = toxicity.shares(np.array([0, 0, 1, 1, 1]), n, 3.0, 1.0)
     assert np.allclose(share, [0.4 / 2, 0.4 / 2, 0.4 / 8, 1.4 / 8, 4.4 / 8])
     assert np.allclose(rest, [0.6, 0.6, 1.8 / 8, 1.8 / 8, 1.8 / 8])
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_every_link_is_found(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(8)
+    base = [f"b{rng.randrange(500)}" for _ in range(200)]
+    family = {}
+    for k in range(40):
+        t = list(base)
+        for _ in range(k % 4):
+            t[rng.randrange(200)] = f"n{k}"
+        family[2000 + k] = " ".join(t)
+    texts = near_corpus() | family
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    want = {i: sum(j != i and bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.component_ids(df).collect()} == want
+    assert max(want.values()) >= 39

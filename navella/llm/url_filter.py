@@ -16,8 +16,11 @@ from navella.llm.shared import stored
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 MOST_RULES = 1000
 DAMPING = 0.85
-ROUNDS = 20
-TOLERANCE = 1e-7
+#: Rounds go on until no host's trust or distrust changes by more than this, as a part of its own, and no
+#: host is newly reached; so it doesn't matter how many hosts there are.
+TOLERANCE = 1e-4
+#: A guard: so many rounds without that are an error.
+ROUNDS = 1000
 #: A host is blocked if distrust makes up more than this share of its trust and distrust together.
 THRESHOLD = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,18 +73,19 @@ def host_trust(judged: DataFrame) -> DataFrame:
     allowed, blocked = seeds.agg(F.coalesce(F.sum("allowed"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     start = seeds.select("host", (F.col("allowed") / F.lit(max(allowed, 1))).alias("seed_trust"), (F.col("blocked") / F.lit(max(blocked, 1))).alias("seed_distrust"))
     ranks = start.withColumns({"trust": F.col("seed_trust"), "distrust": F.col("seed_distrust"), "change": F.lit(1.0)})
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS):  # a host reached anew changes by 1
         forth = edges.join(ranks.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
         back = edges.join(ranks.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
         flow = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         moved = ranks.join(flow, "host", "left").select("host", "seed_trust", "seed_distrust", F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"), F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("d", F.lit(0.0)).alias("d"))
         moved = moved.withColumn("trust", (1 - DAMPING) * F.col("seed_trust") + DAMPING * F.col("t")).withColumn("distrust", (1 - DAMPING) * F.col("seed_distrust") + DAMPING * F.col("d"))
-        change = F.abs(F.col("trust") - F.col("old_t")) + F.abs(F.col("distrust") - F.col("old_d"))
+        part = lambda new, old: F.coalesce(F.try_divide(F.abs(F.col(new) - F.col(old)), F.greatest(new, old)), F.lit(0.0))
+        change = F.greatest(part("trust", "old_t"), part("distrust", "old_d"))
         ranks = stored(moved.select("host", "seed_trust", "seed_distrust", "trust", "distrust", change.alias("change")), "ranks")
         most = ranks.agg(F.max("change")).first()[0]
         if most is None or most < TOLERANCE:
-            break
-    return ranks.select("host", "trust", "distrust")
+            return ranks.select("host", "trust", "distrust")
+    raise RuntimeError(f"trust still changes by {most} of itself after {ROUNDS} rounds")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -345,3 +345,10 @@ def test_every_link_is_found(spark, monkeypatch, block):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     assert {r["doc_id"]: r["n_links"] for r in jaccard_join.component_ids(df).collect()} == want
     assert max(want.values()) >= 39
+
+
+def test_distrust_reaches_far_hosts(spark):
+    rows = [(k, f"http://h{k}.net/", f'<a href="http://h{k + 1}.net/">x</a>') for k in range(24)]
+    rows += [(24, "http://h24.net/", '<a href="https://s.com/">x</a>'), (25, "https://s.com/de/1", None)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == dict.fromkeys(range(26), "block")

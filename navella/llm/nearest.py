@@ -151,11 +151,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     is searched once, by its first vector. An empty table gives no row."""
     spark = vectors.sparkSession
     rows, dim = usable(vectors)
-    # Of equal vectors none beyond the k + 1 smallest ids can be among any k nearest.
-    copies = Window.partitionBy("embedding").orderBy("vec_id")
-    rows = rows.withColumn("copy", F.row_number().over(copies))
-    # Spark keeps k + 1 rows a vector before it shuffles them.
-    candidates = rows.filter(F.col("copy") <= k + 1).select("vec_id", "embedding")
+    # Of equal vectors no more than k rows of an id, and none beyond the k + 1 smallest ids, can be among any k nearest.
+    copy = F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))
+    rows = rows.withColumn("copy", copy).filter(F.col("copy") <= k)
+    place_of_id = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    candidates = rows.withColumn("place", place_of_id).filter(F.col("place") <= k + 1).select("vec_id", "embedding")
     sample = usable(vectors)[0].orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:

@@ -352,3 +352,11 @@ def test_distrust_reaches_far_hosts(spark):
     rows += [(24, "http://h24.net/", '<a href="https://s.com/">x</a>'), (25, "https://s.com/de/1", None)]
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
     assert {r["page_id"]: r["verdict"] for r in got} == dict.fromkeys(range(26), "block")
+
+
+def test_repeated_rows_of_a_query_id_hide_no_other_id(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4)).astype(np.float32) * 0.01
+    rows = [(0, [9.0, 0.0, 0.0, 0.0])] * 25 + [(k, [9.0, 0.0, 0.0, 0.0]) for k in (1, 2, 3)] + [(100 + i, v.tolist()) for i, v in enumerate(x)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 20).filter("rank <= 3").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3]

@@ -259,3 +259,15 @@ def name_resolution(t, _):
     first = t("scheme").groupBy("category").agg(F.min(F.struct("scheme_id", "name")).alias("s"))
     asked = first.select(F.col("category").alias("query_id"), F.substring_index("s.name", " ", 2).alias("text"))
     return d.resolve(asked, t("scheme"), 10)
+
+
+@query("""+ q as (select scheme_id query_id, split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 2) as txt from scheme),
+qw as (select query_id, txt, list_distinct(list_filter(string_split(trim(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x not in ('fund', 'the', 'of', 'scheme', 'plan'))) qs from q),
+sw as (select scheme_id, name, list_distinct(list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x not in ('fund', 'the', 'of', 'scheme', 'plan'))) ws from scheme),
+h as (select a.query_id, b.scheme_id, count(*) hits from (select query_id, unnest(qs) word from qw) a join (select scheme_id, unnest(ws) word from sw) b using (word) group by 1, 2),
+m as (select query_id, scheme_id, name, case when lower(name) = lower(txt) then 0.95 when contains(lower(name), lower(txt)) then 0.7 else 0.6 end confidence, len(list_filter(ws, lambda x: not list_contains(qs, x))) extra from h join qw using (query_id) join sw using (scheme_id) where hits = len(qs)),
+k as (select *, row_number() over (partition by query_id order by confidence desc, extra, scheme_id) rank from m)
+select query_id, scheme_id, name, confidence::double confidence, extra::int extra, rank from k where rank <= 10""", "scheme")
+def name_resolution_of_all(t, _):
+    asked = t("scheme").select(F.col("scheme_id").alias("query_id"), F.substring_index("name", " ", 2).alias("text"))
+    return d.resolve(asked, t("scheme"), 10)

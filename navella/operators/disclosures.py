@@ -58,6 +58,8 @@ def loose_date(text: Column) -> Column:
 SIGNALS = (
     ("manager_appointed", r"(?i)appoint(?:ed|ment of)\s+(?:Mr\.?|Ms\.?|Mrs\.?)?\s*([A-Z][A-Za-z. ]{2,40}?)\s+as\s+(?:the\s+)?fund manager"),
     ("manager_ceased", r"(?i)(?:Mr\.?|Ms\.?|Mrs\.?)\s+([A-Z][A-Za-z. ]{2,40}?)\s+(?:has\s+)?ceased?d?\s+to\s+(?:be|manage)"),
+    ("manager_change", r"(?i)change\s+(?:in|of)\s+(?:the\s+)?fund\s+manager()"),
+    ("mandate_revision", r"(?i)(?:change|revision|modification)\s+(?:in|of|to)\s+(?:the\s+)?(?:investment\s+objective|asset\s+allocation\s+pattern|investment\s+strategy)()"),
     ("benchmark_change", r"(?i)benchmark\b[^.]{0,80}?\b(?:changed?|revised|replaced)\b[^.]{0,80}?\bto\s+([^.;]{3,60})"),
     ("expense_change", r"(?i)(expense ratio|TER)\b[^.]{0,60}?\b(?:changed?|revised|increased|reduced)"),
     ("category_change", r"(?i)(?:re)?categori[sz]ed?\b[^.]{0,60}?\bto\s+([^.;]{3,60})"),
@@ -65,17 +67,55 @@ SIGNALS = (
 )
 
 
+#: Rules of which every match counts; manager_change is only looked for where these find nothing.
+EACH = ("manager_appointed", "manager_ceased")
+OLD_BENCHMARK = (r"(?i)existing\s+benchmark[:\s]+([^\n.]{5,80})", r"(?i)benchmark\b[^.]{0,80}?\bfrom\s+([^.;]{3,60}?)\s+to\b")
+RATE = r"(\d+\.\d+)\s*%"
+
+
+def matches(text: str, pattern: str) -> Column:
+    """Every match in a column as (hit, value, place): its text, its first group, and where it begins."""
+    hits, values = (F.regexp_extract_all(text, F.lit(pattern), k) for k in (0, 1))
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def fold(a: Column, hit: Column) -> Column:
+        place = F.position(hit, F.col(text), a["at"])
+        return F.struct((place + F.length(hit)).alias("at"), F.array_append(a["found"], place).alias("found"))
+
+    return F.arrays_zip(hits.alias("hit"), values.alias("value"), F.aggregate(hits, begin, fold, lambda a: a["found"]).alias("place"))
+
+
+def stated(text: Column, pattern: str) -> Column:
+    """The first group of the first match; null without one."""
+    return F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
+
+
 def notice_signals(notices: DataFrame) -> DataFrame:
-    """Events stated in notices (doc_id, doc_date, text): event, after and effective_date, which is the date near the match or
-    else the document's; notices without any give a generic one."""
-    found = None
+    """Events stated in notices (doc_id, doc_date, text): event, before, after and effective_date, which is the date near the match
+    or else the document's; notices without any give a generic one. Every manager who is appointed or ceases is an event; after
+    names them both, before those who cease."""
+    found, text, none = None, F.col("text"), F.lit(None).cast("string")
     for event, pattern in SIGNALS:
-        hit = F.regexp_extract("text", pattern, 0)
-        near = F.substring(F.col("text"), F.greatest(F.instr(F.col("text"), hit) - 200, F.lit(1)), F.length(hit) + 600)
-        rows = notices.filter(F.col("text").rlike(pattern)).select("doc_id", "doc_date", F.lit(event).alias("event"), F.trim(F.regexp_extract("text", pattern, 1)).alias("after"), F.coalesce(loose_date(near), "doc_date").alias("effective_date"))
+        hits = matches("text", pattern)
+        hits = hits if event in EACH else F.slice(hits, 1, 1)
+        rows = notices.select("doc_id", "doc_date", "text", F.explode(hits).alias("m")).select("*", "m.*")
+        rest = text.substr(F.col("place"), F.length("hit") + 300)
+        after, before = F.nullif(F.trim("value"), F.lit("")), none
+        if event == "manager_ceased":
+            before = after
+        elif event == "benchmark_change":
+            before = F.coalesce(*(stated(text, p) for p in OLD_BENCHMARK))
+        elif event == "expense_change":
+            rates = F.regexp_extract_all(rest, F.lit(RATE), 1)
+            before, after = (F.concat(F.get(rates, F.lit(k)), F.lit("%")) for k in (0, 1))
+        first = F.greatest(F.col("place") - 200, F.lit(1))
+        near = text.substr(first, F.col("place") - first + F.length("hit") + (200 if event in EACH else 400))
+        rows = rows.select("doc_id", "doc_date", F.lit(event).alias("event"), before.alias("before"), after.alias("after"), F.coalesce(loose_date(near), "doc_date").alias("effective_date"))
+        if event == "manager_change":
+            rows = rows.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
         found = rows if found is None else found.unionByName(rows)
-    generic = notices.join(found, "doc_id", "left_anti").select("doc_id", "doc_date", F.lit("general_notice").alias("event"), F.lit(None).cast("string").alias("after"), F.col("doc_date").alias("effective_date"))
-    return found.unionByName(generic).dropDuplicates(["doc_id", "event", "effective_date", "after"])
+    generic = notices.join(found, "doc_id", "left_anti").select("doc_id", "doc_date", F.lit("general_notice").alias("event"), none.alias("before"), none.alias("after"), F.col("doc_date").alias("effective_date"))
+    return found.unionByName(generic).dropDuplicates(["doc_id", "event", "effective_date", "before", "after"])
 
 
 def name_changes(observed: DataFrame) -> DataFrame:

@@ -137,6 +137,29 @@ def test_notices(spark):
     assert got == {1: ("manager_ceased", "Alan Stone", "2026-09-01"), 2: ("benchmark_change", "Broad 100 TRI", "2026-10-01"), 3: ("general_notice", None, "2026-08-01")}
 
 
+def test_notice_on_several_managers_and_old_values(spark):
+    rows = [
+        (1, "Mr. Alan Stone has ceased to manage the scheme. " + "x " * 150 + "Ms. Beth Rivers has ceased to be a manager from 2026-11-01."),
+        (2, "We appointed Mr. Carl Field as fund manager and appointed Ms. Dora Hill as the fund manager."),
+        (3, "There is a change in the fund manager."),
+        (4, "Revision of the investment objective from 2026-12-01."),
+        (5, "The benchmark is changed from Narrow 50 TRI to Broad 100 TRI."),
+        (6, "The expense ratio is revised: 1.50% before, 1.25% from now."),
+    ]
+    df = spark.createDataFrame([(i, date(2026, 8, 1), t) for i, t in rows], "doc_id long, doc_date date, text string")
+    got = sorted((r["doc_id"], r["event"], r["before"] or "", r["after"] or "", str(r["effective_date"])) for r in d.notice_signals(df).collect())
+    assert got == [
+        (1, "manager_ceased", "Alan Stone", "Alan Stone", "2026-08-01"),
+        (1, "manager_ceased", "Beth Rivers", "Beth Rivers", "2026-11-01"),
+        (2, "manager_appointed", "", "Carl Field", "2026-08-01"),
+        (2, "manager_appointed", "", "Dora Hill", "2026-08-01"),
+        (3, "manager_change", "", "", "2026-08-01"),
+        (4, "mandate_revision", "", "", "2026-12-01"),
+        (5, "benchmark_change", "Narrow 50 TRI", "Broad 100 TRI", "2026-08-01"),
+        (6, "expense_change", "1.50%", "1.25%", "2026-08-01"),
+    ]
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     from navella.streaming.price_stream import watch
 

@@ -74,6 +74,18 @@ def rolling_distribution(t, _):
     return n.rolling_distribution(t("nav_point"), 1)
 
 
+@query(_rolling(3) + """, k as (select plan_id, ret, row_number() over (partition by plan_id order by ret) rk, count(*) over (partition by plan_id) c from r where ret is not null)
+select plan_id, """ + ", ".join(f"round(max(ret) filter (rk = round_even({q} * (c - 1), 0) + 1), 6) {k}" for k, q in (("min", "0.0::double"), ("p5", "0.05::double"), ("p25", "0.25::double"), ("median", "0.5::double"), ("p75", "0.75::double"), ("p95", "0.95::double"), ("max", "1.0::double"))) + ", round(avg(case when ret < 0 then 1.0 else 0.0 end), 6) share_negative, count(*) n from k group by 1", "nav_point", min=6, p5=6, p25=6, median=6, p75=6, p95=6, max=6, share_negative=6)
+def rolling_distribution_3y(t, _):
+    return n.rolling_distribution(t("nav_point"), 3)
+
+
+@query(_rolling(5) + """, k as (select plan_id, ret, row_number() over (partition by plan_id order by ret) rk, count(*) over (partition by plan_id) c from r where ret is not null)
+select plan_id, """ + ", ".join(f"round(max(ret) filter (rk = round_even({q} * (c - 1), 0) + 1), 6) {k}" for k, q in (("min", "0.0::double"), ("p5", "0.05::double"), ("p25", "0.25::double"), ("median", "0.5::double"), ("p75", "0.75::double"), ("p95", "0.95::double"), ("max", "1.0::double"))) + ", round(avg(case when ret < 0 then 1.0 else 0.0 end), 6) share_negative, count(*) n from k group by 1", "nav_point", min=6, p5=6, p25=6, median=6, p75=6, p95=6, max=6, share_negative=6)
+def rolling_distribution_5y(t, _):
+    return n.rolling_distribution(t("nav_point"), 5)
+
+
 @query("""+ h as (select *, case when nav > max(nav) over (partition by plan_id order by date rows between unbounded preceding and 1 preceding) is not false then 1 else 0 end hi from nav_point),
 e as (select *, sum(hi) over (partition by plan_id order by date rows between unbounded preceding and current row) ep from h),
 g as (select plan_id, ep, min(date) pd, arg_min(nav, date) pn, min((nav, date)) tr from e group by 1, 2),

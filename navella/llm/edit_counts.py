@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navella.llm.arrowtext import each_slice
+from navella.llm.arrowtext import each_slice, slices, utf8
 from navella.llm.shared import with_fields
 from navella.llm.tokens import SLICE, TextEncoder, text_column
 
@@ -80,15 +80,19 @@ class EditedText:
         self.ascii = text.isascii()
         self.encoded_bytes = 0
 
-    def _byte(self, place: int) -> int:
-        return place if self.ascii else len(self.text.decode()[:place].encode())
+    def _bytes_at(self, start: int, stop: int) -> tuple[int, int]:
+        """The bytes at which the characters start and stop begin, both held within the text."""
+        if self.ascii:
+            start = min(max(start, 0), len(self.text))
+            return start, min(max(stop, start), len(self.text))
+        b = np.frombuffer(bytes(self.text), np.uint8)
+        at = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
+        start = min(max(start, 0), len(at) - 1)
+        return int(at[start]), int(at[min(max(stop, start), len(at) - 1)])
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Puts new in the place of the characters from start up to stop, both held within the text."""
-        length = len(self.text) if self.ascii else len(self.text.decode())
-        start = min(max(start, 0), length)
-        stop = min(max(stop, start), length)
-        first, last = self._byte(start), self._byte(stop)
+        first, last = self._bytes_at(start, stop)
         put = new.encode()
         self.ascii &= new.isascii()
         if self.tree.bytes[1] == 0:
@@ -112,13 +116,30 @@ class EditedText:
         """Makes the tree anew with that block parted; no other block is encoded again."""
         b = np.frombuffer(region, np.uint8)
         bounds, number, _ = self.encoder.pieces(b, np.array([0, len(b)]))
-        parts = blocks_of(np.diff(bounds), self.encoder.ends[number + 1] - self.encoder.ends[number])
+        parts = blocks_of(np.diff(bounds), self.encoder.memory.sizes(number))
         sizes, tokens = self.tree.blocks()
         merged = [np.array(x[:leaf] + p.tolist() + x[leaf + 1 :], np.int64) for x, p in zip((sizes, tokens), parts, strict=True)]
         kept = merged[0] > 0
         self.tree = SegmentTree(merged[0][kept], merged[1][kept])
 
 
+def blocks_of_each(encoder: TextEncoder, b: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, tokens) of the blocks of each text of a slice."""
+    if not len(b):
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (len(off) - 1)
+    bounds, number, places = encoder.pieces(b, off)
+    n, size = encoder.memory.sizes(number), np.diff(bounds)
+    return [blocks_of(size[x:y], n[x:y]) for x, y in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+
+
+def edited(doc: EditedText, edits: list | None) -> EditedText:
+    """doc after a row's edits."""
+    for e in edits or []:
+        if e is not None:
+            doc.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
+    return doc
+
+
 def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
@@ -129,24 +150,16 @@ def token_trees(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder.of(vocabulary_path)
-        for batch in batches:
-            at, sizes, tokens, total = [0], [], [], []
-            for _, _, b, off in each_slice(batch.column("text"), SLICE):
-                if not len(b):
-                    at += [at[-1]] * (len(off) - 1)
-                    total += [0] * (len(off) - 1)
-                    continue
-                bounds, number, places = encoder.pieces(b, off)
-                n, size = encoder.ends[number + 1] - encoder.ends[number], np.diff(bounds)
-                for x, y in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
-                    s, t = blocks_of(size[x:y], n[x:y])
-                    sizes.append(s)
-                    tokens.append(t)
-                    at.append(at[-1] + len(s))
-                    total.append(int(t.sum()))
-            flat = [pa.array(np.concatenate(x).astype(np.int32) if x else [], pa.int32()) for x in (sizes, tokens)]
-            offsets = pa.array(at, pa.int32())
-            yield _with(batch, tree_bytes=pa.ListArray.from_arrays(offsets, flat[0]), tree_tokens=pa.ListArray.from_arrays(offsets, flat[1]), n_tokens=pa.array(total, pa.int64()))
+        try:
+            for batch in batches:
+                for i, j, b, off in each_slice(batch.column("text"), SLICE):
+                    trees = blocks_of_each(encoder, b, off)
+                    at = pa.array(np.cumsum([0, *(len(t) for _, t in trees)]), pa.int32())
+                    sizes, tokens = (pa.ListArray.from_arrays(at, pa.array(np.concatenate([t[k] for t in trees]).astype(np.int32))) for k in (0, 1))
+                    total = pa.array([int(t.sum()) for _, t in trees], pa.int64())
+                    yield _with(batch.slice(i, j - i), tree_bytes=sizes, tree_tokens=tokens, n_tokens=total)
+        finally:
+            encoder.forget()
 
     rows = docs.drop("tree_bytes", "tree_tokens", "n_tokens").withColumn("text", text_column(docs))
     return rows.mapInArrow(build, with_fields(rows.schema, "tree_bytes array<int>, tree_tokens array<int>, n_tokens long"))
@@ -160,23 +173,49 @@ def apply_edits(trees: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder.of(vocabulary_path)
-        for batch in batches:
-            names = batch.schema.names
-            done = []
-            for text, sizes, tokens, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree_bytes", "tree_tokens", "edits")), strict=True):
-                doc = EditedText(text, SegmentTree(np.array(sizes, np.int64), np.array(tokens, np.int64)), encoder)
-                for e in edits or []:
-                    if e is not None:
-                        doc.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                done.append((doc.text.decode(), *doc.tree.blocks(), doc.tree.tokens[1], doc.encoded_bytes))
-            made = dict(zip(("text", "tree_bytes", "tree_tokens", "n_tokens", "encoded_bytes"), zip(*done, strict=True) if done else [()] * 5, strict=True))
-            kinds = {"text": pa.string(), "tree_bytes": pa.list_(pa.int32()), "tree_tokens": pa.list_(pa.int32()), "n_tokens": pa.int64(), "encoded_bytes": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(made[c], kinds[c]) if c in made else batch.column(c) for c in [*names, "encoded_bytes"]], names=[*names, "encoded_bytes"])
+        kinds = {"text": pa.string(), "tree_bytes": pa.list_(pa.int32()), "tree_tokens": pa.list_(pa.int32()), "n_tokens": pa.int64(), "encoded_bytes": pa.int64()}
+        try:
+            for whole in batches:
+                for i, j in slices(utf8(whole.column("text"))[0], SLICE):
+                    batch, done = whole.slice(i, j - i), []
+                    for text, sizes, tokens, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree_bytes", "tree_tokens", "edits")), strict=True):
+                        doc = edited(EditedText(text, SegmentTree(np.array(sizes, np.int64), np.array(tokens, np.int64)), encoder), edits)
+                        done.append((doc.text.decode(), *doc.tree.blocks(), doc.tree.tokens[1], doc.encoded_bytes))
+                    made = dict(zip(kinds, zip(*done, strict=True), strict=True))
+                    names = [*batch.schema.names, "encoded_bytes"]
+                    yield pa.RecordBatch.from_arrays([pa.array(made[c], kinds[c]) if c in made else batch.column(c) for c in names], names=names)
+        finally:
+            encoder.forget()
 
     trees = trees.drop("encoded_bytes")
     return trees.mapInArrow(edit, with_fields(trees.schema, "encoded_bytes long"))
 
 
+def edited_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """doc_id, tokens_before, tokens_after, bytes_after and encoded_bytes of docs (doc_id, text, edits, as apply_edits has
+    them), for those who want the counts alone: trees are made and edited in one pass, in slices of about SLICE bytes,
+    so that no tree and no edited text leaves its task. Null texts are empty; an empty table gives no row."""
+    schema = "doc_id long, tokens_before long, tokens_after long, bytes_after long, encoded_bytes long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = TextEncoder.of(vocabulary_path)
+        names = [c.split()[0] for c in schema.split(", ")]
+        try:
+            for whole in batches:
+                for i, j, b, off in each_slice(whole.column("text"), SLICE):
+                    batch, found = whole.slice(i, j - i), []
+                    trees = blocks_of_each(encoder, b, off)
+                    for text, edits, (sizes, tokens) in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), trees, strict=True):
+                        doc = edited(EditedText(text, SegmentTree(sizes, tokens), encoder), edits)
+                        found.append((int(tokens.sum()), doc.tree.tokens[1], len(doc.text), doc.encoded_bytes))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], names=names)
+        finally:
+            encoder.forget()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), "edits")
+    return rows.mapInArrow(count, schema)
+
+
 def edit(start: Column, stop: Column, text: Column) -> Column:
     """One entry of the column edits."""
     return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), text.alias("text"))

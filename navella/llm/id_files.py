@@ -29,8 +29,9 @@ BITS = 16
 TOTAL = 1 << BITS
 LANES = 2048
 SPAN_STEPS = 64
-#: A block is closed with the document that brings it to so many ids.
+#: A block is closed with the document that brings it to so many ids, and a file likewise.
 BLOCK_IDS = 1 << 18
+FILE_IDS = 1 << 23
 _HEAD = struct.Struct("<QQIIII")  # documents, ids, lanes, words, spans, CRC-32 of all that follows
 
 
@@ -149,51 +150,60 @@ def read_block(raw: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np.nda
     return doc_ids, lengths, out
 
 
-_MANIFEST = "path string, first_doc long, file_no long, block_no long, table_bytes long, offset long, length long, start long, n_ids long, n_docs long"
+_MANIFEST = "path string, part long, file_no long, block_no long, table_bytes long, offset long, length long, start long, n_ids long, n_docs long"
 
 
 def write_id_files(docs: DataFrame, vocabulary_path: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Writes the ids of docs (doc_id, text), each with end_id appended, in ascending doc_id order (null ids
-    first, equal ids by text), and returns the manifest: a row for each block. Null text is empty, so every
-    document has at least one id. An empty table gives an empty manifest and no file."""
+    first, equal ids by a hash of their text, then the text), and returns the manifest: a row for each block. Null
+    text is empty, so every document has at least one id; repeated rows are written each. An empty table gives an empty
+    manifest and no file. A task writes as many files as its documents need and holds the ids of one at a time."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "id-files")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
+    names = [c.split()[0] for c in _MANIFEST.split(", ")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = TextEncoder.of(vocabulary_path), TaskContext.get()
-        doc_ids: list[np.ndarray] = []
-        kept: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        for batch in batches:
-            doc_ids.append(batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
-            for _, _, ids, at in encoder.encode(batch.column(1)):
-                kept.append(np.insert(ids, at[1:], end_id).astype(np.uint16))
-                sizes.append(np.diff(at) + 1)
-        if not doc_ids:
-            return
-        doc, size, ids = np.concatenate(doc_ids), np.concatenate(sizes), np.concatenate(kept)
-        if not len(doc):
-            return
-        at = np.concatenate([[0], np.cumsum(size)])
-        table = Table(frequencies(np.bincount(ids, minlength=end_id + 1)))
         files, root = fs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
-        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.rans"
-        found, i, block = [], 0, 0
-        with files.open_output_stream(f"{root}/{name}") as out:
-            head = MAGIC + table.to_bytes()
-            out.write(head)
-            place = len(head)
-            while i < len(doc):
-                j = min(len(doc), max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_IDS))))
-                raw = write_block(doc[i:j], size[i:j], ids[at[i] : at[j]], table)
-                out.write(raw)
-                found.append((f"{folder}/{name}", int(doc[0]), task.partitionId(), block, len(head), place, len(raw), int(at[i]), int(at[j] - at[i]), j - i))
-                place += len(raw)
-                i, block = j, block + 1
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=[c.split()[0] for c in _MANIFEST.split(", ")])
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_held = n_files = 0
+
+        def written() -> pa.RecordBatch:
+            doc, size, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            at = np.concatenate([[0], np.cumsum(size)])
+            table = Table(frequencies(np.bincount(ids, minlength=end_id + 1)))
+            files.create_dir(root, recursive=True)
+            name = f"part-{task.partitionId():06d}-{n_files:05d}-{task.taskAttemptId()}.rans"
+            found, i = [], 0
+            with files.open_output_stream(f"{root}/{name}") as out:
+                head = MAGIC + table.to_bytes()
+                out.write(head)
+                place = len(head)
+                while i < len(doc):
+                    j = min(len(doc), max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_IDS))))
+                    raw = write_block(doc[i:j], size[i:j], ids[at[i] : at[j]], table)
+                    out.write(raw)
+                    found.append((f"{folder}/{name}", task.partitionId(), n_files, len(found), len(head), place, len(raw), int(at[i]), int(at[j] - at[i]), j - i))
+                    place += len(raw)
+                    i = j
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=names)
+
+        try:
+            for batch in batches:
+                doc_ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+                for i, j, ids, at in encoder.encode(batch.column(1)):
+                    held.append((doc_ids[i:j].copy(), np.diff(at) + 1, np.insert(ids, at[1:], end_id).astype(np.uint16)))
+                    n_held += len(held[-1][2])
+                    if n_held >= FILE_IDS:
+                        yield written()
+                        n_held, n_files = 0, n_files + 1
+            if held:
+                yield written()
+        finally:
+            encoder.forget()
 
     return stored(ordered.mapInArrow(write, _MANIFEST), "id-manifest")
 
@@ -202,10 +212,12 @@ def read_id_files(manifest: DataFrame) -> DataFrame:
     """Every document of the manifest's blocks from the files: doc_id, start (ids of all documents before it),
     n_tokens and ids_crc32 (of its ids as little-endian unsigned 32-bit integers)."""
     spark = manifest.sparkSession
-    # One row a file: as many as there were tasks, so their running sum is small.
-    files = manifest.groupBy("path", "first_doc", "file_no").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("first_doc", "file_no").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    files = manifest.groupBy("path", "part", "file_no").agg(F.sum("n_ids").alias("n"))
+    parts = files.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each task that wrote: their running sum is small
+    running = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", running(Window.orderBy("part")).alias("of_part"))
+    files = files.withColumn("of_file", running(Window.partitionBy("part").orderBy("file_no"))).join(parts, "part")
+    base = files.select("path", (F.col("of_part") + F.col("of_file")).alias("base"))
     blocks = manifest.join(base, "path").select("path", "table_bytes", "offset", "length", (F.col("base") + F.col("start")).alias("start"))
     blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -93,29 +93,32 @@ def pieces_of(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = TextEncoder.of(vocabulary_path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in batches:
-            doc_ids = batch.column(0)
-            for i, j, ids, at in encoder.encode(batch.column(1)):
-                ids = np.insert(ids, at[1:], end_id).astype("<u4")
-                at = at + np.arange(len(at))
-                size = np.diff(at)
-                n_pieces = -(-size // capacity)
-                owner = np.repeat(np.arange(len(size)), n_pieces)
-                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
-                over = (size - 1) % capacity + 1  # of the first piece
-                start = np.where(piece == 0, 0, over[owner] + (piece - 1) * capacity)
-                length = np.where(piece == 0, over[owner], capacity)
-                raw = memoryview(ids.tobytes())
-                begin = (4 * (at[owner] + start)).tolist()
-                crc = [zlib.crc32(raw[x : x + 4 * y]) for x, y in zip(begin, length.tolist(), strict=True)]
-                rank = []
-                for y in length.tolist():
-                    rank.append(seen[y])
-                    seen[y] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(owner), part, np.int32)), doc_ids.slice(i, j - i).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(rank, pa.int64())],
-                    names=["part", "doc_id", "piece", "start", "length", "ids_crc32", "rank"],
-                )
+        try:
+            for batch in batches:
+                doc_ids = batch.column(0)
+                for i, j, ids, at in encoder.encode(batch.column(1)):
+                    ids = np.insert(ids, at[1:], end_id).astype("<u4")
+                    at = at + np.arange(len(at))
+                    size = np.diff(at)
+                    n_pieces = -(-size // capacity)
+                    owner = np.repeat(np.arange(len(size)), n_pieces)
+                    piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                    over = (size - 1) % capacity + 1  # of the first piece
+                    start = np.where(piece == 0, 0, over[owner] + (piece - 1) * capacity)
+                    length = np.where(piece == 0, over[owner], capacity)
+                    raw = memoryview(ids.tobytes())
+                    begin = (4 * (at[owner] + start)).tolist()
+                    crc = [zlib.crc32(raw[x : x + 4 * y]) for x, y in zip(begin, length.tolist(), strict=True)]
+                    rank = []
+                    for y in length.tolist():
+                        rank.append(seen[y])
+                        seen[y] += 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(owner), part, np.int32)), doc_ids.slice(i, j - i).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(rank, pa.int64())],
+                        names=["part", "doc_id", "piece", "start", "length", "ids_crc32", "rank"],
+                    )
+        finally:
+            encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     return rows.mapInArrow(cut, "part int, doc_id long, piece int, start long, length long, ids_crc32 long, rank long")

@@ -10,10 +10,14 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under ``spark.checkpoint.dir``. Where that is unset, as in tests, a temporary folder
-    of this machine is taken and set as the checkpoint folder."""
+    """A new folder's URI under ``spark.checkpoint.dir``. Where that is unset, a local session, as in tests, takes a
+    temporary folder of this machine and sets it as the checkpoint folder; any other raises, as its executors share
+    no such folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-navella-")
         spark.sparkContext.setCheckpointDir(root)
     if "://" not in root and not root.startswith("file:"):
@@ -29,6 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that stored wrote and that nothing reads any more, as those of earlier rounds of a loop."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """A schema of the fields of another and those of a DDL string."""
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)

@@ -10,15 +10,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from navella.llm.arrowtext import each_slice, lower_ascii
 
-#: Pieces that a worker remembers at most; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
-SLICE = 4 << 20
+#: Pieces that a task remembers at most; beyond it only those stay that were asked for again.
+REMEMBERED = 300_000
+#: Ids that it remembers for them at most.
+REMEMBERED_IDS = 4_000_000
+SLICE = 1 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -73,8 +76,77 @@ _TOGETHER = 4096
 CUTS = {"byte_bpe_50k.json": cuts_byte_level, "word_bpe_49k.json": cuts_before_space}
 
 
+def ranges(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the parts of x from first to last, one after the other, their sizes)."""
+    size = last - first
+    before = np.cumsum(size) - size
+    return x[np.repeat(first - before, size) + np.arange(int(size.sum()))], size
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all lists, the lists' sizes)."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
+
+
+class Remembered:
+    """The ids of pieces met before, in two arrays, with a bound on both pieces and ids."""
+
+    def __init__(self, most: int, most_ids: int):
+        self.most, self.most_ids = most, most_ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 12, np.uint32)
+        self.ends = np.zeros(1 << 10, np.int64)  # of the known pieces' ids; the first is the start
+        self.used = np.zeros(1 << 10, np.int32)
+        self.count = 0
+
+    def _shed(self) -> None:
+        """Keeps the pieces asked for more than once, the most asked for, up to half of what may be kept."""
+        again = np.flatnonzero(self.used[: self.count] > 1)
+        again = np.sort(again[np.argsort(-self.used[again], kind="stable")[: self.most // 2]])
+        size = self.ends[again + 1] - self.ends[again]
+        if size.sum() > self.most_ids // 2:
+            again = again[:0]
+        names = list(self.known)  # in the order of their numbers
+        flat, sizes = self.gather(again)
+        self.forget()
+        self._add([names[k] for k in again.tolist()], flat, sizes)
+
+    def _add(self, pieces: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        at = int(self.ends[self.count])
+        while at + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.count + len(pieces) + 1 > len(self.ends):
+            self.ends, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.used))
+        self.ids[at : at + len(flat)] = flat
+        self.ends[self.count + 1 : self.count + 1 + len(pieces)] = at + np.cumsum(sizes)
+        self.known.update(zip(pieces, range(self.count, self.count + len(pieces)), strict=True))
+        self.count += len(pieces)
+
+    def numbers(self, pieces: list[bytes], learn) -> np.ndarray:
+        """The number of each of some distinct pieces. learn: from new pieces to (pieces, their ids, how many each has)."""
+        if self.count + len(pieces) > self.most or self.ends[self.count] > self.most_ids:
+            self._shed()
+        new = [p for p in pieces if p not in self.known]
+        if new:
+            self._add(*learn(new))
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.used[number] += 1
+        return number
+
+    def sizes(self, number: np.ndarray) -> np.ndarray:
+        return self.ends[number + 1] - self.ends[number]
+
+    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after the other, how many each has)."""
+        return ranges(self.ids, self.ends[number], self.ends[number + 1])
+
+
 class TextEncoder:
-    """Encodes Arrow columns of whole texts; holds what it remembers of pieces for the worker's life."""
+    """Encodes Arrow columns of whole texts. What it remembers of pieces is dropped at the end of a task by forget."""
 
     _of: dict[str, TextEncoder] = {}
 
@@ -90,7 +162,7 @@ class TextEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id
         for token, i in vocabulary.items():
             self.width[i] = len(token.removesuffix("</w>") if self.drops_space else token)
-        self._forget()
+        self.memory = Remembered(REMEMBERED, REMEMBERED_IDS)
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -99,16 +171,13 @@ class TextEncoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint16)
-        self.ends = np.zeros(1 << 12, np.int64)  # of the known pieces' ids; the first is the start
-        self.count = 0
+    def forget(self) -> None:
+        self.memory.forget()
 
-    def _alone(self, pieces: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
+    def _alone(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([e.ids for e in self.tokenizer.encode_batch([p.decode("utf-8") for p in pieces], add_special_tokens=False)])
 
-    def _together(self, pieces: list[bytes]) -> list[np.ndarray] | list[list[int]]:
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of simple pieces, encoded in one text and parted by the number of bytes of each id."""
         feed = 0 if self.drops_space else 1
         spaced = [p if p[0] == 32 else b"\n" + p for p in pieces]
@@ -120,29 +189,14 @@ class TextEncoder:
         first, last = np.searchsorted(width, stop - own), np.searchsorted(width, stop)
         if width[-1] != stop[-1] or (width[first] != stop - own).any() or (width[last] != stop).any():
             return self._alone(pieces)
-        return [ids[x:y] for x, y in zip(first, last, strict=True)]
+        return ranges(ids, first, last)
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         simple, odd = [], []
         for p in pieces:
             (simple if _SIMPLE(p) else odd).append(p)
-        found: list = []
-        for k in range(0, len(simple), _TOGETHER):
-            found += self._together(simple[k : k + _TOGETHER])
-        found += self._alone(odd)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in found])
-        if len(flat) and flat.max() > 0xFFFF:
-            raise ValueError("ids above 65535 need a wider array")
-        at = int(self.ends[self.count])
-        while at + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.count + len(found) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[at : at + len(flat)] = flat
-        self.ends[self.count + 1 : self.count + 1 + len(found)] = at + np.cumsum(sizes)
-        self.known.update(zip(simple + odd, range(self.count, self.count + len(found)), strict=True))
-        self.count += len(found)
+        found = [self._together(simple[k : k + _TOGETHER]) for k in range(0, len(simple), _TOGETHER)] + [self._alone(odd)]
+        return simple + odd, *(np.concatenate(x) for x in zip(*found, strict=True))
 
     def pieces(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(piece bounds in b, number of known piece at each place, pieces before each document)."""
@@ -154,26 +208,18 @@ class TextEncoder:
             b[b == 10] = 32
         array = pa.Array.from_buffers(pa.large_binary(), max(len(bounds) - 1, 0), [None, pa.py_buffer(bounds), pa.py_buffer(b)])
         coded = array.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if self.count + len(words) > REMEMBERED:
-            self._forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return bounds, number[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64), np.searchsorted(bounds, off)
+        number = self.memory.numbers(coded.dictionary.to_pylist(), self._learn)
+        return bounds, number[coded.indices.to_numpy()] if len(number) else np.zeros(0, np.int64), np.searchsorted(bounds, off)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For each slice of documents: (first, end, ids of all of them, ids before each of them)."""
         for i, j, b, off in each_slice(column, SLICE):
             if not len(b):
-                yield i, j, np.zeros(0, np.uint16), np.zeros(j - i + 1, np.int64)
+                yield i, j, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
                 continue
             _, number, at = self.pieces(b, off)
-            begin, size = self.ends[number], self.ends[number + 1] - self.ends[number]
-            total = np.concatenate([[0], np.cumsum(size)])
-            place = np.repeat(begin - total[:-1], size) + np.arange(total[-1])
-            yield i, j, self.ids[place], total[at]
+            ids, size = self.memory.gather(number)
+            yield i, j, ids, np.concatenate([[0], np.cumsum(size)])[at]
 
     def count_ids(self, raw: bytes) -> int:
         """Number of ids of a stretch of text that begins and ends where its text is cut."""
@@ -181,7 +227,7 @@ class TextEncoder:
             return 0
         b = np.frombuffer(raw, np.uint8)
         _, number, _ = self.pieces(b, np.array([0, len(b)]))
-        return int((self.ends[number + 1] - self.ends[number]).sum())
+        return int(self.memory.sizes(number).sum())
 
     def encode_each(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""

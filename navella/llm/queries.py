@@ -21,9 +21,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length("text")
     place = (F.crc32(F.encode("text", "UTF-8")) % (n + 1)).cast("int")
     edits = F.array(edit_counts.edit(place, place + 12, F.lit(" [removed]")), edit_counts.edit(F.lit(0), F.lit(5), F.lit("")), edit_counts.edit(n + 20, n + 20, F.lit("\nEdited by 2 readers.")))
-    trees = edit_counts.token_trees(docs.withColumn("edits", edits), path).withColumnRenamed("n_tokens", "tokens_before")
-    done = edit_counts.apply_edits(trees.withColumn("n_tokens", F.col("tokens_before")), path)
-    return done.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), F.octet_length("text").cast("long").alias("bytes_after"), "encoded_bytes")
+    return edit_counts.edited_counts(docs.withColumn("edits", edits), path)
 
 
 def remainder(by: int):
@@ -43,11 +41,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every whole text, decodes the ids and tells whether the text came back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = vocabulary("piece_bpe_32k.model")
-    done = word_trie.decode_pieces(word_trie.digests(word_trie.encode_pieces(docs, path)), path)
-    same = F.col("decoded") == F.translate("text", word_trie.SPACE, " ")
-    return done.select("doc_id", "n_pieces", "ids_crc32", same.alias("round_trip"))
+    return word_trie.round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Document quality by supervised subword embeddings.
 
-A document is the mean of learned vectors of its hashed features: words, runs of 3 and of 5 bytes, and marks (a word that
-repeats the one before it, words in capitals, marks only, or digits only). A softmax layer over that mean gives the score.
+A document is the mean of learned vectors of its hashed features: words, runs of 3 and of 5 bytes, and shapes of words (one
+that repeats the word before it, in capitals, of marks only, of digits only, very long, very short), which stand for words
+and pairs of words that no sample can list. A softmax layer over that mean gives the score.
 Vectors and layer are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows; scoring is
 linear in the features, so each bucket is folded into one number and whole texts are scored without a loop over words.
 """
@@ -17,17 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navella.llm.arrowtext import each_slice, span_hashes, word_spans
-from navella.llm.shared import with_fields
+from navella.llm.shared import stored, with_fields
 from navella.llm.tokens import text_column
 
 BUCKETS = 1 << 17
 MARKS = 8
 DIMENSIONS = 16
 RUNS = (3, 5)
+#: Passes over the rows, at least, and steps, at least (few rows are passed over more often).
 EPOCHS = 4
+STEPS = 12_000
 RATE = 0.5
 #: Labelled rows of each class that the model is fitted on at most, those of the smallest hashes of doc_id.
 SAMPLE_ROWS = 1500
+#: Different features of a sampled document that it is learned by at most, which bounds what the driver gets of long ones.
+SAMPLE_FEATURES = 20_000
 SLICE = 256 << 10
 
 
@@ -64,6 +69,13 @@ def _counts(b: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield np.unique(f[x:y], return_counts=True)
 
 
+def bounded(f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most SAMPLE_FEATURES of a document's features and their counts. Buckets are hashes, so the first are as good as
+    any; those of shapes all stay."""
+    kept = (f >= BUCKETS) | (np.arange(len(f)) < SAMPLE_FEATURES)
+    return f[kept], c[kept]
+
+
 @dataclass
 class Model:
     """score = sigmoid(mean of weight over a document's features + bias)."""
@@ -91,7 +103,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, seed: in
     layer = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     shares = [(f, (c / c.sum()).astype(np.float32)) if len(f) else (f, c.astype(np.float32)) for f, c, _ in rows]
-    steps = EPOCHS * len(rows)
+    steps = max(EPOCHS, -(-STEPS // len(rows))) * len(rows)
     for k in range(steps):
         if k % len(rows) == 0:
             order = rng.permutation(len(rows))
@@ -103,36 +115,44 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], share: float, seed: in
         p = np.exp(z - z.max())
         p /= p.sum()
         p[y[i]] -= 1
-        pull = layer @ p
+        pull = layer @ p  # the loss's gradient by the mean; by a feature's vector it is that times the feature's share
         layer -= rate * np.outer(x, p)
         bias -= rate * p
-        # a document's gradient is shared out over its features; scaled by their number so that vectors learn
-        vectors[f] -= (rate * np.minimum(c * len(f), 4.0))[:, None] * pull
+        vectors[f] -= rate * c[:, None] * pull
     fitted = float(np.log(y.mean() / (1 - y.mean())))
     slope = layer[:, 1] - layer[:, 0]
     return Model((vectors @ slope).astype(np.float32), float(bias[1] - bias[0]) + prior - fitted)
 
 
+def labels_of(labels: DataFrame, label: str, learn) -> DataFrame:
+    """(doc_id, y) of the labels 0 and 1 whose doc_id isn't null and fulfils learn, one row an id: of several labels 1
+    counts."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    return known.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int) -> tuple[DataFrame, float]:
     """(doc_id, text, y) of at most rows labelled documents of each class, those of the smallest hashes of doc_id, and
-    the share of label 1 among all that may be learned from. learn: condition on doc_id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    known = known.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn)
+    the share of label 1 among all that may be learned from. learn: condition on doc_id. Null texts are empty."""
+    known = stored(labels_of(labels, label, learn), "labels")
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     picked = [known.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    ids = F.broadcast(picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"]))  # at most 2 * rows pairs of numbers
+    ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * rows pairs of numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     return texts.join(ids, "doc_id"), ones / n if n else 0.5
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """The model of a bounded sample (2 * rows documents at most; their feature counts come to the driver)."""
+    """The model of a bounded sample (2 * rows documents at most; of each the counts of its features, at most
+    SAMPLE_FEATURES of them, those of the smallest hashes, come to the driver). Labels other than 0 and 1 and null ids are
+    not looked at; of several labels of an id 1 counts; repeated rows of an id are learned from each. With one class
+    alone, or none, every score is the share of label 1 (one half without labels)."""
     sample, share = labelled_sample(docs, labels, label, learn, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, b, off in each_slice(batch.column("text"), SLICE):
-                found = list(_counts(b, off))
+                found = [bounded(*x) for x in _counts(b, off)]
                 at = pa.array(np.concatenate([[0], np.cumsum([len(f) for f, _ in found])]), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype(np.int32))) for x in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *lists, batch.column("y").slice(i, j - i)], names=["doc_id", "f", "c", "y"])
@@ -165,7 +185,8 @@ def scores_of(texts: pa.Array, model) -> np.ndarray:
 
 
 def kept(docs: DataFrame, model, predicted: int) -> DataFrame:
-    """The rows of docs of a predicted class, with all their columns."""
+    """The rows of docs of a predicted class, with all their columns. Null texts count as empty; repeated rows stay or go
+    each by its text; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

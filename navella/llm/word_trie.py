@@ -201,8 +201,9 @@ class PieceModel:
         return -1, i, 0.0
 
     def _best(self, states: list, begun: list, i: int) -> tuple[int, int, float]:
-        """Viterbi's state: the last piece of the best path, of equal ones the longest. A character that is no piece
-        by itself may stand alone for the penalty."""
+        """Viterbi's state: the last piece of the best path, of equal ones the longest (the library sums up whole texts in
+        single precision, so of paths that tie it may take another). A character that is no piece by itself may stand
+        alone for the penalty."""
         piece, start, score = -1, i, -np.inf
         single = False
         for j, node in begun:

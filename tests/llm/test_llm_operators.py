@@ -276,6 +276,101 @@ def test_classifiers_without_labels(spark):
         assert {round(r["score"], 6) for r in quality.score(df, module.fit(df, none, F.lit(True))).collect()} == {0.5}
 
 
+def unigram_model(pieces) -> bytes:
+    """A hand-made unigram model file with byte fallback; pieces: (text, score)."""
+    import struct as st
+
+    def field(n: int, x) -> bytes:
+        if isinstance(x, int):
+            return varint(n << 3) + varint(x)
+        if isinstance(x, float):
+            return varint(n << 3 | 5) + st.pack("<f", x)
+        return varint(n << 3 | 2) + varint(len(x)) + x
+
+    def varint(x: int) -> bytes:
+        out = b""
+        while x > 127:
+            out += bytes([x & 127 | 128])
+            x >>= 7
+        return out + bytes([x])
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((p, s, 1) for p, s in pieces)]
+    out = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, k)) for p, s, k in rows)
+    trainer = field(3, 1) + field(35, 1)
+    return out + field(2, trainer) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+
+
+def test_unigram_pieces_are_viterbis(spark, tmp_path):
+    import sentencepiece
+
+    rng = random.Random(3)
+    letters = "▁abcdé"
+    texts = {"▁", *letters, "▁a", "ab", "abc", "▁ab", "bcd", "cd", "dd", "▁▁"} | {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 4))) for _ in range(20)}
+    texts -= {"d"}  # a character that is no piece by itself
+    texts = {t for t in texts if "dd" not in t}  # else paths tie
+    path = str(tmp_path / "u.model")
+    with open(path, "wb") as out:
+        out.write(unigram_model([(t, -round(rng.uniform(1, 9), 3)) for t in sorted(texts)]))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(k, "".join(rng.choice("aabbccdd é日") for _ in range(rng.randint(0, 40)))) for k in range(200)] + [(200, None), (201, ""), (202, "  a  b")]
+    got = word_trie.encode_pieces(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    assert word_trie.PieceModel.of(path).unigram
+    for r, (_, text) in zip(sorted(got, key=lambda r: r["doc_id"]), rows, strict=True):
+        assert r["ids"] == model.encode(text or ""), text
+
+
+def test_round_trips(spark, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = word_trie.round_trips(docs.withColumn("ids", F.lit(1)).withColumn("decoded", F.lit("x")), PIECES).collect()
+    want = sorted((None if i == 3 else i, len(model.encode(t or "")), crc(model.encode(t or "")), True) for i, t in enumerate(odd_texts()) if i != 3)
+    assert sorted(tuple(r) for r in rows if r["doc_id"] is not None) == want
+    assert len(rows) == docs.count()
+    assert word_trie.round_trips(empty(spark), PIECES).count() == 0
+
+
+def test_edited_counts_are_those_of_edited_texts(spark, docs):
+    edits = F.array(*(edit_counts.edit(F.lit(a), F.lit(b), F.lit(t)) for a, b, t in ((3, 5, "é x"), (0, 1, ""), (10**6, 10**6, " end."), (2, 2, "\n"))))
+    rows = docs.withColumn("edits", edits).withColumn("tokens_after", F.lit(0))
+    made = edit_counts.apply_edits(edit_counts.token_trees(rows, BYTES), BYTES)
+    want = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_tokens"], len(r["text"].encode()), r["encoded_bytes"]) for r in made.collect())
+    got = edit_counts.edited_counts(rows, BYTES).collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["tokens_after"], r["bytes_after"], r["encoded_bytes"]) for r in got) == want
+    before = {r["doc_id"]: r["tokens_before"] for r in got}
+    assert all(before[None if i == 3 else i] == len(x) for i, x in enumerate(reference(BYTES, odd_texts())))
+    assert edit_counts.edited_counts(empty(spark).withColumn("edits", edits), BYTES).count() == 0
+
+
+def test_few_pieces_remembered_give_the_same_ids(monkeypatch):
+    from navella.llm import tokens
+
+    texts = odd_texts()
+    want = reference(BYTES, texts)
+    encoder = TextEncoder(BYTES)
+    encoder.memory = tokens.Remembered(40, 200)
+    monkeypatch.setattr(tokens, "SLICE", 64)
+    for _ in range(2):
+        assert [list(x) for x in encoder.encode_each(pa.array(texts))] == want
+
+
+def test_id_files_of_small_size(spark, monkeypatch):
+    monkeypatch.setattr(id_files, "FILE_IDS", 50)
+    monkeypatch.setattr(id_files, "BLOCK_IDS", 16)
+    texts = [(k % 4, f"text {j} of {k} " * (j * 50_000 + k)) for k in range(5) for j in range(3)] + [(1, "same"), (1, "same"), (None, "x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    manifest = id_files.write_id_files(df, WORDS, 1)
+    got = sorted(id_files.read_id_files(manifest).collect(), key=lambda r: r["start"])
+    assert manifest.select("path").distinct().count() > 5
+    ids = {t: x + [1] for t, x in zip([t for _, t in texts], reference(WORDS, [t for _, t in texts]), strict=True)}
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((i is not None, i or 0, len(ids[t]), crc(ids[t])) for i, t in texts)
+    assert [r["doc_id"] if r["doc_id"] is not None else -1 for r in got] == sorted(i if i is not None else -1 for i, _ in texts)
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -291,18 +386,134 @@ def test_pipeline(spark, sf_dir):
     assert ids == {r["doc_id"] for r in stage.collect()}
 
 
+def plain_runs(text):
+    low = re.sub(rb"[^a-z0-9\x80-\xff]", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    b = b" " * 6 + low
+    return [(b[e - 5 : e + 1], e - 6) for e in range(6, len(b))], low
+
+
 def test_run_counts_take_every_labelled_row(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "BATCH_STRETCHES", 500)
+    monkeypatch.setattr(toxicity, "BATCH_RUNS", 50)
+    monkeypatch.setattr(toxicity, "SLICE_DOCS", 7)
     texts = ["A stone; a Stone", "one stone " * 9, None, "", "x" * 40_000 + " late grumble", "日本 stone"] + [f"word {k} of a text" for k in range(60)]
-    rows = [(t, k % 8) for k, t in enumerate(texts)]
-    want = defaultdict(set)
+    rows = [(t, k % 4) for k, t in enumerate(texts)]
+    want = defaultdict(int)
     for t, code in rows:
-        low = re.sub(rb"[^a-z0-9\x80-\xff]", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
-        b = b" " * 14 + low
-        for e in range(14, len(b)):
-            want[int.from_bytes(b[e - 5 : e + 1], "big"), code].add(b[e - 13 : e + 1])
-    got = toxicity.run_counts(spark.createDataFrame(rows, "text string, code int").repartition(3), 5).collect()
-    assert {(r["run"], k): r[f"n{k}"] for r in got for k in range(8) if r[f"n{k}"]} == {k: len(v) for k, v in want.items()}
+        for run in {r for r, _ in plain_runs(t)[0]}:
+            want[int.from_bytes(run, "big"), code] += 1
+    got = toxicity.run_counts(spark.createDataFrame(rows, "text string, code int").repartition(3)).collect()
+    assert {(r["run"], k): r[f"n{k}"] for r in got for k in range(4) if r[f"n{k}"]} == want
+
+
+def plain_kneser_ney(counts):
+    """counts: by label, run -> number of documents. The log-probability of each run by label, by the definition."""
+    number = lambda c, k: sum(v == k for v in c.values())
+    discount = lambda c: number(c, 1) / (number(c, 1) + 2 * number(c, 2)) if number(c, 1) else 0
+    ends = []
+    for c in counts:
+        e = defaultdict(int)
+        for run in c:
+            e[run[-4:]] += 1
+        ends.append(e)
+    both = defaultdict(int)
+    for e in ends:
+        for r, v in e.items():
+            both[r] += v
+
+    def of(c, run, lower):
+        kin = [v for r, v in c.items() if r[:-1] == run[:-1]]
+        d = discount(c)
+        total = max(1, sum(kin))
+        left = sum(max(v - d, 0) for v in kin)
+        return max(c.get(run, 0) - d, 0) / total + max(1 - left / total, 1e-6) * lower
+
+    def log_p(run, y):
+        shared = (both[run[-4:]] + 0.5) / (sum(v for r, v in both.items() if r[:-1] == run[-4:-1]) + 32)
+        return np.log(of(counts[y], run, of(ends[y], run[-4:], shared)))
+
+    return log_p
+
+
+def test_kneser_ney_is_the_plain_one(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(("stone", "grumble", "of", "the", "strong", "grumbling", "storm")) for _ in range(rng.randint(3, 9))) for _ in range(24)]
+    rows = [(t, 2 * (k % 3 == 0) + (k % 5 == 0)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "text string, code int")
+    for m, model in enumerate(toxicity.models(toxicity.run_counts(df))):
+        counts = [defaultdict(int), defaultdict(int)]
+        for t, code in rows:
+            if m or code % 2 == 0:
+                for run in {r for r, _ in plain_runs(t)[0]}:
+                    counts[code // 2][run] += 1
+        log_p = plain_kneser_ney(counts)
+        for t in texts[:6]:
+            raw = t.encode()
+            text, place, _ = toxicity.canonical(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            got = model.differences(text, place)
+            seen = [r in counts[0] or r in counts[1] for r, _ in plain_runs(t)[0]]
+            want = [log_p(r, 1) - log_p(r, 0) for r, _ in plain_runs(t)[0]]
+            assert np.allclose(got[seen], np.array(want)[seen], atol=2e-3)
+            model.window, model.line = 2, np.array([0.0, 1.0])
+            words, at = [], 0
+            for w in re.findall(r"\S+\s*", t):
+                words.append(float(got[at : at + len(w)].sum()))
+                at += len(w)
+            best = max((a + b) / 2 for a, b in zip(words, words[1:], strict=False))
+            assert np.allclose(model.measures(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), (2,)), [[best]])
+
+
+def test_discounts_lie_between_0_and_1():
+    assert [toxicity.discount(*x) for x in ((0, 0), (5, 0), (4, 3))] == [0, 1, 0.4]
+
+
+def test_quality_step_is_the_gradient(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    monkeypatch.setattr(quality, "STEPS", 1)
+    monkeypatch.setattr(quality, "BUCKETS", 64)
+    rows = [(np.array([1, 5, 9]), np.array([2, 1, 1]), 1), (np.array([2, 5]), np.array([1, 3]), 0)]
+    got = quality.train(rows, 0.5)
+    rng = np.random.default_rng(7)
+    vectors = rng.uniform(-1 / 16, 1 / 16, (64 + quality.MARKS, 16))
+    layer, bias = rng.normal(0, 0.1, (16, 2)), np.zeros(2)
+    loss = lambda v, w, b, f, s, y: np.log(np.exp((s @ v[f]) @ w + b).sum()) - ((s @ v[f]) @ w + b)[y]
+    for k, i in enumerate(rng.permutation(2)):
+        f, c, y = rows[i]
+        s, rate, eps = c / c.sum(), quality.RATE * (1 - k / 2), 1e-6
+        grads = []
+        for x in (vectors, layer, bias):
+            g = np.zeros_like(x)
+            for at in np.ndindex(*x.shape):
+                if x is not vectors or at[0] in f:
+                    x[at] += eps
+                    up = loss(vectors, layer, bias, f, s, y)
+                    x[at] -= 2 * eps
+                    g[at] = (up - loss(vectors, layer, bias, f, s, y)) / (2 * eps)
+                    x[at] += eps
+            grads.append(g)
+        for x, g in zip((vectors, layer, bias), grads, strict=True):
+            x -= rate * g
+    assert np.allclose(got.weight, vectors @ (layer[:, 1] - layer[:, 0]), atol=1e-4)
+
+
+def test_quality_features_are_the_plain_ones():
+    text = "Aa aa AA 12 .. aa aa é" + " x" * 3
+    raw = np.frombuffer(text.encode(), np.uint8)
+    f, owner = quality.features(raw, np.array([0, len(raw)]))
+    words = text.split(" ")
+    shapes = [sum(a == b for a, b in zip(words, words[1:], strict=False)), 1, 1, 1, 0, sum(len(w.encode()) < 3 for w in words)]
+    assert [(f == quality.BUCKETS + k).sum() for k in range(6)] == shapes
+    assert (f < quality.BUCKETS).sum() == len(words) + sum(len(raw) - n + 1 for n in quality.RUNS)
+    assert (owner == 0).all()
+
+
+def test_conflicting_and_null_labels(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (None, 1), (3, 7), (4, 0), (4, 0)], "doc_id long, toxic int")
+    got = {(r["doc_id"], r["y"]) for r in quality.labels_of(labels, "toxic", F.lit(True)).collect()}
+    assert got == {(1, 1), (2, 0), (4, 0)}
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (None, "c")], "doc_id long, text string")
+    sample, share = quality.labelled_sample(docs, labels, "toxic", F.lit(True), 10)
+    assert sorted((r["doc_id"], r["text"], r["y"]) for r in sample.collect()) == [(1, "a", 1), (1, "b", 1), (2, "", 0)]
+    assert share == 1 / 3
 
 
 def test_toxicity_learns_from_long_texts(spark):

@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from navella.llm.arrowtext import each_slice, lower_ascii, mix, word_hashes
-from navella.llm.shared import stored
+from navella.llm.shared import discard, stored
 from navella.llm.tokens import text_column
 
 WORDS = 5
@@ -314,11 +315,16 @@ def components(links: DataFrame) -> DataFrame:
     into its smallest neighbour, and links between merged nodes are what the next round works on, so they soon run out."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("src", "dst"), "edges")
     labels = edges.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
+    first, own = edges, labels  # these others may still read
     while not edges.isEmpty():
+        earlier = [edges] if edges is not first else []
         into = stored(edges.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("of"), F.least("src", "low").alias("to")), "merged")
-        labels = stored(labels.join(into, labels["label"] == into["of"], "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        moved = stored(labels.join(into, labels["label"] == into["of"], "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         ends = edges.join(into.toDF("src", "x"), "src").join(into.toDF("dst", "y"), "dst")
         edges = stored(ends.filter("x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct(), "edges")
+        for table in [*earlier, into, *([labels] if labels is not own else [])]:
+            discard(table)
+        labels = moved
     return labels
 
 
@@ -433,11 +439,11 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
 
 
 def component_of(small: DataFrame, labels: DataFrame) -> DataFrame:
-    """component_id by class."""
+    """component_id and label (one for all classes of a component) by class."""
     own = small.select("class", F.col("one_id").alias("least_id"))
     own = own.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = own.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return own.join(least, "label").select("class", "component_id")
+    return own.join(least, "label").select("class", "component_id", "label")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -471,9 +477,30 @@ def component_ids(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; documents without words all stay. All columns are kept;
-    rows that share an id stay or go together."""
+    """One row of each component, with all columns: that of the smallest doc_id; of several rows of that id in the
+    component one of the smallest class name. Rows without ids come after all others. Documents without words all
+    stay."""
     named, found = join(docs)
+    found = stored(found, "components")
     empty = named.filter("class is null").select("doc_id")
     kept = found.select(F.col("component_id").alias("kept_id")).union(empty.select(F.col("doc_id").alias("kept_id"))).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    repeated = stored(named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("many")), "repeated-ids")
+    if repeated.isEmpty():
+        return rows
+    # an id of several rows doesn't tell which of them is meant: their sets do
+    many = rows["doc_id"].cast("long").eqNullSafe(repeated["many"])
+    odd = rows.join(repeated, many, "left_semi")
+    whole = odd.select(F.struct(*(odd[c] for c in docs.columns)).alias("row"), odd["doc_id"].cast("long").alias("doc_id"), text_column(odd).alias("text"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [class_of(s) if len(s) else None for _, _, b, off in each_slice(batch.column("text")) for s in sets_of(b, off)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(names, pa.int64())], names=["row", "own_id", "class"])
+
+    schema = StructType([whole.schema["row"], *StructType.fromDDL("own_id long, class long").fields])
+    classed = whole.mapInArrow(name, schema).join(found, "class", "left").filter(F.col("class").isNull() | F.col("own_id").eqNullSafe(F.col("component_id")))
+    order = Window.partitionBy("label").orderBy("class")
+    one = classed.filter("class is not null").withColumn("place", F.row_number().over(order)).filter("place = 1")
+    chosen = one.select("row.*").unionByName(classed.filter("class is null").select("row.*"))
+    return rows.join(repeated, many, "left_anti").select(*docs.columns).unionByName(chosen.select(*docs.columns))

@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by inner product over a hierarchical k-means tree.
 
-The tree is fitted in numpy on a bounded sample; Spark puts every vector into its leaf. A query walks the tree best bin
-first, through a priority queue, and visits as many leaves as a calibration asks for: a bounded sample of queries is
-searched exactly over all vectors, and visits are widened until the wanted share of those neighbours is reached. Leaves
-are dealt in blocks of vectors and blocks of queries, so no group grows with the corpus.
+The upper tree is fitted in numpy on a bounded sample; where the corpus gives its leaves more than SPLIT_ROWS vectors,
+Spark fits a subtree for each of them on vectors of its own, so that leaves grow in number, not in size, up to MOST_LEAVES
+of them. Spark puts every vector into its leaf. A query walks the tree best bin first, through a priority queue, and
+visits as many leaves as a calibration asks for: a bounded sample of queries is searched exactly over all vectors, and
+visits are widened until the wanted share of those neighbours is reached. Leaves are dealt in blocks of vectors and blocks of
+queries, so no group grows with the corpus.
 """
 
 from __future__ import annotations
@@ -23,10 +25,15 @@ from navella.llm.shared import stored
 SAMPLE_ROWS = 20_000
 BRANCHES = 8
 LEAF_ROWS = 64
+#: A leaf of the upper tree with more vectors than this gets a subtree, fitted on at most SUBTREE_ROWS of them.
+SPLIT_ROWS = 4 * LEAF_ROWS
+SUBTREE_ROWS = 20_000
+#: Leaves of the whole tree, which goes to every executor, about at most.
+MOST_LEAVES = 200_000
 ROUNDS = 8
 #: Queries that the number of visits is calibrated on at most, and the recall wanted of them.
 CALIBRATION_QUERIES = 200
-RECALL = 0.97
+RECALL = 0.95
 #: Vectors, and queries, in a block.
 BLOCK = 4096
 
@@ -44,15 +51,36 @@ class Tree:
     def leaves(self) -> int:
         return int(self.leaf.max()) + 1
 
+    def grown(self, subtrees: dict[int, Tree]) -> Tree:
+        """The tree with subtrees in the place of leaves, its leaves numbered anew."""
+        parts = [(self.centre, self.first.copy(), self.count.copy(), self.leaf.copy())]
+        size, leaves = len(self.leaf), 0
+        node_of = {int(n): k for k, n in enumerate(self.leaf) if n >= 0}
+        for number, node in node_of.items():
+            sub = subtrees.get(number)
+            if sub is None or sub.leaves < 2:
+                parts[0][3][node] = leaves
+                leaves += 1
+                continue
+            # the subtree's root is the leaf's own node; its other nodes follow at the end
+            parts[0][1][node], parts[0][2][node], parts[0][3][node] = size + sub.first[0] - 1, sub.count[0], -1
+            inner = sub.count[1:] > 0
+            parts.append((sub.centre[1:], np.where(inner, sub.first[1:] + size - 1, 0), sub.count[1:], np.where(inner, -1, sub.leaf[1:] + leaves)))
+            size += len(sub.leaf) - 1
+            leaves += sub.leaves
+        return Tree(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
     @classmethod
-    def fit(cls, x: np.ndarray, seed: int = 11) -> Tree:
+    def fit(cls, x: np.ndarray, seed: int = 11, least: int | None = None) -> Tree:
+        """least: a part of fewer rows stays a leaf (LEAF_ROWS, unless given)."""
+        least = LEAF_ROWS if least is None else least
         rng = np.random.default_rng(seed)
         x = x.astype(np.float64)
         centre, first, count, leaf = [x.mean(0)], [0], [0], [-1]
         queue, leaves = [(0, np.arange(len(x)))], 0
         while queue:
             node, rows = queue.pop(0)
-            parts = _split(x[rows], rng) if len(rows) > LEAF_ROWS else None
+            parts = _split(x[rows], rng) if len(rows) > least else None
             if parts is None:
                 leaf[node] = leaves
                 leaves += 1
@@ -136,7 +164,8 @@ def top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, embedding) of the vectors that take part, and their dimension: those of the most frequent length (the
     smaller of equals) that are not null or zero and hold neither null nor non-finite numbers."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     v = v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     v = v.filter(finite & F.exists("embedding", lambda e: e != 0))
@@ -160,14 +189,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
-    tree = spark.sparkContext.broadcast(Tree.fit(matrix(sample.column("embedding").combine_chunks(), dim)))  # bounded by the sample
+    upper = Tree.fit(matrix(sample.column("embedding").combine_chunks(), dim))
+    tree = spark.sparkContext.broadcast(with_subtrees(candidates, upper, dim))  # MOST_LEAVES of them, about, at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = tree.value.assign(matrix(batch.column("embedding"), dim))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], names=["vec_id", "embedding", "leaf"])
 
-    placed = stored(candidates.mapInArrow(place, "vec_id long, embedding array<float>, leaf int"), "leaves")
+    placed = stored(candidates.mapInArrow(place, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, leaf int"), "leaves")
     queries = usable(vectors)[0].filter(is_query).withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("embedding"))))
     queries = queries.filter("copy = 1").select(F.col("vec_id").alias("query_id"), "embedding")
     visits = calibrated(placed, queries, tree.value, dim, k, recall)
@@ -207,6 +237,46 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def with_subtrees(vectors: DataFrame, upper: Tree, dim: int) -> Tree:
+    """The tree with a subtree in each leaf that holds more than SPLIT_ROWS of vectors, fitted in Spark on vectors of that
+    leaf, a bounded number for each: all, if there are no more, else those of the smallest hashes of vec_id, about."""
+    shared = vectors.sparkSession.sparkContext.broadcast(upper)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = shared.value.assign(matrix(batch.column("embedding"), dim))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(leaf.astype(np.int32))], names=["vec_id", "leaf"])
+
+    sizes = {r["leaf"]: r["count"] for r in vectors.mapInArrow(place, "vec_id long, leaf int").groupBy("leaf").count().collect()}  # a row for each leaf
+    large = {k: n for k, n in sizes.items() if n > SPLIT_ROWS}
+    if not large:
+        return upper
+    rows = min(SUBTREE_ROWS, -(-MOST_LEAVES * LEAF_ROWS // upper.leaves))
+    least = {k: max(LEAF_ROWS * min(n, rows) // n, BRANCHES) for k, n in large.items()}  # of the fitted rows, so that a leaf holds LEAF_ROWS of all
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = shared.value.assign(matrix(batch.column("embedding"), dim))
+            part = np.array([min(1.0, rows / large[k]) if k in large else 0.0 for k in leaf.tolist()])
+            kept = pa.array(batch.column("place").to_numpy() < part)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(leaf.astype(np.int32))], names=["vec_id", "embedding", "leaf"]).filter(kept)
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vec_id")
+        leaf = table.column("leaf")[0].as_py()
+        sub = Tree.fit(matrix(table.column("embedding").combine_chunks(), dim), least=least[leaf])
+        return pa.table({"leaf": pa.array([leaf], pa.int32()), "centre": [sub.centre.astype("<f8").tobytes()], "nodes": [np.stack([sub.first, sub.count, sub.leaf]).astype("<i8").tobytes()]})
+
+    schema = f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, leaf int"
+    spread = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
+    found = vectors.withColumn("place", spread).mapInArrow(chosen, schema).groupBy("leaf").applyInArrow(fit, "leaf int, centre binary, nodes binary").collect()
+    subtrees = {}
+    for r in found:
+        first, count, leaf = np.frombuffer(bytes(r["nodes"]), "<i8").reshape(3, -1)
+        subtrees[r["leaf"]] = Tree(np.frombuffer(bytes(r["centre"]), "<f8").reshape(-1, dim), first, count, leaf)
+    return upper.grown(subtrees)
+
+
 def calibrated(placed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, recall: float) -> int:
     """Leaf visits by which the wanted share of the exact neighbours of a bounded sample of queries is reached."""
     sample = queries.orderBy(F.xxhash64("query_id", F.lit(1)), "query_id").limit(CALIBRATION_QUERIES).toArrow()

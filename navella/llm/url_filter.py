@@ -2,7 +2,8 @@
 
 A rule is a host and a path prefix; it fits its host and all subdomains. Pages that no rule fits get the verdict of
 their host: personalised PageRank carries trust from the hosts of allowed pages along links, and distrust from the hosts of blocked
-pages against them. DataFrame operations only.
+pages against them. Both start as numbers of pages, so they are on one scale: a host is blocked where more
+blocked pages than allowed ones reach it. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navella.llm.shared import stored
+from navella.llm.shared import discard, stored
 
 #: (host and path, verdict); a rule list is a parameter of at most MOST_RULES entries, as it becomes one expression.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -21,7 +22,7 @@ DAMPING = 0.85
 TOLERANCE = 1e-4
 #: A guard: so many rounds without that are an error.
 ROUNDS = 1000
-#: A host is blocked if distrust makes up more than this share of its trust and distrust together.
+#: A host is blocked if distrust makes up more than this share of its trust and distrust together, which are in pages.
 THRESHOLD = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,24 +56,25 @@ def best_rule(host: Column, path: Column, rules=RULES) -> Column:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links from one host's pages to another host, each page counting once for a host. pages: page_id, host,
     html."""
-    links = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'#?/]+)"), 1)
+    links = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^<>]*?href\s*=\s*[\"']\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'#?/]+)"), 1)
     to = F.transform(links, lambda x: host_of(F.concat(F.lit("x:"), F.regexp_replace(x, "^[^/]*", ""))))
     each = pages.filter(F.col("host") != "").select(F.col("host").alias("src"), F.explode(F.array_distinct(to)).alias("dst"))
     return each.filter((F.col("src") != F.col("dst")) & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def host_trust(judged: DataFrame) -> DataFrame:
-    """host, trust and distrust of every host with a page or a link. judged: host, html, rule_verdict (allow, block or
-    null). Rank that comes to a host without links ends there."""
+    """host, trust and distrust of every host with a page or a link, in pages: what its own allowed (blocked) pages
+    count for, times 1 - DAMPING, and what comes over links from (to) others, times DAMPING. judged: host, html,
+    rule_verdict (allow, block or null). Rank that comes to a host without links ends there."""
     edges = stored(host_edges(judged), "edges")
     out, into = edges.groupBy("src").agg(F.sum("n").alias("out")), edges.groupBy("dst").agg(F.sum("n").alias("into"))
     edges = stored(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")), "edge-shares")
     seeds = judged.filter(F.col("host") != "").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
     linked = edges.select(F.col("dst").alias("host")).distinct().select("host", F.lit(0).alias("allowed"), F.lit(0).alias("blocked"))
     seeds = stored(seeds.unionByName(linked).groupBy("host").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")), "seeds")
-    allowed, blocked = seeds.agg(F.coalesce(F.sum("allowed"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
-    start = seeds.select("host", (F.col("allowed") / F.lit(max(allowed, 1))).alias("seed_trust"), (F.col("blocked") / F.lit(max(blocked, 1))).alias("seed_distrust"))
+    start = seeds.select("host", F.col("allowed").cast("double").alias("seed_trust"), F.col("blocked").cast("double").alias("seed_distrust"))
     ranks = start.withColumns({"trust": F.col("seed_trust"), "distrust": F.col("seed_distrust"), "change": F.lit(1.0)})
+    first = ranks
     for _ in range(ROUNDS):  # a host reached anew changes by 1
         forth = edges.join(ranks.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
         back = edges.join(ranks.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
@@ -81,7 +83,9 @@ def host_trust(judged: DataFrame) -> DataFrame:
         moved = moved.withColumn("trust", (1 - DAMPING) * F.col("seed_trust") + DAMPING * F.col("t")).withColumn("distrust", (1 - DAMPING) * F.col("seed_distrust") + DAMPING * F.col("d"))
         part = lambda new, old: F.coalesce(F.try_divide(F.abs(F.col(new) - F.col(old)), F.greatest(new, old)), F.lit(0.0))
         change = F.greatest(part("trust", "old_t"), part("distrust", "old_d"))
-        ranks = stored(moved.select("host", "seed_trust", "seed_distrust", "trust", "distrust", change.alias("change")), "ranks")
+        earlier, ranks = ranks, stored(moved.select("host", "seed_trust", "seed_distrust", "trust", "distrust", change.alias("change")), "ranks")
+        if earlier is not first:
+            discard(earlier)
         most = ranks.agg(F.max("change")).first()[0]
         if most is None or most < TOLERANCE:
             return ranks.select("host", "trust", "distrust")

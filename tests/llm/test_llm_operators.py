@@ -227,6 +227,89 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), F.lit(True), 20).count() == 0
 
 
+def test_leaves_are_split_where_they_are_large(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(nearest, "SPLIT_ROWS", 100)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8)) * 3
+    x = centres[rng.integers(0, 40, 1600)] + rng.normal(size=(1600, 8)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    upper = nearest.Tree.fit(x[:100])
+    whole = nearest.with_subtrees(df, upper, 8)
+    assert whole.leaves > 2 * upper.leaves
+    leaf = whole.assign(x)
+    assert leaf.min() >= 0 and np.bincount(leaf, minlength=whole.leaves).max() <= 200
+    assert sorted(whole.visit(x[0], whole.leaves)) == list(range(whole.leaves))
+    got = nearest.search(df, F.col("vec_id") % 20 == 0, 20).collect()
+    hit, scores = 0, x @ x.T
+    for r in got:
+        assert r["score"] == float(nearest.exact(x[r["query_id"]][None], x[r["vec_id"]][None])[0])
+    for q in range(0, 1600, 20):
+        order = sorted((i for i in range(1600) if i != q), key=lambda i: -scores[q, i])[:20]
+        hit += len(set(order) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hit / (20 * 80) >= 0.9
+
+
+def test_double_vectors_keep_their_scores(spark):
+    rows = [(0, [1e-9, 1.0]), (1, [0.05000000002, 0.0]), (2, [1e-50, 0.0]), (3, [0.0, 0.0])]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1, 20).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(0, 0.05000000002 * 1e-9), (2, 0.05000000002 * 1e-50)]
+
+
+def plain_ranks(edges, allowed, blocked, hosts):
+    out, into = defaultdict(int), defaultdict(int)
+    for (a, b), n in edges.items():
+        out[a] += n
+        into[b] += n
+    trust, distrust = dict(allowed), dict(blocked)
+    for _ in range(300):
+        trust = {h: 0.15 * allowed.get(h, 0) + 0.85 * sum(trust.get(a, 0) * n / out[a] for (a, b), n in edges.items() if b == h) for h in hosts}
+        distrust = {h: 0.15 * blocked.get(h, 0) + 0.85 * sum(distrust.get(b, 0) * n / into[b] for (a, b), n in edges.items() if a == h) for h in hosts}
+    return trust, distrust
+
+
+def test_ranks_are_the_plain_ones(spark):
+    rng = random.Random(12)
+    hosts = [f"h{k}.net" for k in range(6)] + ["a.org", "b.org", "s.com"]
+    rows, edges, allowed, blocked = [], defaultdict(int), defaultdict(int), defaultdict(int)
+    for k in range(40):
+        host, path = rng.choice(hosts), rng.choice(("/x", "/de/1", ""))
+        to = {rng.choice(hosts) for _ in range(rng.randint(0, 3))}
+        rows.append((k, f"http://{host}{path}", "".join(f'<a href="https://{t}/p">x</a>' for t in to), "own"))
+        for t in to - {host}:
+            edges[host, t] += 1
+        if host.endswith(".org"):
+            allowed[host] += bool(path)
+        elif host == "s.com":
+            blocked[host] += path == "/de/1"
+    rows += [(40, "http://a.org/x", None, "own"), (40, "http://a.org/x", None, "own"), (41, "http://s.com/de/2", "<a " * 50_000, "own")]
+    allowed["a.org"] += 2
+    blocked["s.com"] += 1
+    trust, distrust = plain_ranks(edges, allowed, blocked, hosts)
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, verdict string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.isclose(r["trust"], trust[r["host"]], rtol=2e-3) and np.isclose(r["distrust"], distrust[r["host"]], rtol=2e-3)
+        if r["decided_by"] == "host":
+            t, d = trust[r["host"]], distrust[r["host"]]
+            assert r["verdict"] == ("block" if d > t else "allow") or abs(t - d) < 1e-3 * (t + d)
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_more_allowed_than_blocked_pages_of_a_host_allow_it(spark):
+    rows = [(k, f"http://s.com/fr/{k}", None) for k in range(4)] + [(4 + k, f"http://s.com/de/{k}", None) for k in range(2)] + [(9, "http://s.com/", None)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "allow" and got[4] == "block"
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = "one two three four five six seven eight nine ten", "quite another text of several words to stand alone here"
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "y"), (3, b, "z"), (None, b, "w"), (None, "third text that only rows without an id have in here", "p"), (None, "third text that only rows without an id have in here", "q"), (4, None, "e"), (4, "", "f"), (1, "a text of its own though its id is one of the others", "g")]
+    got = jaccard_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, class string").repartition(3)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(True, 1, a), (True, 3, b), (False, 0, rows[5][1]), (True, 4, ""), (True, 4, ""), (True, 1, rows[9][1])])
+    assert got[0].asDict().keys() == {"doc_id", "text", "class"}
+
+
 def test_url_rules_and_links(spark):
     page = lambda *to: "".join(f'<a href="{u}">x</a>' for u in to)
     rows = [(0, "http://a.org/x", page("https://good.net/", "/own")), (1, "http://GOOD.net/p", page("//friend.info/")), (2, "http://friend.info", None), (3, "https://s.com/de/1", None), (4, "http://bad.net/", page("https://s.com/q?x")), (5, None, "x"), (6, "no scheme", None), (7, "http://b.example.org/es/1?u#f", None), (8, "http://aorg/x", None), (9, "http://a.org", None)]

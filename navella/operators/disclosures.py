@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Headings looked for at the start of a line.
-HEADINGS = ("investment objective", "investment strategy", "asset allocation", "benchmark", "risk factors", "fund manager", "load structure")
+#: The standard headings of scheme documents, looked for at the start of a line.
+HEADINGS = (
+    "Investment Objective",
+    "Investment Strategy",
+    "Asset Allocation Pattern",
+    "Risk Factors",
+    "Fund Manager",
+    "Load Structure",
+    "Expenses of the Scheme",
+)
+#: Words of a scheme's name that tell nothing.
+STOP_WORDS = ("fund", "plan", "scheme", "the", "of", "direct", "regular", "growth", "option")
 MONTH_DATE = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)?[ -]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ ,-]+(\d{4})"
 
 
@@ -17,10 +27,14 @@ def headings(text: Column) -> Column:
 
 
 def parse_status(pages: DataFrame) -> DataFrame:
-    """For each document (pages: doc_id, page_number, text) the share of pages with text and what it means."""
-    filled = F.avg((F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).cast("double"))
-    found = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), filled.alias("share"))
-    return found.withColumn("status", F.when(F.col("share") == 0, "unparseable_scanned").when(F.col("share") < 0.5, "unparseable").otherwise("parsed"))
+    """For each document (pages: doc_id, page_number, text; a document without pages has a row of null page_number) the share
+    of pages with text and its status: parsed with text on any page, unparseable_scanned without, unparseable without
+    pages."""
+    filled = F.count_if(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    found = pages.groupBy("doc_id").agg(F.count("page_number").alias("pages"), filled.alias("filled"))
+    share = F.coalesce(F.try_divide("filled", "pages"), F.lit(0.0))
+    status = F.when(F.col("pages") == 0, "unparseable").when(share == 0, "unparseable_scanned").otherwise("parsed")
+    return found.select("doc_id", "pages", share.alias("share"), status.alias("status"))
 
 
 def occurrences(text: Column, terms: list[str]) -> Column:
@@ -29,20 +43,50 @@ def occurrences(text: Column, terms: list[str]) -> Column:
     return sum(((F.length(low) - F.length(F.replace(low, F.lit(t)))) / len(t) for t in map(str.lower, terms)), F.lit(0.0)).cast("long")
 
 
-def search_pages(pages: DataFrame, terms: list[str], max_chars: int) -> DataFrame:
-    """Pages with the terms, most occurrences first, within a budget of characters for each document; the page that exceeds it is
-    cut."""
-    rows = pages.withColumn("score", occurrences(F.col("text"), terms)).filter("score > 0")
+TRUNCATED = "…[truncated]"
+
+
+def search_pages(pages: DataFrame, terms: list[str], max_chars: int, wanted: list[str] | None = None) -> DataFrame:
+    """Pages with the terms, most occurrences first, within a budget of characters for each document; the page that exceeds
+    it is cut and marked. wanted: only pages with one of these headings. Pages are ranked by their lengths and scores;
+    only those that stay are given their text again."""
+    pages = pages if wanted is None else pages.filter(F.arrays_overlap(headings(F.col("text")), F.array(*map(F.lit, wanted))))
+    rows = pages.select("doc_id", "page_number", occurrences(F.col("text"), terms).alias("score"), F.length("text").alias("size")).filter("score > 0")
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "page_number")
-    rows = rows.withColumns({"rank": F.row_number().over(order), "before": F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    left = F.least(F.length("text"), F.lit(max_chars) - F.col("before"))
-    return rows.filter(F.col("before") < max_chars).select("doc_id", "page_number", "score", "rank", left.cast("long").alias("chars"))
+    rows = rows.withColumns({"rank": F.row_number().over(order), "before": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    left = F.least(F.col("size"), F.lit(max_chars) - F.col("before")).cast("int")
+    rows = rows.filter(F.col("before") < max_chars).withColumn("left", left)
+    text = F.when(F.col("size") <= F.col("left"), F.col("text")).otherwise(F.concat(F.col("text").substr(F.lit(1), F.col("left")), F.lit(TRUNCATED)))
+    return pages.join(rows, ["doc_id", "page_number"]).select("doc_id", "page_number", "score", "rank", F.col("left").cast("long").alias("chars"), text.alias("text"))
+
+
+def excerpts(pages: DataFrame, heading: str, most_pages: int = 2, max_chars: int = 3000) -> DataFrame:
+    """The first pages of each document with a heading, each cut to so many characters."""
+    rows = pages.filter(F.array_contains(headings(F.col("text")), heading))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number"))).filter(F.col("nth") <= most_pages)
+    return rows.select("doc_id", "page_number", F.substring("text", 1, max_chars).alias("excerpt"))
 
 
 def file_links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """Distinct link targets of every page with whether they are of a spreadsheet or PDF file."""
-    rows = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1))).alias("href"))
-    return rows.withColumn("is_file", F.lower("href").rlike(r"\.(xlsx|xls|pdf)$"))
+    """Distinct link targets of every page, with the address they lead to from the page's own, whether they are of a
+    spreadsheet or PDF file, and the first day of the month or the day that the file's name tells."""
+    targets = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*[\"']([^\"']*)[\"']"), 1), lambda h: F.trim(h)))
+    rows = pages.select("page_id", F.coalesce(F.col(url), F.lit("")).alias("own"), F.explode(targets).alias("href"))
+    scheme, host = F.regexp_extract("own", r"^([a-z][a-z0-9+.-]*:)//", 1), F.regexp_extract("own", r"^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract("own", r"^([a-z][a-z0-9+.-]*://[^?#]*/)", 1)
+    href = F.col("href")
+    base = F.coalesce(F.nullif(folder, F.concat(scheme, F.lit("//"))), F.concat(host, F.lit("/")))
+    absolute = F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(base, href))
+    return rows.select("page_id", "href", absolute.alias("address"), F.lower("href").rlike(r"\.(xlsx|xls|pdf)$").alias("is_file"), file_date(href).alias("file_date"))
+
+
+def file_date(name: Column) -> Column:
+    """The first of the month that a file's name tells: Mar 2024, Mar2024, 2024-03-15."""
+    last = F.regexp_extract(name, r"([^/]*)/*$", 1)
+    word = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*[_\- ]?\s*(\d{4})"
+    words = F.try_to_date(F.concat_ws(" ", F.initcap(F.regexp_extract(last, word, 1)), F.regexp_extract(last, word, 2)), "MMM yyyy")
+    day = F.try_to_date(F.concat(F.regexp_extract(last, r"(\d{4}-\d{2})-\d{2}", 1), F.lit("-01")), "yyyy-MM-dd")
+    return F.coalesce(words, day)
 
 
 def loose_date(text: Column) -> Column:
@@ -152,9 +196,10 @@ def freshness(documents: DataFrame, as_of: str, expected: dict[str, int]) -> Dat
 
 
 def words(name: Column) -> Column:
-    """Distinct lower-cased words of a name without stop words."""
-    stop = F.array(*map(F.lit, ("fund", "the", "of", "scheme", "plan")))
-    return F.array_except(F.split(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), " "), stop)
+    """Distinct lower-cased words of a name, compounds of cap parted, without stop words."""
+    plain = F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")
+    parted = F.regexp_replace(plain, r"\b(mid|small|large|flexi|multi|micro)cap\b", "$1 cap")
+    return F.array_except(F.split(F.trim(parted), " "), F.array(*map(F.lit, (*STOP_WORDS, ""))))
 
 
 def resolve(queries: DataFrame, schemes: DataFrame, limit: int) -> DataFrame:
@@ -169,3 +214,143 @@ def resolve(queries: DataFrame, schemes: DataFrame, limit: int) -> DataFrame:
     rows = rows.withColumns({"confidence": confidence, "extra": F.size(F.array_except("w", "q"))})
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "extra", "scheme_id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "scheme_id", "name", "confidence", "extra", "rank")
+
+
+#: Words that look like a name's but are heads or captions.
+NO_NAME = (
+    "name", "since", "total", "exp", "over", "years", "fund", "manager", "managers", "scheme", "schemes", "date", "details",
+    "experience", "managing", "overseas", "investment", "investments", "equity", "debt", "dedicated", "portion", "securities",
+    "head", "research", "chief", "officer", "as", "on", "of",
+)
+MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+#: A start as sheets print it: 28-May-2013, May 28, 2013, 28/05/2013, May 2013, since inception.
+START = rf"(since\s+inception|inception|\d{{1,2}}[- ]{MONTH}[- ,]+\d{{2,4}}|{MONTH}\.?,?\s+(?:\d{{1,2}},?\s*)?\d{{4}}|{MONTH}-\d{{4}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}})"
+PERSON = r"([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){1,3})"
+#: (layout, pattern with a person and a start): a titled name with its own start before the next title; a name with
+#: the start in parentheses; a label with one; a row of a table.
+MANAGERS = (
+    ("titled", rf"(?s)\b(?:Mr|Ms|Mrs|Dr)\.?[ \t]+{PERSON}(?:(?!\b(?:Mr|Ms|Mrs|Dr)\b).){{0,300}}?(?i:managing\s+since|\(\s*since|w\.e\.f\.?)\s*[:\-]?\s*(?i:{START})"),
+    ("parenthesis", rf"{PERSON}\s*\(\s*(?i:managing\s+(?:this\s+fund\s+)?since)\s+(?i:{START})"),
+    ("label", rf"(?:Fund[ \t]+Managers?|Managed[ \t]+by)[*^#]*[ \t]*[:\-][ \t]*(?:Mr\.|Ms\.|Mrs\.|Dr\.)?[ \t]*{PERSON}(?:[ \t]*\(?(?i:managing\s+since|w\.e\.f\.?)\s*[:\-]?\s*(?i:{START}))?"),
+    ("row", rf"(?m)^(?:Mr\.|Ms\.|Mrs\.|Dr\.)?[ \t]*{PERSON}(?:[ \t]*\([^)]{{0,60}}\))?(?:[ \t]+\d{{1,2}}[ \t]+years?)?[ \t]+({MONTH}[ \t]+\d{{1,2}}[ \t]*,[ \t]*\d{{4}}|{MONTH}[- ]\d{{4}})"),
+)
+
+
+def start_date(text: Column) -> Column:
+    """The day that a start tells, the first of the month where it has no day; null otherwise."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[.,]", " "), r"\s+", " "))
+    short = F.regexp_replace(plain, rf"(?i)\b({MONTH})\b", "$1")
+    month = F.initcap(F.regexp_extract(short, r"([A-Za-z]{3})[a-z]*", 1))
+    day_first, month_first, alone = (F.regexp_extract(short, p, k) for p, k in ((r"^(\d{1,2})[- ]+[A-Za-z]", 1), (r"^[A-Za-z]+[- ]+(\d{1,2}) ", 1), (r"(\d{4}|\d{2})$", 1)))
+    year = F.when(F.length(alone) == 2, F.concat(F.lit("20"), alone)).otherwise(alone)
+    day = F.coalesce(F.nullif(day_first, F.lit("")), F.nullif(month_first, F.lit("")), F.lit("1"))
+    words = F.try_to_date(F.concat_ws(" ", day, month, year), "d MMM yyyy")
+    return F.coalesce(words, F.try_to_date(text, "d/M/yyyy"), F.try_to_date(text, "d/M/yy"))
+
+
+def managers(pages: DataFrame) -> DataFrame:
+    """(doc_id, name, managing_since) of managers named on pages (doc_id, text, and inception, to which "since inception"
+    refers, where a column has it), in any of four layouts; of several starts the earliest counts. Heads and
+    captions in front of a name go."""
+    inception = F.col("inception") if "inception" in pages.columns else F.lit(None).cast("date")
+    pages = pages.select("doc_id", "text", inception.alias("inception"))
+    found = None
+    for _, pattern in MANAGERS:
+        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("name"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("start"))
+        rows = pages.select("doc_id", "inception", F.explode(pairs).alias("m")).select("doc_id", "inception", "m.*")
+        found = rows if found is None else found.unionByName(rows)
+    words = F.split(F.trim(F.regexp_replace("name", r"\s+", " ")), " ")
+    bad = F.array(*map(F.lit, NO_NAME))
+    first = F.array_position(F.transform(words, lambda w: ~F.array_contains(bad, F.lower(w))), F.lit(True))
+    kept = F.when(first > 0, F.slice(words, first.cast("int"), F.size(words)))
+    found = found.withColumn("words", kept).filter((F.size("words") >= 2) & ~F.exists("words", lambda w: F.array_contains(bad, F.lower(w))))
+    since = F.when(F.lower("start").contains("inception"), F.col("inception")).otherwise(start_date(F.col("start")))
+    return found.groupBy("doc_id", F.array_join("words", " ").alias("name")).agg(F.min(since).alias("managing_since"))
+
+
+UNTIL = rf"(?i)^[\s,&]*\(?\s*(?:effective\s+)?(?:till|until|upto)\s+({MONTH}\.?\s+\d{{1,2}},?\s*\d{{4}}|\d{{1,2}}[- ]{MONTH}[- ,]+\d{{4}})"
+
+
+def current_managers(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Of managers (doc_id, name, managing_since) those in office on the document's day (pages: doc_id, doc_date, text): not
+    those printed with an end before it, nor with a start after it."""
+    rows = found.join(pages.select("doc_id", "doc_date", "text"), "doc_id")
+    parts = F.split("text", F.concat(F.lit(r"\Q"), F.col("name"), F.lit(r"\E")))
+    ends = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.regexp_extract(F.regexp_replace(F.substring(x, 1, 80), r"\s+", " "), UNTIL, 1))
+    until = start_date(F.get(F.filter(ends, lambda x: x != ""), F.lit(0)))
+    gone = F.coalesce(until < F.col("doc_date"), F.lit(False))
+    to_come = F.coalesce(F.col("managing_since") > F.col("doc_date"), F.lit(False))
+    return rows.filter(~gone & ~to_come).select("doc_id", "name", "managing_since")
+
+
+def inception_dates(pages: DataFrame) -> DataFrame:
+    """(doc_id, inception) stated on pages (doc_id, page_number, text), the first."""
+    stated = F.regexp_extract(F.regexp_replace("text", r"\s+", " "), rf"(?i)(?:date\s+of\s+)?(?:inception|allotment)(?:[\s/]+allotment)?(?:\s+date)?[\s/:\-]*({MONTH}\.?\s+\d{{1,2}},?\s*\d{{4}}|\d{{1,2}}[- ]{MONTH}[- ,]+\d{{2,4}}|\d{{1,2}}/\d{{1,2}}/\d{{4}})", 1)
+    return pages.withColumn("day", start_date(F.nullif(stated, F.lit("")))).filter("day is not null").groupBy("doc_id").agg(F.min_by("day", "page_number").alias("inception"))
+
+
+#: Lines under an expense heading in which its figures stand, and beyond them in which a caption may name them.
+BLOCK, REACH = 6, 3
+BASE = r"(?i)base\s+expense\s+ratio|\bBER\b"
+
+
+def expense_ratios(pages: DataFrame) -> DataFrame:
+    """(doc_id, plan_type, ratio_type, pct) of layout pages (doc_id, page_number, text): a Direct or Regular (also Other)
+    figure on one line, within six lines under a heading of expense ratios. A heading that names TER and BER as columns
+    types its figures in that order; else they are BER if heading or caption says base, and TER if not. The first of
+    each kind counts, and headings after both plans are known don't. Figures lie between 0 and 5."""
+    lines = pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
+    page = Window.partitionBy("doc_id", "page_number").orderBy("at")
+    lines = lines.withColumn("near", F.collect_list("line").over(page.rowsBetween(0, BLOCK + REACH)))
+    heads = lines.filter(F.col("line").rlike(r"(?i)expense\s+ratio|\bTER\b"))
+    block = F.slice("near", 1, BLOCK + 1)
+    named = F.transform(F.slice(F.filter(block, lambda x: F.trim(x) != ""), 1, 3), lambda x: F.regexp_extract_all(x, F.lit(r"\b(TER|BER)\b"), 1))
+    columns = F.get(F.filter(named, lambda c: F.size(F.array_distinct(c)) == 2), F.lit(0))
+    kind = F.when(F.exists("near", lambda x: x.rlike(BASE)), "BER").otherwise("TER")
+    heads = heads.select("doc_id", "page_number", "at", columns.alias("columns"), kind.alias("kind"), F.posexplode(block).alias("nth", "text"))
+    pairs = lambda p: F.arrays_zip(F.regexp_extract_all("text", F.lit(p), 1).alias("label"), F.regexp_extract_all("text", F.lit(p), 2).alias("pct"))
+    label = F.regexp_extract("text", r"(?i)^\s*(direct|regular|other)\b", 1)
+    by_column = F.transform(F.arrays_zip(F.col("columns").alias("c"), F.slice(F.regexp_extract_all("text", F.lit(r"(\d{1,2}\.\d{1,4})\s*%"), 1), 1, 2).alias("p")), lambda z: F.struct(label.alias("label"), z["p"].alias("pct"), z["c"].alias("kind")))
+    colons = pairs(r"(?i)\b(direct|regular|other)(?:\s+plan)?\s*:\s*(\d{1,2}\.\d{1,4})\s*%")
+    starts = pairs(r"(?i)^\s*(direct|regular|other)\b[^\d\n]{0,160}?(\d{1,2}\.\d{1,4})\s*%?")
+    plain = F.transform(F.when(F.size(colons) > 0, colons).otherwise(starts), lambda z: F.struct(z["label"].alias("label"), z["pct"].alias("pct"), F.col("kind").alias("kind")))
+    figures = F.when(F.col("columns").isNotNull(), F.when(label != "", by_column).otherwise(F.array().cast("array<struct<label:string,pct:string,kind:string>>"))).otherwise(plain)
+    rows = heads.select("doc_id", "page_number", "at", "nth", F.posexplode(figures).alias("k", "z"))
+    plan = F.when(F.lower("z.label") == "direct", "Direct").otherwise("Regular")
+    rows = rows.select("doc_id", F.struct("page_number", "at").alias("head"), F.struct("page_number", "at", "nth", "k").alias("order"), plan.alias("plan_type"), F.col("z.kind").alias("ratio_type"), F.col("z.pct").cast("double").alias("pct")).filter("pct > 0 and pct < 5")
+    first = {p: F.min(F.when(F.col("plan_type") == p, F.col("head"))).over(Window.partitionBy("doc_id")) for p in ("Direct", "Regular")}
+    last = F.greatest(first["Direct"], first["Regular"])  # nulls are passed over, so both must be there
+    both = first["Direct"].isNotNull() & first["Regular"].isNotNull()
+    rows = rows.withColumn("known_by", F.when(both, last)).filter("known_by is null or head <= known_by")
+    return rows.groupBy("doc_id", "plan_type", "ratio_type").agg(F.min_by("pct", "order").alias("pct"))
+
+
+def ratio_map(ratios: DataFrame) -> DataFrame:
+    """(doc_id, TER, BER): maps from plan type to figure; null without any."""
+    plans = F.map_from_entries(F.array_sort(F.collect_list(F.struct("plan_type", "pct"))))
+    return ratios.groupBy("doc_id").pivot("ratio_type", ["TER", "BER"]).agg(plans)
+
+
+def ratio_changes(ratios: DataFrame, least: float = 0.001) -> DataFrame:
+    """Total expense ratios (scheme_id, doc_date, plan_type, ratio_type, pct) that differ from the document before by more than
+    least; base ratios are another number and don't count."""
+    days = Window.partitionBy("scheme_id").orderBy("doc_date")
+    docs = ratios.select("scheme_id", "doc_date").distinct().withColumn("previous", F.lag("doc_date").over(days))
+    ter = ratios.filter("ratio_type = 'TER'").select("scheme_id", "doc_date", "plan_type", "pct")
+    old = ter.withColumnsRenamed({"doc_date": "previous", "pct": "before"})
+    rows = ter.join(docs, ["scheme_id", "doc_date"]).join(old, ["scheme_id", "plan_type", "previous"])
+    return rows.filter(F.abs(F.col("pct") - F.col("before")) > least).select("scheme_id", "doc_date", "plan_type", "before", F.col("pct").alias("after"))
+
+
+def latest_costs(plans: DataFrame, ratios: DataFrame) -> DataFrame:
+    """For each scheme of plans and plan type the newest stated total expense ratio of its growth plan, or why there is none:
+    no_direct_growth_plan, no_regular_growth_plan, not_yet_ingested."""
+    kinds = F.explode(F.array(F.lit("Direct"), F.lit("Regular")))
+    asked = plans.select("scheme_id").distinct().select("scheme_id", kinds.alias("plan_type"))
+    growth = plans.filter("option_type = 'Growth'").select("scheme_id", "plan_type", F.lit(True).alias("has_plan")).distinct()
+    newest = ratios.filter("ratio_type = 'TER'").groupBy("scheme_id", "plan_type").agg(F.max(F.struct("doc_date", "pct")).alias("c"))
+    rows = asked.join(growth, ["scheme_id", "plan_type"], "left").join(newest, ["scheme_id", "plan_type"], "left")
+    no_plan = F.concat(F.lit("no_"), F.lower("plan_type"), F.lit("_growth_plan"))
+    reason = F.when(F.col("has_plan").isNull(), no_plan).when(F.col("c").isNull(), "not_yet_ingested").otherwise("stated")
+    known = reason == "stated"
+    return rows.select("scheme_id", "plan_type", F.when(known, F.col("c.doc_date")).alias("as_of_date"), F.when(known, F.col("c.pct")).alias("ter_pct"), reason.alias("source"))

@@ -28,8 +28,7 @@ def chosen_plans(plans: DataFrame, plan_type: str = "Direct", option: str = "Gro
 def trailing(nav: DataFrame, horizons: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Growth a year up to each plan's last price, over horizons and since inception. Starts are the last prices on or
     before the anchor less int(h * 365.25) days; they are taken from the whole series."""
-    anchors = nav.groupBy("plan_id").agg(F.max("date").alias("anchor"))
-    rows = nav.join(anchors, "plan_id")
+    rows = nav.withColumn("anchor", F.max("date").over(Window.partitionBy("plan_id")))  # one shuffle serves both
     starts = [as_of(F.col("date"), F.col("nav"), F.date_sub("anchor", int(h * 365.25))).alias(f"s{h}") for h in horizons]
     found = rows.groupBy("plan_id").agg(F.count("*").alias("n"), F.min(F.struct("date", "nav")).alias("first"), F.max(F.struct("date", "nav")).alias("last"), *starts)
     grown = [cagr(F.col(f"s{h}.date"), F.col(f"s{h}.nav"), F.col("last.date"), F.col("last.nav")).alias(f"cagr_{h}y") for h in horizons]
@@ -62,13 +61,14 @@ def risk(nav: DataFrame, risk_free: float = RISK_FREE) -> DataFrame:
 
 
 def rolling_returns(nav: DataFrame, years: int) -> DataFrame:
-    """For each day the growth a year since the first price on or after the day w days before and at most 5 days later."""
+    """For each day the return since the first price on or after the day w days before and at most 5 days later, not
+    annualised; none where that price isn't above 0."""
     w = int(years * 365.25)
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
     frame = Window.partitionBy("plan_id").orderBy("day").rangeBetween(-w, min(5 - w, 0))
     start = F.first(F.struct("date", "nav")).over(frame)
     rows = nav.withColumn("day", day).withColumn("start", start)
-    grown = cagr(F.col("start.date"), F.col("start.nav"), F.col("date"), F.col("nav"))
+    grown = F.when(F.col("start.nav") > 0, F.try_divide("nav", "start.nav") - 1)
     return rows.select("plan_id", "date", grown.alias("ret")).filter("ret is not null")
 
 
@@ -97,19 +97,19 @@ def drawdowns(nav: DataFrame, least: float = 0.10) -> DataFrame:
 def cost_gap(plans: DataFrame, nav: DataFrame, least_days: int = 30) -> DataFrame:
     """Mean difference of daily log returns of the direct and the regular growth plan, in basis points a year. Returns are
     taken on each series first, then put together by date."""
+    wanted = plans.filter("option_type = 'Growth' and plan_type in ('Direct', 'Regular')").groupBy("scheme_id", "plan_type").agg(F.min("plan_id").alias("plan_id"))
     before = F.lag("nav").over(by_day())
-    logs = nav.withColumn("log", F.when((before > 0) & (F.col("nav") > 0), F.log(F.col("nav") / F.when(before > 0, before)))).filter("log is not null")
-    rows = logs.join(plans.select("plan_id", "scheme_id", "plan_type"), "plan_id")
-    side = lambda k, n: rows.filter(F.col("plan_type") == k).select("scheme_id", "date", F.col("log").alias(n))
-    found = side("Direct", "d").join(side("Regular", "r"), ["scheme_id", "date"]).groupBy("scheme_id")
-    found = found.agg(F.avg(F.col("d") - F.col("r")).alias("gap"), F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    logs = nav.join(wanted, "plan_id").withColumn("log", F.when((before > 0) & (F.col("nav") > 0), F.log(F.col("nav") / F.when(before > 0, before))))
+    side = lambda k: F.max(F.when(F.col("plan_type") == k, F.col("log")))
+    days = logs.groupBy("scheme_id", "date").agg((side("Direct") - side("Regular")).alias("gap")).filter("gap is not null")
+    found = days.groupBy("scheme_id").agg(F.avg("gap").alias("gap"), F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
     return found.select("scheme_id", F.when(F.col("n") >= least_days, F.round(F.col("gap") * 252 * 10000, 1)).alias("gap_bps"), "n", "first_date", "last_date")
 
 
 def against_benchmark(nav: DataFrame, benchmark_id: str, risk_free: float = RISK_FREE) -> DataFrame:
-    """Beta, alpha, information ratio and capture of each plan against a benchmark series, on returns between common dates. One
-    series goes to every executor, its length bounded by the days it covers."""
-    bench = F.broadcast(nav.filter(F.col("plan_id") == benchmark_id).select("date", F.col("nav").alias("b")))
+    """Beta, alpha, information ratio and capture of each plan against a benchmark series, on returns between common dates. Spark
+    sends the benchmark to every executor where its size allows that, and else shuffles."""
+    bench = (nav.filter(F.col("plan_id") == benchmark_id).select("date", F.col("nav").alias("b")))
     rows = nav.filter(F.col("plan_id") != benchmark_id).join(bench, "date")
     f0, b0 = F.lag("nav").over(by_day()), F.lag("b").over(by_day())
     rows = rows.withColumns({"f": F.when(f0 > 0, F.col("nav") / f0 - 1), "r": F.when(b0 > 0, F.col("b") / b0 - 1)}).filter("f is not null and r is not null")
@@ -129,16 +129,21 @@ def side_pocket(name: Column) -> Column:
     return name.rlike(r"(?i)\bseg(regated)?\.?\s*portfolio\b")
 
 
-def category_ranks(schemes: DataFrame, plans: DataFrame, nav: DataFrame, horizon: int = 3) -> DataFrame:
+def category_ranks(schemes: DataFrame, plans: DataFrame, nav: DataFrame, horizon: int = 3, anchor: str | None = None) -> DataFrame:
     """Rank and percentile of each scheme's plan among active direct growth plans of its category and sub-category, and the
-    peers' quartiles; side pockets are no peers."""
+    peers' quartiles, all at one anchor (the newest day of all prices, unless given): growth a year between the last prices
+    on or before the anchor and the day int(horizon * 365.25) days before it. Side pockets are no peers."""
     pool = plans.filter("active and plan_type = 'Direct' and option_type = 'Growth'").groupBy("scheme_id").agg(F.min("plan_id").alias("plan_id"))
     pool = pool.join(schemes.filter(~side_pocket(F.col("name"))), "scheme_id")
-    rows = pool.join(trailing(nav, (horizon,)), "plan_id").withColumnRenamed(f"cagr_{horizon}y", "cagr").filter("cagr is not null")
+    at = F.lit(anchor or nav.agg(F.max("date")).first()[0]).cast("date")
+    ends = {"s": F.date_sub(at, int(horizon * 365.25)), "e": at}
+    grown = nav.groupBy("plan_id").agg(*(as_of(F.col("date"), F.col("nav"), day).alias(k) for k, day in ends.items()))
+    grown = grown.select("plan_id", cagr(F.col("s.date"), F.col("s.nav"), F.col("e.date"), F.col("e.nav")).alias("cagr"))
+    rows = pool.join(grown, "plan_id").filter("cagr is not null").withColumn("anchor", at)
     group = Window.partitionBy("category", "sub_category")
     rows = rows.withColumns({"n": F.count("*").over(group), "rank": F.rank().over(group.orderBy(F.desc("cagr"))), "up": F.row_number().over(group.orderBy("cagr"))})
-    at = lambda i: F.max(F.when(F.col("up") == i + 1, F.col("cagr"))).over(group)
+    nth = lambda i: F.max(F.when(F.col("up") == i + 1, F.col("cagr"))).over(group)
     n = F.col("n")
-    points = {"median": at(F.floor(n / 2)), "p25": at(F.floor(n / 4)), "p75": at(F.least(n - 1, F.floor(3 * n / 4)))}
+    points = {"median": nth(F.floor(n / 2)), "p25": nth(F.floor(n / 4)), "p75": nth(F.least(n - 1, F.floor(3 * n / 4)))}
     percentile = F.round(100 * (1 - (F.col("rank") - 1) / n), 1)
-    return rows.withColumns(points).select("scheme_id", "plan_id", "category", "sub_category", "cagr", "rank", percentile.alias("percentile"), "n", *points)
+    return rows.withColumns(points).select("scheme_id", "plan_id", "anchor", "category", "sub_category", "cagr", "rank", percentile.alias("percentile"), "n", *points)

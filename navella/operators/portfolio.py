@@ -26,9 +26,11 @@ def equity_like(holdings: DataFrame) -> DataFrame:
     return holdings.filter(asset_class().isin("equity", "foreign", "reit"))
 
 
-def display_name(name: Column) -> Column:
-    """Cash lines of a repo code with a readable name."""
-    return F.when(name.rlike(r"^TRP_\d{6}$"), F.concat(F.lit("TREPS / Reverse Repo ("), name, F.lit(")"))).otherwise(name)
+def display_name(name: Column, asset_class: Column | None = None) -> Column:
+    """Cash lines of a repo code with a readable name (of any asset class where it isn't given)."""
+    is_cash = F.lit(True) if asset_class is None else asset_class == "cash"
+    coded = F.concat(F.lit("TREPS / Reverse Repo ("), F.trim(name), F.lit(")"))
+    return F.when(F.coalesce(is_cash, F.lit(False)) & F.trim(name).rlike(r"^TRP_\d{6}$"), coded).otherwise(name)
 
 
 def allocation(holdings: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def top_holdings(holdings: DataFrame, n: int) -> DataFrame:
     """The n largest holdings of every snapshot; no weight counts as 0; ties by name."""
     order = Window.partitionBy(*SNAPSHOT).orderBy(F.desc(F.coalesce("pct_nav", F.lit(0.0))), "instrument_name")
     rows = holdings.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return rows.select(*SNAPSHOT, "rank", display_name(F.col("instrument_name")).alias("name"), "isin", "pct_nav")
+    return rows.select(*SNAPSHOT, "rank", display_name(F.col("instrument_name"), F.col("asset_class")).alias("name"), "isin", "pct_nav")
 
 
 def snapshots(holdings: DataFrame) -> DataFrame:
@@ -74,35 +76,49 @@ def clean_ratio(old: Column, new: Column) -> Column:
     r = F.try_divide(new, old)
     near = lambda d: F.struct(F.abs(r - F.rint(r * d) / d).alias("off"), d.alias("d"), F.rint(r * d).alias("n"))
     best = F.array_min(F.transform(F.sequence(F.lit(1), F.lit(8)), near))
-    return F.coalesce((r > 0) & (F.abs(r - 1) > 0.005) & (best["off"] <= 0.005) & (best["n"] + best["d"] <= 12), F.lit(False))
+    return F.coalesce((r > 0) & (F.abs(r - 1) >= 1e-6) & (best["off"] < 0.005) & (best["n"] + best["d"] <= 12), F.lit(False))
+
+
+VALUES = ("instrument_name", "quantity", "pct_nav", "market_value")
+
+
+def holding_key() -> Column:
+    """What a holding is matched by: its isin, else its name."""
+    return F.coalesce(F.nullif(F.col("isin"), F.lit("")), F.concat(F.lit("NAME::"), "instrument_name"))
 
 
 def changes(holdings: DataFrame) -> DataFrame:
-    """Every holding of every two snapshots in a row with what became of it. Holdings are matched by isin, else by name; of
-    two with one key the one of the smaller weight counts."""
-    key = F.coalesce("isin", F.concat(F.lit("NAME::"), "instrument_name"))
-    pick = Window.partitionBy(*SNAPSHOT, "key").orderBy(F.asc_nulls_first("pct_nav"), "instrument_name")
-    rows = holdings.withColumn("key", key).withColumn("one", F.row_number().over(pick)).filter("one = 1")
-    pairs = snapshots(holdings).filter("previous is not null")
-    now = rows.join(pairs.select(*SNAPSHOT), SNAPSHOT, "left_semi").select(*SNAPSHOT, "key", *(F.col(c).alias(f"new_{c}") for c in ("instrument_name", "quantity", "pct_nav", "market_value")))
-    then = rows.join(pairs.select("scheme_id", F.col("previous").alias("as_of_date"), F.col("as_of_date").alias("next")), SNAPSHOT)
-    then = then.select("scheme_id", F.col("next").alias("as_of_date"), "key", *(F.col(c).alias(f"old_{c}") for c in ("instrument_name", "quantity", "pct_nav", "market_value")))
-    both = now.join(then, [*SNAPSHOT, "key"], "full_outer")
-    q, p = F.col("new_quantity") - F.col("old_quantity"), F.col("new_pct_nav") - F.col("old_pct_nav")
-    flat = F.abs(q) < 1e-6 * F.greatest(F.abs(F.when(F.col("old_quantity") != 0, F.col("old_quantity")).otherwise(F.lit(1.0))), F.lit(1.0))
+    """Every holding of every two snapshots in a row with what became of it, by the snapshot's number within its scheme: a
+    holding that the snapshot before lacks is new, one that the next lacks has left by then. Of two with one key the
+    one of the smaller weight counts. Changes of what isn't known on both sides are null."""
+    days = snapshots(holdings).withColumn("nth", F.row_number().over(Window.partitionBy("scheme_id").orderBy("as_of_date")))
+    days = days.withColumn("next_day", F.lead("as_of_date").over(Window.partitionBy("scheme_id").orderBy("as_of_date"))).drop("previous")
+    least = F.min(F.struct("pct_nav", "instrument_name", "quantity", "market_value"))
+    rows = holdings.withColumn("key", holding_key()).groupBy(*SNAPSHOT, "key").agg(least.alias("h")).join(days, SNAPSHOT)
+    line = Window.partitionBy("scheme_id", "key").orderBy("nth")
+    known = F.struct("nth", *(F.col(f"h.{c}").alias(c) for c in VALUES))
+    rows = rows.withColumns({"known": known, "before": F.lag(known).over(line), "after": F.lead("nth").over(line)})
+    none = F.lit(None).cast(rows.schema["known"].dataType)
+    here = F.struct(F.col("as_of_date").alias("day"), F.when(F.col("before.nth") == F.col("nth") - 1, F.col("before")).alias("old"), F.col("known").alias("new"))
+    gone = F.struct(F.col("next_day").alias("day"), F.col("known").alias("old"), none.alias("new"))
+    left = F.col("next_day").isNotNull() & (F.coalesce("after", F.lit(0)) != F.col("nth") + 1)
+    both = rows.select("scheme_id", "key", F.explode(F.array_compact(F.array(F.when(F.col("nth") > 1, here), F.when(left, gone)))).alias("c")).select("scheme_id", "key", "c.*")
+    old, new = (lambda c: F.col(f"old.{c}")), (lambda c: F.col(f"new.{c}"))
+    q, p = new("quantity") - old("quantity"), new("pct_nav") - old("pct_nav")
+    flat = F.abs(q) < 1e-6 * F.greatest(F.abs(F.when(old("quantity") != 0, old("quantity")).otherwise(F.lit(1.0))), F.lit(1.0))
+    drift = F.coalesce(F.abs(p) > 0.001, F.lit(False))
     action = (
-        F.when(F.col("old_instrument_name").isNull(), "NEW").when(F.col("new_instrument_name").isNull(), "EXITED").when(q.isNull(), "UNCHANGED")
-        .when(flat & (F.abs(p) > 0.001), "PRICE_FLOW_DRIFT").when(flat, "UNCHANGED").when(q > 0, "INCREASED").otherwise("REDUCED")
+        F.when(F.col("old").isNull(), "NEW").when(F.col("new").isNull(), "EXITED").when(q.isNull(), "UNCHANGED")
+        .when(flat & drift, "PRICE_FLOW_DRIFT").when(flat, "UNCHANGED").when(q > 0, "INCREASED").otherwise("REDUCED")
     )
-    steady = F.coalesce(F.abs(F.try_divide(p, F.col("old_pct_nav"))) < 0.15, F.lit(True))
-    by_name = F.col("key").startswith("NAME::")
-    split = F.col("action").isin("INCREASED", "REDUCED") & clean_ratio(F.col("old_quantity"), F.col("new_quantity")) & steady
-    flags = F.array_compact(F.array(F.when(by_name, "name_keyed_no_isin"), F.when(split, "corporate_action_suspected")))
-    name = F.coalesce("new_instrument_name", "old_instrument_name")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    found = both.withColumn("action", action).withColumn("flags", flags)
-    delta = lambda c: F.when(F.col("action").isin("NEW", "EXITED"), zero(f"new_{c}") - zero(f"old_{c}")).otherwise(F.col(f"new_{c}") - F.col(f"old_{c}"))
-    return found.select(*SNAPSHOT, "key", name.alias("name"), "action", delta("quantity").alias("quantity_change"), delta("pct_nav").alias("pct_change"), "flags", F.when(F.size("flags") > 0, "low").otherwise("high").alias("confidence"), "old_market_value", "new_market_value")
+    steady = F.coalesce(F.abs(F.try_divide(p, old("pct_nav"))) < 0.15, F.lit(True))
+    split = F.col("action").isin("INCREASED", "REDUCED") & clean_ratio(old("quantity"), new("quantity")) & steady
+    kinds = (("name_keyed_no_isin", F.col("key").startswith("NAME::")), ("qty_flat_pct_nav_moved", F.col("action") == "PRICE_FLOW_DRIFT"), ("corporate_action_suspected", split))
+    found = both.withColumn("action", action).withColumn("flags", F.array_compact(F.array(*(F.when(x, k) for k, x in kinds))))
+    delta = lambda c: F.when(F.col("action") == "NEW", new(c)).when(F.col("action") == "EXITED", -old(c)).otherwise(new(c) - old(c))
+    deltas = [delta(c).alias(k) for c, k in (("quantity", "quantity_change"), ("pct_nav", "pct_change"), ("market_value", "value_change"))]
+    name = F.coalesce(new("instrument_name"), old("instrument_name"))
+    return found.select("scheme_id", F.col("day").alias("as_of_date"), "key", name.alias("name"), "action", *deltas, "flags", F.when(F.size("flags") > 0, "low").otherwise("high").alias("confidence"))
 
 
 def merged(old: Column, new: Column) -> Column:
@@ -126,21 +142,30 @@ def name_similarity(pairs: DataFrame, left: str, right: str, least: float) -> Da
 
 
 def suspected_successions(changed: DataFrame) -> DataFrame:
-    """Exited and new holdings of one snapshot that may be one: by name (an isin change, which wins) or by value (a merger)."""
-    plain = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "))
-    out = changed.filter("action = 'EXITED'").select(*SNAPSHOT, F.col("key").alias("old_key"), plain.alias("old_name"), "old_market_value")
-    new = changed.filter("action = 'NEW'").select(*SNAPSHOT, F.col("key").alias("new_key"), plain.alias("new_name"), "new_market_value")
-    pairs = out.join(new, SNAPSHOT)
-    same = name_similarity(pairs, "old_name", "new_name", SIMILAR_NAMES).withColumn("suspicion", F.lit("isin_change"))
+    """Exited and new holdings of one snapshot that may be one: by name (an isin change, which wins) or by value (a merger).
+    A name or value that isn't known is like none."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]+", " "))
+    sides = [changed.filter(F.col("action") == a).select(*SNAPSHOT, F.col("key").alias(f"{k}_key"), plain.alias(f"{k}_name"), F.abs("value_change").alias(f"{k}_value")) for k, a in (("old", "EXITED"), ("new", "NEW"))]
+    pairs = sides[0].join(sides[1], SNAPSHOT)
+    same = name_similarity(pairs.filter("old_name <> '' and new_name <> ''"), "old_name", "new_name", SIMILAR_NAMES).withColumn("suspicion", F.lit("isin_change_suspected"))
     keys = [*SNAPSHOT, "old_key", "new_key"]
-    values = pairs.filter(merged(F.col("old_market_value"), F.col("new_market_value"))).join(same.select(*keys), keys, "left_anti").withColumn("suspicion", F.lit("merger"))
+    values = pairs.filter(merged(F.col("old_value"), F.col("new_value"))).join(same.select(*keys), keys, "left_anti").withColumn("suspicion", F.lit("possible_corporate_action_merger"))
     return same.unionByName(values).select(*keys, "suspicion")
 
 
+def with_successions(changed: DataFrame) -> DataFrame:
+    """changes with the flags of suspected successions on both rows of each, whose confidence is then low."""
+    pairs = suspected_successions(changed)
+    ends = [pairs.select(*SNAPSHOT, F.col(f"{k}_key").alias("key"), F.lit(a).alias("action"), "suspicion") for k, a in (("old", "EXITED"), ("new", "NEW"))]
+    found = ends[0].unionByName(ends[1]).groupBy(*SNAPSHOT, "key", "action").agg(F.array_sort(F.collect_set("suspicion")).alias("more"))
+    rows = changed.join(found, [*SNAPSHOT, "key", "action"], "left").withColumn("flags", F.concat("flags", F.coalesce("more", F.array().cast("array<string>"))))
+    return rows.withColumn("confidence", F.when(F.size("flags") > 0, "low").otherwise("high")).select(*changed.columns)
+
+
 def persistence(holdings: DataFrame) -> DataFrame:
     """For each holding of a scheme: snapshots held, mean weight, first and last date, and how many snapshots in a row up to
     the newest."""
-    key = F.coalesce("isin", F.concat(F.lit("NAME::"), "instrument_name"))
+    key = holding_key()
     back = F.dense_rank().over(Window.partitionBy("scheme_id").orderBy(F.desc("as_of_date")))
     rows = holdings.withColumn("key", key).withColumn("back", back).groupBy("scheme_id", "key", "as_of_date", "back").agg(F.sum("pct_nav").alias("pct"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("scheme_id", "key").orderBy("back")))

@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navella.operators import disclosures as d
 from navella.operators import nav as n
 from navella.operators import portfolio as p
+from navella.plans.registry import query
 from navella.sources import price_files as f
-from navella.sources.views import load, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str = "", views: str = "", **rounded: int):
-    """Registers a query; its columns named in rounded are rounded to so many places, as the SQL does."""
-
-    def put(build):
-        name = build.__name__
-        QUERIES[name] = lambda spark, sf_dir: build(lambda table: load(spark, sf_dir, table), spark).withColumns({c: F.round(c, k) for c, k in rounded.items()}) if rounded else build(lambda table: load(spark, sf_dir, table), spark)
-        if sql:
-            ORACLES[name] = (with_views(*views.split()) + ("," if sql.lstrip().startswith("+") else "") + sql.replace("+", "", 1) if sql.lstrip().startswith("+") else with_views(*views.split()) + sql) if views else sql
-        return build
-
-    return put
-
 
 def _cagr(d0: str, n0: str, d1: str, n1: str) -> str:
     y = f"(date_diff('day', {d0}, {d1}) / 365.25)"
@@ -64,24 +44,27 @@ def risk_ratios(t, _):
 
 def _rolling(y: int) -> str:
     w = int(y * 365.25)
-    return f"""+ s as (select plan_id, date, nav, first(date) over q d0, first(nav) over q n0 from nav_point window q as (partition by plan_id order by date range between interval {w} day preceding and interval {w - 5} day preceding)),
-r as (select plan_id, date, {_cagr('d0', 'n0', 'date', 'nav').replace('round(', '(', 1).replace(', 6)', ')')} ret from s)"""
+    points = (("min", "0.0::double"), ("p5", "0.05::double"), ("p25", "0.25::double"), ("median", "0.5::double"), ("p75", "0.75::double"), ("p95", "0.95::double"), ("max", "1.0::double"))
+    return f"""+ s as (select plan_id, date, nav, first(nav) over q n0 from nav_point window q as (partition by plan_id order by date range between interval {w} day preceding and interval {w - 5} day preceding)),
+r as (select plan_id, case when n0 > 0 then nav / n0 - 1 end ret from s),
+k as (select plan_id, ret, row_number() over (partition by plan_id order by ret) rk, count(*) over (partition by plan_id) c from r where ret is not null)
+select plan_id, """ + ", ".join(f"round(max(ret) filter (rk = round_even({q} * (c - 1), 0) + 1), 6) {k}" for k, q in points) + ", round(avg(case when ret < 0 then 1.0 else 0.0 end), 6) share_negative, count(*) n from k group by 1"
+
+
+_ROLLED = {c: 6 for c in ("min", "p5", "p25", "median", "p75", "p95", "max", "share_negative")}
 
 
-@query(_rolling(1) + """, k as (select plan_id, ret, row_number() over (partition by plan_id order by ret) rk, count(*) over (partition by plan_id) c from r where ret is not null)
-select plan_id, """ + ", ".join(f"round(max(ret) filter (rk = round_even({q} * (c - 1), 0) + 1), 6) {k}" for k, q in (("min", "0.0::double"), ("p5", "0.05::double"), ("p25", "0.25::double"), ("median", "0.5::double"), ("p75", "0.75::double"), ("p95", "0.95::double"), ("max", "1.0::double"))) + ", round(avg(case when ret < 0 then 1.0 else 0.0 end), 6) share_negative, count(*) n from k group by 1", "nav_point", min=6, p5=6, p25=6, median=6, p75=6, p95=6, max=6, share_negative=6)
+@query(_rolling(1), "nav_point", **_ROLLED)
 def rolling_distribution(t, _):
     return n.rolling_distribution(t("nav_point"), 1)
 
 
-@query(_rolling(3) + """, k as (select plan_id, ret, row_number() over (partition by plan_id order by ret) rk, count(*) over (partition by plan_id) c from r where ret is not null)
-select plan_id, """ + ", ".join(f"round(max(ret) filter (rk = round_even({q} * (c - 1), 0) + 1), 6) {k}" for k, q in (("min", "0.0::double"), ("p5", "0.05::double"), ("p25", "0.25::double"), ("median", "0.5::double"), ("p75", "0.75::double"), ("p95", "0.95::double"), ("max", "1.0::double"))) + ", round(avg(case when ret < 0 then 1.0 else 0.0 end), 6) share_negative, count(*) n from k group by 1", "nav_point", min=6, p5=6, p25=6, median=6, p75=6, p95=6, max=6, share_negative=6)
+@query(_rolling(3), "nav_point", **_ROLLED)
 def rolling_distribution_3y(t, _):
     return n.rolling_distribution(t("nav_point"), 3)
 
 
-@query(_rolling(5) + """, k as (select plan_id, ret, row_number() over (partition by plan_id order by ret) rk, count(*) over (partition by plan_id) c from r where ret is not null)
-select plan_id, """ + ", ".join(f"round(max(ret) filter (rk = round_even({q} * (c - 1), 0) + 1), 6) {k}" for k, q in (("min", "0.0::double"), ("p5", "0.05::double"), ("p25", "0.25::double"), ("median", "0.5::double"), ("p75", "0.75::double"), ("p95", "0.95::double"), ("max", "1.0::double"))) + ", round(avg(case when ret < 0 then 1.0 else 0.0 end), 6) share_negative, count(*) n from k group by 1", "nav_point", min=6, p5=6, p25=6, median=6, p75=6, p95=6, max=6, share_negative=6)
+@query(_rolling(5), "nav_point", **_ROLLED)
 def rolling_distribution_5y(t, _):
     return n.rolling_distribution(t("nav_point"), 5)
 
@@ -104,7 +87,7 @@ def stress_windows(t, _):
 
 
 @query("""+ l as (select plan_id, date, ln(nav / lag(nav) over (partition by plan_id order by date)) lg from nav_point),
-x as (select scheme_id, plan_type, date, lg from l join plan using (plan_id) where lg is not null),
+x as (select scheme_id, plan_type, date, lg from l join plan using (plan_id) where lg is not null and option_type = 'Growth'),
 g as (select a.scheme_id, avg(a.lg - b.lg) gap, count(*) n, min(a.date) first_date, max(a.date) last_date from x a join x b on a.scheme_id = b.scheme_id and a.date = b.date and a.plan_type = 'Direct' and b.plan_type = 'Regular' group by 1)
 select scheme_id, case when n >= 30 then round(gap * 2520000, 1) end gap_bps, n, first_date, last_date from g""", "nav_point plan")
 def cost_gaps(t, _):
@@ -115,15 +98,16 @@ def cost_gaps(t, _):
 r as (select plan_id, f / lag(f) over w - 1 f, b / lag(b) over w - 1 r from j window w as (partition by plan_id order by date)),
 g as (select plan_id, count(*) n, covar_samp(f, r) / nullif(var_samp(r), 0) beta, pow(1 + avg(f), 252) - 1 mf, pow(1 + avg(r), 252) - 1 mr, avg(f - r) * 252 / nullif(stddev_samp(f - r) * sqrt(252), 0) ir,
  sum(f) filter (r > 0) / nullif(sum(r) filter (r > 0), 0) up, sum(f) filter (r < 0) / nullif(sum(r) filter (r < 0), 0) dn from r where f is not null and r is not null group by 1)
-select plan_id, n, round(beta, 6) beta, round(ir, 6) information_ratio, round(up, 6) up_capture, round(dn, 6) down_capture from g""", "nav_point", beta=6, information_ratio=6, up_capture=6, down_capture=6)
+select plan_id, n, round(beta, 6) beta, round(ir, 6) information_ratio, round(up, 6) up_capture, round(dn, 6) down_capture, round(mf - (0.065 + beta * (mr - 0.065)), 4) alpha from g""", "nav_point", beta=6, information_ratio=6, up_capture=6, down_capture=6, alpha=4)
 def benchmark_relative(t, _):
-    return n.against_benchmark(t("nav_point"), "plan-1").drop("alpha")
+    return n.against_benchmark(t("nav_point"), "plan-1")
 
 
-@query(_TRAILING + f""", q as (select scheme_id, min(plan_id) plan_id from plan where active and plan_type = 'Direct' and option_type = 'Growth' group by 1),
-c as (select q.scheme_id, q.plan_id, category, sub_category, {_cagr('sd3', 'sn3', 'anchor', 'n1').replace('round(', '(', 1).replace(', 6)', ')')} cagr from q join scheme using (scheme_id) join t on t.plan_id = q.plan_id),
+@query(f"""+ w as (select max(date) a from nav_point), q as (select scheme_id, min(plan_id) plan_id from plan where active and plan_type = 'Direct' and option_type = 'Growth' group by 1),
+v as (select plan_id, a, max(date) filter (date <= a - 1095) d0, arg_max(nav, date) filter (date <= a - 1095) n0, max(date) d1, arg_max(nav, date) n1 from nav_point, w group by 1, 2),
+c as (select q.scheme_id, q.plan_id, category, sub_category, a anchor, {_cagr('d0', 'n0', 'd1', 'n1').replace('round(', '(', 1).replace(', 6)', ')')} cagr from q join scheme using (scheme_id) join v on v.plan_id = q.plan_id where not regexp_matches(lower(name), '\\bseg(regated)?\\.?\\s*portfolio\\b')),
 k as (select *, count(*) over g n, rank() over (partition by category, sub_category order by cagr desc) rank, row_number() over (partition by category, sub_category order by cagr) up from c where cagr is not null window g as (partition by category, sub_category))
-select scheme_id, plan_id, category, sub_category, round(cagr, 6) cagr, rank, round(100 * (1 - (rank - 1) / n), 1) percentile, n,
+select scheme_id, plan_id, anchor, category, sub_category, round(cagr, 6) cagr, rank, round(100 * (1 - (rank - 1) / n), 1) percentile, n,
 round(max(case when up = n // 2 + 1 then cagr end) over g, 6) median, round(max(case when up = n // 4 + 1 then cagr end) over g, 6) p25, round(max(case when up = least(n - 1, 3 * n // 4) + 1 then cagr end) over g, 6) p75 from k window g as (partition by category, sub_category)""", "nav_point plan scheme", cagr=6, median=6, p25=6, p75=6)
 def category_ranks(t, _):
     return n.category_ranks(t("scheme"), t("plan"), t("nav_point"))
@@ -148,21 +132,35 @@ def top_ten_holdings(t, _):
     return p.top_holdings(t("holding"), 10)
 
 
-_CHANGES = """+ s as (select *, lag(as_of_date) over (partition by scheme_id order by as_of_date) prev from (select distinct scheme_id, as_of_date from holding)),
-k as (select *, coalesce(isin, 'NAME::' || instrument_name) "key" from holding),
+_RATIO = "(select min((abs(aq / oq - round_even(aq / oq * v.d, 0) / v.d), v.d, round_even(aq / oq * v.d, 0))) from range(1, 9) v(d))"
+_CHANGES = f"""+ s as (select *, lag(as_of_date) over (partition by scheme_id order by as_of_date) prev from (select distinct scheme_id, as_of_date from odd_holding)),
+k as (select *, coalesce(nullif(isin, ''), 'NAME::' || instrument_name) "key" from odd_holding qualify row_number() over (partition by scheme_id, as_of_date, coalesce(nullif(isin, ''), 'NAME::' || instrument_name) order by pct_nav nulls first, instrument_name) = 1),
 nw as (select k.* from k join s using (scheme_id, as_of_date) where prev is not null), od as (select k.* replace (s.as_of_date as as_of_date) from k join s on k.scheme_id = s.scheme_id and k.as_of_date = s.prev),
-b as (select coalesce(a.scheme_id, o.scheme_id) scheme_id, coalesce(a.as_of_date, o.as_of_date) as_of_date, coalesce(a."key", o."key") "key", coalesce(a.instrument_name, o.instrument_name) "name", a.instrument_name an, o.instrument_name obn, a.quantity aq, o.quantity oq, a.pct_nav ap, o.pct_nav op
+b as (select coalesce(a.scheme_id, o.scheme_id) scheme_id, coalesce(a.as_of_date, o.as_of_date) as_of_date, coalesce(a."key", o."key") "key", coalesce(a.instrument_name, o.instrument_name) "name", a.instrument_name an, o.instrument_name obn, a.quantity aq, o.quantity oq, a.pct_nav ap, o.pct_nav op, a.market_value av, o.market_value ov
  from nw a full join od o on a.scheme_id = o.scheme_id and a.as_of_date = o.as_of_date and a."key" = o."key"),
-c as (select *, case when obn is null then 'NEW' when an is null then 'EXITED' when abs(aq - oq) < 1e-6 * greatest(abs(oq), 1) and abs(ap - op) > 0.001 then 'PRICE_FLOW_DRIFT' when abs(aq - oq) < 1e-6 * greatest(abs(oq), 1) then 'UNCHANGED' when aq > oq then 'INCREASED' else 'REDUCED' end action from b),
-e as (select *, coalesce(action in ('INCREASED', 'REDUCED') and aq / oq > 0 and abs(aq / oq - 1) > 0.005 and abs(ap - op) / op < 0.15 and
- (select min((abs(aq / oq - round_even(aq / oq * v.d, 0) / v.d), v.d, round_even(aq / oq * v.d, 0))) from range(1, 9) v(d))[1] <= 0.005 and
- (select (min((abs(aq / oq - round_even(aq / oq * v.d, 0) / v.d), v.d, round_even(aq / oq * v.d, 0)))) from range(1, 9) v(d))[2] + (select (min((abs(aq / oq - round_even(aq / oq * v.d, 0) / v.d), v.d, round_even(aq / oq * v.d, 0)))) from range(1, 9) v(d))[3] <= 12, false) split from c)"""
+c as (select *, case when obn is null then 'NEW' when an is null then 'EXITED' when aq is null or oq is null then 'UNCHANGED'
+ when abs(aq - oq) < 1e-6 * greatest(abs(case when oq = 0 then 1 else oq end), 1) then case when abs(ap - op) > 0.001 then 'PRICE_FLOW_DRIFT' else 'UNCHANGED' end when aq > oq then 'INCREASED' else 'REDUCED' end action from b),
+e as (select *, coalesce(action in ('INCREASED', 'REDUCED') and oq <> 0 and aq <> 0 and aq / oq > 0 and abs(aq / oq - 1) >= 1e-6 and (op is null or op = 0 or ap is null or abs(ap / op - 1) < 0.15) and {_RATIO}[1] < 0.005 and {_RATIO}[2] + {_RATIO}[3] <= 12, false) split,
+ case action when 'NEW' then aq when 'EXITED' then -oq else aq - oq end dq, case action when 'NEW' then ap when 'EXITED' then -op else ap - op end dp, case action when 'NEW' then av when 'EXITED' then -ov else av - ov end dv from c)"""
 
 
-@query(_CHANGES + """ select scheme_id, as_of_date, "key", "name", action, coalesce(aq, 0) - coalesce(oq, 0) quantity_change, round(coalesce(ap, 0) - coalesce(op, 0), 6) pct_change,
-concat_ws(',', case when "key" like 'NAME::%' then 'name_keyed_no_isin' end, case when split then 'corporate_action_suspected' end) flags, case when split or "key" like 'NAME::%' then 'low' else 'high' end confidence from e""", "holding", pct_change=6)
+@query(_CHANGES + """ select scheme_id, as_of_date, "key", "name", action, dq quantity_change, round(dp, 6) pct_change, round(dv, 2) value_change,
+concat_ws(',', case when "key" like 'NAME::%' then 'name_keyed_no_isin' end, case when action = 'PRICE_FLOW_DRIFT' then 'qty_flat_pct_nav_moved' end, case when split then 'corporate_action_suspected' end) flags,
+case when split or action = 'PRICE_FLOW_DRIFT' or "key" like 'NAME::%' then 'low' else 'high' end confidence from e""", "holding odd_holding", pct_change=6, value_change=2)
 def holding_changes(t, _):
-    return p.changes(t("holding")).drop("old_market_value", "new_market_value").withColumn("flags", F.array_join("flags", ","))
+    return p.changes(t("odd_holding")).withColumn("flags", F.array_join("flags", ","))
+
+
+@query("""+ s as (select *, lead(as_of_date) over (partition by scheme_id order by as_of_date) nxt from (select distinct scheme_id, as_of_date from reissued_holding)),
+lst as (select scheme_id, max(as_of_date) m from s group by 1), fst as (select scheme_id, min(as_of_date) m from s group by 1),
+ex as (select h.*, s.nxt gone_on from reissued_holding h join s using (scheme_id, as_of_date) where nxt is not null and not exists (select 1 from reissued_holding g where g.scheme_id = h.scheme_id and g.as_of_date = s.nxt and g.isin = h.isin)),
+nw as (select h.* from reissued_holding h join s on s.scheme_id = h.scheme_id and s.nxt = h.as_of_date where not exists (select 1 from reissued_holding g where g.scheme_id = h.scheme_id and g.as_of_date = s.as_of_date and g.isin = h.isin)),
+pr as (select ex.scheme_id, ex.gone_on as_of_date, ex.isin old_key, nw.isin new_key, case when ex.instrument_name = nw.instrument_name then 'isin_change_suspected' when abs(nw.market_value / ex.market_value - 1) < 0.2 then 'possible_corporate_action_merger' end f from ex join nw on nw.scheme_id = ex.scheme_id and nw.as_of_date = ex.gone_on),
+u as (select scheme_id, as_of_date, old_key "key", 'EXITED' action, f from pr where f is not null union all select scheme_id, as_of_date, new_key, 'NEW', f from pr where f is not null)
+select scheme_id, as_of_date, "key", action, array_to_string(list_sort(list(distinct f)), ',') flags, 'low' confidence from u group by 1, 2, 3, 4""", "holding reissued_holding")
+def succession_flags(t, _):
+    found = p.with_successions(p.changes(t("reissued_holding"))).filter("action in ('NEW', 'EXITED') and size(flags) > 0")
+    return found.select("scheme_id", "as_of_date", "key", "action", F.array_join(F.array_sort("flags"), ",").alias("flags"), "confidence")
 
 
 @query("""+ s as (select *, lag(as_of_date) over (partition by scheme_id order by as_of_date) previous from (select distinct scheme_id, as_of_date from holding))
@@ -196,19 +194,26 @@ def cap_allocations(t, _):
 
 @query("""+ x as (select doc_id, page_number, length(text) len, (length(lower(text)) - length(replace(lower(text), 'license', ''))) // 7 + (length(lower(text)) - length(replace(lower(text), 'version', ''))) // 7 score from document_section),
 k as (select *, row_number() over w rank, coalesce(sum(len) over (partition by doc_id order by score desc, page_number rows between unbounded preceding and 1 preceding), 0) bef from x where score > 0 window w as (partition by doc_id order by score desc, page_number))
-select doc_id, page_number, score, rank, least(len, 20000 - bef)::bigint chars from k where bef < 20000""", "document_section")
+select doc_id, page_number, score, rank, least(len, 20000 - bef)::bigint chars, md5(case when len <= 20000 - bef then text else text[1:20000 - bef] || '…[truncated]' end) text_md5 from k join document_section using (doc_id, page_number) where bef < 20000""", "document_section")
 def page_search(t, _):
-    return d.search_pages(t("document_section"), ["license", "version"], 20_000)
+    return d.search_pages(t("document_section"), ["license", "version"], 20_000).withColumn("text_md5", F.md5("text")).drop("text")
 
 
-@query(" select doc_id, count(*) pages, avg(case when length(trim(coalesce(text, ''))) > 0 then 1.0 else 0.0 end) share, 'parsed' status from document_section group by 1", "document_section")
+@query("""+ x as (select doc_id, page_number, case when doc_id like '%0' then '' when doc_id like '%1' and page_number > 1 then ' ' else text end txt from document_section)
+select doc_id, count(*) pages, avg(case when length(trim(coalesce(txt, ''))) > 0 then 1.0 else 0.0 end) share, case when max(length(trim(coalesce(txt, '')))) > 0 then 'parsed' else 'unparseable_scanned' end status from x group by 1""", "document_section")
 def parse_statuses(t, _):
-    return d.parse_status(t("document_section"))
+    blank = F.when(F.col("doc_id").endswith("0"), "").when(F.col("doc_id").endswith("1") & (F.col("page_number") > 1), " ").otherwise(F.col("text"))
+    return d.parse_status(t("document_section").withColumn("text", blank))
 
 
-@query("""select distinct page_id, href, regexp_matches(lower(href), '\\.(xlsx|xls|pdf)$') is_file from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) href from pages)""")
+@query("""with p as (select page_id, coalesce(url, '') own, html || '<a href="/files/Sheet_Mar2024.xlsx ">x</a><a HREF=''report-2023-05-17.pdf''>y</a><a href="//cdn.net/a.xls">z</a>' html from pages),
+l as (select distinct page_id, own, trim(unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1))) href from p),
+x as (select *, regexp_extract(own, '^([a-z][a-z0-9+.-]*:)//', 1) sch, regexp_extract(own, '^([a-z][a-z0-9+.-]*://[^/?#]*)', 1) host, regexp_extract(own, '^([a-z][a-z0-9+.-]*://[^?#]*/)', 1) fold from l)
+select page_id, href, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then href when href like '//%' then sch || href when href like '/%' then host || href when fold = sch || '//' then host || '/' || href else fold || href end address,
+regexp_matches(lower(href), '\\.(xlsx|xls|pdf)$') is_file, case when href like '%Mar2024%' then date '2024-03-01' when href like '%2023-05-17%' then date '2023-05-01' end file_date from x""")
 def file_links(t, _):
-    return d.file_links(t("pages"), "url", "html")
+    more = """<a href="/files/Sheet_Mar2024.xlsx ">x</a><a HREF='report-2023-05-17.pdf'>y</a><a href="//cdn.net/a.xls">z</a>"""
+    return d.file_links(t("pages").withColumn("html", F.concat("html", F.lit(more))), "url", "html")
 
 
 _NAMES = """+ dd as (select scheme_id, doc_date, list_sort(list(distinct "name")) names from observed_name group by 1, 2), ll as (select *, lag(names) over (partition by scheme_id order by doc_date) bef from dd)"""
@@ -242,10 +247,8 @@ def price_upsert(t, _):
 
 @query("""select user_id, arg_max(event_type, (ts, event_type)) event_type, min(ts)::date first_seen, max(ts)::date last_seen, max(ts)::date = (select max(ts)::date from events) active from events group by 1""")
 def dimension_merge(t, _):
-    seen = t("events").select("user_id", "event_type", F.col("ts").alias("seen"))
-    found = f.merge_dimension(seen, "user_id", ["event_type"])
-    last = F.broadcast(seen.agg(F.max(F.col("seen").cast("date")).alias("newest_day")))
-    return found.drop("active").crossJoin(last).select("user_id", "event_type", F.col("first_seen").cast("date").alias("first_seen"), F.col("last_seen").cast("date").alias("last_seen"), (F.col("last_seen").cast("date") == F.col("newest_day")).alias("active"))
+    seen = t("events").select("user_id", "event_type", "ts", F.to_date("ts").alias("seen"))
+    return f.merge_dimension(seen, "user_id", ["ts", "event_type"]).drop("ts")
 
 
 @query("""+ i as (select 'schemes' item, count(*) n, null::date first_day, null::date last_day from scheme union all select 'plans', count(*), null, null from plan union all select 'nav_points', count(*), min(date), max(date) from nav_point union all select 'holdings', count(*), min(as_of_date), max(as_of_date) from holding)
@@ -262,8 +265,8 @@ def inventory(t, _):
 
 
 @query("""+ q as (select category query_id, split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 2) as txt from scheme where scheme_id in (select min(scheme_id) from scheme group by category)),
-qw as (select query_id, txt, list_distinct(list_filter(string_split(trim(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x not in ('fund', 'the', 'of', 'scheme', 'plan'))) qs from q),
-sw as (select scheme_id, name, list_distinct(list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x not in ('fund', 'the', 'of', 'scheme', 'plan'))) ws from scheme),
+qw as (select query_id, txt, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g'), '\\b(mid|small|large|flexi|multi|micro)cap\\b', '\\1 cap', 'g')), ' '), lambda x: x not in ('fund', 'plan', 'scheme', 'the', 'of', 'direct', 'regular', 'growth', 'option'))) qs from q),
+sw as (select scheme_id, name, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), '\\b(mid|small|large|flexi|multi|micro)cap\\b', '\\1 cap', 'g')), ' '), lambda x: x not in ('fund', 'plan', 'scheme', 'the', 'of', 'direct', 'regular', 'growth', 'option'))) ws from scheme),
 m as (select query_id, scheme_id, name, case when lower(name) = lower(txt) then 0.95 when contains(lower(name), lower(txt)) then 0.7 else 0.6 end confidence, len(list_filter(ws, lambda x: not list_contains(qs, x))) extra from qw, sw where len(qs) > 0 and list_has_all(ws, qs)),
 k as (select *, row_number() over (partition by query_id order by confidence desc, extra, scheme_id) rank from m)
 select query_id, scheme_id, name, confidence::double confidence, extra::int extra, rank from k where rank <= 10""", "scheme")
@@ -274,8 +277,8 @@ def name_resolution(t, _):
 
 
 @query("""+ q as (select scheme_id query_id, split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 2) as txt from scheme),
-qw as (select query_id, txt, list_distinct(list_filter(string_split(trim(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x not in ('fund', 'the', 'of', 'scheme', 'plan'))) qs from q),
-sw as (select scheme_id, name, list_distinct(list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x not in ('fund', 'the', 'of', 'scheme', 'plan'))) ws from scheme),
+qw as (select query_id, txt, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g'), '\\b(mid|small|large|flexi|multi|micro)cap\\b', '\\1 cap', 'g')), ' '), lambda x: x not in ('fund', 'plan', 'scheme', 'the', 'of', 'direct', 'regular', 'growth', 'option'))) qs from q),
+sw as (select scheme_id, name, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), '\\b(mid|small|large|flexi|multi|micro)cap\\b', '\\1 cap', 'g')), ' '), lambda x: x not in ('fund', 'plan', 'scheme', 'the', 'of', 'direct', 'regular', 'growth', 'option'))) ws from scheme),
 h as (select a.query_id, b.scheme_id, count(*) hits from (select query_id, unnest(qs) word from qw) a join (select scheme_id, unnest(ws) word from sw) b using (word) group by 1, 2),
 m as (select query_id, scheme_id, name, case when lower(name) = lower(txt) then 0.95 when contains(lower(name), lower(txt)) then 0.7 else 0.6 end confidence, len(list_filter(ws, lambda x: not list_contains(qs, x))) extra from h join qw using (query_id) join sw using (scheme_id) where hits = len(qs)),
 k as (select *, row_number() over (partition by query_id order by confidence desc, extra, scheme_id) rank from m)
@@ -283,3 +286,4 @@ select query_id, scheme_id, name, confidence::double confidence, extra::int extr
 def name_resolution_of_all(t, _):
     asked = t("scheme").select(F.col("scheme_id").alias("query_id"), F.substring_index("name", " ", 2).alias("text"))
     return d.resolve(asked, t("scheme"), 10)
+

@@ -35,6 +35,25 @@ select concat('scheme-', cast(s as string)) as scheme_id, as_of_date,
        cast(value as double) / cast(sum(value) over (partition by s, as_of_date) as double) as pct_nav,
        case when i % 10 = 9 then 'cash' when i % 10 = 8 then 'debt' when i % 10 = 7 then 'foreign' else 'equity' end as asset_class
 from h"""),
+    # holdings with odd cases: empty isins, quantities and weights that aren't known, prices that move alone, splits
+    "odd_holding": (("holding",), """
+select scheme_id, as_of_date, case when isin like '%5' and quantity < 30 then '' else isin end as isin, instrument_name, industry_or_rating,
+       case when isin like '%03' then null when isin like '%04' then 1000.0 when isin like '%06' then 100.0 * year(as_of_date) - 190000.0 when isin like '%07' then 1000.0 + 3.0 * (year(as_of_date) % 2) else cast(quantity as double) end as quantity,
+       market_value, case when isin like '%13' then null when isin like '%06' then 0.01 else pct_nav end as pct_nav, asset_class
+from {holding}"""),
+    # debt holdings whose isins are issued anew each year, under names that tell them apart
+    "reissued_holding": (("holding",), """
+select scheme_id, as_of_date, concat(isin, cast(year(as_of_date) as string)) as isin, md5(isin) as instrument_name, industry_or_rating,
+       quantity, market_value, pct_nav, asset_class
+from {holding} where asset_class = 'debt'"""),
+    "ranked_part": (("part",), """
+with l as (
+  select p_partkey, effective_date, row_number() over (partition by effective_date
+           order by p_retailprice * (1 + ((p_partkey * 7 + k * 3) % 13) / 100.0) desc, p_partkey) as rk
+  from {part} cross join (values (date '1996-06-30', 0), (date '1997-12-31', 1), (date '1999-06-30', 2), (date '2000-12-31', 3)) as v(effective_date, k))
+select concat('INE', lpad(cast(p_partkey as string), 9, '0')) as isin, effective_date, rk,
+       case when rk <= 100 then 'large' when rk <= 250 then 'mid' else 'small' end as market_cap
+from l"""),
     "isin_market_cap": (("part",), """
 with l as (
   select p_partkey, effective_date, row_number() over (partition by effective_date
@@ -44,6 +63,31 @@ with l as (
 select concat('INE', lpad(cast(p_partkey as string), 9, '0')) as isin, effective_date,
        case when rk <= 100 then 'large' when rk <= 250 then 'mid' else 'small' end as market_cap
 from l"""),
+    # what stands in price files, one row a plan; files of three layouts; see inputs.price_lines
+    "price_row": (("supplier",), """
+select concat('f', cast(s_suppkey % 3 as string)) as file, cast(100000 + s_suppkey as string) as code, s_suppkey as n,
+       case when s_suppkey % 5 = 0 then '-' when s_suppkey % 5 = 1 then 'Redeemed' else concat('INF', lpad(cast(s_suppkey as string), 9, '0')) end as isin1,
+       case when s_suppkey % 4 = 0 then concat('INR', lpad(cast(s_suppkey as string), 9, '0')) when s_suppkey % 4 = 1 then 'N/A' else '' end as isin2,
+       concat('Alpha ', cast(cast(floor(s_suppkey / 6) as bigint) as string), ' Growth Fund') as base,
+       case when s_suppkey % 2 = 0 then 'Direct Plan' else 'Regular Plan' end as plan_text,
+       case when s_suppkey % 9 = 3 then 'IDCW Payout' when s_suppkey % 9 = 6 then 'IDCW Reinvestment' when s_suppkey % 9 = 7 then 'IDCW' else 'Growth Option' end as option_text,
+       s_suppkey % 3 = 1 and s_suppkey % 7 <> 0 as by_columns,
+       case when s_suppkey % 11 = 0 then 'N.A.' else concat(cast(cast(floor(abs(s_acctbal)) as bigint) as string), '.25') end as nav_text,
+       case when s_suppkey % 13 = 0 then 'soon' when s_suppkey % 6 = 0 then concat(lpad(cast(s_suppkey % 28 + 1 as string), 2, '0'), '-Mar-24')
+            else concat(lpad(cast(s_suppkey % 28 + 1 as string), 2, '0'), '-Mar-2024') end as date_text, s_suppkey % 28 + 1 as day_no,
+       case when s_suppkey % 17 = 0 then '' else concat('North & House ', cast(s_nationkey as string)) end as house,
+       case when s_nationkey % 3 = 0 then 'Open Ended Schemes(Equity Scheme - Mid Cap Fund)' when s_nationkey % 3 = 1 then 'Open Ended Schemes ( Debt Scheme - Liquid Fund )' else 'Close Ended Schemes(Income)' end as header
+from {supplier}"""),
+    # what stands in the factsheets of each scheme, three of them, in four layouts; see inputs.factsheets
+    "factsheet": (("supplier",), """
+select concat('scheme-', cast(cast(floor(s_suppkey / 2) as bigint) as string)) as scheme_id, k as doc_no, s_suppkey as n,
+       concat('fs-', cast(s_suppkey as string), '-', cast(k as string)) as doc_id,
+       case when k = 1 then date '2026-06-30' when k = 2 then date '2026-07-31' else date '2026-08-31' end as doc_date,
+       case when s_suppkey % 4 = 0 then 'titled' when s_suppkey % 8 = 2 then 'parenthesis' else 'row' end as layout,
+       s_suppkey % 3 as kind, s_suppkey % 28 + 1 as day_no, cast(2000 + s_suppkey % 20 as int) as year_no,
+       cast(s_suppkey % 50 + 40 + case when k = 3 and s_suppkey % 10 = 0 then 7 else 0 end as int) as direct_bps,
+       s_suppkey % 10 = 4 and k > 1 as leaves, s_suppkey % 10 = 6 and k < 3 as comes
+from {supplier} cross join (values (1), (2), (3)) as v(k) where s_suppkey % 2 = 0"""),
     "document_section": (("documents",), """
 select source as doc_id, row_number() over (partition by source order by doc_id) as page_number, text from {documents}"""),
     "observed_name": (("events",), """
@@ -51,6 +95,19 @@ select distinct concat('scheme-', cast(user_id as string)) as scheme_id, cast(ts
 }
 
 
+#: SQL over price_row by which parsed rows, ids and kinds can be checked; not from any text.
+PRICE_TRUTH = """pt as (select *, case when lower(isin1) not in ('', '-', 'n/a', 'na', 'redeemed') then isin1 end isin, case when lower(isin2) not in ('', '-', 'n/a', 'na', 'redeemed') then isin2 end isin_reinvest,
+ try_cast(nav_text as double) nav, case when n % 13 <> 0 then make_date(2024, 3, day_no::int) end as date,
+ case when header like 'Open%' then 'Open Ended Schemes' else 'Close Ended Schemes' end scheme_type,
+ case when header like '%Equity%' then 'Equity Scheme' when header like '%Debt%' then 'Debt Scheme' else 'Income' end category,
+ case when header like '%Equity%' then 'Mid Cap Fund' when header like '%Debt%' then 'Liquid Fund' else '' end sub_category,
+ case when by_columns then base else replace(base, ' Growth', '') end own_name,
+ split_part(plan_text, ' ', 1) plan_type, case when option_text like 'IDCW%' then 'IDCW' else 'Growth' end option_type,
+ case when option_text like '%Payout' then 'Payout' when option_text like '%Reinvestment' then 'Reinvest' end idcw_variant,
+ 'plan-' || code plan_id, trim(regexp_replace(lower(house), '[^a-z0-9]+', '-', 'g'), '-') hs from price_row),
+pi as (select *, 'amc-' || hs amc_id, 'scheme-' || substr(sha1(hs || '::' || trim(regexp_replace(lower(own_name), '[^a-z0-9]+', '-', 'g'), '-')), 1, 16) scheme_id from pt where house <> '')"""
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the directory or a view over its tables."""
     if name not in VIEWS:

@@ -58,8 +58,8 @@ def resolve_funds(asked: DataFrame, plans: DataFrame, limit: int = 10) -> DataFr
     texts = asked.select("query_id", F.posexplode(F.array("text", renamed(F.col("text")))).alias("way", "text")).filter("text is not null")
     keys = texts.select(F.concat_ws("/", F.col("way").cast("string"), "query_id").alias("query_id"), "text")
     words = resolve(keys, schemes, limit).withColumn("way", F.substring("query_id", 1, 1).cast("int") + 1)
-    # a word match is no more than fuzzy, but for a name that is held as it stands
-    words = words.select(F.expr("substring(query_id, 3)").alias("query_id"), "scheme_id", "name", "confidence", "extra", "way")
+    # what stands in a name as asked is found literally, so these are fuzzy
+    words = words.select(F.expr("substring(query_id, 3)").alias("query_id"), "scheme_id", "name", F.lit(0.6).alias("confidence"), "extra", "way")
     found = literal_matches(asked, plans).select("query_id", "scheme_id", "name", "confidence", "extra", F.lit(0).alias("way")).unionByName(words)
     first = F.min("way").over(Window.partitionBy("query_id"))
     found = found.withColumn("first", first).filter("way = first")

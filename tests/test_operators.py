@@ -62,14 +62,34 @@ def test_rolling_against_a_plain_loop(spark):
     want = {}
     for at, value in rows:
         first = next(((a, v) for a, v in rows if 0 <= (a - (at - timedelta(days=365))).days <= 5 and a <= at), None)
-        if first and (at - first[0]).days > 0:
-            years = (at - first[0]).days / 365.25
-            want[at] = value / first[1] - 1 if years < 1 else (value / first[1]) ** (1 / years) - 1
+        if first:
+            want[at] = value / first[1] - 1
     got = {r["date"]: r["ret"] for r in n.rolling_returns(spark.createDataFrame([("p", *r) for r in rows], NAV), 1).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_rolling_over_years_is_not_annualised(spark):
+    rows = n.rolling_returns(series(spark, ("2020-01-02", 100), ("2023-01-01", 154.9)), 3).collect()
+    assert [(str(r["date"]), r["ret"]) for r in rows] == [("2023-01-01", pytest.approx(0.549))]
+
+
+def test_peers_are_ranked_at_one_anchor(spark):
+    nav = spark.createDataFrame([(p_, date.fromisoformat(a), v) for p_, a, v in (("p1", "2020-01-01", 100.0), ("p1", "2023-06-01", 200.0), ("p2", "2020-01-01", 100.0), ("p2", "2023-01-01", 150.0), ("p2", "2023-06-01", 120.0), ("p2", "2024-01-01", 900.0))], NAV)
+    plans = spark.createDataFrame([("p1", "s1", "Direct", "Growth", True), ("p2", "s2", "Direct", "Growth", True)], "plan_id string, scheme_id string, plan_type string, option_type string, active boolean")
+    schemes = spark.createDataFrame([("s1", "One", "E", "M"), ("s2", "Two", "E", "M")], "scheme_id string, name string, category string, sub_category string")
+    got = {r["scheme_id"]: (r["rank"], r["n"], r["percentile"]) for r in n.category_ranks(schemes, plans, nav, 3, "2023-06-01").collect()}
+    assert got == {"s1": (1, 2, 100.0), "s2": (2, 2, 50.0)}
+
+
+def test_gap_takes_growth_plans_alone(spark):
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(40)]
+    nav = spark.createDataFrame([(p_, d_, 100.0 * (1 + r) ** k) for p_, r in (("d", 0.0002), ("i", 0.01), ("r", 0.0001)) for k, d_ in enumerate(days)], NAV)
+    plans = spark.createDataFrame([("d", "s", "Direct", "Growth"), ("i", "s", "Direct", "IDCW"), ("r", "s", "Regular", "Growth")], "plan_id string, scheme_id string, plan_type string, option_type string")
+    row = n.cost_gap(plans, nav).first()
+    assert (row["n"], row["gap_bps"]) == (39, pytest.approx(math.log(1.0002 / 1.0001) * 2520000, abs=0.06))
+
+
 def held(spark, *rows):
     return spark.createDataFrame([("s", date.fromisoformat(day), isin, name, "x", q, v, pct, "equity") for day, isin, name, q, v, pct in rows], HOLDING)
 
@@ -81,13 +101,36 @@ def test_actions_and_flags(spark):
     assert {k: r["action"] for k, r in got.items()} == {"A": "INCREASED", "B": "PRICE_FLOW_DRIFT", "C": "INCREASED", "D": "EXITED", "NAME::e": "NEW", "F": "INCREASED"}
     assert got["C"]["flags"] == ["corporate_action_suspected"] and got["C"]["confidence"] == "low"
     assert got["F"]["flags"] == [] and got["NAME::e"]["flags"] == ["name_keyed_no_isin"]
+    assert got["B"]["flags"] == ["qty_flat_pct_nav_moved"] and got["B"]["confidence"] == "low"
     assert got["A"]["quantity_change"] == 200 and got["D"]["quantity_change"] == -9
 
 
+def test_what_is_not_known_stays_unknown(spark):
+    old, new = "2024-01-31", "2024-02-29"
+    rows = [(old, "A", "a", 1000.0, 1.0, 0.05), (new, "A", "a", 1003.0, 1.0, 0.05), (old, "B", "b", None, 1.0, 0.05), (new, "C", "c", None, 2.0, None), (old, "", "n1", 1.0, 1.0, 0.1), (old, "", "n2", 1.0, 1.0, 0.1), (new, "", "n1", 1.0, 1.0, 0.1)]
+    got = {r["key"]: r for r in p.changes(held(spark, *rows)).collect()}
+    assert got["A"]["flags"] == ["corporate_action_suspected"]
+    assert (got["B"]["action"], got["B"]["quantity_change"], got["B"]["pct_change"]) == ("EXITED", None, -0.05)
+    assert (got["C"]["action"], got["C"]["quantity_change"], got["C"]["pct_change"], got["C"]["value_change"]) == ("NEW", None, None, 2.0)
+    assert {k: r["action"] for k, r in got.items() if k.startswith("NAME::")} == {"NAME::n1": "UNCHANGED", "NAME::n2": "EXITED"}
+
+
+def test_holding_that_comes_back(spark):
+    rows = [("2024-01-31", "A", "a", 1.0, 1.0, 0.1), ("2024-01-31", "Z", "z", 1.0, 1.0, 0.1), ("2024-02-29", "Z", "z", 1.0, 1.0, 0.1), ("2024-03-31", "A", "a", 2.0, 1.0, 0.1), ("2024-03-31", "Z", "z", 1.0, 1.0, 0.1)]
+    got = {(str(r["as_of_date"]), r["key"]): r["action"] for r in p.changes(held(spark, *rows)).collect()}
+    assert got == {("2024-02-29", "A"): "EXITED", ("2024-02-29", "Z"): "UNCHANGED", ("2024-03-31", "A"): "NEW", ("2024-03-31", "Z"): "UNCHANGED"}
+
+
+def test_successions_are_flagged_on_both_rows(spark):
+    rows = [("2024-01-31", "A", "First Bank Limited", 1.0, 100.0, 0.1), ("2024-02-29", "B", "First Bank Ltd", 1.0, 105.0, 0.1), ("2024-02-29", "E", "Else", 1.0, 900.0, 0.1)]
+    got = {r["key"]: (r["flags"], r["confidence"]) for r in p.with_successions(p.changes(held(spark, *rows))).collect()}
+    assert got == {"A": (["isin_change_suspected"], "low"), "B": (["isin_change_suspected"], "low"), "E": ([], "high")}
+
+
 def test_rename_wins_over_merger(spark):
     rows = [("2024-01-31", "A", "First Bank Limited", 1.0, 100.0, 0.1), ("2024-02-29", "B", "First Bank Ltd", 1.0, 105.0, 0.1), ("2024-01-31", "C", "Quartz Mining", 1.0, 400.0, 0.1), ("2024-02-29", "D", "Delta Foods", 1.0, 420.0, 0.1)]
     got = {(r["old_key"], r["new_key"]): r["suspicion"] for r in p.suspected_successions(p.changes(held(spark, *rows))).collect()}
-    assert got == {("A", "B"): "isin_change", ("C", "D"): "merger"}
+    assert got == {("A", "B"): "isin_change_suspected", ("C", "D"): "possible_corporate_action_merger"}
 
 
 def test_streaks(spark):
@@ -169,4 +212,54 @@ def test_stream_is_idempotent(spark, tmp_path):
     watch(spark, str(landing), str(table), str(tmp_path / "c")).awaitTermination()
     (landing / "b.txt").write_text("Scheme Code;Scheme Name;X;Y;Net Asset Value;Date\n1;a;;;12;02-Feb-2024\n")
     watch(spark, str(landing), str(table), str(tmp_path / "c")).awaitTermination()
-    assert sorted((str(r["date"]), r["nav"]) for r in spark.read.parquet(f"{table}/version=1").collect()) == [("2024-02-01", 10.0), ("2024-02-02", 12.0)]
+    (landing / "c.txt").write_text("Scheme Code;Scheme Name;X;Y;Net Asset Value;Date\n1;a;;;13;02-Mar-2024\n")
+    watch(spark, str(landing), str(table), str(tmp_path / "c")).awaitTermination()
+    assert sorted((str(r["date"]), r["nav"]) for r in spark.read.parquet(str(table)).collect()) == [("2024-02-01", 10.0), ("2024-02-02", 12.0), ("2024-03-02", 13.0)]
+
+
+def test_price_lines_without_a_header_and_with_columns(spark):
+    text = "9;INF1;-;Old Fund - Direct Plan - IDCW Payout;7.5;01-Feb-2024\nClose Ended Schemes ( Income )\nNorth House\n8;;INF2;Nippon Growth Fund - Growth;1;2-Feb-24\n"
+    rows = f.parse_price_text(spark.createDataFrame([("f", text)], "file string, value string"))
+    got = {r["code"]: (r["house"], r["nav"], str(r["date"]), r["category"], r["sub_category"]) for r in rows.collect()}
+    assert got == {"9": (None, 7.5, "2024-02-01", None, None), "8": ("North House", 1.0, "2024-02-02", "Income", "")}
+    known = {r["code"]: (r["base"], r["plan_type"], r["option_type"], r["amc_id"]) for r in f.identified(rows).collect()}
+    assert known == {"8": ("Nippon Fund", None, "Growth", "amc-north-house")}
+    assert f.daily_frames(rows)["counts"].first()["suspicious"] is False
+
+
+def test_kinds_of_files(spark):
+    rows = [("a", b"PK\x03\x04xx"), ("b", bytes.fromhex("D0CF11E0A1B11AE1")), ("c", b"%PDF-1.7"), ("d", b" <!DOCTYPE html><p>"), ("e", b"hello"), ("f", b"%PDF-1.7")]
+    got = {r["path"]: (r["kind"], r["n"]) for r in f.new_files(spark.createDataFrame(rows, "path string, content binary"), spark.createDataFrame([], "sha256 string")).collect()}
+    assert got == {"a": ("xlsx", 1), "b": ("xls_biff", 1), "c": ("pdf", 2), "d": ("html", 1), "e": ("unknown", 1)}
+
+
+def test_statuses_and_words(spark):
+    rows = [(1, 1, "text"), (1, 2, " "), (2, 1, ""), (2, 2, None), (3, None, None)]
+    got = {r["doc_id"]: (r["pages"], r["status"]) for r in d.parse_status(spark.createDataFrame(rows, "doc_id long, page_number int, text string")).collect()}
+    assert got == {1: (2, "parsed"), 2: (2, "unparseable_scanned"), 3: (0, "unparseable")}
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(d.words(F.lit("The Midcap Growth-Option, of  Acme")).alias("w"), d.headings(F.lit("a\n  asset allocation PATTERN x\nbenchmark\nRisk Factorsy")).alias("h")).first()
+    assert (row["w"], row["h"]) == (["mid", "cap", "acme"], ["Asset Allocation Pattern"])
+
+
+def test_expense_ratios_of_known_layouts(spark):
+    texts = [
+        "Expense Ratio\nRegular Plan:   1.05%*\nDirect Plan:   0.53%*\nBase Expense Ratio (As on last business day of the month)",
+        "Base Expense Ratio^\nRegular/Other than Direct   1.50\nDirect   0.47",
+        "EXPENSE RATIO\nBase expense Ratio Including levies\nRegular: 1.27% Direct: 0.67%",
+        "Total Expense Ratio\n   TER   BER\nRegular  2.06%  1.39%\nDirect  1.27%  0.72%",
+        "Direct Plan 12.50 returns\nTER\nDirect: 0.51%  Regular: 1.20%",
+    ]
+    pages = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "doc_id int, page_number int, text string")
+    got = {(r["doc_id"], r["plan_type"], r["ratio_type"]): r["pct"] for r in d.expense_ratios(pages).collect()}
+    assert got == {(0, "Regular", "BER"): 1.05, (0, "Direct", "BER"): 0.53, (1, "Regular", "BER"): 1.5, (1, "Direct", "BER"): 0.47, (2, "Regular", "BER"): 1.27, (2, "Direct", "BER"): 0.67, (3, "Regular", "TER"): 2.06, (3, "Regular", "BER"): 1.39, (3, "Direct", "TER"): 1.27, (3, "Direct", "BER"): 0.72, (4, "Direct", "TER"): 0.51, (4, "Regular", "TER"): 1.2}
+
+
+def test_former_names_and_no_match(spark):
+    from navella.operators import funds as u
+
+    plans = spark.createDataFrame([("s1", "SBI Large Cap Fund", "North", "INF1", "101"), ("s2", "Acme Mid Cap Fund", "Acme House", "INF2", "102")], "scheme_id string, name string, house string, isin string, code string")
+    asked = spark.createDataFrame([("a", "SBI Bluechip Fund"), ("b", "inf2"), ("c", "midcap acme"), ("d", "acme house"), ("e", "nothing here"), ("f", "sbi large cap fund"), ("g", "")], "query_id string, text string")
+    got = {r["query_id"]: (r["scheme_id"], r["confidence"], r["via"]) for r in u.resolve_funds(asked, plans).collect()}
+    assert got == {"a": ("s1", 0.6, "former_name"), "b": ("s2", 1.0, "literal"), "c": ("s2", 0.6, "word_match"), "d": ("s2", 0.5, "literal"), "e": (None, None, "no_match"), "f": ("s1", 0.95, "literal"), "g": (None, None, "no_match")}

@@ -4,7 +4,7 @@ import pytest
 from oracle import difference
 
 import __spark_entry__
-from navella.plans.queries import ORACLES, QUERIES
+from navella.plans import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SNAPSHOT = ["scheme_id", "as_of_date"]
 #: Days between disclosures by kind.
@@ -127,37 +128,41 @@ def merged(old: Column, new: Column) -> Column:
     return F.coalesce(F.abs(F.try_divide(n, o) - 1) < 0.2, F.lit(False))
 
 
-def name_similarity(pairs: DataFrame, left: str, right: str, least: float) -> DataFrame:
-    """pairs of which the Ratcliff-Obershelp ratio of two string columns is at least that; pairs whose lengths
-    already rule it out don't reach Python."""
-    a, b = F.length(left), F.length(right)
+def suspected_successions(changed: DataFrame) -> DataFrame:
+    """Exited and new holdings of one snapshot that may be one: by name (an isin change, which wins; Ratcliff-Obershelp ratio of
+    SIMILAR_NAMES at least) or by value (a merger). A name or value that isn't known is like none. Pairs whose lengths and
+    values rule both out don't reach Python."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]+", " "))
+    sides = [changed.filter(F.col("action") == a).select(*SNAPSHOT, F.col("key").alias(f"{k}_key"), plain.alias(f"{k}_name"), F.abs("value_change").alias(f"{k}_value")) for k, a in (("old", "EXITED"), ("new", "NEW"))]
+    keys = [*SNAPSHOT, "old_key", "new_key"]
+    a, b = F.length("old_name"), F.length("new_name")
+    alike = (a > 0) & (b > 0) & (2.0 * F.least(a, b) >= SIMILAR_NAMES * (a + b))
+    pairs = sides[0].join(sides[1], SNAPSHOT).select(*keys, "old_name", "new_name", alike.alias("alike"), merged(F.col("old_value"), F.col("new_value")).alias("near")).filter("alike or near")
+    # pairs are many where their sides are few, so they are dealt out anew
+    pairs = pairs.repartition(changed.sparkSession.sparkContext.defaultParallelism, "old_key", "new_key")
 
-    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
-        for pdf in batches:
-            yield pdf[[SequenceMatcher(None, x, y).ratio() >= least for x, y in zip(pdf[left], pdf[right], strict=True)]]
-
-    return pairs.filter(2.0 * F.least(a, b) >= least * (a + b)).mapInPandas(ratios, pairs.schema)
+        def suspicion(x: str, y: str, alike: bool, near: bool) -> str | None:
+            if alike:
+                m = SequenceMatcher(None, x, y)
+                if x == y or (m.quick_ratio() >= SIMILAR_NAMES and m.ratio() >= SIMILAR_NAMES):
+                    return "isin_change_suspected"
+            return "possible_corporate_action_merger" if near else None
 
+        for pdf in batches:
+            pdf["suspicion"] = [suspicion(*row) for row in zip(pdf["old_name"], pdf["new_name"], pdf["alike"], pdf["near"], strict=True)]
+            yield pdf[pdf["suspicion"].notna()][[*keys, "suspicion"]]
 
-def suspected_successions(changed: DataFrame) -> DataFrame:
-    """Exited and new holdings of one snapshot that may be one: by name (an isin change, which wins) or by value (a merger).
-    A name or value that isn't known is like none."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]+", " "))
-    sides = [changed.filter(F.col("action") == a).select(*SNAPSHOT, F.col("key").alias(f"{k}_key"), plain.alias(f"{k}_name"), F.abs("value_change").alias(f"{k}_value")) for k, a in (("old", "EXITED"), ("new", "NEW"))]
-    pairs = sides[0].join(sides[1], SNAPSHOT)
-    same = name_similarity(pairs.filter("old_name <> '' and new_name <> ''"), "old_name", "new_name", SIMILAR_NAMES).withColumn("suspicion", F.lit("isin_change_suspected"))
-    keys = [*SNAPSHOT, "old_key", "new_key"]
-    values = pairs.filter(merged(F.col("old_value"), F.col("new_value"))).join(same.select(*keys), keys, "left_anti").withColumn("suspicion", F.lit("possible_corporate_action_merger"))
-    return same.unionByName(values).select(*keys, "suspicion")
+    return pairs.mapInPandas(judge, StructType([*(pairs.schema[c] for c in keys), *StructType.fromDDL("suspicion string").fields]))
 
 
 def with_successions(changed: DataFrame) -> DataFrame:
     """changes with the flags of suspected successions on both rows of each, whose confidence is then low."""
     pairs = suspected_successions(changed)
-    ends = [pairs.select(*SNAPSHOT, F.col(f"{k}_key").alias("key"), F.lit(a).alias("action"), "suspicion") for k, a in (("old", "EXITED"), ("new", "NEW"))]
-    found = ends[0].unionByName(ends[1]).groupBy(*SNAPSHOT, "key", "action").agg(F.array_sort(F.collect_set("suspicion")).alias("more"))
+    ends = F.explode(F.array(*(F.struct(F.col(f"{k}_key").alias("key"), F.lit(a).alias("action")) for k, a in (("old", "EXITED"), ("new", "NEW")))))
+    found = pairs.select(*SNAPSHOT, "suspicion", ends.alias("e")).select(*SNAPSHOT, "suspicion", "e.*").groupBy(*SNAPSHOT, "key", "action").agg(F.array_sort(F.collect_set("suspicion")).alias("more"))
     rows = changed.join(found, [*SNAPSHOT, "key", "action"], "left").withColumn("flags", F.concat("flags", F.coalesce("more", F.array().cast("array<string>"))))
     return rows.withColumn("confidence", F.when(F.size("flags") > 0, "low").otherwise("high")).select(*changed.columns)
 

@@ -32,7 +32,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [("toxicity", toxicity_stage), ("quality", quality_stage), ("near duplicates", near_duplicate_stage), ("packing", packing_stage)]
-#: SQL can express none of the models; tests compare the stages with plain versions.
+#: SQL can express none of the models; the operators of the stages are tested against plain versions.
 ORACLE_SQL = None
 
 

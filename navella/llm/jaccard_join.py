@@ -35,7 +35,7 @@ BATCH_SIGNATURES = 1_500_000
 LARGE = 2048
 #: Classes (two numbers each) that go to every executor at most; beyond it texts are shuffled to them.
 BROADCAST_ROWS = 500_000
-#: Classes of one component whose sets one group of the last comparison holds, and members of one side of a salted bucket, about.
+#: Classes on one side of a block of the last comparison, and members of one side of a salted bucket, about.
 BLOCK = 512
 #: 64-bit words of a sketch.
 SKETCH = 8
@@ -360,52 +360,94 @@ def across(entries: DataFrame, labels: DataFrame, small: DataFrame, docs: DataFr
     return pairs.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
 
 
-def candidates(entries: DataFrame, labels: DataFrame, small: DataFrame) -> DataFrame:
-    """The plausible pairs (label, a, b) of classes that are in one component and share a signature. Where a component's
-    buckets hold more pairs than the component, it is taken as one bucket itself."""
-    members = entries.join(labels.withColumnRenamed("node", "class"), "class").select("key", "class", "label")
+def candidates(entries: DataFrame, labels: DataFrame, small: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, size) of the components whose classes are all compared with each other, in blocks: those of BLOCK classes at
+    most and those whose buckets hold more pairs than the component; and the plausible pairs (a, b) of classes of the
+    other components that share a signature."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    few = F.col("size") <= BLOCK
+    members = entries.join(labels.withColumnRenamed("node", "class"), "class").join(sizes.filter(~few).select("label"), "label", "left_semi").select("key", "class", "label")
     buckets = members.groupBy("key", "label").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("x")).filter("size > 1")
     buckets = stored(buckets.groupBy("label", "size", "x").agg(F.min("key").alias("key")).drop("x"), "own-buckets")
     work = buckets.groupBy("label").agg(F.sum(F.col("size") * (F.col("size") - 1)).alias("work"))
-    whole = labels.groupBy("label").agg(F.count("*").alias("size")).join(work, "label").filter(F.col("work") >= F.col("size") * (F.col("size") - 1)).select("label", "size")
+    whole = sizes.join(work, "label", "left").filter(few | (F.col("work") >= F.col("size") * (F.col("size") - 1))).select("label", "size")
     whole = stored(whole, "whole-components")
-    parts = members.join(buckets.join(whole, "label", "left_anti"), ["key", "label"]).select(F.lit(False).alias("whole"), "key", "label", "class", "size")
-    parts = parts.unionByName(labels.withColumnRenamed("node", "class").join(whole, "label").select(F.lit(True).alias("whole"), F.col("label").alias("key"), "label", "class", "size"))
+    parts = members.join(buckets.join(whole, "label", "left_anti"), ["key", "label"]).select("key", "label", "class", "size")
     parts = stored(parts.join(small.drop("one_id"), "class").withColumn("salts", F.ceil(F.col("size") / BLOCK).cast("int")), "bucket-members")
     left = parts.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int"))
     right = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("whole", "key", "label", "salt")]
-    pairs = left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & (F.col("l.class") < F.col("r.class")) & plausible("l", "r"))
-    return pairs.select("l.label", F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
-
-
-def links(entries: DataFrame, labels: DataFrame, small: DataFrame, docs: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of classes whose sets are similar. labels: the exact components, so no link leads out of one.
-    Sets are sent to blocks of pairs, not to each pair."""
-    pairs = stored(candidates(entries, labels, small), "candidates")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "label", "salt")]
+    pairs = left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & (F.col("l.class") < F.col("r.class")) & plausible("l", "r"))
+    return whole, pairs.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
+
+
+def allowed(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """The places (i, j) in left and right of sets that sizes and sketches allow to be similar; each two once, if left is right."""
+    n = np.array([len(s) for s in sets])
+    words = np.array([sketch_of(s) for s in sets], np.int64).view(_U)
+    bits = np.zeros((len(left), len(right)), np.int64)
+    for k in range(SKETCH):
+        bits += np.bitwise_count(words[left, k][:, None] ^ words[right, k][None, :])
+    x, y = n[left][:, None], n[right][None, :]
+    good = (4 * x <= 5 * y) & (4 * y <= 5 * x) & (9 * bits <= x + y)
+    if left is right:
+        good = np.triu(good, 1)
+    i, j = np.nonzero(good)
+    return list(zip(left[i].tolist(), right[j].tolist(), strict=True))
+
+
+def links(entries: DataFrame, labels: DataFrame, small: DataFrame, docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b), a < b, of classes whose sets are similar; with rows (class, rows) instead (class, others), in
+    parts to be added up: the rows of the classes that it is linked to, of which no list of pairs is made. labels: the exact
+    components, so no link leads out of one. Sets are sent to blocks of pairs, not to each pair."""
+    whole, pairs = candidates(entries, labels, small)
+    pairs = stored(pairs, "candidates")
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     bundles = max(1, labels.count() // BLOCK)
-    large = F.col("size") > BLOCK
+    large, blocks = F.col("size") > BLOCK, F.ceil(F.col("size") / BLOCK).cast("int")
     bundle = F.when(large, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bundles)))
-    block = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0))
-    of = stored(labels.join(sizes, "label").select("node", large.alias("large"), bundle.alias("bundle"), block.cast("int").alias("block")), "blocks")
+    of = labels.join(sizes, "label").select("node", "label", large.alias("large"), bundle.alias("bundle"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    of = stored(of, "blocks")
     keys = ["large", "bundle", "x", "y"]
-    pairs = pairs.join(of.withColumnsRenamed({"node": "a", "block": "x"}), "a").join(of.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    pairs = pairs.join(of.select(F.col("node").alias("a"), "large", "bundle", F.col("block").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
     pairs = stored(pairs.select(*keys, "a", "b"), "blocked-pairs")
-    sets = stored(sets_for(pairs, docs, small), "sets").select("class", "cells", "shingles")
-    ends = stored(pairs.select(*keys, F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
+    teams = stored(of.join(whole.select("label", blocks.alias("blocks")), "label"), "teams")
+    ends = pairs.select(*keys, F.explode(F.array("a", "b")).alias("class")).distinct().select(*keys, "class", F.lit(None).cast("long").alias("team"), F.lit(0).alias("block"))
+    other = teams.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ends = stored(ends.unionByName(other.select("large", "bundle", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("node").alias("class"), F.col("label").alias("team"), "block")), "ends")
+    alone = teams.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    sets = stored(sets_for(pairs.select("a", "b").unionByName(alone), docs, small), "sets").select("class", "cells", "shingles")
+    if rows is not None:
+        sets = sets.join(rows, "class")
+    counts = rows is not None
 
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
-        own = {c: (cells, np.frombuffer(s, _U)) for c, cells, s in zip(*(held.column(c).to_pylist() for c in ("class", "cells", "shingles")), strict=True)}
-        found = []
-        for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True):
-            if a in own and b in own:
-                (p, s), (q, t) = own[a], own[b]
-                if 9 * differing(p, q) <= len(s) + len(t) and similar(s, t):
-                    found.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return pairs.groupBy(*keys).cogroup(ends.join(sets, "class").groupBy(*keys)).applyInArrow(compare, "a long, b long")
+        cls, block = (held.column(c).to_numpy() for c in ("class", "block"))
+        cells = held.column("cells").to_pylist()
+        own = [np.frombuffer(s, _U) for s in held.column("shingles").to_pylist()]
+        at = {c: i for i, c in enumerate(cls.tolist())}
+        ask = [(at[a], at[b]) for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True) if a in at and b in at]
+        teams: dict[int, list[int]] = {}
+        for i, t in enumerate(held.column("team").to_pylist()):
+            if t is not None:
+                teams.setdefault(t, []).append(i)
+        for places in teams.values():
+            x, y = held.column("x")[0].as_py(), held.column("y")[0].as_py()
+            members = [own[i] for i in places]
+            left, right = (np.flatnonzero(block[places] == k) for k in (x, y))
+            ask += [(places[i], places[j]) for i, j in allowed(members, left, left if x == y else right)]
+        found = [(i, j) for i, j in ask if 9 * differing(cells[i], cells[j]) <= len(own[i]) + len(own[j]) and similar(own[i], own[j])]
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        if counts:
+            weight = held.column("rows").to_numpy()
+            others = np.zeros(len(cls), np.int64)
+            np.add.at(others, i, weight[j])
+            np.add.at(others, j, weight[i])
+            return pa.table({"class": cls[others > 0], "others": others[others > 0]})
+        return pa.table({"a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j])})
+
+    asked = pairs.groupBy(*keys).cogroup(ends.join(sets, "class").groupBy(*keys))
+    return asked.applyInArrow(compare, "class long, others long" if counts else "a long, b long")
 
 
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -465,11 +507,11 @@ def similar_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def component_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included) and n_links (the other
     rows it is linked to, those of an equal set included) of every row."""
-    named, found, pairs = similar_pairs(docs)
-    rows = named.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows"))
-    pairs = stored(pairs, "all-links")
-    ends = pairs.union(pairs.select("b", "a")).toDF("class", "other")
-    linked = ends.join(rows.toDF("other", "rows"), "other").groupBy("class").agg(F.sum("rows").alias("others"))
+    named, small, entries, labels = joined(docs)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    rows = stored(named.filter("class is not null").groupBy("class").agg(F.count("*").alias("rows")), "rows")
+    linked = links(entries, labels, small, plain, rows).groupBy("class").agg(F.sum("others").alias("others"))
+    found = component_of(small, labels)
     found = found.join(rows, "class").join(linked, "class", "left").select(F.col("class").alias("of"), "component_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     rows = named.join(found, named["class"] == F.col("of"), "left")
     none = F.col("class").isNull()

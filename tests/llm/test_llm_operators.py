@@ -654,3 +654,24 @@ def test_repeated_rows_of_a_query_id_hide_no_other_id(spark):
     rows = [(0, [9.0, 0.0, 0.0, 0.0])] * 25 + [(k, [9.0, 0.0, 0.0, 0.0]) for k in (1, 2, 3)] + [(100 + i, v.tolist()) for i, v in enumerate(x)]
     got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 20).filter("rank <= 3").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_every_link_is_listed_and_counted(spark, monkeypatch, block):
+    """Components of up to and of more classes than a block; a chain whose ends aren't similar has fewer links than pairs."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    chain = {3000 + k: " ".join(f"c{j}" for j in range(4 * k, 4 * k + 120)) for k in range(30)}
+    texts = near_corpus() | chain | {3100: chain[3004]}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in ((i, (t or "").lower().split()) for i, t in texts.items())}
+    want = {(a, b) for a in sets for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    rows, _, pairs = jaccard_join.similar_pairs(df)
+    members = {}
+    for r in rows.collect():
+        if r["class"] is not None:
+            members.setdefault(r["class"], []).append(r["doc_id"])
+    listed = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(listed) == len(set(listed)) and all(a < b for a, b in listed)
+    found = {(x, y) for a, b in [*listed, *((c, c) for c in members)] for p, q in ((a, b), (b, a)) for x in members[p] for y in members[q] if x != y}
+    assert found == want
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.component_ids(df).collect()} == {i: sum(a == i for a, _ in want) for i in texts}

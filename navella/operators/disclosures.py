@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from navella.functions.dates import MONTHS, leading_date
+
 #: The standard headings of scheme documents, looked for at the start of a line.
 HEADINGS = (
     "Investment Objective",
@@ -17,7 +19,6 @@ HEADINGS = (
 )
 #: Words of a scheme's name that tell nothing.
 STOP_WORDS = ("fund", "plan", "scheme", "the", "of", "direct", "regular", "growth", "option")
-MONTH_DATE = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)?[ -]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ ,-]+(\d{4})"
 
 
 def headings(text: Column) -> Column:
@@ -90,96 +91,10 @@ def file_date(name: Column) -> Column:
 
 
 def loose_date(text: Column) -> Column:
-    """The first date like 2026-09-01, 1-9-2026 or 1st September 2026 in a text; null if there is none or it isn't valid."""
-    iso = F.try_to_date(F.regexp_extract(text, r"\b(\d{4}-\d{2}-\d{2})\b", 1), "yyyy-MM-dd")
-    parts = [F.regexp_extract(text, r"\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})\b", k) for k in (3, 2, 1)]
-    numbers = F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d")
-    words = F.try_to_date(F.concat_ws(" ", F.regexp_extract(text, MONTH_DATE, 1), F.initcap(F.regexp_extract(text, MONTH_DATE, 2)), F.regexp_extract(text, MONTH_DATE, 3)), "d MMM yyyy")
-    return F.coalesce(iso, numbers, words)
-
-
-#: (event, pattern) of notices; the first group, where there is one, is what was changed to.
-SIGNALS = (
-    ("manager_appointed", r"(?i)appoint(?:ed|ment of)\s+(?:Mr\.?|Ms\.?|Mrs\.?)?\s*([A-Z][A-Za-z. ]{2,40}?)\s+as\s+(?:the\s+)?fund manager"),
-    ("manager_ceased", r"(?i)(?:Mr\.?|Ms\.?|Mrs\.?)\s+([A-Z][A-Za-z. ]{2,40}?)\s+(?:has\s+)?ceased?d?\s+to\s+(?:be|manage)"),
-    ("manager_change", r"(?i)change\s+(?:in|of)\s+(?:the\s+)?fund\s+manager()"),
-    ("mandate_revision", r"(?i)(?:change|revision|modification)\s+(?:in|of|to)\s+(?:the\s+)?(?:investment\s+objective|asset\s+allocation\s+pattern|investment\s+strategy)()"),
-    ("benchmark_change", r"(?i)benchmark\b[^.]{0,80}?\b(?:changed?|revised|replaced)\b[^.]{0,80}?\bto\s+([^.;]{3,60})"),
-    ("expense_change", r"(?i)(expense ratio|TER)\b[^.]{0,60}?\b(?:changed?|revised|increased|reduced)"),
-    ("category_change", r"(?i)(?:re)?categori[sz]ed?\b[^.]{0,60}?\bto\s+([^.;]{3,60})"),
-    ("subscription_halt", r"(?i)(suspen(?:d|sion)[^.]{0,40}?(?:subscription|purchase)s?)"),
-)
-
-
-#: Rules of which every match counts; manager_change is only looked for where these find nothing.
-EACH = ("manager_appointed", "manager_ceased")
-OLD_BENCHMARK = (r"(?i)existing\s+benchmark[:\s]+([^\n.]{5,80})", r"(?i)benchmark\b[^.]{0,80}?\bfrom\s+([^.;]{3,60}?)\s+to\b")
-RATE = r"(\d+\.\d+)\s*%"
-
-
-def matches(text: str, pattern: str) -> Column:
-    """Every match in a column as (hit, value, place): its text, its first group, and where it begins."""
-    hits, values = (F.regexp_extract_all(text, F.lit(pattern), k) for k in (0, 1))
-    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
-
-    def fold(a: Column, hit: Column) -> Column:
-        place = F.position(hit, F.col(text), a["at"])
-        return F.struct((place + F.length(hit)).alias("at"), F.array_append(a["found"], place).alias("found"))
-
-    return F.arrays_zip(hits.alias("hit"), values.alias("value"), F.aggregate(hits, begin, fold, lambda a: a["found"]).alias("place"))
-
-
-def stated(text: Column, pattern: str) -> Column:
-    """The first group of the first match; null without one."""
-    return F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
-
-
-def notice_signals(notices: DataFrame) -> DataFrame:
-    """Events stated in notices (doc_id, doc_date, text): event, before, after and effective_date, which is the date near the match
-    or else the document's; notices without any give a generic one. Every manager who is appointed or ceases is an event; after
-    names them both, before those who cease."""
-    found, text, none = None, F.col("text"), F.lit(None).cast("string")
-    for event, pattern in SIGNALS:
-        hits = matches("text", pattern)
-        hits = hits if event in EACH else F.slice(hits, 1, 1)
-        rows = notices.select("doc_id", "doc_date", "text", F.explode(hits).alias("m")).select("*", "m.*")
-        rest = text.substr(F.col("place"), F.length("hit") + 300)
-        after, before = F.nullif(F.trim("value"), F.lit("")), none
-        if event == "manager_ceased":
-            before = after
-        elif event == "benchmark_change":
-            before = F.coalesce(*(stated(text, p) for p in OLD_BENCHMARK))
-        elif event == "expense_change":
-            rates = F.regexp_extract_all(rest, F.lit(RATE), 1)
-            before, after = (F.concat(F.get(rates, F.lit(k)), F.lit("%")) for k in (0, 1))
-        first = F.greatest(F.col("place") - 200, F.lit(1))
-        near = text.substr(first, F.col("place") - first + F.length("hit") + (200 if event in EACH else 400))
-        rows = rows.select("doc_id", "doc_date", F.lit(event).alias("event"), before.alias("before"), after.alias("after"), F.coalesce(loose_date(near), "doc_date").alias("effective_date"))
-        if event == "manager_change":
-            rows = rows.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-        found = rows if found is None else found.unionByName(rows)
-    generic = notices.join(found, "doc_id", "left_anti").select("doc_id", "doc_date", F.lit("general_notice").alias("event"), none.alias("before"), none.alias("after"), F.col("doc_date").alias("effective_date"))
-    return found.unionByName(generic).dropDuplicates(["doc_id", "event", "effective_date", "before", "after"])
-
-
-def name_changes(observed: DataFrame) -> DataFrame:
-    """Names added and removed against the document before (observed: scheme_id, doc_date, name); the first document is a
-    baseline."""
-    days = observed.groupBy("scheme_id", "doc_date").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    rows = days.withColumn("before", F.lag("names").over(Window.partitionBy("scheme_id").orderBy("doc_date"))).filter("before is not null")
-    return rows.select("scheme_id", "doc_date", F.array_except("names", "before").alias("added"), F.array_except("before", "names").alias("removed"))
-
-
-def assignments(observed: DataFrame) -> DataFrame:
-    """Spells in which a name was in every document of its scheme: from_date, to_date (the first document without it; null while
-    current), recomputed from the whole history, so the order of loading doesn't matter."""
-    days = observed.select("scheme_id", "doc_date").distinct()
-    by_day = Window.partitionBy("scheme_id").orderBy("doc_date")
-    days = days.withColumns({"place": F.row_number().over(by_day), "next": F.lead("doc_date").over(by_day)})
-    rows = observed.join(days, ["scheme_id", "doc_date"])
-    spell = F.col("place") - F.row_number().over(Window.partitionBy("scheme_id", "name").orderBy("doc_date"))
-    found = rows.withColumn("spell", spell).groupBy("scheme_id", "name", "spell").agg(F.min("doc_date").alias("from_date"), F.max(F.struct("doc_date", "next")).alias("last"))
-    return found.select("scheme_id", "name", "from_date", F.col("last.next").alias("to_date"))
+    """The first date in a text, in any form that leading_date reads."""
+    pieces = F.split(text, rf"(?i)(?=\b(?:\d|{'|'.join(m[:3] for m in MONTHS)}))")
+    dates = F.transform(pieces, lambda _, i: leading_date(F.array_join(F.slice(pieces, i + 1, 6), "")))
+    return F.get(F.filter(dates, lambda x: x.isNotNull()), F.lit(0))
 
 
 def event_id(*parts: Column) -> Column:
@@ -214,143 +129,3 @@ def resolve(queries: DataFrame, schemes: DataFrame, limit: int) -> DataFrame:
     rows = rows.withColumns({"confidence": confidence, "extra": F.size(F.array_except("w", "q"))})
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "extra", "scheme_id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "scheme_id", "name", "confidence", "extra", "rank")
-
-
-#: Words that look like a name's but are heads or captions.
-NO_NAME = (
-    "name", "since", "total", "exp", "over", "years", "fund", "manager", "managers", "scheme", "schemes", "date", "details",
-    "experience", "managing", "overseas", "investment", "investments", "equity", "debt", "dedicated", "portion", "securities",
-    "head", "research", "chief", "officer", "as", "on", "of",
-)
-MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
-#: A start as sheets print it: 28-May-2013, May 28, 2013, 28/05/2013, May 2013, since inception.
-START = rf"(since\s+inception|inception|\d{{1,2}}[- ]{MONTH}[- ,]+\d{{2,4}}|{MONTH}\.?,?\s+(?:\d{{1,2}},?\s*)?\d{{4}}|{MONTH}-\d{{4}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}})"
-PERSON = r"([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){1,3})"
-#: (layout, pattern with a person and a start): a titled name with its own start before the next title; a name with
-#: the start in parentheses; a label with one; a row of a table.
-MANAGERS = (
-    ("titled", rf"(?s)\b(?:Mr|Ms|Mrs|Dr)\.?[ \t]+{PERSON}(?:(?!\b(?:Mr|Ms|Mrs|Dr)\b).){{0,300}}?(?i:managing\s+since|\(\s*since|w\.e\.f\.?)\s*[:\-]?\s*(?i:{START})"),
-    ("parenthesis", rf"{PERSON}\s*\(\s*(?i:managing\s+(?:this\s+fund\s+)?since)\s+(?i:{START})"),
-    ("label", rf"(?:Fund[ \t]+Managers?|Managed[ \t]+by)[*^#]*[ \t]*[:\-][ \t]*(?:Mr\.|Ms\.|Mrs\.|Dr\.)?[ \t]*{PERSON}(?:[ \t]*\(?(?i:managing\s+since|w\.e\.f\.?)\s*[:\-]?\s*(?i:{START}))?"),
-    ("row", rf"(?m)^(?:Mr\.|Ms\.|Mrs\.|Dr\.)?[ \t]*{PERSON}(?:[ \t]*\([^)]{{0,60}}\))?(?:[ \t]+\d{{1,2}}[ \t]+years?)?[ \t]+({MONTH}[ \t]+\d{{1,2}}[ \t]*,[ \t]*\d{{4}}|{MONTH}[- ]\d{{4}})"),
-)
-
-
-def start_date(text: Column) -> Column:
-    """The day that a start tells, the first of the month where it has no day; null otherwise."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[.,]", " "), r"\s+", " "))
-    short = F.regexp_replace(plain, rf"(?i)\b({MONTH})\b", "$1")
-    month = F.initcap(F.regexp_extract(short, r"([A-Za-z]{3})[a-z]*", 1))
-    day_first, month_first, alone = (F.regexp_extract(short, p, k) for p, k in ((r"^(\d{1,2})[- ]+[A-Za-z]", 1), (r"^[A-Za-z]+[- ]+(\d{1,2}) ", 1), (r"(\d{4}|\d{2})$", 1)))
-    year = F.when(F.length(alone) == 2, F.concat(F.lit("20"), alone)).otherwise(alone)
-    day = F.coalesce(F.nullif(day_first, F.lit("")), F.nullif(month_first, F.lit("")), F.lit("1"))
-    words = F.try_to_date(F.concat_ws(" ", day, month, year), "d MMM yyyy")
-    return F.coalesce(words, F.try_to_date(text, "d/M/yyyy"), F.try_to_date(text, "d/M/yy"))
-
-
-def managers(pages: DataFrame) -> DataFrame:
-    """(doc_id, name, managing_since) of managers named on pages (doc_id, text, and inception, to which "since inception"
-    refers, where a column has it), in any of four layouts; of several starts the earliest counts. Heads and
-    captions in front of a name go."""
-    inception = F.col("inception") if "inception" in pages.columns else F.lit(None).cast("date")
-    pages = pages.select("doc_id", "text", inception.alias("inception"))
-    found = None
-    for _, pattern in MANAGERS:
-        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("name"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("start"))
-        rows = pages.select("doc_id", "inception", F.explode(pairs).alias("m")).select("doc_id", "inception", "m.*")
-        found = rows if found is None else found.unionByName(rows)
-    words = F.split(F.trim(F.regexp_replace("name", r"\s+", " ")), " ")
-    bad = F.array(*map(F.lit, NO_NAME))
-    first = F.array_position(F.transform(words, lambda w: ~F.array_contains(bad, F.lower(w))), F.lit(True))
-    kept = F.when(first > 0, F.slice(words, first.cast("int"), F.size(words)))
-    found = found.withColumn("words", kept).filter((F.size("words") >= 2) & ~F.exists("words", lambda w: F.array_contains(bad, F.lower(w))))
-    since = F.when(F.lower("start").contains("inception"), F.col("inception")).otherwise(start_date(F.col("start")))
-    return found.groupBy("doc_id", F.array_join("words", " ").alias("name")).agg(F.min(since).alias("managing_since"))
-
-
-UNTIL = rf"(?i)^[\s,&]*\(?\s*(?:effective\s+)?(?:till|until|upto)\s+({MONTH}\.?\s+\d{{1,2}},?\s*\d{{4}}|\d{{1,2}}[- ]{MONTH}[- ,]+\d{{4}})"
-
-
-def current_managers(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """Of managers (doc_id, name, managing_since) those in office on the document's day (pages: doc_id, doc_date, text): not
-    those printed with an end before it, nor with a start after it."""
-    rows = found.join(pages.select("doc_id", "doc_date", "text"), "doc_id")
-    parts = F.split("text", F.concat(F.lit(r"\Q"), F.col("name"), F.lit(r"\E")))
-    ends = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.regexp_extract(F.regexp_replace(F.substring(x, 1, 80), r"\s+", " "), UNTIL, 1))
-    until = start_date(F.get(F.filter(ends, lambda x: x != ""), F.lit(0)))
-    gone = F.coalesce(until < F.col("doc_date"), F.lit(False))
-    to_come = F.coalesce(F.col("managing_since") > F.col("doc_date"), F.lit(False))
-    return rows.filter(~gone & ~to_come).select("doc_id", "name", "managing_since")
-
-
-def inception_dates(pages: DataFrame) -> DataFrame:
-    """(doc_id, inception) stated on pages (doc_id, page_number, text), the first."""
-    stated = F.regexp_extract(F.regexp_replace("text", r"\s+", " "), rf"(?i)(?:date\s+of\s+)?(?:inception|allotment)(?:[\s/]+allotment)?(?:\s+date)?[\s/:\-]*({MONTH}\.?\s+\d{{1,2}},?\s*\d{{4}}|\d{{1,2}}[- ]{MONTH}[- ,]+\d{{2,4}}|\d{{1,2}}/\d{{1,2}}/\d{{4}})", 1)
-    return pages.withColumn("day", start_date(F.nullif(stated, F.lit("")))).filter("day is not null").groupBy("doc_id").agg(F.min_by("day", "page_number").alias("inception"))
-
-
-#: Lines under an expense heading in which its figures stand, and beyond them in which a caption may name them.
-BLOCK, REACH = 6, 3
-BASE = r"(?i)base\s+expense\s+ratio|\bBER\b"
-
-
-def expense_ratios(pages: DataFrame) -> DataFrame:
-    """(doc_id, plan_type, ratio_type, pct) of layout pages (doc_id, page_number, text): a Direct or Regular (also Other)
-    figure on one line, within six lines under a heading of expense ratios. A heading that names TER and BER as columns
-    types its figures in that order; else they are BER if heading or caption says base, and TER if not. The first of
-    each kind counts, and headings after both plans are known don't. Figures lie between 0 and 5."""
-    lines = pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
-    page = Window.partitionBy("doc_id", "page_number").orderBy("at")
-    lines = lines.withColumn("near", F.collect_list("line").over(page.rowsBetween(0, BLOCK + REACH)))
-    heads = lines.filter(F.col("line").rlike(r"(?i)expense\s+ratio|\bTER\b"))
-    block = F.slice("near", 1, BLOCK + 1)
-    named = F.transform(F.slice(F.filter(block, lambda x: F.trim(x) != ""), 1, 3), lambda x: F.regexp_extract_all(x, F.lit(r"\b(TER|BER)\b"), 1))
-    columns = F.get(F.filter(named, lambda c: F.size(F.array_distinct(c)) == 2), F.lit(0))
-    kind = F.when(F.exists("near", lambda x: x.rlike(BASE)), "BER").otherwise("TER")
-    heads = heads.select("doc_id", "page_number", "at", columns.alias("columns"), kind.alias("kind"), F.posexplode(block).alias("nth", "text"))
-    pairs = lambda p: F.arrays_zip(F.regexp_extract_all("text", F.lit(p), 1).alias("label"), F.regexp_extract_all("text", F.lit(p), 2).alias("pct"))
-    label = F.regexp_extract("text", r"(?i)^\s*(direct|regular|other)\b", 1)
-    by_column = F.transform(F.arrays_zip(F.col("columns").alias("c"), F.slice(F.regexp_extract_all("text", F.lit(r"(\d{1,2}\.\d{1,4})\s*%"), 1), 1, 2).alias("p")), lambda z: F.struct(label.alias("label"), z["p"].alias("pct"), z["c"].alias("kind")))
-    colons = pairs(r"(?i)\b(direct|regular|other)(?:\s+plan)?\s*:\s*(\d{1,2}\.\d{1,4})\s*%")
-    starts = pairs(r"(?i)^\s*(direct|regular|other)\b[^\d\n]{0,160}?(\d{1,2}\.\d{1,4})\s*%?")
-    plain = F.transform(F.when(F.size(colons) > 0, colons).otherwise(starts), lambda z: F.struct(z["label"].alias("label"), z["pct"].alias("pct"), F.col("kind").alias("kind")))
-    figures = F.when(F.col("columns").isNotNull(), F.when(label != "", by_column).otherwise(F.array().cast("array<struct<label:string,pct:string,kind:string>>"))).otherwise(plain)
-    rows = heads.select("doc_id", "page_number", "at", "nth", F.posexplode(figures).alias("k", "z"))
-    plan = F.when(F.lower("z.label") == "direct", "Direct").otherwise("Regular")
-    rows = rows.select("doc_id", F.struct("page_number", "at").alias("head"), F.struct("page_number", "at", "nth", "k").alias("order"), plan.alias("plan_type"), F.col("z.kind").alias("ratio_type"), F.col("z.pct").cast("double").alias("pct")).filter("pct > 0 and pct < 5")
-    first = {p: F.min(F.when(F.col("plan_type") == p, F.col("head"))).over(Window.partitionBy("doc_id")) for p in ("Direct", "Regular")}
-    last = F.greatest(first["Direct"], first["Regular"])  # nulls are passed over, so both must be there
-    both = first["Direct"].isNotNull() & first["Regular"].isNotNull()
-    rows = rows.withColumn("known_by", F.when(both, last)).filter("known_by is null or head <= known_by")
-    return rows.groupBy("doc_id", "plan_type", "ratio_type").agg(F.min_by("pct", "order").alias("pct"))
-
-
-def ratio_map(ratios: DataFrame) -> DataFrame:
-    """(doc_id, TER, BER): maps from plan type to figure; null without any."""
-    plans = F.map_from_entries(F.array_sort(F.collect_list(F.struct("plan_type", "pct"))))
-    return ratios.groupBy("doc_id").pivot("ratio_type", ["TER", "BER"]).agg(plans)
-
-
-def ratio_changes(ratios: DataFrame, least: float = 0.001) -> DataFrame:
-    """Total expense ratios (scheme_id, doc_date, plan_type, ratio_type, pct) that differ from the document before by more than
-    least; base ratios are another number and don't count."""
-    days = Window.partitionBy("scheme_id").orderBy("doc_date")
-    docs = ratios.select("scheme_id", "doc_date").distinct().withColumn("previous", F.lag("doc_date").over(days))
-    ter = ratios.filter("ratio_type = 'TER'").select("scheme_id", "doc_date", "plan_type", "pct")
-    old = ter.withColumnsRenamed({"doc_date": "previous", "pct": "before"})
-    rows = ter.join(docs, ["scheme_id", "doc_date"]).join(old, ["scheme_id", "plan_type", "previous"])
-    return rows.filter(F.abs(F.col("pct") - F.col("before")) > least).select("scheme_id", "doc_date", "plan_type", "before", F.col("pct").alias("after"))
-
-
-def latest_costs(plans: DataFrame, ratios: DataFrame) -> DataFrame:
-    """For each scheme of plans and plan type the newest stated total expense ratio of its growth plan, or why there is none:
-    no_direct_growth_plan, no_regular_growth_plan, not_yet_ingested."""
-    kinds = F.explode(F.array(F.lit("Direct"), F.lit("Regular")))
-    asked = plans.select("scheme_id").distinct().select("scheme_id", kinds.alias("plan_type"))
-    growth = plans.filter("option_type = 'Growth'").select("scheme_id", "plan_type", F.lit(True).alias("has_plan")).distinct()
-    newest = ratios.filter("ratio_type = 'TER'").groupBy("scheme_id", "plan_type").agg(F.max(F.struct("doc_date", "pct")).alias("c"))
-    rows = asked.join(growth, ["scheme_id", "plan_type"], "left").join(newest, ["scheme_id", "plan_type"], "left")
-    no_plan = F.concat(F.lit("no_"), F.lower("plan_type"), F.lit("_growth_plan"))
-    reason = F.when(F.col("has_plan").isNull(), no_plan).when(F.col("c").isNull(), "not_yet_ingested").otherwise("stated")
-    known = reason == "stated"
-    return rows.select("scheme_id", "plan_type", F.when(known, F.col("c.doc_date")).alias("as_of_date"), F.when(known, F.col("c.pct")).alias("ter_pct"), reason.alias("source"))

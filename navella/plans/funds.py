@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from navella.operators import disclosures as d
+from navella.operators import expenses as e
 from navella.operators import funds as u
+from navella.operators import managers as m
 from navella.operators import nav as n
 from navella.operators import portfolio as p
 from navella.plans.documents import _COSTS, _PEOPLE, _costs, _people
@@ -116,7 +117,7 @@ sp as (select o.*, place - row_number() over (partition by scheme_id, "name" ord
 x as (select scheme_id, "name", min(doc_date) from_date, arg_max(coalesce(nxt, date '9999-01-01'), doc_date) t from sp group by scheme_id, "name", spell)
 select scheme_id, "name", from_date, t = date '9999-01-01' "current", row_number() over (partition by scheme_id order by from_date, "name") place from x""", "observed_name")
 def manager_timeline(t, _):
-    return u.timeline(d.assignments(t("observed_name"))).drop("to_date")
+    return u.timeline(m.spells(t("observed_name").withColumn("managing_since", F.lit(None).cast("date"))).drop("stated")).drop("to_date")
 
 
 @query("""select lang "name", source kind, case when count(*) > 40 then 'ok' when count(*) > 5 then 'degraded' else 'broken' end status, row_number() over (partition by source order by case when count(*) > 40 then 2 when count(*) > 5 then 1 else 0 end, lang) place from documents group by lang, source""")
@@ -152,8 +153,8 @@ union all select scheme_id, 'documents', case when scheme_id in (select scheme_i
 def fund_profiles(t, _):
     found, pages = _people(t)
     last = pages.filter("doc_date = date '2026-08-31'")
-    people = d.current_managers(found, last).join(last.select("doc_id", "scheme_id"), "doc_id")
-    facts = u.profiles(t("scheme"), t("plan"), d.latest_costs(t("plan"), _costs(t)), n.cost_gap(t("plan"), t("nav_point")), people, pages)
+    people = m.current_managers(found, last).join(last.select("doc_id", "scheme_id"), "doc_id")
+    facts = u.profiles(t("scheme"), t("plan"), e.latest_costs(t("plan"), _costs(t)), n.cost_gap(t("plan"), t("nav_point")), people, pages)
     # the gap has a query of its own; here its digits would be compared as text
     facts = facts.filter("fact <> 'realised_direct_regular_spread_bps'")
     number = F.expr("format_number(cast(value as double), '0.00')")

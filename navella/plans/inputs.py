@@ -114,17 +114,44 @@ def factsheets(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "scheme_id", "doc_date", F.lit(1).alias("page_number"), text.alias("text"))
 
 
+def combined_pages(schemes: DataFrame) -> DataFrame:
+    """(doc_id, page_number, text) of combined factsheets of the view combined_scheme: an index of all names, the schemes' own
+    pages, some shared, one with a column of text before its title, and a page of risk labels with every title."""
+    own = schemes.filter("page_number is not null")
+    text = F.concat(F.when(F.col("i") == 2, F.lit("Returns of one year\nDirect 12.50\n")).otherwise(F.lit("")), "above", "own")
+    ordered = F.array_sort(F.collect_list(F.struct("n", text.alias("text"))))
+    pages = own.groupBy(F.col("source_doc").alias("doc_id"), "page_number").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    names = F.array_sort(F.collect_list(F.struct("n", "name")))
+    listed = schemes.groupBy(F.col("source_doc").alias("doc_id")).agg(names.alias("names"))
+    index = listed.select("doc_id", F.lit(1).alias("page_number"), F.concat(F.lit("Contents\n"), F.array_join(F.transform("names", lambda x: x["name"]), "\n")).alias("text"))
+    risk = F.array_join(F.transform("names", lambda x: F.concat(x["name"], F.lit("\nAn open ended scheme"))), "\n")
+    labels = listed.select("doc_id", F.lit(99).alias("page_number"), F.concat(F.lit("Riskometers as on July 31, 2026\n"), risk).alias("text"))
+    return pages.unionByName(index).unionByName(labels)
+
+
+#: What notices say: several wordings of each kind, in either voice; the SQL of notice_events has what they mean.
+SAID = (
+    "Mr. Alan Stone has ceased to manage the scheme w.e.f. 1st September 2026. Ms. Beth Rivers ceases to be the Fund Manager of the scheme.",
+    "Dated 15-03-2026. The trustees appointed Mr. Carl Field as fund manager with effect from 05-10-2026.",
+    "Notice of a change\nin the fund manager of the scheme, effective from 2 Oct 2026.",
+    "Revision of the investment objective of the scheme w.e.f. 2026-12-01.",
+    "There is a change in the benchmark of the scheme.\nExisting benchmark: Narrow 50 TRI\nRevised benchmark: Broad 100 TRI\nEffective from: 01/11/26",
+    "The Total Expense Ratio (TER) of the scheme shall be revised from 1.50% to 1.25% p.a.",
+    "Temporary suspension of fresh subscription in the scheme with effect from 3rd August 2026.",
+    "",
+    "Ms. Dora Hill and Mr. Eric Vale have been appointed as additional fund managers w.e.f. 01-09-2026.",
+    "Mr. Alan Stone has resigned as Fund Manager of the scheme.",
+    "The scheme is being re-categorised from Flexi Cap to Multi Cap with effect from 01-01-2027.",
+    "Redemption of units is suspended in the scheme.",
+    "The benchmark of the scheme is changed from Narrow 50 TRI to Broad 100 TRI effective from 7 July 2026.",
+    "MR. CARL FIELD HAS BEEN APPOINTED AS FUND MANAGER. MR. CARL FIELD HAS BEEN APPOINTED AS FUND MANAGER.",
+    "The asset allocation pattern stands modified w.e.f 12.06.2026.",
+    "Merger of schemes is proposed. Letters dated 2026-05-05 were sent.",
+)
+
+
 def notices(documents: DataFrame) -> DataFrame:
-    """(doc_id, doc_date, text): documents with a sentence on a change put behind their texts, of one of eight kinds."""
-    said = (
-        "Mr. Alan Stone has ceased to manage the scheme from 1st September 2026. Ms. Beth Rivers has ceased to be a manager.",
-        "We appointed Mr. Carl Field as fund manager from 2026-10-05.",
-        "There is a change in the fund manager.",
-        "Revision of the investment objective from 2026-12-01.",
-        "The benchmark is changed from Narrow 50 TRI to Broad 100 TRI.",
-        "The expense ratio is revised: 1.50% before, 1.25% from now.",
-        "Suspension of subscription in the scheme.",
-        "",
-    )
-    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + "-" * 500 + "\n"), F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 8 + 1).cast("int")), F.lit("\n" + "-" * 500))
+    """(doc_id, doc_date, text): documents with what a notice says put behind their texts, by turns."""
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + "-" * 500 + "\n"), said, F.lit("\n" + "-" * 500))
     return documents.select("doc_id", F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")).alias("doc_date"), text.alias("text"))

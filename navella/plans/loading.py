@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from navella.plans.registry import query
 from navella.sources import grids as g
-from navella.sources import inputs
+from navella.plans import inputs
 from navella.sources import price_files as f
 from navella.sources.views import PRICE_TRUTH
 
@@ -106,6 +106,7 @@ def files_to_read(t, _):
 _HELD = """h as (select *, scheme_id || '/' || as_of_date::varchar sheet_id, row_number() over (partition by scheme_id, as_of_date order by pct_nav desc, instrument_name) place from holding),
 k as (select * from h where not (scheme_id = 'scheme-5' and place = 1)),
 x as (select sheet_id, scheme_id, as_of_date, instrument_name, isin, industry_or_rating, quantity::double quantity, market_value, pct_nav, asset_class, case asset_class when 'equity' then '(a) Listed / awaiting listing' when 'foreign' then 'Foreign Securities and Equity Related Instruments' when 'debt' then 'Unlisted Notes' else 'TREPS / Reverse Repo' end section_label, asset_class = 'equity' listed from k
+ union all select sheet_id, scheme_id, as_of_date, 'Unlisted Notes', null, null, null, 9.0, null, 'debt', 'Debt Instruments', false from k group by 1, 2, 3 having count(*) filter (asset_class = 'debt') = 0
  union all select distinct sheet_id, scheme_id, as_of_date, unnest(['Net Current Assets', 'Cash Margin']), null, null, null::double, 0.0, 0.0, 'cash', 'TREPS / Reverse Repo', false from k)"""
 
 

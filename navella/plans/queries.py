@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from navella.operators import disclosures as d
+from navella.operators import managers as m
 from navella.operators import nav as n
 from navella.operators import portfolio as p
 from navella.plans.registry import query
@@ -221,14 +222,18 @@ _NAMES = """+ dd as (select scheme_id, doc_date, list_sort(list(distinct "name")
 
 @query(_NAMES + " select scheme_id, doc_date, array_to_string(list_sort(list_filter(names, lambda x: not list_contains(bef, x))), ',') added, array_to_string(list_sort(list_filter(bef, lambda x: not list_contains(names, x))), ',') removed from ll where bef is not null", "observed_name")
 def name_changes(t, _):
-    return d.name_changes(t("observed_name")).withColumns({c: F.array_join(F.array_sort(c), ",") for c in ("added", "removed")})
+    return m.name_changes(t("observed_name")).withColumns({c: F.array_join(F.array_sort(c), ",") for c in ("added", "removed")})
+
+
+def _observed(t):
+    return t("observed_name").withColumn("managing_since", F.lit(None).cast("date"))
 
 
 @query("""+ dy as (select scheme_id, doc_date, row_number() over w place, lead(doc_date) over w nxt from (select distinct scheme_id, doc_date from observed_name) window w as (partition by scheme_id order by doc_date)),
 sp as (select o.*, place - row_number() over (partition by scheme_id, "name" order by doc_date) spell, nxt from observed_name o join dy using (scheme_id, doc_date))
 select scheme_id, "name", min(doc_date) from_date, arg_max(coalesce(nxt, date '9999-01-01'), doc_date) to_date from sp group by scheme_id, "name", spell""", "observed_name")
 def name_assignments(t, _):
-    return d.assignments(t("observed_name")).withColumn("to_date", F.coalesce("to_date", F.lit("9999-01-01").cast("date")))
+    return m.spells(_observed(t)).drop("stated").withColumn("to_date", F.coalesce("to_date", F.lit("9999-01-01").cast("date")))
 
 
 @query("""select lang doc_type, max(date '2020-01-01' + (doc_id % 700)::int) newest, count(*) n, date_diff('day', max(date '2020-01-01' + (doc_id % 700)::int), date '2022-01-01')::int age_days,
@@ -264,15 +269,14 @@ def inventory(t, _):
     return out
 
 
-@query("""+ q as (select category query_id, split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 2) as txt from scheme where scheme_id in (select min(scheme_id) from scheme group by category)),
+@query("""+ q as (select scheme_id query_id, name as txt from scheme),
 qw as (select query_id, txt, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g'), '\\b(mid|small|large|flexi|multi|micro)cap\\b', '\\1 cap', 'g')), ' '), lambda x: x not in ('fund', 'plan', 'scheme', 'the', 'of', 'direct', 'regular', 'growth', 'option'))) qs from q),
 sw as (select scheme_id, name, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), '\\b(mid|small|large|flexi|multi|micro)cap\\b', '\\1 cap', 'g')), ' '), lambda x: x not in ('fund', 'plan', 'scheme', 'the', 'of', 'direct', 'regular', 'growth', 'option'))) ws from scheme),
 m as (select query_id, scheme_id, name, case when lower(name) = lower(txt) then 0.95 when contains(lower(name), lower(txt)) then 0.7 else 0.6 end confidence, len(list_filter(ws, lambda x: not list_contains(qs, x))) extra from qw, sw where len(qs) > 0 and list_has_all(ws, qs)),
 k as (select *, row_number() over (partition by query_id order by confidence desc, extra, scheme_id) rank from m)
 select query_id, scheme_id, name, confidence::double confidence, extra::int extra, rank from k where rank <= 10""", "scheme")
 def name_resolution(t, _):
-    first = t("scheme").groupBy("category").agg(F.min(F.struct("scheme_id", "name")).alias("s"))
-    asked = first.select(F.col("category").alias("query_id"), F.substring_index("s.name", " ", 2).alias("text"))
+    asked = t("scheme").select(F.col("scheme_id").alias("query_id"), F.col("name").alias("text"))
     return d.resolve(asked, t("scheme"), 10)
 
 

@@ -88,6 +88,37 @@ select concat('scheme-', cast(cast(floor(s_suppkey / 2) as bigint) as string)) a
        cast(s_suppkey % 50 + 40 + case when k = 3 and s_suppkey % 10 = 0 then 7 else 0 end as int) as direct_bps,
        s_suppkey % 10 = 4 and k > 1 as leaves, s_suppkey % 10 = 6 and k < 3 as comes
 from {supplier} cross join (values (1), (2), (3)) as v(k) where s_suppkey % 2 = 0"""),
+    # the schemes of houses of ten, and what stands on their pages of a combined factsheet; the tenth has none. above: a line
+    # over the title; own: the lines from the title on
+    "combined_scheme": (("supplier",), """
+with s as (select cast(floor(s_suppkey / 2) as bigint) as n from {supplier} where s_suppkey % 2 = 0),
+w as (select *, n % 10 as i, cast(floor(n / 10) as bigint) as h, case n % 10 when 0 then 'Large Cap' when 1 then 'Mid Cap' when 2 then 'Flexi Cap' when 3 then 'Liquid' when 4 then 'Gilt' when 5 then 'Value' when 6 then 'Focused' when 7 then 'Arbitrage' when 8 then 'Overnight' else 'Balanced Advantage' end as word from s),
+p as (select *, concat('cf-', cast(h as string)) as source_doc, concat('cs-', cast(n as string)) as scheme_id, concat('Harbour', cast(h as string), ' ', word, ' Fund') as name,
+       case when i < 2 then 2 when i < 4 then i + 1 when i < 6 then 5 when i < 9 then i else null end as page_number,
+       case n % 7 when 0 then 'Arun' when 1 then 'Bela' when 2 then 'Chitra' when 3 then 'Dev' when 4 then 'Esha' when 5 then 'Farid' else 'Gita' end as first_one,
+       case n % 5 when 0 then 'Hari' when 1 then 'Indu' when 2 then 'Jaya' when 3 then 'Kiran' else 'Lata' end as first_two,
+       cast(n % 80 + 31 as int) as direct_bps, case when n % 4 = 0 then '**' when n % 4 = 1 then '2' else '' end as mark from w),
+b as (select *, count(*) over (partition by source_doc, page_number) > 1 as shared, concat('0.', cast(direct_bps as string), '%') as direct_text, concat('1.', cast(direct_bps as string), '%') as regular_text from p)
+select n, i, source_doc, scheme_id, name, page_number, shared, first_one, first_two, direct_bps, mark,
+       case when i % 3 = 0 then concat('Type of Scheme: an equity scheme', chr(10)) else '' end as above,
+       concat(case when i % 3 = 0 then upper(replace(name, ' Cap', 'cap')) when i % 3 = 1 then replace(name, ' ', '  ') else concat(name, '.') end, chr(10),
+              case when i % 3 = 1 then concat('An open-ended scheme', chr(10)) when i % 3 = 2 then concat('(Erstwhile Harbour Old ', word, ')', chr(10)) else '' end,
+              word, ' Fund', chr(10), 'Fund Manager*: Mr. ', first_one, ' Rao & ', chr(10), 'Ms. ', first_two, ' Mehta', chr(10),
+              'Date of Allotment: May ', cast(n % 28 + 1 as string), ', 2014', chr(10), 'Expense Ratio', mark, chr(10),
+              case when shared then concat('Regular Plan:', chr(10), 'Direct Plan:', chr(10), regular_text, chr(10), direct_text) else concat('Regular Plan: ', regular_text, chr(10), 'Direct Plan: ', direct_text) end, chr(10),
+              repeat(concat('A line of holdings', chr(10)), 12), case when mark = '**' then concat('Pages 3 to 9. **This stands for the base', chr(10), 'expense ratio before levies') when mark = '2' then '2Base expense ratio before levies' else 'No notes' end) as own
+from b"""),
+    # factsheets of six months of each scheme, and the managers that were read in them; some reads are empty, one name is
+    # respelled from the fourth month on
+    "manager_document": (("supplier",), """
+select cast(floor(s_suppkey / 2) as bigint) as n, concat('scheme-', cast(cast(floor(s_suppkey / 2) as bigint) as string)) as scheme_id, k, cast(concat('2026-0', cast(k + 1 as string), '-28') as date) as doc_date
+from {supplier} cross join (values (0), (1), (2), (3), (4), (5)) as v(k) where s_suppkey % 2 = 0"""),
+    "manager_read": (("manager_document",), """
+select scheme_id, doc_date, j as person,
+       case j when 0 then 'Arun Rao' when 1 then 'Bela Mehta' when 2 then case when k >= 3 then 'Chithra Naidoo' else 'Chitra Naidoo' end when 3 then 'Dev Sharma' else 'Esha Kulkarni' end as name,
+       case when (n + j + k) % 4 = 0 then null when (n + j) % 3 = 0 and k >= 2 then cast('2019-06-01' as date) when j = 4 then cast('2026-03-15' as date) else cast(concat('202', cast(j as string), '-0', cast(n % 9 + 1 as string), '-15') as date) end as managing_since
+from {manager_document} cross join (values (0), (1), (2), (3), (4)) as w(j)
+where (n + k) % 7 <> 3 and (n * 5 + k * k * 3 + j * 7) % 5 <> 0 and not (j = 1 and k >= n % 6)"""),
     "document_section": (("documents",), """
 select source as doc_id, row_number() over (partition by source order by doc_id) as page_number, text from {documents}"""),
     "observed_name": (("events",), """

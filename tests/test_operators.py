@@ -173,36 +173,6 @@ def test_upkeep(spark):
     assert [tuple(map(str, r[1:])) for r in months.orderBy("month").collect()] == [("2024-01-15", "2024-01-31"), ("2024-03-01", "2024-03-10")]
 
 
-def test_notices(spark):
-    rows = [(1, "Mr. Alan Stone has ceased to manage the scheme from 1st September 2026."), (2, "The benchmark of the scheme is changed to Broad 100 TRI; effective 2026-10-01."), (3, "Office moved.")]
-    df = spark.createDataFrame([(i, date(2026, 8, 1), t) for i, t in rows], "doc_id long, doc_date date, text string")
-    got = {r["doc_id"]: (r["event"], r["after"], str(r["effective_date"])) for r in d.notice_signals(df).collect()}
-    assert got == {1: ("manager_ceased", "Alan Stone", "2026-09-01"), 2: ("benchmark_change", "Broad 100 TRI", "2026-10-01"), 3: ("general_notice", None, "2026-08-01")}
-
-
-def test_notice_on_several_managers_and_old_values(spark):
-    rows = [
-        (1, "Mr. Alan Stone has ceased to manage the scheme. " + "x " * 150 + "Ms. Beth Rivers has ceased to be a manager from 2026-11-01."),
-        (2, "We appointed Mr. Carl Field as fund manager and appointed Ms. Dora Hill as the fund manager."),
-        (3, "There is a change in the fund manager."),
-        (4, "Revision of the investment objective from 2026-12-01."),
-        (5, "The benchmark is changed from Narrow 50 TRI to Broad 100 TRI."),
-        (6, "The expense ratio is revised: 1.50% before, 1.25% from now."),
-    ]
-    df = spark.createDataFrame([(i, date(2026, 8, 1), t) for i, t in rows], "doc_id long, doc_date date, text string")
-    got = sorted((r["doc_id"], r["event"], r["before"] or "", r["after"] or "", str(r["effective_date"])) for r in d.notice_signals(df).collect())
-    assert got == [
-        (1, "manager_ceased", "Alan Stone", "Alan Stone", "2026-08-01"),
-        (1, "manager_ceased", "Beth Rivers", "Beth Rivers", "2026-11-01"),
-        (2, "manager_appointed", "", "Carl Field", "2026-08-01"),
-        (2, "manager_appointed", "", "Dora Hill", "2026-08-01"),
-        (3, "manager_change", "", "", "2026-08-01"),
-        (4, "mandate_revision", "", "", "2026-12-01"),
-        (5, "benchmark_change", "Narrow 50 TRI", "Broad 100 TRI", "2026-08-01"),
-        (6, "expense_change", "1.50%", "1.25%", "2026-08-01"),
-    ]
-
-
 def test_stream_is_idempotent(spark, tmp_path):
     from navella.streaming.price_stream import watch
 
@@ -243,19 +213,6 @@ def test_statuses_and_words(spark):
     assert (row["w"], row["h"]) == (["mid", "cap", "acme"], ["Asset Allocation Pattern"])
 
 
-def test_expense_ratios_of_known_layouts(spark):
-    texts = [
-        "Expense Ratio\nRegular Plan:   1.05%*\nDirect Plan:   0.53%*\nBase Expense Ratio (As on last business day of the month)",
-        "Base Expense Ratio^\nRegular/Other than Direct   1.50\nDirect   0.47",
-        "EXPENSE RATIO\nBase expense Ratio Including levies\nRegular: 1.27% Direct: 0.67%",
-        "Total Expense Ratio\n   TER   BER\nRegular  2.06%  1.39%\nDirect  1.27%  0.72%",
-        "Direct Plan 12.50 returns\nTER\nDirect: 0.51%  Regular: 1.20%",
-    ]
-    pages = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "doc_id int, page_number int, text string")
-    got = {(r["doc_id"], r["plan_type"], r["ratio_type"]): r["pct"] for r in d.expense_ratios(pages).collect()}
-    assert got == {(0, "Regular", "BER"): 1.05, (0, "Direct", "BER"): 0.53, (1, "Regular", "BER"): 1.5, (1, "Direct", "BER"): 0.47, (2, "Regular", "BER"): 1.27, (2, "Direct", "BER"): 0.67, (3, "Regular", "TER"): 2.06, (3, "Regular", "BER"): 1.39, (3, "Direct", "TER"): 1.27, (3, "Direct", "BER"): 0.72, (4, "Direct", "TER"): 0.51, (4, "Regular", "TER"): 1.2}
-
-
 def test_former_names_and_no_match(spark):
     from navella.operators import funds as u
 

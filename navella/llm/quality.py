@@ -31,8 +31,6 @@ STEPS = 12_000
 RATE = 0.5
 #: Labelled rows of each class that the model is fitted on at most, those of the smallest hashes of doc_id.
 SAMPLE_ROWS = 1500
-#: Different features of a sampled document that it is learned by at most, which bounds what the driver gets of long ones.
-SAMPLE_FEATURES = 20_000
 SLICE = 256 << 10
 
 
@@ -69,13 +67,6 @@ def _counts(b: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield np.unique(f[x:y], return_counts=True)
 
 
-def bounded(f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At most SAMPLE_FEATURES of a document's features and their counts. Buckets are hashes, so the first are as good as
-    any; those of shapes all stay."""
-    kept = (f >= BUCKETS) | (np.arange(len(f)) < SAMPLE_FEATURES)
-    return f[kept], c[kept]
-
-
 @dataclass
 class Model:
     """score = sigmoid(mean of weight over a document's features + bias)."""
@@ -143,8 +134,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, rows:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """The model of a bounded sample (2 * rows documents at most; of each the counts of its features, at most
-    SAMPLE_FEATURES of them, those of the smallest hashes, come to the driver). Labels other than 0 and 1 and null ids are
+    """The model of a bounded sample (2 * rows documents at most; of each the counts of all its features, of
+    which there are BUCKETS + MARKS, come to the driver). Labels other than 0 and 1 and null ids are
     not looked at; of several labels of an id 1 counts; repeated rows of an id are learned from each. With one class
     alone, or none, every score is the share of label 1 (one half without labels)."""
     sample, share = labelled_sample(docs, labels, label, learn, rows)
@@ -152,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", rows:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, b, off in each_slice(batch.column("text"), SLICE):
-                found = [bounded(*x) for x in _counts(b, off)]
+                found = list(_counts(b, off))
                 at = pa.array(np.concatenate([[0], np.cumsum([len(f) for f, _ in found])]), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype(np.int32))) for x in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *lists, batch.column("y").slice(i, j - i)], names=["doc_id", "f", "c", "y"])

@@ -1,15 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of the next byte, one of toxic and one of ordinary documents, give each word two log-likelihoods. Each model looks
-at the five bytes before, backs off to the three before, and then to counts that both classes share, so rare expressions
-are smoothed by what is known of both. Counts of the long runs are numbers of documents, those of the short runs
-continuation counts (how many different long runs end in them); the absolute discount of each class and length is the
-Kneser-Ney estimate from how many runs have counts 1 and 2. Bytes are the models' units, as compounds of toxic stems are
-unseen as whole words.
-
-A document is judged by the difference of the toxic and the ordinary log-likelihood, normalised by length: per word of
-its most toxic passage of so many words, as one insult in a long text is one all the same. A logistic line over this one
-number gives a score between 0 and 1; line and length of passages are fitted on labelled rows left out of the counts.
+at the word from its beginning, which the blank before it marks, at most LONG - 1 bytes back. It backs off to the same counts
+of both classes together, and these to the SHORT - 1 bytes before, so a rare expression is smoothed by what both classes
+know of it, and one that only happens to stand in a toxic text tells little. Counts of the long runs are occurrences, those of
+the short runs continuation counts (how many different long runs end in them); the absolute discounts are the Kneser-Ney
+estimates from how many runs have counts 1 and 2. Bytes are the models' units, as compounds of toxic stems are unseen as
+whole words.
+
+Runs are counted exactly, over all labelled documents, in Spark. The models keep the sums of these counts by hash, in tables
+of so many cells whatever the corpus, so what a driver or task holds is bounded and no run is left out; runs that share a
+cell share its counts.
+
+A document is judged by the difference of the toxic and the ordinary log-likelihood per word, of the share of its words that
+are most toxic (two at least): normalised by length, yet not drowned by what is ordinary in a toxic text. A logistic line
+over this one number gives a score between 0 and 1. Its slope is fitted on labelled rows left out of the counts; share and
+the place of one half are those with the fewest errors on these rows.
 """
 
 from __future__ import annotations
@@ -19,11 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navella.llm.arrowtext import HashTable, each_slice, lower_ascii, mix
+from navella.llm.arrowtext import each_slice, lower_ascii, mix, prefix_sums, span_hashes
 from navella.llm.quality import labelled_sample, labels_of
 from navella.llm.shared import stored
 from navella.llm.tokens import text_column
@@ -32,23 +37,22 @@ from navella.llm.tokens import text_column
 SAMPLE_ROWS = 2500
 #: One labelled document in so many is left out of the counts by which the line sees it.
 PARTS = 5
-#: Words of a passage that are tried.
-WINDOWS = (2, 5, 10, 20, 50)
+#: Shares of a document's words that are tried, and the words that are taken at least.
+SHARES = (0.005, 0.01, 0.02, 0.03, 0.05, 0.1)
+WORDS = 2
+#: What a toxic document that is kept weighs against a clean one that is rejected, where one half of the score is placed.
+MISSED = 4.0
 SLICE = 512 << 10
 #: Runs that a task gathers before it counts them, and documents of a slice that it numbers at once.
 BATCH_RUNS = 2_000_000
 SLICE_DOCS = 60_000
 #: Labels (two numbers each) that go to every executor at most; beyond it texts are shuffled to them.
 BROADCAST_ROWS = 500_000
-#: Long runs that one group of the model's making holds, about, and that a model holds at most, those of the most documents;
-#: the others are backed off.
-GROUP_RUNS = 500_000
-MODEL_RUNS = 4_000_000
-#: Bytes of the long and the short runs.
-LONG, SHORT = 6, 4
+#: Bytes of the long runs at most and at least, and of the short ones.
+LONG, LEAST, SHORT = 12, 2, 3
+#: Cells, as powers of two, of the long runs' table, of that of the bytes before their last, and of the same two of the short.
+CELLS, BEFORE, SHORT_CELLS, SHORT_BEFORE = 22, 21, 20, 16
 _U = np.uint64
-_LONG_BITS = _U(8 * LONG)
-Table = tuple[np.ndarray, np.ndarray]
 
 
 def canonical(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,44 +76,61 @@ def packed(b: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def short_of(run: np.ndarray) -> np.ndarray:
-    return run & _U((1 << 8 * SHORT) - 1)
+def long_runs(b: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the long run that ends at each place, and of its bytes before the last. It begins at the last blank before
+    the place, within its bounds of length."""
+    blank = np.maximum.accumulate(np.where(b == 32, np.arange(len(b)), 0))
+    first = place + 1 - np.clip(place + 1 - blank[place - 1], LEAST, LONG)
+    sums = prefix_sums(b)
+    return span_hashes(b, first, place + 1, sums), span_hashes(b, first, place, sums)
+
+
+def cell(h: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of each 64-bit hash, of 2**bits."""
+    return (h >> _U(64 - bits)).astype(np.int64)
+
+
+RUNS = "run long, before long, short long, parent long, n0 int, n1 int, n2 int, n3 int"
 
 
 def run_counts(texts: DataFrame) -> DataFrame:
-    """(run, n0, n1, n2, n3): how many documents hold each long run, by code. texts: text, code (twice the label, plus 1 for
-    the part left out). A task sums up before it hands on, so what is shuffled grows with its different runs."""
+    """(run, before, short, parent, n0, n1, n2, n3): how often each long run stands in the texts, by code; hashes of it, of its bytes
+    before the last, of its short run and of that one's bytes before the last. texts: text, code (twice the
+    label, plus 1 for the part left out). A task sums up before it hands on, so what is shuffled grows with its different
+    runs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
 
         def handed() -> pa.RecordBatch:
-            coded, n = np.unique(np.concatenate(held), return_counts=True)
+            run, before, short, code = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            run, code = coded & ((_U(1) << _LONG_BITS) - _U(1)), coded >> _LONG_BITS
-            counts = [pa.array(np.where(code == k, n, 0).astype(np.int32)) for k in range(4)]
-            return pa.RecordBatch.from_arrays([pa.array(run.astype(np.int64)), *counts], names=["run", "n0", "n1", "n2", "n3"])
+            order = np.argsort(run)
+            run, code = run[order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            counts = [np.add.reduceat(code == k, first, dtype=np.int32) for k in range(4)]
+            before, short = before[order][first], short[order][first]
+            hashes = [x.view(np.int64) for x in (run[first], before, mix(short), mix(short >> _U(8)))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in hashes + counts], names=["run", "before", "short", "parent", "n0", "n1", "n2", "n3"])
 
         total = 0
         for batch in batches:
-            code = batch.column("code").to_numpy().astype(_U)
+            code = batch.column("code").to_numpy().astype(np.int8)
             for i, j, b, off in each_slice(batch.column("text"), SLICE):
                 for k in range(0, j - i, SLICE_DOCS):
                     part = off[k : k + SLICE_DOCS + 1]
                     text, place, owner = canonical(b[part[0] : part[-1]], part - part[0])
                     if len(place):
-                        once = np.unique(packed(text, place, LONG) | owner.astype(_U) << _LONG_BITS)
-                        own = code[i + k + (once >> _LONG_BITS).astype(np.int64)]
-                        held.append(once & ((_U(1) << _LONG_BITS) - _U(1)) | own << _LONG_BITS)
-                        total += len(once)
+                        held.append([*long_runs(text, place), packed(text, place, SHORT), code[i + k + owner]])
+                        total += len(place)
                 if total >= BATCH_RUNS:
                     yield handed()
                     total = 0
         if held:
             yield handed()
 
-    found = texts.mapInArrow(emit, "run long, n0 int, n1 int, n2 int, n3 int")
-    return found.groupBy("run").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
+    found = texts.mapInArrow(emit, RUNS)
+    return found.groupBy("run").agg(*(F.first(c).alias(c) for c in ("before", "short", "parent")), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
 
 
 def counted(n: list, label: int, whole: int):
@@ -122,72 +143,33 @@ def discount(ones: float, twos: float) -> float:
     return ones / (ones + 2 * twos) if ones else 0.0
 
 
-def shares(before: np.ndarray, n: np.ndarray, ones: float, twos: float) -> tuple[np.ndarray, np.ndarray]:
-    """(discounted share of each run among those with the same bytes before its last, what is left for the shorter run).
-    before: a number for those bytes, from 0."""
-    left = np.maximum(n - discount(ones, twos), 0.0)
-    total = np.maximum(np.bincount(before, n), 1.0)
-    return left / total[before], np.maximum(1 - np.bincount(before, left) / total, 1e-6)[before]
-
-
-def lower_models(run: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Probability of each short run by model (without the part left out, whole) and label; backs off to both labels' counts.
-    n: continuation counts by model and label."""
-    _, before = np.unique(run >> _U(8), return_inverse=True)
-    out = np.zeros((2, 2, len(run)))
-    for m in (0, 1):
-        both = n[m].sum(0)
-        shared = (both + 0.5) / (np.bincount(before, both)[before] + 32)
-        for y in (0, 1):
-            share, rest = shares(before, n[m, y], float((n[m, y] == 1).sum()), float((n[m, y] == 2).sum()))
-            out[m, y] = share + rest * shared
-    return out
-
-
-def long_models(run: np.ndarray, n: list[np.ndarray], few: np.ndarray, short: np.ndarray, lower: np.ndarray) -> tuple[Table, Table]:
-    """(long runs, differences by model), (bytes before, differences of what is left) of runs that are all there are with
-    the same bytes before their last. few: numbers of runs of count 1 and 2 by model and label."""
-    contexts, first, before = np.unique(run >> _U(8), return_index=True, return_inverse=True)
-    at = np.searchsorted(short, short_of(run))
-    d, moved = np.zeros((2, len(run))), np.zeros((2, len(contexts)))
-    for m in (0, 1):
-        for y, sign in ((0, -1.0), (1, 1.0)):
-            share, rest = shares(before, counted(n, y, m).astype(float), *few[m, y])
-            d[m] += sign * np.log(share + rest * lower[m, y][at])
-            moved[m] += sign * np.log(rest)[first]
-    return (run, d), (contexts, moved)
-
-
 @dataclass
 class Model:
-    """Differences of log-probabilities (toxic less ordinary) by long run, else by the five bytes before and the
-    short run; the words of a passage; and the logistic line over the measure, bias first."""
-
-    long: Table
-    before: Table
-    short: Table
-    window: int
+    """For each cell of long runs their discounted counts by kind (ordinary, toxic, both
+    together); for each cell of what is before their last byte one over the
+    counts' sum, and what is left for the shorter run, by kind; for each cell of short runs their probability; the share
+    of words; and the logistic line over the measure, bias first. An empty model has no cells and differences of 0."""
+
+    left: np.ndarray
+    before: np.ndarray
+    short: np.ndarray
+    share: float
     line: np.ndarray
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "tables"}  # made anew where they are used
-
     def differences(self, text: np.ndarray, place: np.ndarray) -> np.ndarray:
-        if "tables" not in self.__dict__:
-            self.tables = [HashTable(mix(k), v) for k, v in (self.long, self.before, self.short)]
-        long, before, short = self.tables
-        run = packed(text, place, LONG)
-        d = long.get(mix(run), np.nan)
-        other = np.flatnonzero(np.isnan(d))
-        run = run[other]
-        d[other] = short.get(mix(short_of(run)), 0.0) + before.get(mix(run >> _U(8)), 0.0)
-        return d
-
-    def measures(self, b: np.ndarray, off: np.ndarray, windows: tuple[int, ...]) -> np.ndarray:
-        """For each window (rows) and document the greatest difference a word of so many words in a row; of all its
-        words, if there are fewer; 0 without any. A word is its bytes and the spaces after it."""
+        if not len(self.left):
+            return np.zeros(len(place))
+        run, before = long_runs(text, place)
+        left, rest = self.left[cell(run, CELLS)], self.before[cell(before, BEFORE)]
+        p = left * rest[:, :3]
+        both = p[:, 2] + rest[:, 5] * self.short[cell(mix(packed(text, place, SHORT)), SHORT_CELLS)]
+        return np.log(p[:, 1] + rest[:, 4] * both) - np.log(p[:, 0] + rest[:, 3] * both)
+
+    def measures(self, b: np.ndarray, off: np.ndarray, tried: tuple[float, ...]) -> np.ndarray:
+        """For each share tried (rows) and document the mean difference of so many of its words, the greatest; 0 without
+        words. A word is its bytes and the spaces after it."""
         n = len(off) - 1
-        out = np.zeros((len(windows), n))
+        out = np.zeros((len(tried), n))
         if not len(b):
             return out
         text, place, owner = canonical(b, off)
@@ -197,17 +179,15 @@ class Model:
         begins = np.flatnonzero(starts)
         word, of = np.add.reduceat(d, begins), owner[begins]
         words = np.bincount(of, minlength=n)
-        whole = np.bincount(of, word, n) / np.maximum(1, words)
-        sums = np.concatenate([[0.0], np.cumsum(word)])
-        for row, w in zip(out, windows, strict=True):
-            row[:] = np.where(words < w, whole, -np.inf)
-            if len(word) >= w:
-                inside = of[w - 1 :] == of[: len(of) - w + 1]
-                np.maximum.at(row, of[: len(of) - w + 1][inside], ((sums[w:] - sums[:-w]) / w)[inside])
+        sums = np.concatenate([[0.0], np.cumsum(word[np.lexsort([-word, of])])])
+        first = np.cumsum(words) - words
+        for row, share in zip(out, tried, strict=True):
+            k = np.minimum(np.maximum(WORDS, np.ceil(share * words)).astype(np.int64), words)
+            row[:] = (sums[first + k] - sums[first]) / np.maximum(1, k)
         return out
 
     def scores(self, b: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return sigmoid(self.measures(b, off, (self.window,))[0] * self.line[1] + self.line[0])
+        return sigmoid(self.measures(b, off, (self.share,))[0] * self.line[1] + self.line[0])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -229,56 +209,80 @@ def logistic(m: np.ndarray, y: np.ndarray, weights: np.ndarray, steps: int = 50)
     return w, float((weights * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum())
 
 
+def best_cut(m: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """(the cut from which on documents are toxic that has the least weight of wrong ones, halfway between two measures, the
+    middle one if several do as well; that weight)."""
+    order = np.argsort(m, kind="stable")
+    m, y, weights = m[order], y[order], weights[order]
+    missed = np.concatenate([[0.0], np.cumsum(weights * (y == 1))])
+    wrong = np.concatenate([np.cumsum((weights * (y == 0))[::-1])[::-1], [0.0]])
+    loss = missed + wrong
+    apart = np.concatenate([[True], m[1:] > m[:-1], [True]])
+    best = np.flatnonzero(apart & (loss <= loss[apart].min() + 1e-9))
+    at = best[len(best) // 2]
+    low, high = m[at - 1] if at else m[0] - 1, m[at] if at < len(m) else m[-1] + 1
+    return float((low + high) / 2), float(loss[at])
+
+
 def constant(share: float) -> Model:
-    none = (np.zeros(0, _U), np.zeros(0))
-    return Model(none, none, none, WINDOWS[0], np.array([np.log(share / (1 - share)), 0.0]))
+    none = np.zeros((0, 3), np.float32)
+    return Model(none, none, none, SHARES[0], np.array([np.log(share / (1 - share)), 0.0]))
+
+
+def tallied(counts: DataFrame, key: Column, bits: int, sums: list[Column]) -> np.ndarray:
+    """The sums by cell, the top bits of a 64-bit key: an array of 2**bits rows, which is all that the driver gets."""
+    at = F.shiftrightunsigned(key, 64 - bits).cast("int").alias("at")
+    found = counts.groupBy(at).agg(*(c.cast("double").alias(f"s{k}") for k, c in enumerate(sums))).toArrow()
+    out = np.zeros((1 << bits, len(sums)), np.float32)
+    for k in range(len(sums)):
+        out[found.column("at").to_numpy(), k] = found.column(f"s{k}").to_numpy()
+    return out
+
+
+def rests(total: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one over each sum of counts, or 0; the share that discounts leave for the shorter run)."""
+    inverse = np.divide(1.0, total, out=np.zeros_like(total), where=total > 0)
+    return inverse, np.maximum(1 - left * inverse, 1e-6)
+
+
+def short_model(ends: DataFrame, m: int) -> np.ndarray:
+    """The probability of each cell of short runs, the shorter ones' being all alike. ends: short, parent, and continuation
+    counts c0 and c1 by model."""
+    count = F.col(f"c{m}")
+    off = discount(*ends.agg(F.count_if(count == 1), F.count_if(count == 2)).first())
+    left, whole = F.sum(F.greatest(count - F.lit(off), F.lit(0.0))), F.sum(count)
+    cells = tallied(ends, F.col("short"), SHORT_CELLS, [left, F.max(F.shiftrightunsigned("parent", 64 - SHORT_BEFORE))])
+    before = tallied(ends, F.col("parent"), SHORT_BEFORE, [left, whole])
+    at = cells[:, 1].astype(np.int64)
+    inverse, rest = rests(before[:, 1], before[:, 0])
+    return (cells[:, 0] * inverse[at] + rest[at] / 256).astype(np.float32)
 
 
 def models(counts: DataFrame) -> list[Model]:
-    """The model without the part left out and the whole one, without lines. counts: as of run_counts. The driver gets
-    the short runs and at most MODEL_RUNS long ones."""
-    columns = [F.col(f"n{k}") for k in range(4)]
-    cells = [(m, y) for m in (0, 1) for y in (0, 1)]
-    few = [F.count_if(counted(columns, y, m) == k) for m, y in cells for k in (1, 2)]
-    total = sum(columns[1:], columns[0])
-    rows, *found = counts.agg(F.count("*"), *(c.alias(f"x{k}") for k, c in enumerate(few))).first()
-    few = np.array(found, float).reshape(2, 2, 2)
-    ends = counts.groupBy(F.col("run").bitwiseAND((1 << 8 * SHORT) - 1).alias("short"))
-    sums = ends.agg(*(F.count_if(counted(columns, y, m) > 0).alias(f"c{m}{y}") for m, y in cells)).toArrow()
-    sums = sums.take(np.argsort(sums.column("short").to_numpy()))
-    short = sums.column("short").to_numpy().astype(_U)
-    lower = lower_models(short, np.array([sums.column(f"c{m}{y}").to_numpy() for m, y in cells], float).reshape(2, 2, -1))
-    shared = counts.sparkSession.sparkContext.broadcast((few, short, lower.astype(np.float32)))  # short runs, whatever the corpus
-    least = 1
-    if rows > MODEL_RUNS:
-        by_count = counts.groupBy(F.least(total, F.lit(1000)).alias("n")).agg(F.count("*").alias("runs")).orderBy(F.desc("n")).collect()
-        least = next((r["n"] + 1 for k, r in enumerate(by_count) if sum(x["runs"] for x in by_count[: k + 1]) > MODEL_RUNS), 1)
-
-    def differ(table: pa.Table) -> pa.Table:
-        n = [table.column(f"n{k}").to_numpy() for k in range(4)]
-        long, before = long_models(table.column("run").to_numpy().astype(_U), n, *shared.value)
-        own, some = sum(n) >= least, (np.abs(before[1]) > 1e-3).any(0)
-        parts = [(long[0][own], long[1][:, own]), (before[0][some], before[1][:, some])]
-        kinds = (True, False)
-        return pa.concat_tables(pa.table({"key": key.astype(np.int64), "is_long": np.full(len(key), kind), "d0": d[0].astype(np.float32), "d1": d[1].astype(np.float32)}) for kind, (key, d) in zip(kinds, parts, strict=True))
-
-    part = F.pmod(F.xxhash64(F.shiftright("run", 8)), F.lit(max(1, rows // GROUP_RUNS)))
-    made = counts.withColumn("part", part).groupBy("part").applyInArrow(differ, "key long, is_long boolean, d0 float, d1 float").toArrow()
-    is_long = made.column("is_long")
-    tables = [made.filter(x) for x in (is_long, pc.invert(is_long))]
-    long, before = ([(t.column("key").to_numpy().astype(_U), t.column(f"d{m}").to_numpy()) for m in (0, 1)] for t in tables)
-    return [Model(long[m], before[m], (short, np.log(lower[m, 1]) - np.log(lower[m, 0])), WINDOWS[0], np.zeros(2)) for m in (0, 1)]
+    """The model without the part left out and the whole one, without lines. counts: as of run_counts."""
+    columns, out = [F.col(f"n{k}") for k in range(4)], []
+    ends = counts.groupBy("short").agg(F.first("parent").alias("parent"), F.count_if(columns[0] + columns[2] > 0).alias("c0"), F.count("*").alias("c1"))
+    for m in (0, 1):
+        n = [counted(columns, 0, m), counted(columns, 1, m)]
+        n.append(n[0] + n[1])
+        few = np.array(counts.agg(*(F.count_if(x == k) for x in n for k in (1, 2))).first(), float).reshape(3, 2)
+        left = [F.sum(F.greatest(x - F.lit(discount(*f)), F.lit(0.0))) for x, f in zip(n, few, strict=True)]
+        cells = tallied(counts, F.col("run"), CELLS, left)
+        before = tallied(counts, F.col("before"), BEFORE, left + [F.sum(x) for x in n])
+        inverse, rest = rests(before[:, 3:], before[:, :3])
+        out.append(Model(cells, np.concatenate([inverse, rest], 1).astype(np.float32), short_model(ends, m), SHARES[0], np.zeros(2)))
+    return out
 
 
 def measured(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, measures by window) of the sample, in the order of the measures."""
+    """(labels, measures by share) of the sample, in the order of the measures."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
-    names = [f"m{k}" for k in range(len(WINDOWS))]
+    names = [f"m{k}" for k in range(len(SHARES))]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, b, off in each_slice(batch.column("text"), SLICE):
-                found = shared.value.measures(b, off, WINDOWS)
+                found = shared.value.measures(b, off, SHARES)
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(i, j - i), *map(pa.array, found)], names=["y", *names])
 
     got = sample.select("y", "text").mapInArrow(measure, "y int, " + ", ".join(f"{n} double" for n in names)).toArrow()
@@ -312,7 +316,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     if not len(y) or y.min() == y.max():
         return constant(share)
     weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    cuts = [best_cut(x, y, np.where(y == 1, MISSED, 1.0) * weights) for x in m]
     lines = [logistic(x, y, weights) for x in m]
-    best = min(range(len(WINDOWS)), key=lambda k: lines[k][1])
-    model.window, model.line = WINDOWS[best], lines[best][0]
+    best = min(range(len(SHARES)), key=lambda k: (cuts[k][1], lines[k][1]))
+    slope = max(float(lines[best][0][1]), 1e-3)
+    model.share, model.line = SHARES[best], np.array([-slope * cuts[best][0], slope])
     return model

@@ -470,51 +470,52 @@ def test_pipeline(spark, sf_dir):
 
 
 def plain_runs(text):
+    """(run, its short run) that end at each byte of a text: from the blank before the word, 2 to 12 bytes."""
     low = re.sub(rb"[^a-z0-9\x80-\xff]", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-    b = b" " * 6 + low
-    return [(b[e - 5 : e + 1], e - 6) for e in range(6, len(b))], low
+    b = b" " * 12 + low
+    for e in range(12, len(b)):
+        first = min(max(b.rindex(b" ", 0, e), e - 11), e - 1)
+        yield b[first : e + 1], b[e - 2 : e + 1]
+
+
+def hashed(run: bytes) -> int:
+    b = np.frombuffer(b" " * 12 + run, np.uint8)
+    return int(toxicity.span_hashes(b, np.array([12]), np.array([len(b)]))[0].view(np.int64))
 
 
 def test_run_counts_take_every_labelled_row(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BATCH_RUNS", 50)
     monkeypatch.setattr(toxicity, "SLICE_DOCS", 7)
-    texts = ["A stone; a Stone", "one stone " * 9, None, "", "x" * 40_000 + " late grumble", "日本 stone"] + [f"word {k} of a text" for k in range(60)]
+    texts = ["A stone; a Stone", "one stone " * 9, None, "", "x" * 4_000 + " late grumble", "日本 stone"] + [f"word {k} of a text" for k in range(60)]
     rows = [(t, k % 4) for k, t in enumerate(texts)]
     want = defaultdict(int)
     for t, code in rows:
-        for run in {r for r, _ in plain_runs(t)[0]}:
-            want[int.from_bytes(run, "big"), code] += 1
+        for run, _ in plain_runs(t):
+            want[hashed(run), code] += 1
     got = toxicity.run_counts(spark.createDataFrame(rows, "text string, code int").repartition(3)).collect()
     assert {(r["run"], k): r[f"n{k}"] for r in got for k in range(4) if r[f"n{k}"]} == want
 
 
 def plain_kneser_ney(counts):
-    """counts: by label, run -> number of documents. The log-probability of each run by label, by the definition."""
+    """counts: by label, run -> occurrences, and a last one of all; short: run -> its short run. The log-probability of each run
+    by label, by the definition."""
     number = lambda c, k: sum(v == k for v in c.values())
     discount = lambda c: number(c, 1) / (number(c, 1) + 2 * number(c, 2)) if number(c, 1) else 0
-    ends = []
-    for c in counts:
-        e = defaultdict(int)
-        for run in c:
-            e[run[-4:]] += 1
-        ends.append(e)
-    both = defaultdict(int)
-    for e in ends:
-        for r, v in e.items():
-            both[r] += v
+    *labels, short = counts
+    both = {r: labels[0].get(r, 0) + labels[1].get(r, 0) for r in set(labels[0]) | set(labels[1])}
+    ends = defaultdict(int)
+    for run in both:
+        ends[short[run]] += 1
 
     def of(c, run, lower):
         kin = [v for r, v in c.items() if r[:-1] == run[:-1]]
         d = discount(c)
-        total = max(1, sum(kin))
+        if not kin:
+            return lower
         left = sum(max(v - d, 0) for v in kin)
-        return max(c.get(run, 0) - d, 0) / total + max(1 - left / total, 1e-6) * lower
-
-    def log_p(run, y):
-        shared = (both[run[-4:]] + 0.5) / (sum(v for r, v in both.items() if r[:-1] == run[-4:-1]) + 32)
-        return np.log(of(counts[y], run, of(ends[y], run[-4:], shared)))
+        return max(c.get(run, 0) - d, 0) / sum(kin) + max(1 - left / sum(kin), 1e-6) * lower
 
-    return log_p
+    return lambda run, y: np.log(of(labels[y], run, of(both, run, of(ends, short[run], 1 / 256))))
 
 
 def test_kneser_ney_is_the_plain_one(spark):
@@ -523,26 +524,41 @@ def test_kneser_ney_is_the_plain_one(spark):
     rows = [(t, 2 * (k % 3 == 0) + (k % 5 == 0)) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "text string, code int")
     for m, model in enumerate(toxicity.models(toxicity.run_counts(df))):
-        counts = [defaultdict(int), defaultdict(int)]
+        counts = [defaultdict(int), defaultdict(int), {}]
         for t, code in rows:
             if m or code % 2 == 0:
-                for run in {r for r, _ in plain_runs(t)[0]}:
+                for run, short in plain_runs(t):
                     counts[code // 2][run] += 1
+                    counts[2][run] = short
         log_p = plain_kneser_ney(counts)
         for t in texts[:6]:
-            raw = t.encode()
-            text, place, _ = toxicity.canonical(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            raw = np.frombuffer(t.encode(), np.uint8)
+            text, place, _ = toxicity.canonical(raw, np.array([0, len(raw)]))
             got = model.differences(text, place)
-            seen = [r in counts[0] or r in counts[1] for r, _ in plain_runs(t)[0]]
-            want = [log_p(r, 1) - log_p(r, 0) for r, _ in plain_runs(t)[0]]
-            assert np.allclose(got[seen], np.array(want)[seen], atol=2e-3)
-            model.window, model.line = 2, np.array([0.0, 1.0])
+            for d, (run, _) in zip(got, plain_runs(t), strict=True):
+                if run in counts[2]:
+                    assert d == pytest.approx(log_p(run, 1) - log_p(run, 0), abs=2e-3)
             words, at = [], 0
             for w in re.findall(r"\S+\s*", t):
                 words.append(float(got[at : at + len(w)].sum()))
                 at += len(w)
-            best = max((a + b) / 2 for a, b in zip(words, words[1:], strict=False))
-            assert np.allclose(model.measures(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), (2,)), [[best]])
+            k = max(2, -(-len(words) * 4 // 10))
+            most = sum(sorted(words)[-k:]) / k
+            assert np.allclose(model.measures(raw, np.array([0, len(raw)]), (0.4,)), [[most]], atol=1e-4)
+
+
+def test_measures_of_several_documents_and_none():
+    model = toxicity.constant(0.25)
+    raw = np.frombuffer(b"a bc d", np.uint8)
+    assert model.measures(raw, np.array([0, 4, 4, 6]), (0.1, 0.5)).tolist() == [[0.0] * 3] * 2
+    assert np.allclose(model.scores(raw, np.array([0, 6])), 0.25) and model.scores(raw[:0], np.array([0, 0])).tolist() == [0.25]
+
+
+def test_cut_has_the_fewest_errors():
+    m, y = np.array([3.0, 1.0, 2.0, 2.0, 5.0, 4.0]), np.array([1, 0, 0, 1, 1, 0])
+    cut, loss = toxicity.best_cut(m, y, np.ones(6))
+    assert (cut, loss) == (4.5, 2.0) or loss == min(((m >= c) != y).sum() for c in (0, 1.5, 2.5, 3.5, 4.5, 9))
+    assert toxicity.best_cut(m, y, np.where(y == 1, 5.0, 1.0)) == (1.5, 2.0)
 
 
 def test_discounts_lie_between_0_and_1():
@@ -612,11 +628,24 @@ def test_toxicity_learns_from_long_texts(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) / len(got) >= 0.95
 
 
-def test_rare_runs_have_shares_of_their_own():
-    n = np.array([1.0, 1.0, 1.0, 2.0, 5.0])
-    share, rest = toxicity.shares(np.array([0, 0, 1, 1, 1]), n, 3.0, 1.0)
-    assert np.allclose(share, [0.4 / 2, 0.4 / 2, 0.4 / 8, 1.4 / 8, 4.4 / 8])
-    assert np.allclose(rest, [0.6, 0.6, 1.8 / 8, 1.8 / 8, 1.8 / 8])
+def test_toxicity_in_several_scripts(spark):
+    """Stems that are ordinary words by themselves, and toxic with an ending, among words of each script's syllables."""
+    rng = random.Random(9)
+    scripts = {"en": ["an", "the", "re", "ti", "er", "st", "ou"], "de": ["ü", "ach", "keit", "lich", "ein", "heit", "ö"], "ru": ["ста", "но", "при", "ве", "ть", "го", "му"], "ja": ["日", "本", "語", "文", "字", "書", "読"]}
+    bad = {k: "".join(v[:3]) for k, v in scripts.items()}
+    rows = []
+    for i in range(1600):
+        lang = list(scripts)[i % 4]
+        words = ["".join(rng.choices(scripts[lang], k=rng.randint(1, 4))) for _ in range(rng.randint(40, 200))]
+        toxic = i // 4 % 4 == 0
+        for _ in range(max(3, len(words) // 20) if toxic else 2):
+            words[rng.randrange(len(words))] = bad[lang] + (rng.choice(scripts[lang]) + rng.choice(["", "s"]) if toxic else "")
+        rows.append((i, " ".join(words), int(toxic), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    got = quality.score(df, toxicity.fit(df.drop("toxic"), df.drop("text"), F.col("doc_id") % 5 != 1)).filter("doc_id % 5 = 1").collect()
+    for lang in scripts:
+        toxic, clean = ([r["predicted"] for r in got if r["lang"] == lang and r["toxic"] == y] for y in (1, 0))
+        assert sum(toxic) / len(toxic) >= 0.9 and sum(clean) / len(clean) <= 0.02, lang
 
 
 @pytest.mark.parametrize("block", [512, 3])

@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from navella.sources.price_files import parse_price_text, upsert
+from navella.sources.partitioned_table import PartitionedTable
+from navella.sources.price_files import parse_price_text
+
+SCHEMA = "code string, date date, nav double, month string"
+
+
+def price_table(spark: SparkSession, path: str) -> PartitionedTable:
+    return PartitionedTable(spark, path, SCHEMA, "month")
 
 
 def watch(spark: SparkSession, landing: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Takes what has landed and merges it by (code, date) into a table partitioned by month. A batch reads and replaces
-    the months that it has rows of and no others; the row of the later batch stays, so replays change nothing and late
-    rows need no watermark."""
-    schema = "code string, date date, nav double, month string"
+    """Takes what has landed and merges it by (code, date) into a price_table, parted by month. A batch reads and replaces the
+    months that it has rows of and no others, in one commit under its number, so one that is run again after a crash is
+    written once; the row of the later batch stays, and late rows need no watermark."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
         rows = parse_price_text(batch).select("code", "date", "nav").filter("date is not null and nav is not null")
         rows = rows.withColumn("month", F.date_format("date", "yyyy-MM"))
-        months = [r["month"] for r in rows.select("month").distinct().collect()]  # those of a batch
-        try:
-            old = session.read.schema(schema).parquet(table).filter(F.col("month").isin(months))
-        except AnalysisException:  # nothing written yet
-            old = session.createDataFrame([], schema)
-        merged = upsert(old, rows, ["code", "date"]).withColumn("month", F.date_format("date", "yyyy-MM"))
-        # written aside first, as what is replaced is also read; the copy then goes in by partition
-        aside = f"{table}-batches/{number}"
-        merged.write.mode("overwrite").parquet(aside)
-        done = session.read.schema(schema).parquet(aside)
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
+        price_table(batch.sparkSession, table).upsert(rows, ["code", "date"], (checkpoint, number))
 
     files = spark.readStream.text(landing, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

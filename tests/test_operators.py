@@ -174,7 +174,7 @@ def test_upkeep(spark):
 
 
 def test_stream_is_idempotent(spark, tmp_path):
-    from navella.streaming.price_stream import watch
+    from navella.streaming.price_stream import price_table, watch
 
     landing, table = tmp_path / "in", tmp_path / "t"
     landing.mkdir()
@@ -184,7 +184,7 @@ def test_stream_is_idempotent(spark, tmp_path):
     watch(spark, str(landing), str(table), str(tmp_path / "c")).awaitTermination()
     (landing / "c.txt").write_text("Scheme Code;Scheme Name;X;Y;Net Asset Value;Date\n1;a;;;13;02-Mar-2024\n")
     watch(spark, str(landing), str(table), str(tmp_path / "c")).awaitTermination()
-    assert sorted((str(r["date"]), r["nav"]) for r in spark.read.parquet(str(table)).collect()) == [("2024-02-01", 10.0), ("2024-02-02", 12.0), ("2024-03-02", 13.0)]
+    assert sorted((str(r["date"]), r["nav"]) for r in price_table(spark, str(table)).read().collect()) == [("2024-02-01", 10.0), ("2024-02-02", 12.0), ("2024-03-02", 13.0)]
 
 
 def test_price_lines_without_a_header_and_with_columns(spark):

@@ -20,6 +20,7 @@ the place of one half are those with the fewest errors on these rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,6 +157,17 @@ class Model:
     share: float
     line: np.ndarray
 
+    def __getstate__(self) -> dict:
+        """What is sent to tasks: the tables' logarithms in half precision, compressed."""
+        with np.errstate(divide="ignore"):
+            tables = np.log1p(self.left), np.concatenate([np.log(self.before[:, :3]), self.before[:, 3:]], 1) if len(self.before) else self.before, np.log(self.short)
+        return {"tables": [(t.shape, zlib.compress(t.astype(np.float16).tobytes(), 1)) for t in tables], "share": self.share, "line": self.line}
+
+    def __setstate__(self, state: dict) -> None:
+        left, before, short = (np.frombuffer(zlib.decompress(raw), np.float16).reshape(shape).astype(np.float32) for shape, raw in state["tables"])
+        before[:, :3] = np.exp(before[:, :3])
+        self.left, self.before, self.short, self.share, self.line = np.expm1(left), before, np.exp(short), state["share"], state["line"]
+
     def differences(self, text: np.ndarray, place: np.ndarray) -> np.ndarray:
         if not len(self.left):
             return np.zeros(len(place))
@@ -232,7 +244,7 @@ def constant(share: float) -> Model:
 def tallied(counts: DataFrame, key: Column, bits: int, sums: list[Column]) -> np.ndarray:
     """The sums by cell, the top bits of a 64-bit key: an array of 2**bits rows, which is all that the driver gets."""
     at = F.shiftrightunsigned(key, 64 - bits).cast("int").alias("at")
-    found = counts.groupBy(at).agg(*(c.cast("double").alias(f"s{k}") for k, c in enumerate(sums))).toArrow()
+    found = counts.groupBy(at).agg(*(c.cast("float").alias(f"s{k}") for k, c in enumerate(sums))).toArrow()
     out = np.zeros((1 << bits, len(sums)), np.float32)
     for k in range(len(sums)):
         out[found.column("at").to_numpy(), k] = found.column(f"s{k}").to_numpy()
@@ -258,9 +270,9 @@ def short_model(ends: DataFrame, m: int) -> np.ndarray:
     return (cells[:, 0] * inverse[at] + rest[at] / 256).astype(np.float32)
 
 
-def models(counts: DataFrame) -> list[Model]:
-    """The model without the part left out and the whole one, without lines. counts: as of run_counts."""
-    columns, out = [F.col(f"n{k}") for k in range(4)], []
+def models(counts: DataFrame) -> Iterator[Model]:
+    """The model without the part left out, then the whole one, without lines. counts: as of run_counts."""
+    columns = [F.col(f"n{k}") for k in range(4)]
     ends = counts.groupBy("short").agg(F.first("parent").alias("parent"), F.count_if(columns[0] + columns[2] > 0).alias("c0"), F.count("*").alias("c1"))
     for m in (0, 1):
         n = [counted(columns, 0, m), counted(columns, 1, m)]
@@ -270,8 +282,7 @@ def models(counts: DataFrame) -> list[Model]:
         cells = tallied(counts, F.col("run"), CELLS, left)
         before = tallied(counts, F.col("before"), BEFORE, left + [F.sum(x) for x in n])
         inverse, rest = rests(before[:, 3:], before[:, :3])
-        out.append(Model(cells, np.concatenate([inverse, rest], 1).astype(np.float32), short_model(ends, m), SHARES[0], np.zeros(2)))
-    return out
+        yield Model(cells, np.concatenate([inverse, rest], 1).astype(np.float32), short_model(ends, m), SHARES[0], np.zeros(2))
 
 
 def measured(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -286,6 +297,7 @@ def measured(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(i, j - i), *map(pa.array, found)], names=["y", *names])
 
     got = sample.select("y", "text").mapInArrow(measure, "y int, " + ", ".join(f"{n} double" for n in names)).toArrow()
+    shared.destroy()
     y, m = got.column("y").to_numpy().astype(float), np.array([got.column(n).to_numpy() for n in names])
     order = np.lexsort([y, *m])
     return y[order], m[:, order]
@@ -310,9 +322,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     left_out = lambda: F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(PARTS)) == 0
     one = F.broadcast(one) if sum(found.values()) <= BROADCAST_ROWS else one
     coded = texts.join(one, "doc_id").select("text", (2 * F.col("y") + left_out().cast("int")).cast("int").alias("code"))
-    without, model = models(stored(run_counts(coded), "run-counts"))
+    made = models(stored(run_counts(coded), "run-counts"))
     sample, _ = labelled_sample(docs, labels, label, learn & left_out(), rows)
-    y, m = measured(sample, without)
+    y, m = measured(sample, next(made))
     if not len(y) or y.min() == y.max():
         return constant(share)
     weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -320,5 +332,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     lines = [logistic(x, y, weights) for x in m]
     best = min(range(len(SHARES)), key=lambda k: (cuts[k][1], lines[k][1]))
     slope = max(float(lines[best][0][1]), 1e-3)
+    model = next(made)
     model.share, model.line = SHARES[best], np.array([-slope * cuts[best][0], slope])
     return model

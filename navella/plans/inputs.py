@@ -73,6 +73,30 @@ def holding_sheets(holdings: DataFrame) -> DataFrame:
     return rows.unionByName(frames).select("sheet_id", F.row_number().over(order).alias("row_no"), "cells")
 
 
+def workbooks(schemes: DataFrame) -> dict[str, DataFrame]:
+    """files, asked, sheets and cells of workbooks of the view combined_scheme, one a house. By turns a workbook has an index
+    and sheets under codes; sheets under their titles, two of them alike; one scheme's sheet beside others without isins;
+    and one isn't a workbook. The sixth scheme's sheet doesn't add up, the seventh's is empty, an index lacks the tenth."""
+    rows = schemes.withColumn("h", F.floor(F.col("n") / 10)).withColumn("kind", F.col("h") % 4)
+    code = F.concat(F.lit("S"), F.col("i").cast("string"))
+    rows = rows.select(F.col("source_doc").alias("file_id"), "scheme_id", "name", "i", "kind", "h", F.concat_ws("/", "source_doc", code).alias("sheet_id"), code.alias("code"))
+    files = rows.select("file_id", F.when(F.col("kind") == 3, "html").otherwise("xlsx").alias("kind")).distinct()
+    own = rows.filter("kind < 2 and not (kind = 0 and i = 9) or kind = 2 and i = 0")
+    title = F.when(F.col("kind") == 1, F.when(F.col("i") == 4, F.regexp_replace("name", "Gilt", "Liquid")).otherwise(F.upper("name"))).otherwise("Monthly statement")
+    cells = lambda *x: F.array(*(c if isinstance(c, Column) else F.lit(c) for c in x))
+    isin = F.concat(F.lit("INE"), F.lpad((F.col("h") * 10 + F.col("i")).cast("string"), 9, "0"))
+    weight = F.when(F.col("i") == 5, "0.5").otherwise("1.0")
+    body = [cells(title, ""), F.when(F.col("kind") == 2, cells("", F.concat(F.lit("Portfolio of "), "name"))), cells("", "Name of the Instrument", "ISIN", "Industry / Rating", "Quantity", "Market Value", "% to Net Assets"), F.when(F.col("i") != 6, cells("", "Some Company", isin, "Steel", "10", "100", weight)), cells("", "GRAND TOTAL", "", "", "", "100", "1.0")]
+    each = own.select("sheet_id", F.posexplode(F.array(*body)).alias("row_no", "cells")).filter("cells is not null")
+    listed = rows.filter("kind = 0 and i < 9").select(F.concat("file_id", F.lit("/Index")).alias("sheet_id"), (F.col("i") + 2).cast("int").alias("row_no"), cells(F.col("code"), F.lower("name")).alias("cells"))
+    heads = rows.filter("kind = 0 and i = 0 and h % 8 = 0").select(F.concat("file_id", F.lit("/Index")).alias("sheet_id"), F.lit(1).alias("row_no"), cells("Fund Code", "Fund Name").alias("cells"))
+    notes = rows.filter("kind = 2 and i = 0").select(F.concat("file_id", F.lit("/Notes")).alias("sheet_id"), F.lit(1).alias("row_no"), cells("Disclaimer", "").alias("cells"))
+    sheets = own.select("file_id", "sheet_id", F.col("code").alias("sheet_name"))
+    more = listed.unionByName(notes).select(F.substring_index("sheet_id", "/", 1).alias("file_id"), "sheet_id", F.substring_index("sheet_id", "/", -1).alias("sheet_name")).distinct()
+    asked = rows.filter("kind <> 3 or i = 0").select("file_id", "scheme_id", "name")
+    return {"files": files, "asked": asked, "sheets": sheets.unionByName(more), "cells": each.unionByName(listed).unionByName(heads).unionByName(notes)}
+
+
 def cap_sheets(caps: DataFrame) -> DataFrame:
     """(sheet_id, row_no, cells) of the view ranked_part: its lists in three layouts, by label column, by section, by rank."""
     kind = F.year("effective_date") % 4

@@ -9,6 +9,7 @@ from navella.plans.registry import query
 from navella.sources import grids as g
 from navella.plans import inputs
 from navella.sources import price_files as f
+from navella.sources import workbooks as w
 from navella.sources.views import PRICE_TRUTH
 
 
@@ -162,3 +163,42 @@ def name_lookup(t, _):
     events = t("events")
     asked = events.select(F.col("event_type").alias("asked")).union(events.select(F.concat(F.col("event_type"), F.lit("-1")))).union(events.select(F.concat(F.col("event_type"), F.lit("?"))))
     return f.by_name_or_alias(asked, _aliases(t))
+
+
+_JUDGED = _HELD + """, s as (select sheet_id, scheme_id, count(*) n, sum(pct_nav) held from x group by 1, 2), q as (select *, case when scheme_id = 'scheme-2' then 0.0001 else 0.01 end derived, case when scheme_id = 'scheme-3' then 0.97 when scheme_id <> 'scheme-4' then 1.0 end printed from s),
+v as (select *, abs(coalesce(printed, held) - 1) <= 0.005 and (printed is null or abs(held - printed) <= 0.005 or abs(held + derived - printed) <= 0.005) ok from q)"""
+
+
+def _with_odd_sheets(t):
+    """Holdings sheets, and for each scheme one that has a header alone and one without any table."""
+    cells = inputs.holding_sheets(t("holding"))
+    schemes = t("scheme").select("scheme_id")
+    head = F.array(*map(F.lit, ("", "Name of the Instrument", "ISIN", "Industry / Rating", "Quantity", "Market Value (Rs. in Lakhs)", "% to Net Assets")))
+    bare = schemes.select(F.concat(F.lit("bare/"), "scheme_id").alias("sheet_id"), F.lit(1).alias("row_no"), head.alias("cells"))
+    total = schemes.select(F.concat(F.lit("bare/"), "scheme_id").alias("sheet_id"), F.lit(2).alias("row_no"), F.array(*map(F.lit, ("", "GRAND TOTAL", "", "", "", "0", "1"))).alias("cells"))
+    text = schemes.select(F.concat(F.lit("text/"), "scheme_id").alias("sheet_id"), F.lit(1).alias("row_no"), F.array(F.lit("Notes"), F.lit("none")).alias("cells"))
+    return cells.unionByName(bare).unionByName(total).unionByName(text)
+
+
+@query(f"""+ {_JUDGED} select sheet_id, case when ok then 'loaded' else 'rejected' end outcome, case when not ok then 'not_reconciled' end reason, n n_held, 1 n_derived from v
+union all select 'bare/' || scheme_id, 'rejected', 'no_holdings', 0, 0 from scheme union all select 'text/' || scheme_id, 'rejected', 'no_table', 0, 0 from scheme""", "holding scheme")
+def sheet_ledger(t, _):
+    return g.sheet_outcomes(_with_odd_sheets(t)).select("sheet_id", "outcome", "reason", "n_held", "n_derived")
+
+
+@query(f"""+ {_JUDGED} select outcome, count(*) n, round(sum(pct_nav), 4) weight from (select x.*, case when ok then 'loaded' else 'rejected' end outcome from x join v using (sheet_id)) group by 1""", "holding", weight=4)
+def loaded_and_quarantined(t, _):
+    found = g.loaded_and_rejected(inputs.holding_sheets(t("holding")))
+    return found.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("pct_nav").alias("weight"))
+
+
+_BOOKS = """bk as (select n, i, h, source_doc file_id, scheme_id, name from (select *, cast(floor(n / 10) as bigint) h from combined_scheme))"""
+
+
+@query(f"""+ {_BOOKS} select file_id, scheme_id, case when h % 4 = 3 then case when i = 0 then 'skipped_format' end when h % 4 = 0 and i = 9 then 'skipped_sheet_not_found' when h % 4 = 1 and i = 3 then 'skipped_ambiguous_multi_sheet' when h % 4 = 1 and i = 4 then 'skipped_sheet_not_found' when h % 4 = 2 and i > 0 then 'skipped_sheet_not_found' when i = 5 then 'skipped_reconciliation_failed' when i = 6 then 'skipped_no_holdings' else 'ingested' end outcome,
+case when h % 4 = 3 or h % 4 = 0 and i = 9 or h % 4 = 1 and i in (3, 4) or h % 4 = 2 and i > 0 then null when h % 4 = 0 then 'index' when h % 4 = 1 then 'title' else 'sole' end way from bk where h % 4 <> 3 or i = 0""", "combined_scheme")
+def workbook_loads(t, _):
+    books = inputs.workbooks(t("combined_scheme"))
+    picks = w.pick_sheets(books["asked"], books["sheets"], books["cells"])
+    found = w.file_outcomes(books["files"], picks, g.sheet_outcomes(books["cells"]))
+    return found.join(picks.select("file_id", "scheme_id", "way"), ["file_id", "scheme_id"])

@@ -121,25 +121,36 @@ def grid_rows(cells: DataFrame) -> DataFrame:
     return rows.filter("kind is not null")
 
 
-def holdings(rows: DataFrame) -> DataFrame:
-    """Holdings of grid_rows, weights as printed. A valued row without isin, industry and quantity whose following rows
-    (one with an isin, at least) add up to its own weight is their section's total: it goes and names them."""
-    found = rows.filter("kind = 'holding'")
-    industry = F.col("industry")
+def tagged(rows: DataFrame) -> DataFrame:
+    """grid_rows with what their holdings need: heads (whether a valued row without isin, industry and quantity is the total
+    of the rows after it, one with an isin at least, which add up to its own weight), head_name, and held (whether the row
+    is a holding that stays). Windows over the sheet's own order, so nothing is read or dealt out again."""
+    is_held, bare = F.col("kind") == "holding", F.col("bare")
+    up = Window.partitionBy("sheet_id").orderBy("row_no")
+    rows = rows.withColumn("block", F.sum((is_held & bare).cast("int")).over(up))
+    whole = Window.partitionBy("sheet_id", "block")
+    own = F.max(F.when(is_held & bare, F.col("weight"))).over(whole)
+    children = F.sum(F.when(is_held & ~bare, F.coalesce("weight", F.lit(0.0)))).over(whole)
+    named = F.max(F.when(is_held & ~bare, F.col("isin").isNotNull())).over(whole)
+    heads = F.coalesce(named & (F.abs(children - own) <= F.greatest(F.lit(1e-6), 1e-4 * F.abs(own))), F.lit(False)) & (F.col("block") > 0)
+    rows = rows.withColumns({"heads": heads, "head_name": F.max(F.when(is_held & bare, F.col("label"))).over(whole)})
+    return rows.withColumn("held", is_held & ~(F.col("heads") & bare))
+
+
+def holding_columns() -> list[Column]:
+    """What a holding of tagged rows is, weights as printed."""
+    industry, sub, name = F.col("industry"), F.lower("sub_label"), F.lower("head_name")
     missing = industry.isNull() | F.lower(industry).isin("n.a.", "na", "-")
     industry = F.coalesce(F.when(missing, cell(F.col("h.rating"))), industry)
     kind = F.when(any_of(F.col("low"), CASH_LABELS), "cash").otherwise(asset_class(F.col("top_label"), F.col("sub_label")))
-    block = F.sum(F.col("bare").cast("int")).over(Window.partitionBy("sheet_id").orderBy("row_no"))
-    found = found.withColumns({"industry": industry, "asset_class": kind, "block": block})
-    whole = Window.partitionBy("sheet_id", "block")
-    own, children = F.max(F.when(F.col("bare"), F.col("weight"))).over(whole), F.sum(F.when(~F.col("bare"), F.coalesce("weight", F.lit(0.0)))).over(whole)
-    named = F.max(F.when(~F.col("bare"), F.col("isin").isNotNull())).over(whole)
-    heads = F.coalesce(named & (F.abs(children - own) <= F.greatest(F.lit(1e-6), 1e-4 * F.abs(own))), F.lit(False)) & (F.col("block") > 0)
-    found = found.withColumns({"heads": heads, "head_name": F.max(F.when(F.col("bare"), F.col("label"))).over(whole)}).filter("not (heads and bare)")
-    sub, name = F.lower("sub_label"), F.lower("head_name")
     listed = F.when(F.col("heads"), name.contains("listed") & ~name.contains("unlisted")).otherwise(sub.contains("listed"))
     label = F.when(F.col("heads"), F.col("head_name")).otherwise(F.coalesce(F.nullif("sub_label", F.lit("")), "top_label"))
-    return found.select("sheet_id", "row_no", F.col("label").alias("instrument_name"), "isin", F.col("industry").alias("industry_or_rating"), F.col("quantity_text").try_cast("double").alias("quantity"), F.col("value").alias("market_value"), "weight", "asset_class", listed.alias("listed"), label.alias("section_label"))
+    return [F.col("label").alias("instrument_name"), F.col("isin"), industry.alias("industry_or_rating"), F.col("quantity_text").try_cast("double").alias("quantity"), F.col("value").alias("market_value"), F.col("weight"), kind.alias("asset_class"), listed.alias("listed"), label.alias("section_label")]
+
+
+def holdings(rows: DataFrame) -> DataFrame:
+    """Holdings of grid_rows, weights as printed; rows that are their section's total are gone and name their section."""
+    return tagged(rows).filter("held").select("sheet_id", "row_no", *holding_columns())
 
 
 def derivatives(rows: DataFrame) -> DataFrame:
@@ -152,26 +163,72 @@ def derivatives(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'derivative'").select("sheet_id", "row_no", F.col("label").alias("instrument_name"), direction.alias("direction"), *values, label.alias("section_label"))
 
 
+def sums_of_sheet(over) -> dict[str, Column]:
+    """Of tagged rows: the printed total weight (of several the last) and what holdings and derivatives add up to. over: makes a
+    column of an aggregate, as of a group or a window."""
+    weight, derived = F.col("weight"), F.col("kind") == "derivative"
+    own = F.when(F.col("main"), weight).otherwise(F.col("d3"))
+    return {
+        "printed": over(F.max_by(weight, F.when(F.col("total"), F.col("row_no")))),
+        "sum_held": over(F.sum(F.when(F.col("held"), weight))), "n_held": over(F.count_if(F.col("held"))),
+        "sum_derived": over(F.sum(F.when(derived, own))), "n_derived": over(F.count_if(derived)),
+    }
+
+
+def verdict(found: DataFrame) -> DataFrame:
+    """sums_of_sheet as fractions (scale: 100 where the file has percent points), ok and confidence."""
+    target = F.coalesce("printed", F.when(F.col("sum_held") > 0, F.col("sum_held")))
+    found = found.withColumn("scale", F.when(target > MOST, 100.0).otherwise(1.0)).withColumn("target", target / F.col("scale"))
+    held, derived = (F.coalesce(c, F.lit(0.0)) / F.col("scale") for c in ("sum_held", "sum_derived"))
+    agrees = (F.abs(held - F.col("target")) <= TOLERANCE) | (F.abs(held + derived - F.col("target")) <= TOLERANCE)
+    ok = (F.abs(F.col("target") - 1) <= TOLERANCE) & (F.col("printed").isNull() | agrees)
+    sure = F.when(F.col("n_held") == 0, 0.0).when(ok, 1.0).when(~ok, 0.5).otherwise(0.3)
+    return found.withColumns({"printed": F.col("printed") / F.col("scale"), "sum_held": held, "sum_derived": derived, "ok": ok, "confidence": sure}).drop("target")
+
+
 def reconciliation(rows: DataFrame) -> DataFrame:
     """For each sheet: the printed total weight (of several the last), what its holdings and its derivatives add up to, all as
     fractions (scale: 100 where the file has percent points), whether they agree, and the confidence: 1 if so, 0.5 if not,
     0.3 without any total, 0 without holdings. Without a printed total the holdings' own sum is the target."""
-    sums = [t.groupBy("sheet_id").agg(F.sum("weight").alias(k), F.count("*").alias(f"n_{k}")) for t, k in ((holdings(rows), "held"), (derivatives(rows), "derived"))]
-    totals = rows.groupBy("sheet_id").agg(F.max_by("weight", F.when(F.col("total"), F.col("row_no"))).alias("printed"))
-    found = totals.join(sums[0], "sheet_id", "left").join(sums[1], "sheet_id", "left")
-    target = F.coalesce("printed", F.when(F.col("held") > 0, F.col("held")))
-    found = found.withColumn("scale", F.when(target > MOST, 100.0).otherwise(1.0)).withColumn("target", target / F.col("scale"))
-    held, derived = (F.coalesce(c, F.lit(0.0)) / F.col("scale") for c in ("held", "derived"))
-    agrees = (F.abs(held - F.col("target")) <= TOLERANCE) | (F.abs(held + derived - F.col("target")) <= TOLERANCE)
-    ok = (F.abs(F.col("target") - 1) <= TOLERANCE) & (F.col("printed").isNull() | agrees)
-    sure = F.when(F.coalesce("n_held", F.lit(0)) == 0, 0.0).when(ok, 1.0).when(~ok, 0.5).otherwise(0.3)
-    return found.select("sheet_id", "scale", (F.col("printed") / F.col("scale")).alias("printed"), held.alias("held"), derived.alias("derived"), ok.alias("ok"), sure.alias("confidence"))
+    sums = sums_of_sheet(lambda c: c)
+    found = verdict(tagged(rows).groupBy("sheet_id").agg(*(c.alias(k) for k, c in sums.items())))
+    return found.select("sheet_id", "scale", "printed", F.col("sum_held").alias("held"), F.col("sum_derived").alias("derived"), "ok", "confidence")
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """tagged rows with their sheet's verdict: scale, ok and the rest, by windows over the sheet, in the same pass."""
+    whole = Window.partitionBy("sheet_id")
+    return verdict(tagged(rows).withColumns(sums_of_sheet(lambda c: c.over(whole))))
 
 
 def reconciled(rows: DataFrame) -> DataFrame:
     """The holdings of the sheets that reconcile, weights as fractions (pct_nav)."""
-    good = reconciliation(rows).filter("ok").select("sheet_id", "scale")
-    return holdings(rows).join(good, "sheet_id").withColumn("pct_nav", F.col("weight") / F.col("scale")).drop("weight", "scale")
+    good = judged(rows).filter("held and ok")
+    return good.select("sheet_id", "row_no", *holding_columns(), "scale").withColumn("pct_nav", F.col("weight") / F.col("scale")).drop("weight", "scale")
+
+
+#: Why a sheet isn't loaded.
+REASONS = ("no_table", "no_holdings", "not_reconciled")
+
+
+def sheet_outcomes(cells: DataFrame) -> DataFrame:
+    """The ledger of sheets (sheet_id, row_no, cells): for each sheet its outcome (loaded, rejected), the reason of a rejection,
+    its number of holdings and of derivatives and its three sums; no sheet is missing."""
+    found = verdict(tagged(grid_rows(cells)).groupBy("sheet_id").agg(*(c.alias(k) for k, c in sums_of_sheet(lambda c: c).items())))
+    every = cells.groupBy("sheet_id").agg(F.count("*").alias("n_rows"))
+    rows = every.join(found, "sheet_id", "left")
+    reason = F.when(F.col("n_held").isNull(), REASONS[0]).when(F.col("n_held") == 0, REASONS[1]).when(~F.coalesce("ok", F.lit(False)), REASONS[2])
+    outcome = F.when(reason.isNull(), "loaded").otherwise("rejected")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_held", "n_derived")]
+    return rows.select("sheet_id", outcome.alias("outcome"), reason.alias("reason"), "n_rows", *counts, "printed", F.col("sum_held").alias("held"), F.col("sum_derived").alias("derived"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def loaded_and_rejected(cells: DataFrame) -> DataFrame:
+    """Every holding of every sheet with pct_nav and its sheet's outcome and reason: one computation whose two parts, by
+    outcome, are what is loaded and what is put aside. Written with partitionBy("outcome") it is read once."""
+    rows = judged(grid_rows(cells)).filter("held")
+    loaded = F.coalesce("ok", F.lit(False))
+    return rows.select("sheet_id", "row_no", *holding_columns(), (F.col("weight") / F.col("scale")).alias("pct_nav"), F.when(loaded, "loaded").otherwise("rejected").alias("outcome"), F.when(~loaded, REASONS[2]).alias("reason")).drop("weight")
 
 
 def facts(cells: DataFrame) -> DataFrame:

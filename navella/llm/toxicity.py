@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navella.llm.arrowtext import each_slice, lower_ascii, mix, prefix_sums, span_hashes
+from navella.llm.arrowtext import each_slice, lower_ascii, prefix_sums, span_hashes
 from navella.llm.quality import labelled_sample, labels_of
 from navella.llm.shared import stored
 from navella.llm.tokens import text_column
@@ -44,15 +44,17 @@ WORDS = 2
 #: What a toxic document that is kept weighs against a clean one that is rejected, where one half of the score is placed.
 MISSED = 4.0
 SLICE = 512 << 10
-#: Runs that a task gathers before it counts them, and documents of a slice that it numbers at once.
+#: Runs that a task gathers before it counts them; different ones that it holds before it hands them on; and documents of a
+#: slice that it numbers at once.
 BATCH_RUNS = 2_000_000
+HELD_RUNS = 1_000_000
 SLICE_DOCS = 60_000
 #: Labels (two numbers each) that go to every executor at most; beyond it texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 #: Bytes of the long runs at most and at least, and of the short ones.
 LONG, LEAST, SHORT = 12, 2, 3
 #: Cells, as powers of two, of the long runs' table, of that of the bytes before their last, and of the same two of the short.
-CELLS, BEFORE, SHORT_CELLS, SHORT_BEFORE = 22, 21, 20, 16
+CELLS, BEFORE, SHORT_CELLS, SHORT_BEFORE = 22, 21, 18, 16
 _U = np.uint64
 
 
@@ -91,28 +93,38 @@ def cell(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> _U(64 - bits)).astype(np.int64)
 
 
-RUNS = "run long, before long, short long, parent long, n0 int, n1 int, n2 int, n3 int"
+def short_cell(short, bits: int):
+    """The cell of short runs, or of their bytes before the last, of 2**bits; numbers in an array, or a column."""
+    if isinstance(short, Column):
+        return F.shiftrightunsigned((short * _SPREAD).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - bits)
+    return ((short.astype(np.int64) * _SPREAD & 0xFFFFFFFF) >> (32 - bits)).astype(np.int64)
+
+
+_SPREAD = 2654435761  # odd, and near the golden ratio's part of 2**32
+RUNS = "run long, before long, short int, n0 int, n1 int, n2 int, n3 int"
+
+
+def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Runs with what belongs to them and their counts (run, before, short, n0 to n3), each once."""
+    run, before, short, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(run)
+    run = run[order]
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    return [run[first], before[order[first]], short[order[first]], *(np.add.reduceat(n[order], first, dtype=np.int32) for n in counts)]
 
 
 def run_counts(texts: DataFrame) -> DataFrame:
-    """(run, before, short, parent, n0, n1, n2, n3): how often each long run stands in the texts, by code; hashes of it, of its bytes
-    before the last, of its short run and of that one's bytes before the last. texts: text, code (twice the
-    label, plus 1 for the part left out). A task sums up before it hands on, so what is shuffled grows with its different
-    runs."""
+    """(run, before, short, n0, n1, n2, n3): how often each long run stands in the texts, by code; hashes of it and of its
+    bytes before the last, and its short run. texts: text, code (twice the label, plus 1 for the part left out). A task sums
+    up before it hands on, so what is shuffled grows with its different runs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        fresh: list[list[np.ndarray]] = []
 
         def handed() -> pa.RecordBatch:
-            run, before, short, code = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.argsort(run)
-            run, code = run[order], code[order]
-            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            counts = [np.add.reduceat(code == k, first, dtype=np.int32) for k in range(4)]
-            before, short = before[order][first], short[order][first]
-            hashes = [x.view(np.int64) for x in (run[first], before, mix(short), mix(short >> _U(8)))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in hashes + counts], names=["run", "before", "short", "parent", "n0", "n1", "n2", "n3"])
+            columns = held.pop()
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == _U else c) for c in columns], names=["run", "before", "short", "n0", "n1", "n2", "n3"])
 
         total = 0
         for batch in batches:
@@ -122,16 +134,21 @@ def run_counts(texts: DataFrame) -> DataFrame:
                     part = off[k : k + SLICE_DOCS + 1]
                     text, place, owner = canonical(b[part[0] : part[-1]], part - part[0])
                     if len(place):
-                        held.append([*long_runs(text, place), packed(text, place, SHORT), code[i + k + owner]])
-                        total += len(place)
+                        own = code[i + k + owner]
+                        fresh.append(summed([[*long_runs(text, place), packed(text, place, SHORT).astype(np.int32), *((own == c).astype(np.int32) for c in range(4))]]))
+                        total += len(fresh[-1][0])
                 if total >= BATCH_RUNS:
-                    yield handed()
+                    held = [summed(held + fresh)]
+                    fresh.clear()
                     total = 0
-        if held:
+                    if len(held[0][0]) >= HELD_RUNS:
+                        yield handed()
+        if held or fresh:
+            held = [summed(held + fresh)]
             yield handed()
 
     found = texts.mapInArrow(emit, RUNS)
-    return found.groupBy("run").agg(*(F.first(c).alias(c) for c in ("before", "short", "parent")), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
+    return found.groupBy("run").agg(F.first("before").alias("before"), F.first("short").alias("short"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
 
 
 def counted(n: list, label: int, whole: int):
@@ -159,9 +176,12 @@ class Model:
 
     def __getstate__(self) -> dict:
         """What is sent to tasks: the tables' logarithms in half precision, compressed."""
+        packed_table = lambda t: (t.shape, zlib.compress(t.astype(np.float16).tobytes(), 1))
         with np.errstate(divide="ignore"):
-            tables = np.log1p(self.left), np.concatenate([np.log(self.before[:, :3]), self.before[:, 3:]], 1) if len(self.before) else self.before, np.log(self.short)
-        return {"tables": [(t.shape, zlib.compress(t.astype(np.float16).tobytes(), 1)) for t in tables], "share": self.share, "line": self.line}
+            before = self.before.astype(np.float16)
+            before[:, :3] = np.log(self.before[:, :3])
+            tables = [packed_table(np.log1p(self.left)), packed_table(before), packed_table(np.log(self.short))]
+        return {"tables": tables, "share": self.share, "line": self.line}
 
     def __setstate__(self, state: dict) -> None:
         left, before, short = (np.frombuffer(zlib.decompress(raw), np.float16).reshape(shape).astype(np.float32) for shape, raw in state["tables"])
@@ -174,7 +194,7 @@ class Model:
         run, before = long_runs(text, place)
         left, rest = self.left[cell(run, CELLS)], self.before[cell(before, BEFORE)]
         p = left * rest[:, :3]
-        both = p[:, 2] + rest[:, 5] * self.short[cell(mix(packed(text, place, SHORT)), SHORT_CELLS)]
+        both = p[:, 2] + rest[:, 5] * self.short[short_cell(packed(text, place, SHORT), SHORT_CELLS)]
         return np.log(p[:, 1] + rest[:, 4] * both) - np.log(p[:, 0] + rest[:, 3] * both)
 
     def measures(self, b: np.ndarray, off: np.ndarray, tried: tuple[float, ...]) -> np.ndarray:
@@ -241,10 +261,9 @@ def constant(share: float) -> Model:
     return Model(none, none, none, SHARES[0], np.array([np.log(share / (1 - share)), 0.0]))
 
 
-def tallied(counts: DataFrame, key: Column, bits: int, sums: list[Column]) -> np.ndarray:
-    """The sums by cell, the top bits of a 64-bit key: an array of 2**bits rows, which is all that the driver gets."""
-    at = F.shiftrightunsigned(key, 64 - bits).cast("int").alias("at")
-    found = counts.groupBy(at).agg(*(c.cast("float").alias(f"s{k}") for k, c in enumerate(sums))).toArrow()
+def tallied(counts: DataFrame, at: Column, bits: int, sums: list[Column]) -> np.ndarray:
+    """The sums by cell (at): an array of 2**bits rows, which is all that the driver gets."""
+    found = counts.groupBy(at.cast("int").alias("at")).agg(*(c.cast("float").alias(f"s{k}") for k, c in enumerate(sums))).toArrow()
     out = np.zeros((1 << bits, len(sums)), np.float32)
     for k in range(len(sums)):
         out[found.column("at").to_numpy(), k] = found.column(f"s{k}").to_numpy()
@@ -258,13 +277,15 @@ def rests(total: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def short_model(ends: DataFrame, m: int) -> np.ndarray:
-    """The probability of each cell of short runs, the shorter ones' being all alike. ends: short, parent, and continuation
-    counts c0 and c1 by model."""
+    """The probability of each cell of short runs, the shorter ones' being all alike. ends: short, and continuation counts c0
+    and c1 by model."""
     count = F.col(f"c{m}")
     off = discount(*ends.agg(F.count_if(count == 1), F.count_if(count == 2)).first())
     left, whole = F.sum(F.greatest(count - F.lit(off), F.lit(0.0))), F.sum(count)
-    cells = tallied(ends, F.col("short"), SHORT_CELLS, [left, F.max(F.shiftrightunsigned("parent", 64 - SHORT_BEFORE))])
-    before = tallied(ends, F.col("parent"), SHORT_BEFORE, [left, whole])
+    short = F.col("short").cast("long")
+    parent = short_cell(F.shiftright(short, 8), SHORT_BEFORE)
+    cells = tallied(ends, short_cell(short, SHORT_CELLS), SHORT_CELLS, [left, F.max(parent)])
+    before = tallied(ends, parent, SHORT_BEFORE, [left, whole])
     at = cells[:, 1].astype(np.int64)
     inverse, rest = rests(before[:, 1], before[:, 0])
     return (cells[:, 0] * inverse[at] + rest[at] / 256).astype(np.float32)
@@ -273,14 +294,14 @@ def short_model(ends: DataFrame, m: int) -> np.ndarray:
 def models(counts: DataFrame) -> Iterator[Model]:
     """The model without the part left out, then the whole one, without lines. counts: as of run_counts."""
     columns = [F.col(f"n{k}") for k in range(4)]
-    ends = counts.groupBy("short").agg(F.first("parent").alias("parent"), F.count_if(columns[0] + columns[2] > 0).alias("c0"), F.count("*").alias("c1"))
+    ends = counts.groupBy("short").agg(F.count_if(columns[0] + columns[2] > 0).alias("c0"), F.count("*").alias("c1"))
     for m in (0, 1):
         n = [counted(columns, 0, m), counted(columns, 1, m)]
         n.append(n[0] + n[1])
         few = np.array(counts.agg(*(F.count_if(x == k) for x in n for k in (1, 2))).first(), float).reshape(3, 2)
         left = [F.sum(F.greatest(x - F.lit(discount(*f)), F.lit(0.0))) for x, f in zip(n, few, strict=True)]
-        cells = tallied(counts, F.col("run"), CELLS, left)
-        before = tallied(counts, F.col("before"), BEFORE, left + [F.sum(x) for x in n])
+        cells = tallied(counts, F.shiftrightunsigned("run", 64 - CELLS), CELLS, left)
+        before = tallied(counts, F.shiftrightunsigned("before", 64 - BEFORE), BEFORE, left + [F.sum(x) for x in n])
         inverse, rest = rests(before[:, 3:], before[:, :3])
         yield Model(cells, np.concatenate([inverse, rest], 1).astype(np.float32), short_model(ends, m), SHARES[0], np.zeros(2))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,16 @@ def occurrences(text: Column, terms: list[str]) -> Column:
 TRUNCATED = "…[truncated]"
 
 
-def search_pages(pages: DataFrame, terms: list[str], max_chars: int, wanted: list[str] | None = None) -> DataFrame:
+def search_pages(pages: DataFrame, terms: list[str] | str, max_chars: int, wanted: list[str] | None = None) -> DataFrame:
     """Pages with the terms, most occurrences first, within a budget of characters for each document; the page that exceeds
-    it is cut and marked. wanted: only pages with one of these headings. Pages are ranked by their lengths and scores;
-    only those that stay are given their text again."""
-    pages = pages if wanted is None else pages.filter(F.arrays_overlap(headings(F.col("text")), F.array(*map(F.lit, wanted))))
-    rows = pages.select("doc_id", "page_number", occurrences(F.col("text"), terms).alias("score"), F.length("text").alias("size")).filter("score > 0")
+    it is cut and marked. terms: words, or a text of which the runs of letters, digits and apostrophes are; without any all
+    pages count, in their order. wanted: only pages with one of these headings, in whatever case. Pages are ranked by their
+    lengths and scores; only those that stay are given their text again."""
+    terms = re.findall(r"[A-Za-z0-9']+", terms) if isinstance(terms, str) else terms
+    known = [h for h in HEADINGS if wanted is not None and h.lower() in {w.lower() for w in wanted}]
+    pages = pages if wanted is None else pages.filter(F.arrays_overlap(headings(F.col("text")), F.array(*map(F.lit, known)).cast("array<string>")))
+    rows = pages.select("doc_id", "page_number", occurrences(F.col("text"), terms).alias("score"), F.length("text").alias("size"))
+    rows = rows.filter("score > 0") if terms else rows.filter("size is not null")
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "page_number")
     rows = rows.withColumns({"rank": F.row_number().over(order), "before": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     left = F.least(F.col("size"), F.lit(max_chars) - F.col("before")).cast("int")
@@ -103,13 +109,22 @@ def event_id(*parts: Column) -> Column:
 
 
 def freshness(documents: DataFrame, as_of: str, expected: dict[str, int]) -> DataFrame:
-    """For each kind of document (doc_type, doc_date) the newest date, its age and whether it is older than expected."""
+    """For each kind of document (doc_type, doc_date), and each house where the documents have one (amc_id), the newest date,
+    its age and whether it is older than expected."""
     gap = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])
-    found = documents.groupBy("doc_type").agg(F.max("doc_date").alias("newest"), F.count("*").alias("n"))
+    keys = [c for c in ("amc_id", "doc_type") if c in documents.columns]
+    found = documents.groupBy(*keys).agg(F.max("doc_date").alias("newest"), F.count("*").alias("n"))
     found = found.withColumn("age_days", F.datediff(F.lit(as_of).cast("date"), "newest"))
     return found.withColumn("status", F.when(F.col("age_days") > F.coalesce(F.try_element_at(gap, "doc_type"), F.lit(60)), "degraded").otherwise("ok"))
 
 
+def history(rows: DataFrame, day: str, since: str, schemes: DataFrame | None = None) -> DataFrame:
+    """Rows of snapshots, derivatives, ratios or documents of a day (a column) since another one, of all schemes or of those
+    asked for (scheme_id); both conditions reach the scan."""
+    found = rows.filter(F.col(day) >= F.lit(since).cast("date"))
+    return found if schemes is None else found.join(schemes.select("scheme_id").distinct(), "scheme_id", "left_semi")
+
+
 def words(name: Column) -> Column:
     """Distinct lower-cased words of a name, compounds of cap parted, without stop words."""
     plain = F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")
@@ -118,14 +133,39 @@ def words(name: Column) -> Column:
 
 
 def resolve(queries: DataFrame, schemes: DataFrame, limit: int) -> DataFrame:
-    """The schemes (scheme_id, name) that hold all words of each query (query_id, text), by an inverted index of words; ranked by
-    confidence, then by how many further words the name has."""
+    """The schemes (scheme_id, name) that hold all words of each query (query_id, text); ranked by confidence, then by how many
+    further words the name has. An inverted index is asked for each query's rarest word alone, so a word that most names have
+    is only looked up for queries of nothing rarer; the other words are checked on what it finds."""
     asked = queries.select("query_id", "text", words(F.col("text")).alias("q"))
-    index = schemes.select("scheme_id", "name", words(F.col("name")).alias("w"))
-    hits = asked.select("query_id", F.explode("q").alias("word")).join(index.select("scheme_id", F.explode("w").alias("word")), "word").groupBy("query_id", "scheme_id").agg(F.count("*").alias("hits"))
-    rows = hits.join(asked, "query_id").filter(F.col("hits") == F.size("q")).join(index, "scheme_id")
+    index = schemes.select("scheme_id", "name", words(F.col("name")).alias("w")).select("scheme_id", "name", "w", F.explode("w").alias("word"))
+    known = index.groupBy("word").agg(F.count("*").alias("n"))
+    each = asked.select("query_id", "text", "q", F.explode("q").alias("word")).join(known, "word", "left")
+    rarest = each.groupBy("query_id", "text", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rarest")).filter("rarest.n > 0")
+    rows = rarest.select("query_id", "text", "q", "rarest.word").join(index, "word").filter(F.size(F.array_except("q", "w")) == 0)
     low, ask = F.lower("name"), F.lower("text")
     confidence = F.when(low == ask, 0.95).when(low.contains(ask), 0.7).otherwise(0.6)
     rows = rows.withColumns({"confidence": confidence, "extra": F.size(F.array_except("w", "q"))})
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "extra", "scheme_id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "scheme_id", "name", "confidence", "extra", "rank")
+
+
+#: Characters of the longest runs by which texts are looked for within others.
+GRAM = 3
+
+
+def grams(text: Column, k: int) -> Column:
+    """The distinct runs of k characters of a text."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substr(text, i, F.lit(k)))
+    return F.when(F.length(text) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, strings: DataFrame) -> DataFrame:
+    """(q, s) of each text (q, not empty) and string (s) that holds it, both distinct. Strings are indexed by their runs of up to
+    three characters; a text is looked up by its rarest run of three, or, if it is shorter, by itself, and what that
+    finds is checked."""
+    index = strings.select("s", F.explode(F.concat(*(grams(F.col("s"), k) for k in range(1, GRAM + 1)))).alias("gram"))
+    known = index.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.when(F.length("q") < GRAM, F.array("q")).otherwise(grams(F.col("q"), GRAM))
+    each = texts.select("q", F.explode(own).alias("gram")).join(known, "gram", "left")
+    rarest = each.groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")).filter("rarest.n > 0")
+    return rarest.select("q", "rarest.gram").join(index, "gram").filter(F.col("s").contains(F.col("q"))).select("q", "s")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from navella.functions.series import as_of, cagr
-from navella.operators.disclosures import resolve
+from navella.operators.disclosures import containing, resolve
 from navella.operators.nav import side_pocket
 
 #: Former names still in use, and what they are now.
@@ -29,16 +29,18 @@ def ranked(found: DataFrame, limit: int) -> DataFrame:
 def literal_matches(asked: DataFrame, plans: DataFrame) -> DataFrame:
     """(query_id, scheme_id, name, confidence, extra, via) of the plans (code, isin, scheme_id, name, house) whose isin or
     code equals a query (query_id, text), or whose scheme's or house's name holds it. 1 for an isin or code, 0.95 for the
-    whole name, 0.7 for a part of it, 0.5 for the house's; the best of a scheme's plans counts. Names are searched as
-    a join of the distinct names with the distinct texts."""
+    whole name, 0.7 for a part of it, 0.5 for the house's; the best of a scheme's plans counts. Names and houses are
+    found by an index of their characters (see containing), never by comparing all with all."""
     texts = asked.select("query_id", "text", F.lower(F.trim("text")).alias("q")).filter("q <> ''")
     keys = plans.select("scheme_id", "name", F.explode(F.array(F.lower("isin"), F.lower("code"))).alias("q")).filter("q is not null").distinct()
     exact = texts.join(keys, "q").select("query_id", "scheme_id", "name", F.lit(1.0).alias("confidence"))
-    words = texts.select("q").distinct()
+    asked_texts = texts.select("q").distinct()
     names = plans.select("scheme_id", "name", F.lower("name").alias("low"), F.lower("house").alias("house")).distinct()
-    inside = names.join(words, F.col("low").contains(F.col("q")) | F.col("house").contains(F.col("q")))
-    sure = F.when(F.col("low") == F.col("q"), 0.95).when(F.col("low").contains(F.col("q")), 0.7).otherwise(0.5)
-    held = texts.join(inside.select("q", "scheme_id", "name", sure.alias("confidence")), "q").select("query_id", "scheme_id", "name", "confidence")
+    strings = names.select(F.col("low").alias("s")).unionByName(names.select(F.col("house").alias("s"))).filter("s is not null").distinct()
+    inside = containing(asked_texts, strings)
+    by_name = inside.join(names.withColumnRenamed("low", "s"), "s").select("q", "scheme_id", "name", F.when(F.col("s") == F.col("q"), 0.95).otherwise(0.7).alias("confidence"))
+    by_house = inside.join(names.withColumnRenamed("house", "s"), "s").select("q", "scheme_id", "name", F.lit(0.5).alias("confidence"))
+    held = texts.join(by_name.unionByName(by_house), "q").select("query_id", "scheme_id", "name", "confidence")
     found = exact.unionByName(held).groupBy("query_id", "scheme_id", "name").agg(F.max("confidence").alias("confidence"))
     return found.withColumns({"extra": F.lit(0), "via": F.lit("literal")})
 

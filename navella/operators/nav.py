@@ -35,6 +35,18 @@ def trailing(nav: DataFrame, horizons: tuple[int, ...] = (1, 3, 5)) -> DataFrame
     return found.select("plan_id", F.col("last.date").alias("anchor"), "n", *grown, cagr(F.col("first.date"), F.col("first.nav"), F.col("last.date"), F.col("last.nav")).alias("cagr_inception"))
 
 
+def calendar_ladder(nav: DataFrame, horizons: tuple[float, ...] = (1, 3, 5, 7, 10), as_of_day: str | None = None) -> DataFrame:
+    """Growth a year of each plan over horizons counted by the calendar: from the last price on or before the same day so many
+    years earlier (28 February for the 29th; for a part of a year, int(h * 365.25) days earlier) to the last one on or
+    before as_of_day, or the plan's own last day."""
+    rows = nav.withColumn("day", F.max("date").over(Window.partitionBy("plan_id"))) if as_of_day is None else nav.withColumn("day", F.lit(as_of_day).cast("date"))
+    start = lambda h: F.add_months("day", -12 * int(h)) if h == int(h) else F.date_sub("day", int(h * 365.25))
+    named = {f"{h:g}".replace(".", "_"): h for h in horizons}
+    ends = [as_of(F.col("date"), F.col("nav"), start(h)).alias(f"s{k}") for k, h in named.items()]
+    found = rows.groupBy("plan_id", "day").agg(as_of(F.col("date"), F.col("nav"), F.col("day")).alias("last"), *ends)
+    return found.select("plan_id", F.col("day").alias("as_of_day"), *(cagr(F.col(f"s{k}.date"), F.col(f"s{k}.nav"), F.col("last.date"), F.col("last.nav")).alias(f"cagr_{k}y") for k in named))
+
+
 def scheme_performance(plans: DataFrame, nav: DataFrame) -> DataFrame:
     """Trailing returns of each scheme's chosen plan; distribution plans, schemes without enough prices and schemes without
     prices get a status instead of numbers."""

@@ -72,6 +72,19 @@ def gaps(holdings: DataFrame, kind: str = "monthly") -> DataFrame:
     return snapshots(holdings).filter(days > 1.5 * each).select(*SNAPSHOT, "previous", days.alias("days"), F.rint(days / each).cast("long").alias("periods"))
 
 
+def cadence_gaps(snapshots: DataFrame) -> DataFrame:
+    """Of snapshots (scheme_id, as_of_date, cadence) those that can't be compared with the one before as they are: why is
+    cadence_changed where the two were disclosed at different intervals, else gap where more than 1.5 intervals lie
+    between, with days and periods. A snapshot without a date or of an unknown cadence is passed over."""
+    each = F.create_map(*(F.lit(x) for kv in CADENCE.items() for x in kv))
+    days = Window.partitionBy("scheme_id").orderBy("as_of_date")
+    rows = snapshots.filter(F.col("as_of_date").isNotNull() & each[F.col("cadence")].isNotNull()).select(*SNAPSHOT, "cadence").distinct()
+    rows = rows.withColumns({"previous": F.lag("as_of_date").over(days), "cadence_before": F.lag("cadence").over(days)}).filter("previous is not null")
+    gap, length = F.datediff("as_of_date", "previous"), each[F.col("cadence")]
+    why = F.when(F.col("cadence") != F.col("cadence_before"), "cadence_changed").when(gap > 1.5 * length, "gap")
+    return rows.select(*SNAPSHOT, "previous", gap.alias("days"), F.when(why == "gap", F.rint(gap / length).cast("long")).alias("periods"), why.alias("why")).filter("why is not null")
+
+
 def clean_ratio(old: Column, new: Column) -> Column:
     """Whether new / old is close to n / d with d up to 8, n + d up to 12, and not 1: a split or bonus."""
     r = F.try_divide(new, old)
@@ -128,15 +141,31 @@ def merged(old: Column, new: Column) -> Column:
     return F.coalesce(F.abs(F.try_divide(n, o) - 1) < 0.2, F.lit(False))
 
 
+def pairs_of_letters(name: Column) -> Column:
+    """The runs of two characters of a name, each with its number among equal ones, so that what two names share of them as
+    sets they share with repeats."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substr(name, i, F.lit(2)))
+    numbered = F.transform(runs, lambda r, i: F.concat(r, F.size(F.filter(F.slice(runs, 1, i), lambda x: x == r)).cast("string")))
+    return F.when(F.length(name) >= 2, numbered).otherwise(F.array().cast("array<string>"))
+
+
+def least_shared(a: Column, b: Column) -> Column:
+    """Runs of two that names of these lengths share at least if their Ratcliff-Obershelp ratio is SIMILAR_NAMES: with m
+    matched characters, a + b - 2 m others stand between the matched blocks, so there are at most one more blocks than
+    these, and a block of n characters has n - 1 runs."""
+    m = F.ceil(F.lit(SIMILAR_NAMES / 2) * (a + b) - F.lit(1e-9))
+    return m - (a + b - 2 * m + 1)
+
+
 def suspected_successions(changed: DataFrame) -> DataFrame:
     """Exited and new holdings of one snapshot that may be one: by name (an isin change, which wins; Ratcliff-Obershelp ratio of
-    SIMILAR_NAMES at least) or by value (a merger). A name or value that isn't known is like none. Pairs whose lengths and
-    values rule both out don't reach Python."""
+    SIMILAR_NAMES at least) or by value (a merger). A name or value that isn't known is like none. Pairs whose lengths,
+    shared letters and values rule both out don't reach Python."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]+", " "))
-    sides = [changed.filter(F.col("action") == a).select(*SNAPSHOT, F.col("key").alias(f"{k}_key"), plain.alias(f"{k}_name"), F.abs("value_change").alias(f"{k}_value")) for k, a in (("old", "EXITED"), ("new", "NEW"))]
+    sides = [changed.filter(F.col("action") == a).select(*SNAPSHOT, F.col("key").alias(f"{k}_key"), plain.alias(f"{k}_name"), pairs_of_letters(plain).alias(f"{k}_runs"), F.abs("value_change").alias(f"{k}_value")) for k, a in (("old", "EXITED"), ("new", "NEW"))]
     keys = [*SNAPSHOT, "old_key", "new_key"]
     a, b = F.length("old_name"), F.length("new_name")
-    alike = (a > 0) & (b > 0) & (2.0 * F.least(a, b) >= SIMILAR_NAMES * (a + b))
+    alike = (a > 0) & (b > 0) & (2.0 * F.least(a, b) >= SIMILAR_NAMES * (a + b)) & (F.size(F.array_intersect("old_runs", "new_runs")) >= least_shared(a, b))
     pairs = sides[0].join(sides[1], SNAPSHOT).select(*keys, "old_name", "new_name", alike.alias("alike"), merged(F.col("old_value"), F.col("new_value")).alias("near")).filter("alike or near")
     # pairs are many where their sides are few, so they are dealt out anew
     pairs = pairs.repartition(changed.sparkSession.sparkContext.defaultParallelism, "old_key", "new_key")
@@ -178,6 +207,16 @@ def persistence(holdings: DataFrame) -> DataFrame:
     return rows.groupBy("scheme_id", "key").agg(F.count("*").alias("held"), F.avg("pct").alias("mean_pct"), F.min("as_of_date").alias("first_seen"), F.max("as_of_date").alias("last_seen"), streak.alias("streak"))
 
 
+def recent_persistence(holdings: DataFrame, months: int) -> DataFrame:
+    """persistence over the snapshots of the last so many months of 31 days before each scheme's newest one, with the
+    holding's newest name and its place by streak, snapshots held and key."""
+    rows = holdings.withColumn("newest", F.max("as_of_date").over(Window.partitionBy("scheme_id")))
+    rows = rows.filter(F.col("as_of_date") >= F.date_sub("newest", months * 31))
+    names = rows.groupBy("scheme_id", holding_key().alias("key")).agg(F.max_by("instrument_name", F.struct("as_of_date", "instrument_name")).alias("name"))
+    order = Window.partitionBy("scheme_id").orderBy(F.desc("streak"), F.desc("held"), "key")
+    return persistence(rows).join(names, ["scheme_id", "key"]).withColumn("place", F.row_number().over(order))
+
+
 def latest(holdings: DataFrame, as_of: str | None = None) -> DataFrame:
     """The newest snapshot of each scheme, on or before as_of."""
     rows = holdings if as_of is None else holdings.filter(F.col("as_of_date") <= F.lit(as_of).cast("date"))
@@ -197,6 +236,30 @@ def overlap(holdings: DataFrame) -> DataFrame:
     return found.withColumn("overlap", (F.col("overlap_a") + F.col("overlap_b")) / 2)
 
 
+def overlap_within(holdings: DataFrame, asked: DataFrame) -> DataFrame:
+    """The overlap of every two schemes of each requested set (asked: set_id, scheme_id), also of those that share nothing:
+    set_id, scheme_id_a, scheme_id_b, overlap_a, overlap_b, overlap, common, total_a, total_b, and holdings, those in common
+    (isin, name, pct_a, pct_b, mean) by mean weight. holdings: one snapshot a scheme. Pairs are of one set each, which
+    somebody has listed, and meet the holdings by equality."""
+    wanted = asked.select("set_id", "scheme_id").distinct()
+    pairs = wanted.withColumnRenamed("scheme_id", "scheme_id_a").join(wanted.withColumnRenamed("scheme_id", "scheme_id_b"), "set_id").filter("scheme_id_a < scheme_id_b")
+    held = equity_like(holdings).filter("isin is not null").join(wanted.select("scheme_id").distinct(), "scheme_id", "left_semi")
+    maps = held.groupBy("scheme_id", "isin").agg(F.sum(F.coalesce("pct_nav", F.lit(0.0))).alias("pct"), F.min("instrument_name").alias("name"))
+    sizes = maps.groupBy("scheme_id").agg(F.count("*").alias("total"))
+    a, b = (maps.select(*(F.col(c).alias(f"{c}_{k}") for c in ("scheme_id", "pct", "name")), "isin") for k in "ab")
+    mean = (F.col("pct_a") + F.col("pct_b")) / 2
+    each = F.struct((-mean).alias("minus"), "isin", F.coalesce("name_a", "name_b").alias("name"), "pct_a", "pct_b", mean.alias("mean"))
+    both = pairs.join(a, "scheme_id_a").join(b, ["scheme_id_b", "isin"]).groupBy("set_id", "scheme_id_a", "scheme_id_b")
+    found = both.agg(F.sum("pct_a").alias("overlap_a"), F.sum("pct_b").alias("overlap_b"), F.count("*").alias("common"), F.array_sort(F.collect_list(each)).alias("holdings"))
+    rows = pairs.join(found, ["set_id", "scheme_id_a", "scheme_id_b"], "left")
+    for k in "ab":
+        rows = rows.join(sizes.select(F.col("scheme_id").alias(f"scheme_id_{k}"), F.col("total").alias(f"total_{k}")), f"scheme_id_{k}", "left")
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("overlap_a", "overlap_b")} | {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("common", "total_a", "total_b")}
+    rows = rows.withColumns(zero).withColumn("overlap", (F.col("overlap_a") + F.col("overlap_b")) / 2)
+    none = F.array().cast("array<struct<isin:string,name:string,pct_a:double,pct_b:double,mean:double>>")
+    return rows.withColumn("holdings", F.coalesce(F.transform("holdings", lambda h: h.dropFields("minus")), none))
+
+
 def cap_allocation(holdings: DataFrame, caps: DataFrame) -> DataFrame:
     """Equity-like weight by size class at each snapshot, by the list in force then (never a later one): lists become
     intervals, so it is one equi-join with a range condition. Null where no list was in force."""

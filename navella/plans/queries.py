@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from navella.operators import disclosures as d
+from navella.operators import houses as h
 from navella.operators import managers as m
 from navella.operators import nav as n
 from navella.operators import portfolio as p
@@ -291,3 +292,71 @@ def name_resolution_of_all(t, _):
     asked = t("scheme").select(F.col("scheme_id").alias("query_id"), F.substring_index("name", " ", 2).alias("text"))
     return d.resolve(asked, t("scheme"), 10)
 
+
+
+@query("""+ a as (select plan_id, max(date) dd from nav_point group by 1), w as (select h::int h, plan_id, dd, (dd - to_years(h::int))::date s from a, (values (1), (3), (5), (7), (10)) v(h)),
+f as (select w.plan_id, h, dd, max(date) filter (date <= s) d0, arg_max(nav, date) filter (date <= s) n0, arg_max(nav, date) n1, max(date) d1 from w join nav_point using (plan_id) group by 1, 2, 3)
+select plan_id, dd as_of_day, """ + ", ".join(f"max({_cagr('d0', 'n0', 'd1', 'n1')}) filter (h = {h}) cagr_{h}y" for h in (1, 3, 5, 7, 10)) + " from f group by 1, 2", "nav_point", **{f"cagr_{h}y": 6 for h in (1, 3, 5, 7, 10)})
+def calendar_returns(t, _):
+    return n.calendar_ladder(t("nav_point"))
+
+
+@query("""+ m as (select scheme_id, max(as_of_date) nd from holding group by 1), h as (select scheme_id, coalesce(nullif(isin, ''), 'NAME::' || instrument_name) k, as_of_date, instrument_name nm, pct_nav, dense_rank() over (partition by scheme_id order by as_of_date desc) b from holding join m using (scheme_id) where as_of_date >= nd - 744),
+g as (select scheme_id, k, as_of_date, b, sum(pct_nav) pct, max(nm) nm from h group by 1, 2, 3, 4), r as (select *, row_number() over (partition by scheme_id, k order by b) n from g),
+s as (select scheme_id, k "key", count(*) held, round(avg(pct), 6) mean_pct, min(as_of_date) first_seen, max(as_of_date) last_seen, count(*) filter (b = n) streak, arg_max(nm, as_of_date) "name" from r group by 1, 2)
+select *, row_number() over (partition by scheme_id order by streak desc, held desc, "key") place from s""", "holding", mean_pct=6)
+def recent_holding_persistence(t, _):
+    return p.recent_persistence(t("holding"), 24)
+
+
+@query("""+ m as (select scheme_id, max(as_of_date) nd from holding group by 1), w as (select 'set-' || (substr(scheme_id, 8)::int % 2)::varchar set_id, scheme_id from (select distinct scheme_id from scheme) where substr(scheme_id, 8)::int < 12),
+x as (select h.scheme_id, isin, sum(coalesce(pct_nav, 0)) pct from holding h join m on m.scheme_id = h.scheme_id and nd = as_of_date where isin is not null and asset_class in ('equity', 'foreign', 'reit', 'other') group by 1, 2), z as (select scheme_id, count(*) total from x group by 1),
+c as (select a.scheme_id sa, b.scheme_id sb, sum(a.pct) pa, sum(b.pct) pb, count(*) c, string_agg(a.isin, ',' order by -(a.pct + b.pct) / 2, a.isin) l from x a join x b on a.isin = b.isin and a.scheme_id < b.scheme_id group by 1, 2)
+select p.set_id, p.scheme_id scheme_id_a, q.scheme_id scheme_id_b, round(coalesce(pa, 0), 6) overlap_a, round(coalesce(pb, 0), 6) overlap_b, round((coalesce(pa, 0) + coalesce(pb, 0)) / 2, 6) overlap, coalesce(c, 0) common, coalesce(za.total, 0) total_a, coalesce(zb.total, 0) total_b, md5(coalesce(l, '')) holdings
+from w p join w q on p.set_id = q.set_id and p.scheme_id < q.scheme_id left join c on sa = p.scheme_id and sb = q.scheme_id left join z za on za.scheme_id = p.scheme_id left join z zb on zb.scheme_id = q.scheme_id""", "scheme holding", overlap_a=6, overlap_b=6, overlap=6)
+def requested_overlap(t, _):
+    number = F.expr("cast(substring(scheme_id, 8) as int)")
+    asked = t("scheme").filter(number < 12).select(F.concat(F.lit("set-"), (number % 2).cast("string")).alias("set_id"), "scheme_id")
+    found = p.overlap_within(p.latest(t("holding")), asked)
+    return found.withColumn("holdings", F.md5(F.array_join(F.transform("holdings", lambda h: h["isin"]), ",")))
+
+
+@query("""+ s as (select distinct scheme_id, as_of_date, case when month(as_of_date) = 12 then 'half_yearly' else 'monthly' end cadence from holding),
+l as (select *, lag(as_of_date) over w previous, lag(cadence) over w cb from s window w as (partition by scheme_id order by as_of_date)),
+k as (select *, date_diff('day', previous, as_of_date)::int "days", case cadence when 'monthly' then 31 else 182 end e, case when cadence <> cb then 'cadence_changed' when date_diff('day', previous, as_of_date) > 1.5 * case cadence when 'monthly' then 31 else 182 end then 'gap' end why from l where previous is not null)
+select scheme_id, as_of_date, previous, "days", case when why = 'gap' then round_even("days" / e, 0)::bigint end periods, why from k where why is not null""", "holding")
+def cadence_gaps(t, _):
+    cadence = F.when(F.month("as_of_date") == 12, "half_yearly").otherwise("monthly")
+    return p.cadence_gaps(t("holding").select("scheme_id", "as_of_date", cadence.alias("cadence")))
+
+
+@query("""select 'amc-' || source amc_id, lang doc_type, max(date '2020-01-01' + (doc_id % 700)::int) newest, count(*) n, date_diff('day', max(date '2020-01-01' + (doc_id % 700)::int), date '2022-01-01')::int age_days,
+case when date_diff('day', max(date '2020-01-01' + (doc_id % 700)::int), date '2022-01-01') > case lang when 'en' then 20 else 60 end then 'degraded' else 'ok' end status from documents group by 1, 2""")
+def house_freshness(t, _):
+    docs = t("documents").select(F.concat(F.lit("amc-"), "source").alias("amc_id"), F.col("lang").alias("doc_type"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")).alias("doc_date"))
+    return d.freshness(docs, "2022-01-01", {"en": 20})
+
+
+@query("+ a as (select distinct scheme_id from plan where active) select scheme_id, as_of_date, isin, instrument_name from holding join a using (scheme_id) where as_of_date >= date '1997-06-30'", "plan holding")
+def holdings_since(t, _):
+    rows = t("holding").select("scheme_id", "as_of_date", "isin", "instrument_name")
+    return d.history(rows, "as_of_date", "1997-06-30", t("plan").filter("active"))
+
+
+@query("""select 'North & House ' || k::varchar house, 'North & House ' || least(k - k % 3 + 2, m)::varchar canonical, 'amc-north-house-' || k::varchar id, 'amc-north-house-' || least(k - k % 3 + 2, m)::varchar canonical_id
+from (select distinct n_nationkey k, (select max(n_nationkey) from nation) m from nation)""")
+def house_identity(t, _):
+    name = lambda c: F.concat(F.lit("North & House "), c.cast("string"))
+    k = F.col("n_nationkey")
+    houses = t("nation").select(name(k).alias("house"), "n_nationkey")
+    renames = houses.join(t("nation").select((k - 1).alias("n_nationkey"), name(k).alias("now")), "n_nationkey").filter(k % 3 != 2)
+    return h.canonical_houses(houses.select("house"), renames.select("house", "now"))
+
+
+@query("""+ s as (select scheme_id, any_value(name) nm, 'amc-' || trim(regexp_replace(lower(any_value(sub_category)), '[^a-z0-9]+', '-', 'g'), '-') amc_id, bool_or(active) active from scheme join plan using (scheme_id) group by 1)
+select scheme_id, amc_id, case when length(scheme_id) % 2 = 0 then 'by hand' else nm end hint from s where length(scheme_id) % 2 = 0 or active""", "scheme plan")
+def scheme_registration(t, _):
+    active = t("plan").groupBy("scheme_id").agg(F.max("active").alias("active"))
+    schemes = t("scheme").join(active, "scheme_id").select("scheme_id", "name", F.concat(F.lit("amc-"), f.slug(F.col("sub_category"))).alias("amc_id"), "active")
+    hints = schemes.filter(F.length("scheme_id") % 2 == 0).select("scheme_id", "amc_id", F.lit("by hand").alias("hint"))
+    return h.registered(schemes, hints)

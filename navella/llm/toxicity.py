@@ -265,8 +265,11 @@ def tallied(counts: DataFrame, at: Column, bits: int, sums: list[Column]) -> np.
     """The sums by cell (at): an array of 2**bits rows, which is all that the driver gets."""
     found = counts.groupBy(at.cast("int").alias("at")).agg(*(c.cast("float").alias(f"s{k}") for k, c in enumerate(sums))).toArrow()
     out = np.zeros((1 << bits, len(sums)), np.float32)
+    at = found.column("at").to_numpy()
     for k in range(len(sums)):
-        out[found.column("at").to_numpy(), k] = found.column(f"s{k}").to_numpy()
+        out[at, k] = found.column(f"s{k}").to_numpy()
+    del found, at
+    pa.default_memory_pool().release_unused()
     return out
 
 
@@ -302,8 +305,11 @@ def models(counts: DataFrame) -> Iterator[Model]:
         left = [F.sum(F.greatest(x - F.lit(discount(*f)), F.lit(0.0))) for x, f in zip(n, few, strict=True)]
         cells = tallied(counts, F.shiftrightunsigned("run", 64 - CELLS), CELLS, left)
         before = tallied(counts, F.shiftrightunsigned("before", 64 - BEFORE), BEFORE, left + [F.sum(x) for x in n])
-        inverse, rest = rests(before[:, 3:], before[:, :3])
-        yield Model(cells, np.concatenate([inverse, rest], 1).astype(np.float32), short_model(ends, m), SHARES[0], np.zeros(2))
+        before[:, :3], before[:, 3:] = rests(before[:, 3:], before[:, :3])
+        made = Model(cells, before, short_model(ends, m), SHARES[0], np.zeros(2))
+        del cells, before
+        yield made
+        del made  # one model at a time
 
 
 def measured(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -345,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     coded = texts.join(one, "doc_id").select("text", (2 * F.col("y") + left_out().cast("int")).cast("int").alias("code"))
     made = models(stored(run_counts(coded), "run-counts"))
     sample, _ = labelled_sample(docs, labels, label, learn & left_out(), rows)
-    y, m = measured(sample, next(made))
+    y, m = measured(sample, next(made))  # held by nothing else, so it is gone before the next is made
     if not len(y) or y.min() == y.max():
         return constant(share)
     weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))

@@ -46,7 +46,7 @@ MISSED = 4.0
 SLICE = 512 << 10
 #: Runs that a task gathers before it counts them; different ones that it holds before it hands them on; and documents of a
 #: slice that it numbers at once.
-BATCH_RUNS = 2_000_000
+BATCH_RUNS = 1_000_000
 HELD_RUNS = 1_000_000
 SLICE_DOCS = 60_000
 #: Labels (two numbers each) that go to every executor at most; beyond it texts are shuffled to them.

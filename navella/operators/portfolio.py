@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 SNAPSHOT = ["scheme_id", "as_of_date"]
 #: Days between disclosures by kind.
@@ -157,41 +156,111 @@ def least_shared(a: Column, b: Column) -> Column:
     return m - (a + b - 2 * m + 1)
 
 
-def suspected_successions(changed: DataFrame) -> DataFrame:
-    """Exited and new holdings of one snapshot that may be one: by name (an isin change, which wins; Ratcliff-Obershelp ratio of
-    SIMILAR_NAMES at least) or by value (a merger). A name or value that isn't known is like none. Pairs whose lengths,
-    shared letters and values rule both out don't reach Python."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]+", " "))
-    sides = [changed.filter(F.col("action") == a).select(*SNAPSHOT, F.col("key").alias(f"{k}_key"), plain.alias(f"{k}_name"), pairs_of_letters(plain).alias(f"{k}_runs"), F.abs("value_change").alias(f"{k}_value")) for k, a in (("old", "EXITED"), ("new", "NEW"))]
-    keys = [*SNAPSHOT, "old_key", "new_key"]
-    a, b = F.length("old_name"), F.length("new_name")
-    alike = (a > 0) & (b > 0) & (2.0 * F.least(a, b) >= SIMILAR_NAMES * (a + b)) & (F.size(F.array_intersect("old_runs", "new_runs")) >= least_shared(a, b))
-    pairs = sides[0].join(sides[1], SNAPSHOT).select(*keys, "old_name", "new_name", alike.alias("alike"), merged(F.col("old_value"), F.col("new_value")).alias("near")).filter("alike or near")
-    # pairs are many where their sides are few, so they are dealt out anew
-    pairs = pairs.repartition(changed.sparkSession.sparkContext.defaultParallelism, "old_key", "new_key")
+def similar_names(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(old_name, new_name) of the names of two tables (old_name; new_name) that differ and have a Ratcliff-Obershelp ratio of
+    SIMILAR_NAMES at least. Names of a and b characters then match in m of them at least, which leaves a + b - 2 m others; of
+    one more runs that the old name is cut into, one stands in the new name as it is, at most as far off as characters may
+    be lost or added. So names meet by equality of such runs, whatever number of rows has them."""
+    a, b = F.col("a"), F.col("b")
+    olds = old.filter("old_name <> ''").distinct().withColumn("a", F.length("old_name"))
+    news = new.filter("new_name <> ''").distinct().withColumn("b", F.length("new_name"))
+    lengths = olds.select("a").distinct().crossJoin(F.broadcast(news.select("b").distinct())).filter(2.0 * F.least(a, b) >= SIMILAR_NAMES * (a + b))
+    lengths = F.broadcast(lengths.withColumn("m", F.ceil(F.lit(SIMILAR_NAMES / 2) * (a + b) - F.lit(1e-9)).cast("int")).withColumn("loose", a + b - 2 * F.col("m")))
+    begin = lambda i: F.floor(i * a / (F.col("loose") + 1)).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.col("loose")), lambda i: F.struct(i.alias("i"), (begin(i) + 1).alias("at"), (begin(i + 1) - begin(i)).alias("n")))
+
+    def runs_near(r: Column) -> Column:
+        places = F.filter(F.transform(F.sequence(F.col("m") - a, b - F.col("m")), lambda k: r["at"] + k), lambda x: (x >= 1) & (x + r["n"] - 1 <= b))
+        return F.transform(F.array_distinct(F.transform(places, lambda x: F.substr("new_name", x, r["n"]))), lambda t: F.struct(r["i"].alias("i"), t.alias("run")))
+
+    x = olds.join(lengths, "a").select("old_name", "a", "b", "loose", F.inline(F.transform(runs, lambda r: F.struct(r["i"].alias("i"), F.substr("old_name", r["at"], r["n"]).alias("run")))))
+    y = news.join(lengths, "b").select("new_name", "a", "b", F.inline(F.flatten(F.transform(runs, runs_near))))
+    close = F.call_function("levenshtein", F.col("old_name"), F.col("new_name"), F.col("loose")) >= 0
+    met = x.join(y, ["a", "b", "i", "run"]).filter((F.col("old_name") != F.col("new_name")) & close).select("old_name", "new_name").distinct()
+    shared = F.size(F.array_intersect(pairs_of_letters(F.col("old_name")), pairs_of_letters(F.col("new_name"))))
+    met = met.filter(shared >= least_shared(F.length("old_name"), F.length("new_name")))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
-        def suspicion(x: str, y: str, alike: bool, near: bool) -> str | None:
-            if alike:
-                m = SequenceMatcher(None, x, y)
-                if x == y or (m.quick_ratio() >= SIMILAR_NAMES and m.ratio() >= SIMILAR_NAMES):
-                    return "isin_change_suspected"
-            return "possible_corporate_action_merger" if near else None
-
         for pdf in batches:
-            pdf["suspicion"] = [suspicion(*row) for row in zip(pdf["old_name"], pdf["new_name"], pdf["alike"], pdf["near"], strict=True)]
-            yield pdf[pdf["suspicion"].notna()][[*keys, "suspicion"]]
+            matchers = (SequenceMatcher(None, x, y) for x, y in zip(pdf["old_name"], pdf["new_name"], strict=True))
+            yield pdf[[m.quick_ratio() >= SIMILAR_NAMES and m.ratio() >= SIMILAR_NAMES for m in matchers]]
+
+    return met.mapInPandas(judge, met.schema)
+
+
+def succession_sides(changed: DataFrame) -> DataFrame:
+    """The exited and new holdings with the name and value that they are compared by; not known is like none."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]+", " "))
+    return changed.filter(F.col("action").isin("EXITED", "NEW")).select(*SNAPSHOT, "key", "action", plain.alias("name"), F.abs("value_change").alias("value"))
 
-    return pairs.mapInPandas(judge, StructType([*(pairs.schema[c] for c in keys), *StructType.fromDDL("suspicion string").fields]))
+
+def of_action(sides: DataFrame, action: str, k: str) -> DataFrame:
+    return sides.filter(F.col("action") == action).select(*SNAPSHOT, *(F.col(c).alias(f"{k}_{c}") for c in ("key", "name", "value")))
+
+
+def pairs_by_similar_name(sides: DataFrame) -> DataFrame:
+    """Exited and new holdings of one snapshot whose names are similar, not equal."""
+    old, new = of_action(sides, "EXITED", "old"), of_action(sides, "NEW", "new")
+    links = similar_names(old.select("old_name"), new.select("new_name"))
+    return old.join(links, "old_name").join(new, [*SNAPSHOT, "new_name"])
+
+
+def suspected_successions(changed: DataFrame) -> DataFrame:
+    """Exited and new holdings of one snapshot that may be one: by name (an isin change, which wins; Ratcliff-Obershelp ratio of
+    SIMILAR_NAMES at least) or by value (a merger). A name or value that isn't known is like none. These are pairs: where
+    many values are near each other, they are many; with_successions needs none of them."""
+    sides = succession_sides(changed)
+    keys = [*SNAPSHOT, "old_key", "new_key"]
+    old, new = of_action(sides, "EXITED", "old"), of_action(sides, "NEW", "new")
+    same = old.filter("old_name <> ''").join(new.withColumn("old_name", F.col("new_name")), [*SNAPSHOT, "old_name"])
+    named = same.select(*keys).unionByName(pairs_by_similar_name(sides).select(*keys))
+    step = lambda v: F.floor(F.ln(v) / F.ln(F.lit(1.3)))  # noqa: E731  values near each other are one step apart at most
+    around = F.explode(F.sequence(step(F.col("new_value")) - 1, step(F.col("new_value")) + 1)).alias("step")
+    valued = old.filter("old_value > 0").withColumn("step", step(F.col("old_value"))).join(new.filter("new_value > 0").select("*", around), [*SNAPSHOT, "step"])
+    valued = valued.filter(merged(F.col("old_value"), F.col("new_value"))).select(*keys).join(named, keys, "left_anti")
+    return named.withColumn("suspicion", F.lit("isin_change_suspected")).unionByName(valued.withColumn("suspicion", F.lit("possible_corporate_action_merger")))
+
+
+def near_values(value: Column, is_near) -> tuple[Column, Column]:
+    """The least and greatest number that is_near says of; it is one stretch of numbers, whose ends are looked for among the
+    numbers next to four guesses."""
+    guesses = F.array(value * 0.8, value * 1.2, value / 1.2, value / 0.8)
+    beside = lambda g: F.transform(F.sequence(F.lit(-8), F.lit(8)), lambda k: g + k * (g * F.lit(2.0**-53)))
+    hits = F.filter(F.flatten(F.transform(guesses, beside)), is_near)
+    return F.array_min(hits), F.array_max(hits)
+
+
+def counted_successions(sides: DataFrame) -> DataFrame:
+    """For each side of a snapshot the suspicions (more) that it is in a pair of suspected_successions with, without the pairs:
+    partners of near values are counted by running sums in the order of values, at the least and the greatest near value;
+    of them those of an equal name, and of a similar one, are no mergers. Only similar names, not equal ones, make pairs."""
+    value, exited = F.col("value"), F.col("action") == "EXITED"
+    (low_n, high_n), (low_o, high_o) = near_values(value, lambda x: merged(value, x)), near_values(value, lambda x: merged(x, value))
+    stops = F.array(*(F.struct(at.alias("at"), F.lit(k).alias("k")) for at, k in ((F.when(exited, low_n).otherwise(low_o), -1), (value, 0), (F.when(exited, high_n).otherwise(high_o), 1))))
+    rows = sides.select("*", F.inline(stops)).filter("at is not null or k = 0")
+    alike = [*SNAPSHOT, "name"]
+    counts = {}
+    for c, by in (("near", SNAPSHOT), ("near_alike", alike)):
+        line = Window.partitionBy(*by).orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
+        partners = F.when(exited, F.sum(((F.col("k") == 0) & ~exited).cast("long")).over(line)).otherwise(F.sum(((F.col("k") == 0) & exited).cast("long")).over(line))
+        counts[c] = F.col("k") * partners
+    both = F.max(exited).over(Window.partitionBy(*alike)) & F.max(~exited).over(Window.partitionBy(*alike)) & (F.col("name") != "")
+    rows = rows.withColumns({**counts, "alike": both})
+    rows = rows.groupBy(*SNAPSHOT, "key", "action").agg(F.sum("near").alias("near"), F.sum(F.when(F.col("name") != "", F.col("near_alike")).otherwise(0)).alias("near_alike"), F.max("alike").alias("alike"))
+    pairs = pairs_by_similar_name(sides).select(*SNAPSHOT, "old_key", "new_key", merged(F.col("old_value"), F.col("new_value")).cast("long").alias("both_near"))
+    ends = F.inline(F.array(*(F.struct(F.col(f"{k}_key").alias("key"), F.lit(a).alias("action")) for k, a in (("old", "EXITED"), ("new", "NEW")))))
+    more = pairs.select(*SNAPSHOT, "both_near", ends).groupBy(*SNAPSHOT, "key", "action").agg(F.sum("both_near").alias("near_similar"))
+    rows = rows.join(more, [*SNAPSHOT, "key", "action"], "left")
+    renamed = F.when(F.col("alike") | F.col("near_similar").isNotNull(), "isin_change_suspected")
+    moved = F.when(F.col("near") > F.col("near_alike") + F.coalesce("near_similar", F.lit(0)), "possible_corporate_action_merger")
+    return rows.select(*SNAPSHOT, "key", "action", F.array_compact(F.array(renamed, moved)).alias("more"))
 
 
 def with_successions(changed: DataFrame) -> DataFrame:
     """changes with the flags of suspected successions on both rows of each, whose confidence is then low."""
-    pairs = suspected_successions(changed)
-    ends = F.explode(F.array(*(F.struct(F.col(f"{k}_key").alias("key"), F.lit(a).alias("action")) for k, a in (("old", "EXITED"), ("new", "NEW")))))
-    found = pairs.select(*SNAPSHOT, "suspicion", ends.alias("e")).select(*SNAPSHOT, "suspicion", "e.*").groupBy(*SNAPSHOT, "key", "action").agg(F.array_sort(F.collect_set("suspicion")).alias("more"))
+    found = counted_successions(succession_sides(changed))
     rows = changed.join(found, [*SNAPSHOT, "key", "action"], "left").withColumn("flags", F.concat("flags", F.coalesce("more", F.array().cast("array<string>"))))
     return rows.withColumn("confidence", F.when(F.size("flags") > 0, "low").otherwise("high")).select(*changed.columns)
 

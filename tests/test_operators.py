@@ -220,3 +220,25 @@ def test_former_names_and_no_match(spark):
     asked = spark.createDataFrame([("a", "SBI Bluechip Fund"), ("b", "inf2"), ("c", "midcap acme"), ("d", "acme house"), ("e", "nothing here"), ("f", "sbi large cap fund"), ("g", "")], "query_id string, text string")
     got = {r["query_id"]: (r["scheme_id"], r["confidence"], r["via"]) for r in u.resolve_funds(asked, plans).collect()}
     assert got == {"a": ("s1", 0.6, "former_name"), "b": ("s2", 1.0, "literal"), "c": ("s2", 0.6, "word_match"), "d": ("s2", 0.5, "literal"), "e": (None, None, "no_match"), "f": ("s1", 0.95, "literal"), "g": (None, None, "no_match")}
+
+
+def test_successions_are_counted_as_their_pairs_are(spark):
+    from difflib import SequenceMatcher
+    from random import Random
+
+    rnd = Random(7)
+    stems = ["first bank limited", "first bank ltd", "first bnk limited", "quartz mining", "quartz minings co", "delta foods", "", "x", "7 10 2031 govt stock", "7 11 2031 govt stock"]
+    value = lambda: rnd.choice([0.0, None, 100.0, 80.0, 120.0, 125.0, 83.33333333333333, 99.99999999999999, rnd.uniform(60, 200), 0.3, 0.36])
+    rows = [(day, f"{day[-2:]}{i}", rnd.choice(stems), 1.0, value(), 0.1) for day in ("2024-01-31", "2024-02-29") for i in range(40)]
+    changed = p.changes(held(spark, *rows))
+    sides = {a: [r for r in changed.collect() if r["action"] == a] for a in ("EXITED", "NEW")}
+    expected = {r["key"]: set() for s in sides.values() for r in s}
+    for o in sides["EXITED"]:
+        for n in sides["NEW"]:
+            x, y, v, w = o["name"], n["name"], abs(o["value_change"] or 0.0), abs(n["value_change"] or 0.0)
+            alike = bool(x and y) and SequenceMatcher(None, x, y).ratio() >= p.SIMILAR_NAMES
+            if alike or (v > 0 and abs(w / v - 1) < 0.2):
+                for r in (o, n):
+                    expected[r["key"]].add("isin_change_suspected" if alike else "possible_corporate_action_merger")
+    assert {len(x) for x in expected.values()} == {0, 1, 2}
+    assert {r["key"]: set(r["more"]) for r in p.counted_successions(p.succession_sides(changed)).collect()} == expected

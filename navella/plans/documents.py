@@ -139,7 +139,7 @@ def combined_segments(t, _):
 
 
 def _attributed(t):
-    rows = t("combined_scheme")
+    rows = inputs.with_figures(t("combined_scheme"))
     return factsheets.attributed(inputs.combined_pages(rows), rows.select("scheme_id", "name"))
 
 

@@ -210,3 +210,11 @@ def test_expense_ratios(spark):
         got[r["doc_id"]][r["plan_type"], r["ratio_type"]] = r["pct"]
     for i, (text, _, want) in enumerate(COSTS):
         assert got[i] == want, text
+
+
+def test_a_hundred_basis_points_are_one_percent(spark):
+    from navella.plans import inputs
+
+    rows = spark.createDataFrame([(31, "Regular Plan: 1.31%\nDirect Plan: 0.31%"), (101, "Regular Plan: 1.101%\nDirect Plan: 0.101%")], "direct_bps int, own string")
+    got = [r["own"] for r in inputs.with_figures(rows).orderBy("direct_bps").collect()]
+    assert got == ["Regular Plan: 1.31%\nDirect Plan: 0.31%", "Regular Plan: 2.01%\nDirect Plan: 1.01%"]

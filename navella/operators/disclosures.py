@@ -134,19 +134,22 @@ def words(name: Column) -> Column:
 
 def resolve(queries: DataFrame, schemes: DataFrame, limit: int) -> DataFrame:
     """The schemes (scheme_id, name) that hold all words of each query (query_id, text); ranked by confidence, then by how many
-    further words the name has. An inverted index is asked for each query's rarest word alone, so a word that most names have
-    is only looked up for queries of nothing rarer; the other words are checked on what it finds."""
-    asked = queries.select("query_id", "text", words(F.col("text")).alias("q"))
-    index = schemes.select("scheme_id", "name", words(F.col("name")).alias("w")).select("scheme_id", "name", "w", F.explode("w").alias("word"))
-    known = index.groupBy("word").agg(F.count("*").alias("n"))
-    each = asked.select("query_id", "text", "q", F.explode("q").alias("word")).join(known, "word", "left")
-    rarest = each.groupBy("query_id", "text", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rarest")).filter("rarest.n > 0")
-    rows = rarest.select("query_id", "text", "q", "rarest.word").join(index, "word").filter(F.size(F.array_except("q", "w")) == 0)
+    further words the name has. An inverted index is asked for each text's rarest word alone, so a word that most names have
+    is only looked up for texts of nothing rarer; the other words are checked on what it finds. Equal texts are resolved
+    once, and each of their queries gets what was found."""
+    asked = queries.select("text").distinct().withColumn("q", words(F.col("text")))
+    named = schemes.select("scheme_id", "name", words(F.col("name")).alias("w"))
+    known = named.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = asked.select("text", "q", F.explode("q").alias("word")).join(known, "word", "left")
+    rarest = each.groupBy("text", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rarest")).filter("rarest.n > 0")
+    index = named.select("scheme_id", "name", "w", F.explode("w").alias("word"))
+    rows = rarest.select("text", "q", "rarest.word").join(index, "word").filter(F.size(F.array_except("q", "w")) == 0)
     low, ask = F.lower("name"), F.lower("text")
     confidence = F.when(low == ask, 0.95).when(low.contains(ask), 0.7).otherwise(0.6)
-    rows = rows.withColumns({"confidence": confidence, "extra": F.size(F.array_except("w", "q"))})
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "extra", "scheme_id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "scheme_id", "name", "confidence", "extra", "rank")
+    rows = rows.select("text", "scheme_id", "name", confidence.alias("confidence"), F.size(F.array_except("w", "q")).alias("extra"))
+    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("confidence"), "extra", "scheme_id"))
+    best = rows.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return queries.select("query_id", "text").distinct().join(best, "text").select("query_id", "scheme_id", "name", "confidence", "extra", "rank")
 
 
 #: Characters of the longest runs by which texts are looked for within others.

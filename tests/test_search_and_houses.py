@@ -142,3 +142,15 @@ def test_page_search_by_a_text_and_without_terms(spark):
     assert pick("RISK, fund's", 1000) == [(1, 3), (2, 2)]
     assert pick("", 1000) == [(1, 0), (2, 0), (3, 0)]
     assert pick(["risk"], 1000, ["risk factors"]) == [(1, 2)] and pick(["risk"], 1000, ["unknown"]) == []
+
+
+def test_equal_texts_are_resolved_once(spark):
+    from navella.operators import disclosures as d
+
+    schemes = spark.createDataFrame([(f"s{i}", f"Blue Chip {i}") for i in range(12)], "scheme_id string, name string")
+    asked = spark.createDataFrame([(f"q{i}", "chip blue") for i in range(3)] + [("one", "Blue chip 7"), ("none", None)], "query_id string, text string")
+    found = d.resolve(asked, schemes, 2)
+    got = sorted((r["query_id"], r["scheme_id"], r["confidence"], r["rank"]) for r in found.collect())
+    assert got == [("one", "s7", 0.95, 1)] + [(f"q{i}", s, 0.6, k) for i in range(3) for k, s in ((1, "s0"), (2, "s1"))]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(text#" in plan and "windowspecdefinition(query_id#" not in plan

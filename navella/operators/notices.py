@@ -1,11 +1,15 @@
 """What notices to investors announce.
 
-Each notice is read in one pass: every rule's matches are laid out as an array in its row, with their places, dates and
-excerpts; duplicates and the fallbacks are settled within the array, and one explode gives the events.
+Each notice is read in one pass: every rule is matched once, and only where the words stand that all its matches have; its
+matches are laid out as an array in the row, with their places, dates and excerpts; duplicates and the fallbacks are settled
+within the array, and one explode gives the events.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,16 +53,28 @@ SUBJECTS = (
 GENERAL = near(r"fund\s+managers?", "changes?|changed|replacement|replaced", 40)
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Every match of a pattern as (hit, value, place): its text, its first group, and where it begins."""
-    hits, values = (F.regexp_extract_all(text, F.lit(pattern), k) for k in (0, 1))
+#: Words of which each match of a rule has one of every row, in lower case (those of PEOPLE, SUBJECTS and GENERAL in their
+#: order): a rule is tried only on texts that have them.
+PEOPLE_WORDS = ((("appointed",), ("manager",)), (("appoint",), ("manager",)), (("ceas", "resign", "step", "relinquish"), ("manag",)), (("resignation", "cessation"), ("manager",)))
+SUBJECT_WORDS = ((("benchmark",),), (("expense", "ter"),), (("categori", "merge", "change"),), (("objective", "allocation", "strategy"),), (("subscription", "purchase", "redemption"),))
+GENERAL_WORDS = (("manager",),)
+
+
+def has_words(low: Column, words: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a lower-cased text has one word of every row. Short ones must stand alone."""
+    has = lambda w: low.rlike(rf"\b{w}\b") if len(w) < 4 else low.contains(w)
+    return reduce(and_, (reduce(or_, map(has, row)) for row in words))
+
+
+def located(text: Column, hits: Column) -> Column:
+    """Each hit, in the order of the text, as (hit, place): where it begins."""
     begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("places"))
 
     def fold(a: Column, hit: Column) -> Column:
         place = F.position(hit, text, a["at"])
         return F.struct((place + F.length(hit)).alias("at"), F.array_append(a["places"], place).alias("places"))
 
-    return F.arrays_zip(hits.alias("hit"), values.alias("value"), F.aggregate(hits, begin, fold, lambda a: a["places"]).alias("place"))
+    return F.arrays_zip(hits.alias("hit"), F.aggregate(hits, begin, fold, lambda a: a["places"]).alias("place"))
 
 
 def people(names: Column) -> Column:
@@ -89,7 +105,7 @@ def notice_signals(notices: DataFrame) -> DataFrame:
     counts; a change of managers without either is one of sub_type change. A halt's after tells its type. A date counts
     only behind w.e.f. and the like, near the match; else the document's is taken. Same events of a document on the same
     day count once. A notice without any gives a plain addendum."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.col("text")
     none = F.lit(None).cast("string")
 
     def event(kind, sub_type, before: Column, after: Column, m: Column, reach: int, window: int) -> Column:
@@ -103,9 +119,10 @@ def notice_signals(notices: DataFrame) -> DataFrame:
     def of_people(sub_type: str, pattern: str) -> Column:
         def each(m: Column) -> Column:
             pick = lambda p: event("manager_change", sub_type, none if sub_type == "appointment" else p, p if sub_type == "appointment" else none, m, 200, 200)
-            return F.transform(people(m["value"]), pick)
+            # a hit by itself is matched as it was in its text
+            return F.transform(people(F.regexp_extract(m["hit"], pattern, 1)), pick)
 
-        return F.flatten(F.transform(found(text, pattern), each))
+        return F.flatten(F.transform(located(text, F.col(f"people{PEOPLE.index((sub_type, pattern))}")), each))
 
     def of_subject(kind: str, pattern: str, reach: int, window: int) -> Column:
         def each(m: Column) -> Column:
@@ -122,12 +139,15 @@ def notice_signals(notices: DataFrame) -> DataFrame:
                 after = F.when(F.lower(m["hit"]).contains("subscription"), "subscription_suspension").otherwise("redemption_suspension")
             return event(kind, None, before, after, m, reach, window)
 
-        return F.transform(F.slice(found(text, pattern), 1, 1), each)
+        return F.transform(located(text, F.col(kind)), each)
 
+    low, none_hit = F.col("low"), F.array().cast("array<string>")
+    every = {f"people{k}": F.when(has_words(low, w), F.regexp_extract_all(text, F.lit(p), 0)).otherwise(none_hit) for k, ((_, p), w) in enumerate(zip(PEOPLE, PEOPLE_WORDS, strict=True))}
+    rules = [(*(r[:2]), w) for r, w in zip(SUBJECTS, SUBJECT_WORDS, strict=True)] + [("any_change", GENERAL, GENERAL_WORDS)]
+    first = {k: F.filter(F.array(F.when(has_words(low, w), F.regexp_extract(text, p, 0))), lambda h: h != "") for k, p, w in rules}
     named = F.concat(*(of_people(*rule) for rule in PEOPLE))
-    general = F.transform(F.slice(found(text, GENERAL), 1, 1), lambda m: event("manager_change", "change", none, none, m, 200, 200))
-    rows = notices.select("doc_id", "doc_date", text.alias("text"))
-    text = F.col("text")
+    general = F.transform(located(text, F.col("any_change")), lambda m: event("manager_change", "change", none, none, m, 200, 200))
+    rows = notices.select("doc_id", "doc_date", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text")).withColumns({**every, **first})
     rows = rows.withColumns({"named": named, "others": F.concat(*(of_subject(*rule) for rule in SUBJECTS)), "general": general})
     plain = F.array(F.struct(F.lit("addendum").alias("event"), none.alias("sub_type"), none.alias("before"), none.alias("after"), F.col("doc_date").alias("effective_date"), F.trim(F.translate(F.substring("text", 1, 300), "\n", " ")).alias("excerpt")))
     events = F.concat(F.when(F.size("named") > 0, F.col("named")).otherwise(F.col("general")), F.col("others"))

@@ -218,3 +218,13 @@ def test_a_hundred_basis_points_are_one_percent(spark):
     rows = spark.createDataFrame([(31, "Regular Plan: 1.31%\nDirect Plan: 0.31%"), (101, "Regular Plan: 1.101%\nDirect Plan: 0.101%")], "direct_bps int, own string")
     got = [r["own"] for r in inputs.with_figures(rows).orderBy("direct_bps").collect()]
     assert got == ["Regular Plan: 1.31%\nDirect Plan: 0.31%", "Regular Plan: 2.01%\nDirect Plan: 1.01%"]
+
+
+def test_a_rule_is_matched_once_and_only_where_its_words_stand(spark):
+    rows = [(1, DAY, "NOTICE: TER REVISED from 1.5% to 1.2%. "), (2, DAY, "After a change the waters rose."), (3, DAY, "Resignation of Ms. Ada Wood as Fund Manager.")]
+    found = notices.notice_signals(spark.createDataFrame(rows, "doc_id int, doc_date date, text string"))
+    got = sorted((r["doc_id"], r["event"], r["before"]) for r in found.collect())
+    assert got == [(1, "ter_change", "1.5%"), (2, "addendum", None), (3, "manager_change", "Ada Wood")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    for _, pattern in notices.PEOPLE:
+        assert plan.count(f", {pattern}, 0)") == 1

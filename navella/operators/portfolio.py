@@ -268,9 +268,11 @@ def with_successions(changed: DataFrame) -> DataFrame:
 def persistence(holdings: DataFrame) -> DataFrame:
     """For each holding of a scheme: snapshots held, mean weight, first and last date, and how many snapshots in a row up to
     the newest."""
-    key = holding_key()
-    back = F.dense_rank().over(Window.partitionBy("scheme_id").orderBy(F.desc("as_of_date")))
-    rows = holdings.withColumn("key", key).withColumn("back", back).groupBy("scheme_id", "key", "as_of_date", "back").agg(F.sum("pct_nav").alias("pct"))
+    back = F.row_number().over(Window.partitionBy("scheme_id").orderBy(F.desc("as_of_date")))
+    days = holdings.select(*SNAPSHOT).distinct().withColumn("back", back).withColumnsRenamed({"scheme_id": "of", "as_of_date": "day"})
+    rows = holdings.groupBy(*SNAPSHOT, holding_key().alias("key")).agg(F.sum("pct_nav").alias("pct"))
+    # snapshots are few, so they are numbered by themselves, not among all holdings of a scheme
+    rows = rows.join(F.broadcast(days), F.col("scheme_id").eqNullSafe(F.col("of")) & F.col("as_of_date").eqNullSafe(F.col("day")))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("scheme_id", "key").orderBy("back")))
     streak = F.sum((F.col("back") == F.col("n")).cast("long"))
     return rows.groupBy("scheme_id", "key").agg(F.count("*").alias("held"), F.avg("pct").alias("mean_pct"), F.min("as_of_date").alias("first_seen"), F.max("as_of_date").alias("last_seen"), streak.alias("streak"))
@@ -279,8 +281,8 @@ def persistence(holdings: DataFrame) -> DataFrame:
 def recent_persistence(holdings: DataFrame, months: int) -> DataFrame:
     """persistence over the snapshots of the last so many months of 31 days before each scheme's newest one, with the
     holding's newest name and its place by streak, snapshots held and key."""
-    rows = holdings.withColumn("newest", F.max("as_of_date").over(Window.partitionBy("scheme_id")))
-    rows = rows.filter(F.col("as_of_date") >= F.date_sub("newest", months * 31))
+    newest = holdings.groupBy(F.col("scheme_id").alias("of")).agg(F.max("as_of_date").alias("newest"))
+    rows = holdings.join(newest, F.col("scheme_id").eqNullSafe(F.col("of"))).filter(F.col("as_of_date") >= F.date_sub("newest", months * 31)).drop("of", "newest")
     names = rows.groupBy("scheme_id", holding_key().alias("key")).agg(F.max_by("instrument_name", F.struct("as_of_date", "instrument_name")).alias("name"))
     order = Window.partitionBy("scheme_id").orderBy(F.desc("streak"), F.desc("held"), "key")
     return persistence(rows).join(names, ["scheme_id", "key"]).withColumn("place", F.row_number().over(order))

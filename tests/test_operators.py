@@ -242,3 +242,10 @@ def test_successions_are_counted_as_their_pairs_are(spark):
                     expected[r["key"]].add("isin_change_suspected" if alike else "possible_corporate_action_merger")
     assert {len(x) for x in expected.values()} == {0, 1, 2}
     assert {r["key"]: set(r["more"]) for r in p.counted_successions(p.succession_sides(changed)).collect()} == expected
+
+
+def test_snapshots_are_numbered_without_their_holdings(spark):
+    rows = [("2024-01-31", "A", "a", 1.0, 1.0, 0.1), ("2024-02-29", "B", "b", 1.0, 1.0, 0.1), ("2024-02-29", "A", "a", 1.0, 1.0, 0.1), ("2024-03-31", "A", "a", 1.0, 1.0, 0.1)]
+    found = p.persistence(held(spark, *rows))
+    assert {r["key"]: (r["held"], r["streak"]) for r in found.collect()} == {"A": (3, 3), "B": (1, 0)}
+    assert "dense_rank" not in found._jdf.queryExecution().optimizedPlan().toString()

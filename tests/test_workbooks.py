@@ -53,3 +53,14 @@ def test_rows_of_sheets_are_read_once(spark):
     cells = spark.createDataFrame([("s", 0, HEAD)], "sheet_id string, row_no int, cells array<string>")
     for found in (grids.reconciliation(grids.grid_rows(cells)), grids.reconciled(grids.grid_rows(cells)), grids.loaded_and_rejected(cells)):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_facts_sort_rows_without_their_cells(spark):
+    from navella.sources import grids
+
+    rows = [("a", k, ["x" * 5, f"row {k}", None]) for k in range(1, 14)] + [("a", 14, ["Portfolio as on 31-03-2024"]), ("b", 1, ["Portfolio AS OF 31-03-2024"]), ("b", 2, ["(Broad 100 TRI)"]), ("c", 1, ["nothing"])]
+    found = grids.facts(spark.createDataFrame(rows, "sheet_id string, row_no int, cells array<string>"))
+    got = {r["sheet_id"]: (str(r["as_of_date"]), r["benchmark_name"]) for r in found.collect()}
+    assert got == {"a": ("None", None), "b": ("2024-03-31", "Broad 100 TRI"), "c": ("None", None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("cells" not in line for line in plan.splitlines() if "Window" in line) and "telling" in plan

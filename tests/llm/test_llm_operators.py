@@ -1,5 +1,6 @@
 """Every operator against a plain version, on odd cases: nulls, empty and long texts, repeated rows, clashing columns."""
 
+import pickle
 import random
 import re
 import zlib
@@ -547,6 +548,18 @@ def test_kneser_ney_is_the_plain_one(spark):
             assert np.allclose(model.measures(raw, np.array([0, len(raw)]), (0.4,)), [[most]], atol=1e-4)
 
 
+def test_the_driver_packs_no_table_and_tasks_hold_half_precision(spark):
+    rows = [(f"a {'grumbling' if k % 3 == 0 else 'friendly'} stone of the storm {k % 5}", 2 * (k % 3 == 0) + (k % 5 == 0)) for k in range(40)]
+    *_, model = toxicity.models(toxicity.run_counts(spark.createDataFrame(rows, "text string, code int")))
+    assert model.left.rows is None and model.before.rows is None
+    sent = pickle.loads(pickle.dumps(model))
+    raw = np.frombuffer(rows[0][0].encode(), np.uint8)
+    got, want = (m.measures(raw, np.array([0, len(raw)]), (0.4,)) for m in (sent, model))
+    assert np.allclose(got, want, atol=0.05) and want[0, 0] > 1
+    assert len(sent.left) == 1 << toxicity.CELLS and sent.left.rows.nbytes == 6 * len(sent.left) and sent.left.parts is None
+    assert sent.before.rows.nbytes == 12 * len(sent.before) == 12 << toxicity.BEFORE
+
+
 def test_measures_of_several_documents_and_none():
     model = toxicity.constant(0.25)
     raw = np.frombuffer(b"a bc d", np.uint8)

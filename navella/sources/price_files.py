@@ -157,10 +157,11 @@ def key_id(prefix: str, *parts: Column) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Both tables with one row a key, the new table's where both have it; of several new rows the greatest."""
+    """Both tables with one row a key, the new table's where both have it; of several new rows the greatest. Most keys have
+    one row, so rows are shuffled as they are and sorted once, not before the shuffle too."""
     rest = [c for c in old.columns if c not in keys]
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_new", F.lit(1)))
-    best = rows.groupBy(*keys).agg(F.max(F.struct("_new", *rest)).alias("best"))
+    best = rows.repartition(*keys).groupBy(*keys).agg(F.max(F.struct("_new", *rest)).alias("best"))
     return best.select(*keys, *(f"best.{c}" for c in rest)).select(*old.columns)
 
 

@@ -87,9 +87,10 @@ def cadence_gaps(snapshots: DataFrame) -> DataFrame:
 def clean_ratio(old: Column, new: Column) -> Column:
     """Whether new / old is close to n / d with d up to 8, n + d up to 12, and not 1: a split or bonus."""
     r = F.try_divide(new, old)
-    near = lambda d: F.struct(F.abs(r - F.rint(r * d) / d).alias("off"), d.alias("d"), F.rint(r * d).alias("n"))
-    best = F.array_min(F.transform(F.sequence(F.lit(1), F.lit(8)), near))
-    return F.coalesce((r > 0) & (F.abs(r - 1) >= 1e-6) & (best["off"] < 0.005) & (best["n"] + best["d"] <= 12), F.lit(False))
+    off = {d: F.abs(r - F.rint(r * d) / d) for d in range(1, 9)}
+    least = F.least(*off.values())
+    total = F.coalesce(*(F.when(x == least, F.rint(r * d) + d) for d, x in off.items()))  # of the least d that is as close
+    return F.coalesce((r > 0) & (F.abs(r - 1) >= 1e-6) & (least < 0.005) & (total <= 12), F.lit(False))
 
 
 VALUES = ("instrument_name", "quantity", "pct_nav", "market_value")
@@ -107,7 +108,8 @@ def changes(holdings: DataFrame) -> DataFrame:
     days = snapshots(holdings).withColumn("nth", F.row_number().over(Window.partitionBy("scheme_id").orderBy("as_of_date")))
     days = days.withColumn("next_day", F.lead("as_of_date").over(Window.partitionBy("scheme_id").orderBy("as_of_date"))).drop("previous")
     least = F.min(F.struct("pct_nav", "instrument_name", "quantity", "market_value"))
-    rows = holdings.withColumn("key", holding_key()).groupBy(*SNAPSHOT, "key").agg(least.alias("h")).join(days, SNAPSHOT)
+    # one shuffle serves both the rows of a snapshot and the line of a holding; snapshots are few
+    rows = holdings.withColumn("key", holding_key()).repartition("scheme_id", "key").groupBy(*SNAPSHOT, "key").agg(least.alias("h")).join(F.broadcast(days), SNAPSHOT)
     line = Window.partitionBy("scheme_id", "key").orderBy("nth")
     known = F.struct("nth", *(F.col(f"h.{c}").alias(c) for c in VALUES))
     rows = rows.withColumns({"known": known, "before": F.lag(known).over(line), "after": F.lead("nth").over(line)})
@@ -115,7 +117,7 @@ def changes(holdings: DataFrame) -> DataFrame:
     here = F.struct(F.col("as_of_date").alias("day"), F.when(F.col("before.nth") == F.col("nth") - 1, F.col("before")).alias("old"), F.col("known").alias("new"))
     gone = F.struct(F.col("next_day").alias("day"), F.col("known").alias("old"), none.alias("new"))
     left = F.col("next_day").isNotNull() & (F.coalesce("after", F.lit(0)) != F.col("nth") + 1)
-    both = rows.select("scheme_id", "key", F.explode(F.array_compact(F.array(F.when(F.col("nth") > 1, here), F.when(left, gone)))).alias("c")).select("scheme_id", "key", "c.*")
+    both = rows.select("scheme_id", "key", F.explode(F.array(F.when(F.col("nth") > 1, here), F.when(left, gone))).alias("c")).filter("c is not null").select("scheme_id", "key", "c.*")
     old, new = (lambda c: F.col(f"old.{c}")), (lambda c: F.col(f"new.{c}"))
     q, p = new("quantity") - old("quantity"), new("pct_nav") - old("pct_nav")
     flat = F.abs(q) < 1e-6 * F.greatest(F.abs(F.when(old("quantity") != 0, old("quantity")).otherwise(F.lit(1.0))), F.lit(1.0))

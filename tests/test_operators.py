@@ -4,6 +4,7 @@ import math
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from navella.operators import disclosures as d
 from navella.operators import nav as n
@@ -163,6 +164,31 @@ def test_price_text(spark):
     assert [(r["code"], r["isin"], r["isin_reinvest"], r["nav"], str(r["date"]), r["house"], r["category"], r["sub_category"]) for r in got] == [("1", "INF1", None, 12.5, "2024-02-01", "North House", "Equity Scheme", "Mid Cap"), ("2", None, "INF2", None, "2024-02-02", "North House", "Equity Scheme", "Mid Cap")]
 
 
+def test_clean_ratios_are_the_nearest_of_small_fractions(spark):
+    rows = [(100.0, 100 * x) for x in (2.0, 1.5, 0.2, 0.126, 1.0, 1.0000001, 7 / 5, 8 / 7, 11.0, 12.0, 1.334, 0.0, -2.0, 1.21, float("nan"), float("inf"))] + [(0.0, 5.0), (None, 5.0), (5.0, None)]
+
+    def plain(old, new):
+        if not old or new is None or not 0 < (r := new / old) < float("inf") or abs(r - 1) < 1e-6:
+            return False
+        off, d, n = min((abs(r - round(r * d) / d), d, round(r * d)) for d in range(1, 9))
+        return off < 0.005 and n + d <= 12
+
+    df = spark.createDataFrame(rows, "old double, new double").withColumn("is", p.clean_ratio(F.col("old"), F.col("new")))
+    assert [r["is"] for r in df.collect()] == [plain(*r) for r in rows]
+    assert "transform" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_changes_and_upserts_shuffle_rows_once_before_they_sort(spark):
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    rows = spark.createDataFrame([(1, "a", 1.0)], "k long, v string, x double")
+    plan = f.upsert(rows, rows, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange") > plan.rindex("SortAggregate")
+    # one of the holdings, two of the snapshots
+    assert shuffles(p.changes(held(spark, ("2026-06-30", "A", "A", 1.0, 1.0, 0.1)))) == 3
+
+
 def test_upkeep(spark):
     rows = lambda *r: spark.createDataFrame(r, "k long, v string")
     got = {tuple(r) for r in f.upsert(rows((1, "a"), (2, "b")), rows((2, "c"), (3, "d")), ["k"]).collect()}

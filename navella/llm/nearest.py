@@ -4,8 +4,9 @@ The upper tree is fitted in numpy on a bounded sample; where the corpus gives it
 Spark fits a subtree for each of them on vectors of its own, so that leaves grow in number, not in size, up to MOST_LEAVES
 of them. Spark puts every vector into its leaf. A query walks the tree best bin first, through a priority queue, and
 visits as many leaves as a calibration asks for: a bounded sample of queries is searched exactly over all vectors, and
-visits are widened until the wanted share of those neighbours is reached. Leaves are dealt in blocks of vectors and blocks of
-queries, so no group grows with the corpus.
+visits are widened until the wanted share of those neighbours is reached. Runs of neighbouring leaves meet blocks of queries, each
+query with the leaves of the run that its walk comes to, so a query is sent and answered once a run and no group grows with
+the corpus.
 """
 
 from __future__ import annotations
@@ -34,8 +35,11 @@ ROUNDS = 8
 #: Queries that the number of visits is calibrated on at most, and the recall wanted of them.
 CALIBRATION_QUERIES = 200
 RECALL = 0.95
-#: Vectors, and queries, in a block.
-BLOCK = 4096
+#: Vectors in a run of leaves, or in a part of a larger leaf, and queries in a block, at most about.
+BLOCK = 32768
+QUERY_BLOCK = 8192
+#: Tasks that runs and blocks are compared in at most.
+MOST_TASKS = 4096
 
 
 @dataclass
@@ -107,9 +111,9 @@ class Tree:
                 c = self.centre[self.first[k] : self.first[k] + self.count[k]]
                 node[at] = self.first[k] + np.argmin((c * c).sum(1) - 2 * (x[at] @ c.T), 1)
 
-    def visit(self, q: np.ndarray, number: int) -> list[int]:
-        """The first leaves, up to number, that a best-bin-first walk comes to."""
-        heap, out = [(0.0, 0)], []
+    def visit(self, q: np.ndarray, number: int, start: int = 0) -> list[int]:
+        """The first leaves below start, up to number, that a best-bin-first walk comes to."""
+        heap, out = [(0.0, start)], []
         while heap and len(out) < number:
             _, node = heapq.heappop(heap)
             n = int(self.count[node])
@@ -121,6 +125,43 @@ class Tree:
                 heapq.heappush(heap, (-s, first + k))
         return out
 
+    def levels(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(nodes, their parents) of each level below the root."""
+        out, nodes = [], np.zeros(1, np.int64)
+        while len(nodes := nodes[self.count[nodes] > 0]):
+            n = self.count[nodes]
+            parents = np.repeat(nodes, n)
+            nodes = np.repeat(self.first[nodes], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((nodes, parents))
+        return out
+
+    def visited(self, q: np.ndarray, number: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(query, leaf) whether visit gives the leaf among the first, for many queries at once. A walk comes to leaves in the
+        order of the least product on the way down to each; leaves that share it stand below one node, and only where the
+        last ones do, a walk from that node tells which."""
+        score = q @ self.centre.T
+        score[:, 0] = np.inf
+        least = score.copy()
+        for nodes, parents in levels:
+            least[:, nodes] = np.minimum(score[:, nodes], least[:, parents])
+        ends = np.flatnonzero(self.leaf >= 0)
+        ends = ends[np.argsort(self.leaf[ends])]
+        least_of_leaf = least[:, ends]
+        number = min(number, len(ends))
+        last = np.partition(least_of_leaf, len(ends) - number, axis=1)[:, len(ends) - number]
+        out = least_of_leaf > last[:, None]
+        same = least_of_leaf == last[:, None]
+        missing = number - out.sum(1)
+        for k in np.flatnonzero(same.sum(1) > missing):
+            node = np.flatnonzero((score[k] == last[k]) & (least[k] == last[k]))
+            same[k] = False
+            if len(node) > 1:  # equal products of several nodes
+                out[k] = False
+                same[k, self.visit(q[k], number)] = True
+            else:
+                same[k, self.visit(q[k], int(missing[k]), int(node[0]))] = True
+        return out | same
+
 
 def _split(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray] | None:
     """(centres, part of each row) by k-means; None if the rows don't part."""
@@ -146,12 +187,19 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q * c).astype(np.longdouble).sum(1).astype(np.float64)
 
 
-def top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate row, score) of each query's k nearest among x but its own row; ties to the smaller id."""
+def top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate row, score) of each query's k nearest among x but its own row, of those that are allowed (query,
+    candidate row); ties to the smaller id."""
     scores = q @ x.T
     scores[q_ids[:, None] == ids[None, :]] = -np.inf
+    if allowed is not None:
+        scores[~allowed] = -np.inf
+    # k of many interleaved strips have their greatest scores at or above this, so k scores are
     n = min(k, x.shape[0])
-    least = np.partition(scores, x.shape[0] - n, axis=1)[:, x.shape[0] - n]
+    strips = min(8 * n, x.shape[0])
+    whole = x.shape[0] // strips * strips
+    most = scores[:, :whole].reshape(len(q), -1, strips).max(1)
+    least = np.partition(most, strips - n, axis=1)[:, strips - n]
     margin = 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(least), least, 0)))
     rows, cols = np.nonzero((scores >= (least - margin)[:, None]) & np.isfinite(scores))
     s = exact(q[rows], x[cols])
@@ -161,6 +209,17 @@ def top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
     return rows[rank < k], cols[rank < k], s[rank < k]
 
 
+def runs_of(sizes: np.ndarray) -> np.ndarray:
+    """The first leaf of each run of leaves that hold BLOCK vectors together at most; a larger leaf is a run of its own."""
+    first, held = [0], 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if leaf > first[-1] and held + n > BLOCK:
+            first.append(leaf)
+            held = 0
+        held += n
+    return np.array(first)
+
+
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, embedding) of the vectors that take part, and their dimension: those of the most frequent length (the
     smaller of equals) that are not null or zero and hold neither null nor non-finite numbers."""
@@ -179,13 +238,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     vectors: vec_id, embedding; other columns aren't looked at. Repeated rows of an id are candidates each; a query id
     is searched once, by its first vector. An empty table gives no row."""
     spark = vectors.sparkSession
-    rows, dim = usable(vectors)
+    every, dim = usable(vectors)
     # Of equal vectors no more than k rows of an id, and none beyond the k + 1 smallest ids, can be among any k nearest.
-    copy = F.row_number().over(Window.partitionBy("embedding", "vec_id").orderBy("vec_id"))
-    rows = rows.withColumn("copy", copy).filter(F.col("copy") <= k)
-    place_of_id = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    candidates = rows.withColumn("place", place_of_id).filter(F.col("place") <= k + 1).select("vec_id", "embedding")
-    sample = usable(vectors)[0].orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()
+    equal = [F.xxhash64("embedding"), F.col("embedding")]  # sorted by the hash, vectors are hardly compared
+    place_of_id = F.dense_rank().over(Window.partitionBy(*equal).orderBy("vec_id"))
+    copy = F.row_number().over(Window.partitionBy(*equal, "vec_id").orderBy("vec_id"))
+    candidates = every.withColumn("place", place_of_id).filter(F.col("place") <= k + 1).withColumn("copy", copy).filter(F.col("copy") <= k)
+    candidates = stored(candidates.select("vec_id", "embedding"), "candidates")
+    sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
@@ -197,40 +257,61 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
             leaf = tree.value.assign(matrix(batch.column("embedding"), dim))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], names=["vec_id", "embedding", "leaf"])
 
-    placed = stored(candidates.mapInArrow(place, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, leaf int"), "leaves")
-    queries = usable(vectors)[0].filter(is_query).withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("embedding"))))
+    placed = stored(candidates.mapInArrow(place, f"vec_id long, embedding {every.schema['embedding'].dataType.simpleString()}, leaf int"), "leaves")
+    queries = every.filter(is_query).withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("embedding"))))
     queries = queries.filter("copy = 1").select(F.col("vec_id").alias("query_id"), "embedding")
     visits = calibrated(placed, queries, tree.value, dim, k, recall)
-    sizes = {r["leaf"]: -(-r["count"] // BLOCK) for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf
+    sizes = np.zeros(tree.value.leaves, np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # a row for each leaf
+        sizes[r["leaf"]] = r["count"]
+    first = runs_of(sizes)
+    run_of_leaf = np.repeat(np.arange(len(first)), np.diff([*first, len(sizes)]))
+    held = np.bincount(run_of_leaf, sizes)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = tree.value.levels()
+        step = max(1, (1 << 21) // len(tree.value.leaf))
         for batch in batches:
             q = matrix(batch.column("embedding"), dim)
-            found = [tree.value.visit(x, visits) for x in q]
-            at = np.repeat(np.arange(len(q)), [len(f) for f in found])
-            leaf = pa.array(np.array([i for f in found for i in f], np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(at)), leaf], names=["query_id", "leaf"])
-
-    walked = stored(queries.mapInArrow(walk, "query_id long, leaf int"), "visits")
-    asked = {r["leaf"]: -(-r["count"] // BLOCK) for r in walked.groupBy("leaf").count().collect()}
-    blocks = spark.createDataFrame([(i, n, asked.get(i, 0)) for i, n in sizes.items()], "leaf int, own_blocks int, query_blocks int")  # a row for each leaf
-    blocks = F.broadcast(blocks)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = walked.join(queries, "query_id").join(blocks, "leaf").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int"))
-    asks = asks.select("leaf", "query_block", every("own_blocks").alias("own_block"), "query_id", "embedding")
-    offers = placed.join(blocks.filter("query_blocks > 0"), "leaf").withColumn("own_block", F.pmod(F.xxhash64("vec_id"), F.col("own_blocks")).cast("int"))
-    offers = offers.select("leaf", every("query_blocks").alias("query_block"), "own_block", "vec_id", "embedding")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            for i in range(0, len(q), step):
+                found = tree.value.visited(q[i : i + step], visits, levels)
+                for run, (a, b) in enumerate(zip(first, [*first[1:], len(sizes)], strict=True)):
+                    at = np.flatnonzero(found[:, a:b].any(1))
+                    if len(at) and held[run]:
+                        leaves = pa.array([row.tobytes() for row in np.packbits(found[at, a:b], axis=1)], pa.binary())
+                        yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(i + at)), pa.array(np.full(len(at), run, np.int32)), leaves], names=["query_id", "run", "leaves"])
+
+    walked = stored(queries.mapInArrow(walk, "query_id long, run int, leaves binary"), "visits")
+    asked = {r["run"]: -(-r["count"] // QUERY_BLOCK) for r in walked.groupBy("run").count().collect()}
+    own = {run: -(-int(held[run]) // BLOCK) for run in asked}
+    tasks = min(MOST_TASKS, max(1, sum(2 * n * own[run] for run, n in asked.items())))
+    runs = F.broadcast(spark.createDataFrame([(run, own[run], n) for run, n in asked.items()], "run int, own_blocks int, query_blocks int"))
+    of_leaf = [(leaf, int(run), own[int(run)], asked[int(run)]) for leaf, run in enumerate(run_of_leaf) if int(run) in asked]  # a row for each leaf
+    leaves = F.broadcast(spark.createDataFrame(of_leaf, "leaf int, run int, own_blocks int, query_blocks int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["run", "query_block", "own_block"]
+    asks = walked.join(queries, "query_id").join(runs, "run").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int"))
+    asks = asks.select("run", "query_block", each("own_blocks").alias("own_block"), "query_id", "embedding", "leaves").repartition(tasks, *keys)
+    offers = placed.join(leaves, "leaf").withColumn("own_block", F.pmod(F.xxhash64("vec_id"), F.col("own_blocks")).cast("int"))
+    offers = offers.select("run", each("query_blocks").alias("query_block"), "own_block", "vec_id", "embedding", "leaf").repartition(tasks, *keys)
+
+    def compare(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not left.num_rows or not right.num_rows:
             return pa.table(empty)
+        right = right.sort_by("leaf")
         q_ids, ids = (t.column(c).to_numpy() for t, c in ((left, "query_id"), (right, "vec_id")))
         q, x = (matrix(t.column("embedding").combine_chunks(), dim) for t in (left, right))
-        parts = [(q_ids[i : i + 256][a], ids[b], s) for i in range(0, len(q), 256) for a, b, s in [top(q_ids[i : i + 256], q[i : i + 256], ids, x, k)]]
-        return pa.table({n: np.concatenate(c) for n, c in zip(empty, zip(*parts, strict=True), strict=True)})
+        leaf, walks = right.column("leaf").to_numpy() - first[key[0].as_py()], left.column("leaves").to_pylist()
+        parts = []
+        for i in range(0, len(q), 128):
+            bits = np.unpackbits(np.stack([np.frombuffer(w, np.uint8) for w in walks[i : i + 128]]), axis=1).astype(bool)
+            at = np.flatnonzero(bits.any(0)[leaf])
+            if len(at):
+                a, b, s = top(q_ids[i : i + 128], q[i : i + 128], ids[at], x[at], k, bits[:, leaf[at]])
+                parts.append((q_ids[i : i + 128][a], ids[at][b], s))
+        return pa.table({n: np.concatenate(c) for n, c in zip(empty, zip(*parts, strict=True), strict=True)} if parts else empty)
 
-    keys = ["leaf", "query_block", "own_block"]
     found = asks.groupBy(*keys).cogroup(offers.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -251,6 +251,40 @@ def test_leaves_are_split_where_they_are_large(spark, monkeypatch):
     assert hit / (20 * 80) >= 0.9
 
 
+def test_walks_of_many_queries_are_those_of_the_queue():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 8))
+    x[2000:] = x[:1000].round(0)  # equal products, too
+    tree = nearest.Tree.fit(x, least=8)
+    levels = tree.levels()
+    for number in (1, 7, tree.leaves // 3, tree.leaves - 1, tree.leaves, 2 * tree.leaves):
+        got = tree.visited(x[:40], number, levels)
+        for q, row in zip(x[:40], got, strict=True):
+            assert row.sum() == min(number, tree.leaves)
+            assert set(np.flatnonzero(row)) == set(tree.visit(q, number))
+
+
+def test_a_query_meets_a_run_of_leaves_once(spark, monkeypatch):
+    """Not once for each leaf: what is dealt to the comparing tasks grew with queries times leaves."""
+    seen = {}
+
+    def stored(df, name, keep=nearest.stored):
+        table = keep(df, name)
+        seen[name] = table.count()
+        return table
+
+    monkeypatch.setattr(nearest, "stored", stored)
+    x = np.random.default_rng(9).normal(size=(2000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    whole = nearest.search(df, F.col("vec_id") % 20 == 0, 20).collect()
+    assert seen["visits"] == 100
+    monkeypatch.setattr(nearest, "BLOCK", 300)  # runs of some leaves, and more blocks of queries
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 30)
+    assert sorted(nearest.search(df, F.col("vec_id") % 20 == 0, 20).collect()) == sorted(whole)
+    monkeypatch.setattr(nearest, "BLOCK", 20)  # leaves in parts
+    assert sorted(nearest.search(df, F.col("vec_id") % 20 == 0, 20).collect()) == sorted(whole)
+
+
 def test_double_vectors_keep_their_scores(spark):
     rows = [(0, [1e-9, 1.0]), (1, [0.05000000002, 0.0]), (2, [1e-50, 0.0]), (3, [0.0, 0.0])]
     got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1, 20).orderBy("rank").collect()

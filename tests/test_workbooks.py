@@ -64,3 +64,21 @@ def test_facts_sort_rows_without_their_cells(spark):
     assert got == {"a": ("None", None), "b": ("2024-03-31", "Broad 100 TRI"), "c": ("None", None)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert all("cells" not in line for line in plan.splitlines() if "Window" in line) and "telling" in plan
+
+
+def test_few_windows_hold_a_sheet_and_one_its_cells(spark):
+    """A task's memory grows with each of them."""
+    cells = spark.createDataFrame([("s", 0, HEAD)], "sheet_id string, row_no int, cells array<string>")
+    plan = grids.holdings(grids.grid_rows(cells))._jdf.queryExecution()
+    windows = [line for line in plan.optimizedPlan().toString().splitlines() if "Window [" in line]
+    below = plan.optimizedPlan().toString().split("Window [")
+    assert len(windows) == 4
+    assert sum("cells#" in part.split("Project [")[1].splitlines()[0] for part in below[1:] if "Project [" in part) <= 1
+    assert plan.sparkPlan().toString().count("Window [") == 4
+
+
+def test_sections_below_the_header_of_derivatives(spark):
+    body = [["", "Derivatives"], ["", "Early", "", "", "5", "1", "0.1"], ["", "Futures"], ["", "x", "Long / Short"], ["", "Options", None, "", "", "3", "0.2"], ["", "Position", "Long", "5", "50", "0.01"]]
+    cells = spark.createDataFrame([("s", k, row) for k, row in enumerate([HEAD, *body])], "sheet_id string, row_no int, cells array<string>")
+    got = {(r["instrument_name"], r["direction"], r["quantity"], r["section_label"]) for r in grids.derivatives(grids.grid_rows(cells)).collect()}
+    assert ("Position", "Long", 5.0, "Options") in got and ("Early", None, 5.0, "Derivatives") in got
